@@ -100,13 +100,17 @@ def text_blocks(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], fold: bytes = _FOLD, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of texts (A-Z lower-cased), and each word's text number.
 
+    ``fold`` maps bytes first; those that it maps to a space divide words. The
+    hashes of the first n bytes of longer words, for each n in ``prefixes``,
+    follow those of the words.
+
     A word's hash is a range of one running polynomial over the block, so no
     Python code runs per word.
     """
-    joined = b" ".join(texts).translate(_FOLD) + b" "
+    joined = b" ".join(texts).translate(fold) + b" "
     b = np.frombuffer(joined, np.uint8)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     space = b == 32
@@ -116,8 +120,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, stop = edge[0::2], edge[1::2]
     up, down = Powers.to(len(b) + 1)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[b] * up[: len(b)], dtype=np.uint64)])
-    h = (run[stop] - run[start]) * down[start]
-    return mix64(h + (stop - start).astype(np.uint64)), np.searchsorted(ends, start, side="right")
+    of = np.searchsorted(ends, start, side="right")
+    hashes, texts_of = [], []
+    for n in (0, *prefixes):
+        at = (stop - start > n) if n else slice(None)
+        a = start[at]
+        z = a + n if n else stop
+        hashes.append(mix64((run[z] - run[a]) * down[a] + (z - a).astype(np.uint64) + np.uint64(n << 32)))
+        texts_of.append(of[at])
+    return (hashes[0], of) if not prefixes else (np.concatenate(hashes), np.concatenate(texts_of))
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -144,3 +155,33 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
             else:
                 out.append(none)
     return out
+
+
+#: As above, and all other ASCII characters but letters and digits to a space.
+TERMS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER_AZ)
+
+
+def text_column(batch, name: str) -> list[bytes]:
+    """A string column of an Arrow batch as UTF-8 bytes; null counts as empty."""
+    import pyarrow as pa
+
+    return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
+
+
+def held_out(id_col):
+    """Whether crc32 of the identifier as text leaves the remainder 0 modulo 5; false for a null identifier."""
+    return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, label) of at most ``rows`` labelled documents outside the held-out fold, in an order by hash.
+
+    The sample of labels is bounded, and so is its broadcast; the texts come from one scan.
+    """
+    some = (
+        labels.select(labels[id_col].alias("i"), labels[label].cast("int").alias("y"))
+        .filter(F.col("i").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("i")))
+        .orderBy(F.xxhash64("i"), "i", "y").limit(rows)
+    )
+    texts = docs.select(docs[id_col].alias("i"), docs[text_col].alias("text"))
+    return texts.join(F.broadcast(some), "i").select("i", "text", "y")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op4_toxicity": op4_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
