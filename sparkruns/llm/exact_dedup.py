@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import lower_az, materialize, scratch_dir, session_of
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # each of many small stores would take 4 MB of disk ahead of need
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 #: Digests of hits are broadcast up to this number (some 40 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_HITS = 100_000
@@ -48,8 +51,9 @@ class StreamingExactDedup:
             F.concat_ws(":", F.lit(self._batch()), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")).alias("row"),
         )
         staged.write.mode("append").parquet(self.inbox)
-        previous = self.spark.conf.get(_PROVIDER, None)
-        self.spark.conf.set(_PROVIDER, _ROCKSDB)
+        previous = {k: self.spark.conf.get(k, None) for k in _STATE}
+        for k, v in _STATE.items():
+            self.spark.conf.set(k, v)
         try:
             rows = self.spark.readStream.schema(staged.schema).parquet(self.inbox)
             best = F.struct("id", "row")
@@ -62,7 +66,8 @@ class StreamingExactDedup:
             )
             query.awaitTermination()
         finally:
-            self.spark.conf.unset(_PROVIDER) if previous is None else self.spark.conf.set(_PROVIDER, previous)
+            for k, v in previous.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(staged.schema).parquet(self.inbox)
 
     def _batch(self) -> str:
