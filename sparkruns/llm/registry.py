@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .suffix_dedup import op2_suffix_dedup
 from .toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op4_toxicity": op4_toxicity}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op4_toxicity": op4_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
