@@ -29,49 +29,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_HASH, Powers, materialize, mix64, partitions, session_of
+from .common import BYTE_HASH, Powers, mix64, partitions, session_of
+from .meeting import LOWEST, ROW, among, block_rows, blocked, bucket_of, frequent_keys, joined, key48, pack, rows, shared_keys, split_by, told, unpack
 
 MIN_BYTES = 50
 #: Anchors of at least so many documents are dealt by window; at most MAX_HOT of them (the most frequent), a bound on the broadcast.
 HOT_DOCUMENTS = 256
 MAX_HOT = 500_000
-#: Bytes of text for which a task sums up anchors before it sends them.
-CHUNK = 48 << 20
 _BLOCK = 1 << 20
 _LONGEST_RUN = 64
-_LOWEST = -(1 << 63)
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; 64-bit integers are stored byte plane by byte plane."""
-    parts = [np.asarray([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()]
-    for a in arrays:
-        parts.append(a.dtype.str.encode().ljust(4))
-        parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"")
-    return zstandard.compress(b"".join(parts), 1)
-
-
-def _unpack(packed: bytes) -> list[np.ndarray]:
-    raw = zstandard.decompress(packed)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    lengths = np.frombuffer(raw, np.int64, n, 8)
-    at, out = 8 + 8 * n, []
-    for length in lengths.tolist():
-        kind = np.dtype(raw[at : at + 4].decode().strip())
-        at += 4
-        size = length * kind.itemsize
-        planes = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, length)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(length))
-        at += size
-    return out
-
-
-def _joined(tables: list[list[np.ndarray]], kinds: list) -> list[np.ndarray]:
-    return [np.concatenate([t[i] for t in tables]) if tables else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
 def _range_hashes(b: np.ndarray, k: int) -> np.ndarray:
@@ -131,136 +100,7 @@ def anchor_runs(texts: list[bytes], min_bytes: int) -> tuple[np.ndarray, np.ndar
                     n = np.minimum(np.repeat(n, parts) - skip * _LONGEST_RUN, _LONGEST_RUN)
                 out.append([of + lo, start, n, anchor])
         lo = hi
-    return tuple(_joined(out, [np.int64, np.int64, np.int64, np.uint64]))
-
-
-def _anchor_key(h: np.ndarray) -> np.ndarray:
-    """48 bits of a hash; its collisions only let a run go one pass further."""
-    return h >> np.uint64(16)
-
-
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((mix64(h) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _split(key: np.ndarray, buckets: int):
-    """(bucket, places) for each bucket that occurs; places keep their order."""
-    order = np.argsort(key, kind="stable")
-    cuts = np.searchsorted(key[order], np.arange(buckets + 1))
-    for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-        yield k, order[cuts[k] : cuts[k + 1]]
-
-
-def _block_of(col, buckets: int):
-    return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
-
-
-_ROW = "key int, kind int, data binary"
-
-
-def _rows(found) -> pa.RecordBatch:
-    found = list(found)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())],
-        ["key", "kind", "data"],
-    )
-
-
-def _send_anchors(min_bytes: int, buckets: int):
-    """Of each chunk of texts: an entry (anchor, one document, number of documents) to the anchor's bucket (kind 0),
-    and to the block of each document the anchors that the chunk itself shows to be of several documents (kind 1)."""
-
-    def flush(keys, docs, blocks):
-        keys, docs, blocks = np.concatenate(keys), np.concatenate(docs), np.concatenate(blocks)
-        order = np.lexsort((docs, keys))
-        keys, docs, blocks = keys[order], docs[order], blocks[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-        keys, docs, blocks = keys[new], docs[new], blocks[new]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(keys)))
-        entries = keys[first], docs[first], count.astype(np.uint32), blocks[first]
-        for bucket, at in _split(_bucket(entries[0], buckets), buckets):
-            yield bucket, 0, _pack(*(x[at] for x in entries))
-        several = np.repeat(count > 1, count)
-        keys, docs, blocks = keys[several], docs[several], blocks[several]
-        for block, at in _split(blocks, buckets):
-            yield block, 1, _pack(keys[at], docs[at])
-
-    def run(batches):
-        held, size = [[], [], []], 0
-        for batch in batches:
-            texts = [x or b"" for x in batch.column("text").to_pylist()]
-            ids, blocks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "block"))
-            lo = 0
-            while lo < len(texts):
-                hi = lo
-                while hi < len(texts) and (hi == lo or size < CHUNK):
-                    size += len(texts[hi])
-                    hi += 1
-                of, _, _, anchor = anchor_runs(texts[lo:hi], min_bytes)
-                for to, x in zip(held, (_anchor_key(anchor), ids[lo:hi][of], blocks[lo:hi][of].astype(np.int64)), strict=True):
-                    to.append(x)
-                if size >= CHUNK:
-                    yield _rows(flush(*held))
-                    held, size = [[], [], []], 0
-                lo = hi
-        if held[0]:
-            yield _rows(flush(*held))
-
-    return run
-
-
-def _meet_anchors(buckets: int):
-    """Answers to blocks (kind 1): the anchors that occur in several documents; frequent anchors (kind 2)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        data = table.column("data").to_pylist()
-        found = [(table.column("key")[i].as_py(), 1, data[i]) for i, k in enumerate(kinds) if k == 1]
-        keys, docs, count, blocks = _joined([_unpack(d) for d, k in zip(data, kinds, strict=True) if k == 0], [np.uint64, np.int64, np.uint32, np.int64])
-        if len(keys):
-            order = np.argsort(keys, kind="stable")
-            keys, docs, count, blocks = keys[order], docs[order], count[order], blocks[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            size = np.diff(np.append(first, len(keys)))
-            total = np.add.reduceat(count.astype(np.int64), first)
-            # entries of several tasks, but of one document (its rows may be apart)
-            several = (np.maximum.reduceat(docs, first) != np.minimum.reduceat(docs, first)) | (np.maximum.reduceat(count, first) > 1)
-            hot = several & (total >= HOT_DOCUMENTS)
-            if hot.any():
-                found.append((0, 2, _pack(keys[first[hot]], total[hot])))
-            ask = np.repeat(several, size) & (count == 1)  # the others have been told by their own task
-            keys, docs, blocks = keys[ask], docs[ask], blocks[ask]
-            found += [(block, 1, _pack(keys[at], docs[at])) for block, at in _split(blocks, buckets)]
-        return pa.Table.from_batches([_rows(found)])
-
-    return run
-
-
-def _frequent(answers: DataFrame) -> np.ndarray:
-    """The most frequent anchors, MAX_HOT at most; which ones are dealt by window does not change results."""
-    best = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-    for row in answers.filter("kind = 2").select("data").toLocalIterator():
-        both = [np.concatenate(x) for x in zip(best, _unpack(bytes(row.data)), strict=True)]
-        order = np.argsort(-both[1], kind="stable")[:MAX_HOT]
-        best = [x[order] for x in both]
-    return np.sort(best[0])
-
-
-def _among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-    return sorted_values[at] == x
-
-
-def _block_rows(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Identifiers and texts of a block in an order that only depends on them, and that order."""
-    ids = table.column("id").to_numpy()
-    texts = [x or b"" for x in table.column("text").to_pylist()]
-    order = np.asarray(sorted(range(len(texts)), key=lambda i: (ids[i], texts[i])), np.int64)
-    return ids[order], [texts[i] for i in order], order
+    return tuple(joined(out, [np.int64, np.int64, np.int64, np.uint64]))
 
 
 def _gather(buffer: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
@@ -274,15 +114,13 @@ def _send_runs(min_bytes: int, buckets: int, hot_shared):
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table) or not len(answers):
-            return pa.Table.from_batches([_rows([])])
+            return pa.Table.from_batches([rows([])])
         block = table.column("block")[0].as_py()
-        ids, texts, _ = _block_rows(table)
-        keys, docs = _joined([_unpack(d) for d in answers.column("data").to_pylist()], [np.uint64, np.int64])
-        ask = np.unique(mix64(keys) ^ docs.view(np.uint64))
+        ids, texts, _ = block_rows(table)
         of, start, n, anchor = anchor_runs(texts, min_bytes)
-        told = _among(ask, mix64(_anchor_key(anchor)) ^ ids[of].view(np.uint64))
-        of, start, n, anchor = of[told], start[told], n[told], anchor[told]
-        hot = _among(hot_shared.value, _anchor_key(anchor))
+        several = told(key48(anchor), ids[of], answers)
+        of, start, n, anchor = of[several], start[several], n[several], anchor[several]
+        hot = among(hot_shared.value, key48(anchor))
         if hot.any():  # each window on its own
             parts = np.where(hot, n, 1)
             skip = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -307,14 +145,14 @@ def _send_runs(min_bytes: int, buckets: int, hot_shared):
         found = []
         if not same.all():
             gone = ~same
-            found.append((block, 1, _pack(of[gone], start[gone], n[gone])))
+            found.append((block, 1, pack(of[gone], start[gone], n[gone])))
         send = np.flatnonzero(same)
-        for bucket, pick in _split(_bucket(key[send], buckets), buckets):
+        for bucket, pick in split_by(bucket_of(key[send], buckets), buckets):
             i = send[pick]
             i = i[np.lexsort((content[i], key[i]))]
             text = np.frombuffer(_gather(buffer, at[i], length[i]), np.uint8)
-            found.append((bucket, 0, _pack(key[i], ids[of[i]], np.full(len(i), block, np.int32), of[i].astype(np.uint32), start[i].astype(np.uint32), n[i].astype(np.uint8), text)))
-        return pa.Table.from_batches([_rows(found)])
+            found.append((bucket, 0, pack(key[i], ids[of[i]], np.full(len(i), block, np.int32), of[i].astype(np.uint32), start[i].astype(np.uint32), n[i].astype(np.uint8), text)))
+        return pa.Table.from_batches([rows(found)])
 
     return run
 
@@ -369,7 +207,7 @@ def _meet_runs(min_bytes: int, buckets: int, windows: int = 1 << 20):
         kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
         found = [(table.column("key")[i].as_py(), 1, data[i]) for i, k in enumerate(kinds) if k == 1]
         kind = [np.uint64, np.int64, np.int32, np.uint32, np.uint32, np.uint8, np.uint8]
-        key, ids, block, row, start, n, text = _joined([_unpack(d) for d, k in zip(data, kinds, strict=True) if k == 0], kind)
+        key, ids, block, row, start, n, text = joined([unpack(d) for d, k in zip(data, kinds, strict=True) if k == 0], kind)
         if len(key):
             n, start = n.astype(np.int64), start.astype(np.int64)
             length = n + min_bytes - 1
@@ -387,14 +225,14 @@ def _meet_runs(min_bytes: int, buckets: int, windows: int = 1 << 20):
                 of, skip = resolve(key[part], ids[part], n[part], at[part], text)
                 spans.append([of + lo, skip])
                 lo = hi
-            of, skip = _joined(spans, [np.int64, np.int64])
+            of, skip = joined(spans, [np.int64, np.int64])
             # neighbouring windows of a run as one span
             new = np.append(True, (of[1:] != of[:-1]) | (skip[1:] != skip[:-1] + 1)) if len(of) else np.zeros(0, bool)
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(of)))
             of, skip = of[first], skip[first]
-            found += [(b, 1, _pack(row[of[i]].astype(np.int64), start[of[i]] + skip[i], count[i])) for b, i in _split(block[of], buckets)]
-        return pa.Table.from_batches([_rows(found)])
+            found += [(b, 1, pack(row[of[i]].astype(np.int64), start[of[i]] + skip[i], count[i])) for b, i in split_by(block[of], buckets)]
+        return pa.Table.from_batches([rows(found)])
 
     return run
 
@@ -406,8 +244,8 @@ def _cut(min_bytes: int):
     """Remaining bytes and removed spans of a block's documents."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, texts, _ = _block_rows(table)
-        row, start, n = _joined([_unpack(d) for d in answers.column("data").to_pylist()], [np.int64] * 3)
+        ids, texts, _ = block_rows(table)
+        row, start, n = joined([unpack(d) for d in answers.column("data").to_pylist()], [np.int64] * 3)
         order = np.lexsort((start, row))
         row, start, stop = row[order], start[order], (start + n)[order] + min_bytes - 1
         bounds = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -424,7 +262,7 @@ def _cut(min_bytes: int):
             spans.append([{"start": a, "stop": z} for a, z in merged])
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return pa.table({
-            "id": pa.array(ids, pa.int64(), mask=ids == _LOWEST), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+            "id": pa.array(ids, pa.int64(), mask=ids == LOWEST), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
             "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary()),
         })
 
@@ -435,18 +273,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, n_bytes, the removed spans (maximal, in bytes) and the remaining bytes."""
     spark = session_of(docs)
     buckets = partitions(spark)
-    identifier = F.coalesce(docs[id_col].cast("long"), F.lit(_LOWEST))
-    texts = docs.select(identifier.alias("id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
-    texts = texts.withColumn("block", _block_of(F.col("id"), buckets))
+    texts = blocked(docs, id_col, text_col)
+
+    def anchors(some: list[bytes]):
+        of, _, _, anchor = anchor_runs(some, min_bytes)
+        return of, key48(anchor)
 
-    anchors = texts.mapInArrow(_send_anchors(min_bytes, buckets), _ROW)
-    answers = materialize(anchors.groupBy("key").applyInArrow(_meet_anchors(buckets), _ROW), "suffix-anchors")
-    hot = spark.sparkContext.broadcast(_frequent(answers))
-    told = answers.filter("kind = 1").select(F.col("key").alias("block"), "data")
+    answers = shared_keys(texts, anchors, HOT_DOCUMENTS, "suffix-anchors")
+    hot = spark.sparkContext.broadcast(frequent_keys(answers, MAX_HOT)[0])
+    to_blocks = answers.filter("kind = 1").select(F.col("key").alias("block"), "data")
 
     blocks = texts.groupBy("block")
-    runs = blocks.cogroup(told.groupBy("block")).applyInArrow(_send_runs(min_bytes, buckets, hot), _ROW)
-    spans = runs.groupBy("key").applyInArrow(_meet_runs(min_bytes, buckets), _ROW).select(F.col("key").alias("block"), "data")
+    runs = blocks.cogroup(to_blocks.groupBy("block")).applyInArrow(_send_runs(min_bytes, buckets, hot), ROW)
+    spans = runs.groupBy("key").applyInArrow(_meet_runs(min_bytes, buckets), ROW).select(F.col("key").alias("block"), "data")
     return blocks.cogroup(spans.groupBy("block")).applyInArrow(_cut(min_bytes), _RESULT)
 
 
