@@ -13,10 +13,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, partitions, session_of
+from .common import materialize, mix64, partitions, session_of, text_blocks
 
-#: Bytes of text for which a task sums up keys before it sends them.
-CHUNK = 48 << 20
+#: Keys that a task sums up before it sends them, and bytes of text that it takes at a time.
+CHUNK_KEYS = 1 << 20
+CHUNK_BYTES = 2 << 20
 LOWEST = -(1 << 63)
 
 
@@ -101,20 +102,15 @@ def _send_keys(extract, buckets: int):
         for batch in batches:
             texts = [x or b"" for x in batch.column("text").to_pylist()]
             ids, blocks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "block"))
-            lo = 0
-            while lo < len(texts):
-                hi = lo
-                while hi < len(texts) and (hi == lo or size < CHUNK):
-                    size += len(texts[hi])
-                    hi += 1
+            for lo, hi in text_blocks(texts, CHUNK_BYTES):
                 of, found = extract(texts[lo:hi])
-                for to, x in zip(held, (found, ids[lo:hi][of], blocks[lo:hi][of].astype(np.int64)), strict=True):
+                size += len(found)
+                for to, x in zip(held, (found, ids[lo:hi][of], blocks[lo:hi][of]), strict=True):
                     to.append(x)
-                if size >= CHUNK:
+                if size >= CHUNK_KEYS:
                     yield rows(flush(*held))
                     held, size = [[], [], []], 0
-                lo = hi
-        if held[0]:
+        if size:
             yield rows(flush(*held))
 
     return run

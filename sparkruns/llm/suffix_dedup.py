@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_HASH, Powers, mix64, partitions, session_of
+from .common import BYTE_HASH, Powers, mix64, partitions, session_of, text_blocks
 from .meeting import LOWEST, ROW, among, block_rows, blocked, bucket_of, frequent_keys, joined, key48, pack, rows, shared_keys, split_by, told, unpack
 
 MIN_BYTES = 50
@@ -103,6 +103,36 @@ def anchor_runs(texts: list[bytes], min_bytes: int) -> tuple[np.ndarray, np.ndar
     return tuple(joined(out, [np.int64, np.int64, np.int64, np.uint64]))
 
 
+def _run_hashes(texts: list[bytes], of: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of each range of a text; ``of`` ascends."""
+    out = np.zeros(len(of), np.uint64)
+    for lo, hi in text_blocks(texts, _BLOCK):
+        part = slice(*np.searchsorted(of, [lo, hi]))
+        if part.start == part.stop:
+            continue
+        b = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
+        base = np.concatenate([[0], np.cumsum(np.fromiter((len(t) for t in texts[lo:hi]), np.int64, hi - lo))])
+        at = base[of[part] - lo] + start[part]
+        up, down = Powers.to(len(b) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[b] * up[: len(b)])])
+        out[part] = mix64((sums[at + length[part]] - sums[at]) * down[at] + length[part].astype(np.uint64))
+    return out
+
+
+def _copies(content: np.ndarray, owner: np.ndarray, buffer: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which ranges equal, byte by byte, one of a smaller owner; ``content``: their hashes."""
+    out = np.zeros(len(content), bool)
+    order = np.lexsort((owner, content))
+    first = np.append(True, content[order][1:] != content[order][:-1]) if len(order) else out
+    lead = order[np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else order
+    later = owner[order] > owner[lead]
+    raw = buffer.data
+    for i, j in zip(order[later].tolist(), lead[later].tolist(), strict=True):
+        n, a, b = int(length[i]), int(at[i]), int(at[j])
+        out[i] = n == length[j] and raw[a : a + n] == raw[b : b + n]
+    return out
+
+
 def _gather(buffer: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
     """The ranges of a byte array, joined."""
     skip = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
@@ -131,17 +161,10 @@ def _send_runs(min_bytes: int, buckets: int, hot_shared):
         buffer = np.frombuffer(b"".join(texts), np.uint8)
         base = np.concatenate([[0], np.cumsum(np.fromiter((len(t) for t in texts), np.int64, len(texts)))])
         at, length = base[of] + start, n + min_bytes - 1
-        up, down = Powers.to(len(buffer) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[buffer] * up[: len(buffer)])])
-        content = mix64((sums[at + length] - sums[at]) * down[at] + length.astype(np.uint64))
+        content = _run_hashes(texts, of, start, length)
         key = np.where(hot, content, anchor)
-        # equal runs of the block: all but those of its smallest identifier are resolved here, on equal bytes
-        order = np.lexsort((start, of, content))
-        first = np.append(True, content[order][1:] != content[order][:-1]) if len(order) else np.zeros(0, bool)
-        lead = order[first][np.cumsum(first) - 1] if len(order) else order
-        same = np.ones(len(order), bool)
-        for i, j in zip(order[ids[of[order]] > ids[of[lead]]].tolist(), lead[ids[of[order]] > ids[of[lead]]].tolist(), strict=True):
-            same[i] = length[i] != length[j] or bytes(buffer[at[i] : at[i] + length[i]]) != bytes(buffer[at[j] : at[j] + length[j]])
+        # equal runs of the block: all but those of its smallest identifier are resolved here
+        same = ~_copies(content, ids[of], buffer, at, length)
         found = []
         if not same.all():
             gone = ~same
@@ -151,7 +174,7 @@ def _send_runs(min_bytes: int, buckets: int, hot_shared):
             i = send[pick]
             i = i[np.lexsort((content[i], key[i]))]
             text = np.frombuffer(_gather(buffer, at[i], length[i]), np.uint8)
-            found.append((bucket, 0, pack(key[i], ids[of[i]], np.full(len(i), block, np.int32), of[i].astype(np.uint32), start[i].astype(np.uint32), n[i].astype(np.uint8), text)))
+            found.append((bucket, 0, pack(key[i], ids[of[i]], np.full(len(i), block, np.int32), of[i].astype(np.uint32), start[i].astype(np.uint32), n[i].astype(np.uint8), content[i], text)))
         return pa.Table.from_batches([rows(found)])
 
     return run
@@ -168,52 +191,66 @@ def _digits(buffer: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 def radix_repeats(group: np.ndarray, owner: np.ndarray, buffer: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes (starts ``at`` in ``buffer``) whose first ``depth`` bytes also start in a smaller owner, within their group.
 
-    Most significant digit first, eight bytes a pass; a group of one owner leaves.
+    Most significant digit first, eight bytes a pass; groups stand together. A
+    group of one digit needs no order, and a group of one owner leaves.
     """
     alive = np.arange(len(at))
     gid = group
-    done = np.zeros(len(at), bool)
-    for d in range(-8, depth, 8):
-        if d < 0:
-            order = np.argsort(gid, kind="stable")
-            new = gid[order][1:] != gid[order][:-1]
-        else:
-            digit = _digits(buffer, at[alive] + d, min(8, depth - d))
-            order = np.lexsort((digit, gid))
-            new = (gid[order][1:] != gid[order][:-1]) | (digit[order][1:] != digit[order][:-1])
-        alive = alive[order]
+    least = owner
+    for d in range(0, depth, 8):
         if not len(alive):
-            return done
-        first = np.flatnonzero(np.append(True, new))
+            break
+        digit = _digits(buffer, at[alive] + d, min(8, depth - d))
+        border = np.append(True, gid[1:] != gid[:-1])
+        first = np.flatnonzero(border)
+        mixed = np.logical_or.reduceat(np.append(False, digit[1:] != digit[:-1]) & ~border, first)
+        part = np.flatnonzero(np.repeat(mixed, np.diff(np.append(first, len(gid)))))
+        if len(part):
+            number = np.cumsum(border)[part]
+            order = part[np.lexsort((digit[part], number))]
+            alive[part], digit[part] = alive[order], digit[order]
+        border[1:] |= digit[1:] != digit[:-1]
+        first = np.flatnonzero(border)
         size = np.diff(np.append(first, len(alive)))
         least, most = np.minimum.reduceat(owner[alive], first), np.maximum.reduceat(owner[alive], first)
         stay = np.repeat(least != most, size)
         gid = np.repeat(np.arange(len(first)), size)[stay]
         alive, least = alive[stay], np.repeat(least, size)[stay]
-    done[alive[owner[alive] > least]] = True
+    done = np.zeros(len(at), bool)
+    if len(alive):
+        done[alive[owner[alive] > least]] = True
     return done
 
 
 def _meet_runs(min_bytes: int, buckets: int, windows: int = 1 << 20):
     """Spans of a bucket's runs that start in a smaller document, to their blocks (kind 1)."""
 
-    def resolve(key, ids, n, at, text):
-        of = np.repeat(np.arange(len(n)), n)
-        skip = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    def resolve(key, ids, content, n, at, text):
+        """(run, window in it) that start in a smaller document."""
+        copy = _copies(content, ids, text, at, n + min_bytes - 1)
+        left = np.flatnonzero(~copy)
+        first = np.flatnonzero(np.append(True, key[left][1:] != key[left][:-1]))
+        size = np.diff(np.append(first, len(left)))
+        several = np.minimum.reduceat(ids[left], first) != np.maximum.reduceat(ids[left], first)
+        left = left[np.repeat(several, size)]
+        wide = lambda which: (np.repeat(which, n[which]), np.arange(n[which].sum()) - np.repeat(np.cumsum(n[which]) - n[which], n[which]))
+        of, skip = wide(left)
         done = radix_repeats(key[of], ids[of], text, at[of] + skip, min_bytes)
-        return of[done], skip[done]
+        of, skip = (np.concatenate(x) for x in zip((of[done], skip[done]), wide(np.flatnonzero(copy)), strict=True))
+        order = np.lexsort((skip, of))
+        return of[order], skip[order]
 
     def run(table: pa.Table) -> pa.Table:
         kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
         found = [(table.column("key")[i].as_py(), 1, data[i]) for i, k in enumerate(kinds) if k == 1]
-        kind = [np.uint64, np.int64, np.int32, np.uint32, np.uint32, np.uint8, np.uint8]
-        key, ids, block, row, start, n, text = joined([unpack(d) for d, k in zip(data, kinds, strict=True) if k == 0], kind)
+        kind = [np.uint64, np.int64, np.int32, np.uint32, np.uint32, np.uint8, np.uint64, np.uint8]
+        key, ids, block, row, start, n, content, text = joined([unpack(d) for d, k in zip(data, kinds, strict=True) if k == 0], kind)
         if len(key):
             n, start = n.astype(np.int64), start.astype(np.int64)
             length = n + min_bytes - 1
             at = np.cumsum(length) - length
             order = np.argsort(key, kind="stable")
-            key, ids, block, row, start, n, at = (x[order] for x in (key, ids, block, row, start, n, at))
+            key, ids, block, row, start, n, content, at = (x[order] for x in (key, ids, block, row, start, n, content, at))
             # whole keys at a time, of about so many windows
             last = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
             total = np.concatenate([[0], np.cumsum(n)])
@@ -222,7 +259,7 @@ def _meet_runs(min_bytes: int, buckets: int, windows: int = 1 << 20):
                 fit = np.searchsorted(total[last], total[lo] + windows, side="right")
                 hi = int(last[min(max(fit - 1, np.searchsorted(last, lo, side="right")), len(last) - 1)])
                 part = slice(lo, hi)
-                of, skip = resolve(key[part], ids[part], n[part], at[part], text)
+                of, skip = resolve(key[part], ids[part], content[part], n[part], at[part], text)
                 spans.append([of + lo, skip])
                 lo = hi
             of, skip = joined(spans, [np.int64, np.int64])
