@@ -88,7 +88,7 @@ class Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def text_blocks(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def text_blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes each (one text at least)."""
     start = size = 0
     for i, t in enumerate(texts):
