@@ -5,12 +5,22 @@ from __future__ import annotations
 from .bpe import op10_byte_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .ngram_join import op9_ngram_join
+from .packing import op8_packing
 from .suffix_dedup import op2_suffix_dedup
 from .toxicity import op4_toxicity
+from .wavelet import op7_token_files
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op4_toxicity": op4_toxicity, "op9_ngram_join": op9_ngram_join, "op10_byte_bpe": op10_byte_bpe}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op2_suffix_dedup": op2_suffix_dedup,
+        "op4_toxicity": op4_toxicity,
+        "op7_token_files": op7_token_files,
+        "op8_packing": op8_packing,
+        "op9_ngram_join": op9_ngram_join,
+        "op10_byte_bpe": op10_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
