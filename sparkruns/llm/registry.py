@@ -6,6 +6,7 @@ from .bpe import op10_byte_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .ngram_join import op9_ngram_join
 from .packing import op8_packing
+from .quality import op3_quality
 from .suffix_dedup import op2_suffix_dedup
 from .toxicity import op4_toxicity
 from .wavelet import op7_token_files
@@ -15,6 +16,7 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
         "op7_token_files": op7_token_files,
         "op8_packing": op8_packing,
