@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op10_byte_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .nearest import op5_nearest
 from .ngram_join import op9_ngram_join
 from .packing import op8_packing
 from .quality import op3_quality
 from .suffix_dedup import op2_suffix_dedup
 from .toxicity import op4_toxicity
+from .url_filter import OP6_SQL, op6_url_filter
 from .wavelet import op7_token_files
 
 
@@ -18,6 +20,8 @@ def queries() -> dict:
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
+        "op5_nearest": op5_nearest,
+        "op6_url_filter": op6_url_filter,
         "op7_token_files": op7_token_files,
         "op8_packing": op8_packing,
         "op9_ngram_join": op9_ngram_join,
@@ -26,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_url_filter": OP6_SQL}
