@@ -181,9 +181,10 @@ def told(keys: np.ndarray, ids: np.ndarray, answers: pa.Table) -> np.ndarray:
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text as bytes, block) of every row; a null identifier is the lowest number, a null text is empty."""
+    """(id, text as bytes, its hash, block) of every row; a null identifier is the lowest number, a null text is empty."""
     identifier = F.coalesce(docs[id_col].cast("long"), F.lit(LOWEST))
-    texts = docs.select(identifier.alias("id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    texts = docs.select(identifier.alias("id"), text.cast("binary").alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
     return texts.withColumn("block", block_of(F.col("id"), partitions(session_of(docs))))
 
 

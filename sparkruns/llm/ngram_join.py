@@ -303,6 +303,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(null("id"), "n_shingles", null("component"))
 
 
+#: Dropped identifiers are broadcast up to this number; beyond it they are joined by a shuffle.
+BROADCAST_DROPPED = 500_000
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that are linked to a smaller identifier; all columns unchanged."""
+    groups = similar_groups(docs, id_col, text_col, size, percent)
+    dropped = materialize(groups.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__dropped")), "ngram-dropped")
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_DROPPED else dropped
+    return docs.join(side, docs[id_col] == F.col("__dropped"), "left_anti")
+
+
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return similar_groups(docs, size=4, percent=85).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

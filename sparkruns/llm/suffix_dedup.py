@@ -274,17 +274,28 @@ def _meet_runs(min_bytes: int, buckets: int, windows: int = 1 << 20):
     return run
 
 
-_RESULT = "id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
+_RESULT = "id long, text_hash long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
 
 
-def _cut(min_bytes: int):
-    """Remaining bytes and removed spans of a block's documents."""
+def _whole_characters(text: bytes, start: int, stop: int) -> tuple[int, int]:
+    """The part of a span that holds whole UTF-8 characters."""
+    while start < stop and text[start] & 0xC0 == 0x80:
+        start += 1
+    while stop > start and stop < len(text) and text[stop] & 0xC0 == 0x80:
+        stop -= 1
+    return start, stop
+
+
+def _cut(min_bytes: int, characters: bool = False):
+    """Remaining bytes and removed spans of a block's documents; with ``characters``, spans keep to whole ones."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, texts, _ = block_rows(table)
+        ids, texts, order = block_rows(table)
+        hashes = table.column("text_hash").to_numpy()
+        hashes = hashes[order]
         row, start, n = joined([unpack(d) for d in answers.column("data").to_pylist()], [np.int64] * 3)
-        order = np.lexsort((start, row))
-        row, start, stop = row[order], start[order], (start + n)[order] + min_bytes - 1
+        by_row = np.lexsort((start, row))
+        row, start, stop = row[by_row], start[by_row], (start + n)[by_row] + min_bytes - 1
         bounds = np.searchsorted(row, np.arange(len(texts) + 1))
         spans, kept = [], []
         for i, text in enumerate(texts):
@@ -294,19 +305,21 @@ def _cut(min_bytes: int):
                     merged[-1][1] = max(merged[-1][1], z)
                 else:
                     merged.append([a, z])
+            if characters:
+                merged = [list(_whole_characters(text, a, z)) for a, z in merged]
             edges = [0, *(x for s in merged for x in s), len(text)]
             kept.append(b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if merged else text)
             spans.append([{"start": a, "stop": z} for a, z in merged])
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return pa.table({
-            "id": pa.array(ids, pa.int64(), mask=ids == LOWEST), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+            "id": pa.array(ids, pa.int64(), mask=ids == LOWEST), "text_hash": pa.array(hashes, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
             "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary()),
         })
 
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, characters: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, the removed spans (maximal, in bytes) and the remaining bytes."""
     spark = session_of(docs)
     buckets = partitions(spark)
@@ -323,7 +336,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = texts.groupBy("block")
     runs = blocks.cogroup(to_blocks.groupBy("block")).applyInArrow(_send_runs(min_bytes, buckets, hot), ROW)
     spans = runs.groupBy("key").applyInArrow(_meet_runs(min_bytes, buckets), ROW).select(F.col("key").alias("block"), "data")
-    return blocks.cogroup(spans.groupBy("block")).applyInArrow(_cut(min_bytes), _RESULT)
+    return blocks.cogroup(spans.groupBy("block")).applyInArrow(_cut(min_bytes, characters), _RESULT)
+
+
+def trim_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+    """The rows of ``docs`` without their repeated spans (whole characters); other columns, and texts without such spans, are unchanged."""
+    spans = repeated_spans(docs, id_col, text_col, min_bytes, characters=True).filter(F.size("spans") > 0)
+    # rows may repeat an identifier, so that the hash of the text is part of the key
+    changed = spans.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").cast("string").alias("__kept")).dropDuplicates(["__id", "__hash"])
+    text = docs[text_col]
+    out = docs.join(changed, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    return out.select(*(F.coalesce("__kept", text).alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
