@@ -1,14 +1,17 @@
 """N-gram Jaccard self-join by prefixes of token combinations, and its components.
 
 Tokens are the distinct word shingles of a document, in one order for all
-documents: those of a single document first, then rare ones by hash, then
-frequent ones by their number of documents. Of a document with n tokens, a
-partner with Jaccard similarity s or more lacks at most ``n - ceil(s n)``. Its
-prefix is extended until its signatures cannot all be lost with that many
-tokens: a rare token is a signature by itself; frequent tokens fall in classes
-by hash and count as pairs within a class, of which a class with m tokens has
-m - 1 to lose. Two documents above the threshold share a signature in their
-prefixes. Documents that share one are verified on their whole token sets.
+documents: rare ones, which a single document has, first, then shared ones by
+hash, then very frequent ones by their number of documents. Of a document with
+n tokens, a partner with Jaccard similarity s or more lacks at most
+``n - ceil(s n)``. Its prefix is extended until its signatures cannot all be
+lost with that many tokens: a rare token is a signature by itself (no other
+document has it, so that it need not be sent); shared tokens fall in classes by
+hash and count as pairs within a class, of which a class with m tokens has m - 1
+to lose. Classes depend on the band of sizes; a document takes part in its own
+band and the next, which covers all partners. Two documents above the threshold
+share a signature in their prefixes. Documents that share one are verified on
+their whole token sets.
 
 Signatures meet in buckets as packed arrays. Within a list, documents are
 chained by size, so that a list of n documents makes n - 1 edges; the
@@ -41,8 +44,8 @@ FREQUENT = 64
 MAX_FREQUENT = 500_000
 #: Documents of a candidate component that one group takes whole.
 CLUSTER = 512
-#: Documents below this size use frequent tokens singly.
-_SMALL = 24
+#: Documents below this size use shared tokens singly.
+_SMALL = 4
 
 
 def _ceil_share(n: np.ndarray, percent: int) -> np.ndarray:
@@ -63,7 +66,7 @@ class Signatures:
         return n - -(-n * self.percent // 100)
 
     def of(self, tokens: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        """tokens: the hashes of one document; shared: which of them occur in several documents."""
+        """tokens: the hashes of one document; shared: which of them occur in several documents (a superset will do)."""
         n = len(tokens)
         need = self.lost(n) + 1
         single = n - int(shared.sum())
@@ -73,17 +76,13 @@ class Signatures:
         tokens = tokens[shared]
         keys = key48(tokens)
         hot = among(self.frequent, keys)
-        rare = np.sort(tokens[~hot])[:need]
-        if len(rare) >= need:
-            return rare
-        need -= len(rare)
-        tokens, keys = tokens[hot], keys[hot]
-        order = np.lexsort((tokens, self.documents[np.searchsorted(self.frequent, keys)]))
-        tokens = tokens[order]
+        df = np.zeros(len(tokens), np.int64)
+        df[hot] = self.documents[np.searchsorted(self.frequent, keys[hot])]
+        tokens = tokens[np.lexsort((tokens, df))]
         band = int(np.searchsorted(self.edges, n, side="right"))
-        return np.concatenate([rare, *(self._frequent(tokens, need, b) for b in (band, band + 1))])
+        return np.concatenate([self._combinations(tokens, need, b) for b in (band, band + 1)])
 
-    def _frequent(self, tokens: np.ndarray, need: int, band: int) -> np.ndarray:
+    def _combinations(self, tokens: np.ndarray, need: int, band: int) -> np.ndarray:
         salt = np.uint64(band * 0x9E3779B97F4A7C15 % 2**64)
         least = int(self.edges[max(band - 2, 0)])
         if least < _SMALL:
