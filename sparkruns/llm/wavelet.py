@@ -37,7 +37,7 @@ from .word_tokens import encoded_blocks
 
 END_ID = 1
 #: Ids after which a shard is closed; documents are not split.
-SHARD_IDS = 2 << 20
+SHARD_IDS = 1 << 18
 _WORD = 512
 _NULL = -(1 << 63)
 
@@ -132,17 +132,17 @@ class WaveletMatrix:
         return lo
 
     def decode(self) -> np.ndarray:
-        """All ids in order."""
-        value = np.zeros(self.n, np.uint32)
-        at = np.arange(self.n, dtype=np.uint32)
-        for level, packed in enumerate(self.planes):
-            bit = np.unpackbits(packed, count=self.n, bitorder="little")
-            ones = np.cumsum(bit, dtype=np.uint32)
-            below = np.where(bit, self.zeros[level] - 1 + ones.astype(np.int64), np.arange(self.n) - ones).astype(np.uint32)
-            value <<= np.uint32(1)
-            value |= bit[at]
-            at = below[at]
-        return value
+        """All ids in order: the splits are followed with each id's place, which puts it back at the end."""
+        value = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        place = np.arange(self.n, dtype=np.uint32)
+        for packed in self.planes:
+            one = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
+            zero = ~one
+            value = np.concatenate([value[zero] << 1, value[one] << 1 | 1])
+            place = np.concatenate([place[zero], place[one]])
+        out = np.empty(self.n, np.uint32)
+        out[place] = value
+        return out
 
 
 def write_shard(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
@@ -239,9 +239,11 @@ def read_token_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _with_start(docs: DataFrame, shards: DataFrame) -> DataFrame:
-    """Adds the ids of all earlier shards; sums are made of a row for each shard."""
-    before = F.sum("n_ids").over(Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = shards.select("part", "place", F.coalesce(before, F.lit(0)).alias("before"))
+    """Adds the ids of all earlier shards: of earlier parts, summed by a row for each part, and within the part."""
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", earlier(Window.orderBy("part")).alias("parts_before"))
+    within = shards.select("part", "place", earlier(Window.partitionBy("part").orderBy("place")).alias("part_before"))
+    offsets = within.join(parts, "part").select("part", "place", (F.col("parts_before") + F.col("part_before")).alias("before"))
     return docs.join(offsets, ["part", "place"]).withColumn("start", F.col("before") + F.col("within"))
 
 

@@ -1,18 +1,25 @@
 """Word-level memo around a tokenizer of the tokenizers library.
 
 The tokenizer's pieces never span a space or a line feed, so that a text's ids
-are those of its chunks between them, in order. A worker remembers chunks up to
-a bound and sends all unknown chunks of a block of texts through the library at
-once.
+are those of its chunks between them, in order; a chunk's final punctuation
+after a letter or digit is a piece of its own; and A-Z count as a-z. A worker
+remembers chunks up to a bound and sends all unknown ones of a block of texts
+through the library at once.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from .common import LOWER_AZ, mix64, text_blocks
+
 #: Bounds on the chunks that a worker remembers: their number, and bytes of one.
-MEMO = 300_000
+MEMO = 700_000
 LONGEST = 48
+_FINAL = b".,;:!?|#$%&*"
+_TABLE = bytes(32 if c == 10 else c for c in LOWER_AZ)
+_MASK = np.asarray([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class ChunkEncoder:
@@ -22,22 +29,23 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo: dict[bytes, bytes] = {}
         self.room = memo
 
     def _encode(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
 
-    def _unknown(self, chunks: list[str]) -> dict[str, bytes]:
+    def _unknown(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each chunk, from one call for all; offsets tell which chunk a token is of."""
-        found: dict[str, bytes] = {}
+        found: dict[bytes, bytes] = {}
         for lo in range(0, len(chunks), 20_000):
             part = chunks[lo : lo + 20_000]
             starts, at = [], 0
-            for c in part:
+            texts = [c.decode() for c in part]
+            for t in texts:
                 starts.append(at)
-                at += len(c) + 1
-            got = self._encode(" ".join(part))
+                at += len(t) + 1
+            got = self._encode(" ".join(texts))
             ids = np.asarray(got.ids, self.dtype)
             of = np.searchsorted(starts, np.asarray([s for s, _ in got.offsets], np.int64), side="right") - 1
             cut = np.searchsorted(of, np.arange(len(part) + 1))
@@ -47,19 +55,77 @@ class ChunkEncoder:
                 found[c] = raw[a * w : z * w]
         return found
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*chunks) if chunks else set()
-        new = sorted(words - self.memo.keys())
+    def _known(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk, by the memo and the library."""
         memo = self.memo
-        memo.update(self._unknown(new))
-        out = [np.frombuffer(b"".join(map(memo.__getitem__, c)), self.dtype) for c in chunks]
-        for c in new:
-            if len(memo) > self.room or len(c) > LONGEST:
+        out = list(map(memo.get, chunks))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        if not missing:
+            return out
+        apart, fresh = {}, set()
+        for c in {chunks[i] for i in missing}:
+            stem = c.rstrip(_FINAL)
+            if len(stem) < len(c) and stem and (stem[-1:].isalnum() or stem.decode()[-1].isalnum()):
+                apart[c] = stem, c[len(stem) :]
+                fresh.update(apart[c])
+            else:
+                fresh.add(c)
+        fresh = sorted(fresh - memo.keys())
+        found = self._unknown(fresh)
+        memo.update(found)
+        for c, (stem, final) in apart.items():
+            found[c] = memo[stem] + memo[final]
+        for i in missing:
+            out[i] = found[chunks[i]] if chunks[i] in found else memo[chunks[i]]
+        room = self.room - len(memo)
+        for c in apart:
+            if room > 0 and len(c) <= LONGEST:
+                memo[c] = found[c]
+                room -= 1
+        for c in fresh:  # stems are kept rather than chunks
+            if len(c) > LONGEST or len(memo) > self.room:
                 del memo[c]
         return out
 
+    def encode(self, texts: list[bytes], end: int | None = None) -> list[np.ndarray]:
+        """Ids of each text (UTF-8), followed by the end id; each different chunk of the texts is looked up once."""
+        joined = (b" " * 8 + b" ".join(texts) + b" " * 8).translate(_TABLE)
+        b = np.frombuffer(joined, np.uint8)
+        ends = 8 + np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        space = b == 32
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        start, stop = edge[0::2], edge[1::2]
+        n = stop - start
+        at = np.ndarray((len(b) - 7,), "<u8", joined, 0, (1,))  # eight bytes from each place
+        head = at[start] & _MASK[np.minimum(n, 8)]
+        last = at[np.maximum(stop - 8, 0)]
+        rest = mix64(last * _ODD + n.astype(np.uint64))
+        rest[n < 8] = 0  # a short chunk's last bytes are not its own
+        h = mix64(head * _ODD + rest + n.astype(np.uint64))
+        long, k = np.flatnonzero(n > 16), 8
+        while len(long):  # the bytes between
+            h[long] = mix64(h[long] * _ODD + at[start[long] + k])
+            k += 8
+            long = long[n[long] > k + 8]
+        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        lead = first[inverse]
+        if (n != n[lead]).any() or (head != head[lead]).any() or ((last != last[lead]) & (n >= 8)).any():  # two chunks with one hash
+            first = inverse = np.arange(len(n))
+        ids = self._known([joined[a:z] for a, z in zip(start[first].tolist(), stop[first].tolist(), strict=True)])
+        bounds = np.searchsorted(start, np.concatenate([[0], ends]))
+        if end is not None:
+            ids.append(self.dtype.type(end).tobytes())
+            inverse = np.insert(inverse, bounds[1:], len(ids) - 1)
+            bounds = bounds + np.arange(len(bounds))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        begin = (np.cumsum(size) - size)[inverse]
+        size = size[inverse]
+        total = np.concatenate([[0], np.cumsum(size)])
+        flat = flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        cut = total[bounds].tolist()
+        return [flat[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -71,13 +137,8 @@ def worker_encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def encoded_blocks(path: str, texts: list[bytes], end_id: int | None, limit: int = 1 << 20):
+def encoded_blocks(path: str, texts: list[bytes], end_id: int | None, limit: int = 4 << 20):
     """(number of the first text, ids of each text with the end id) for blocks of texts of about ``limit`` bytes."""
-    from .common import text_blocks
-
     encoder = worker_encoder(path)
     for lo, hi in text_blocks(texts, limit):
-        ids = encoder.encode([t.decode() for t in texts[lo:hi]])
-        if end_id is not None:
-            ids = [np.append(x, encoder.dtype.type(end_id)) for x in ids]
-        yield lo, ids
+        yield lo, encoder.encode(texts[lo:hi], end_id)
