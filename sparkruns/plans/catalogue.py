@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import tables_queries  # noqa: F401  (registers)
+from . import run_queries, tables_queries  # noqa: F401  (they register)
 from .bindings import QUERIES, SQL
 
 
