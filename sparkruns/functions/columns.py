@@ -43,6 +43,11 @@ def segment_number(value: Column, bounds: list[float]) -> Column:
     return F.when(value.isNotNull(), number).cast("int")
 
 
+def round6(value: Column) -> Column:
+    """Six digits; a tie that sums in another order would miss by their last bit still goes up."""
+    return F.round(value + F.lit(1e-9), 6)
+
+
 def rate(positive: Column, negative: Column, digits: int = 6) -> Column:
     """positive / (positive + negative), rounded; null if both are zero or either is null."""
     total = positive + negative

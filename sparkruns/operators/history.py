@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import MICROS_PER_DAY, elapsed_days, rate, truth
+from ..functions.columns import MICROS_PER_DAY, elapsed_days, rate, round6, truth
 
 WINDOWS = (30, 90, 150, 365)
 
@@ -138,7 +138,7 @@ def acceptance_history(df: DataFrame, accepted: DataFrame, keys: list[str], at:
     out = []
     for d in windows:
         n = F.nullif(F.col(f"_n_{d}"), F.lit(0))
-        out += [F.round(F.col(f"{m}_{d}") / n, 6).alias(f"{label}_{d}d") for m, label in (("_seq", "mean_accepted_seq"), ("_share", "mean_accepted_share"), ("_late", "late_rate"))]
+        out += [round6(F.col(f"{m}_{d}") / n).alias(f"{label}_{d}d") for m, label in (("_seq", "mean_accepted_seq"), ("_share", "mean_accepted_share"), ("_late", "late_rate"))]
     return df.join(sums.select(*keys, at, *out), [*keys, at], "left")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import micros
+from ..functions.columns import micros, round6
 from ..operators import freeze as Z
 from ..operators import history as H
 from ..operators import joins as J
@@ -32,7 +32,12 @@ def _sorted(key: str) -> str:
 
 
 def _rounded(df, columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: round6(F.col(c)) for c in columns})
+
+
+def _nudged(sql: str) -> str:
+    """Rounding as ``round6`` does it."""
+    return sql.replace(", 6)", " + 1e-9, 6)")
 
 
 
@@ -63,7 +68,7 @@ def _decline_sql() -> str:
     return ", ".join(out)
 
 
-@query("wn03_decline_history", f"{_sorted('candidate')} SELECT run_id, offer_rank, {_decline_sql()} FROM s")
+@query("wn03_decline_history", _nudged(f"{_sorted('candidate')} SELECT run_id, offer_rank, {_decline_sql()} FROM s"))
 def wn03(spark, sf_dir):
     o = _sorted_offers(spark, sf_dir, "candidate")
     out = H.decline_history(o, "candidate", "sort_micros", F.col("response") == "N", {"score": F.col("score_points"), "disc": F.round(F.col("discount") * 100)}, {"dcd": F.col("dcd")})
@@ -193,9 +198,9 @@ def _acceptance_sql() -> str:
     return ", ".join(out)
 
 
-@query("wn11_acceptance_history", f"""{WITH}, {_OUTCOMES}, lens AS (SELECT run_id, count(*) AS run_len, max(at_us) AS at_us FROM offers GROUP BY 1),
+@query("wn11_acceptance_history", _nudged(f"""{WITH}, {_OUTCOMES}, lens AS (SELECT run_id, count(*) AS run_len, max(at_us) AS at_us FROM offers GROUP BY 1),
 acc AS (SELECT accepted_center AS center, accepted_seq, run_len, at_us FROM organs JOIN lens USING (run_id)), h AS (SELECT DISTINCT center, at_us, {_acceptance_sql()} FROM acc)
-SELECT o.run_id, o.offer_rank, h.* EXCLUDE (center, at_us) FROM offers o LEFT JOIN h ON o.center = h.center AND o.at_us = h.at_us""")
+SELECT o.run_id, o.offer_rank, h.* EXCLUDE (center, at_us) FROM offers o LEFT JOIN h ON o.center = h.center AND o.at_us = h.at_us"""))
 def wn11(spark, sf_dir):
     o = offers(spark, sf_dir)
     lens = o.groupBy("run_id").agg(F.count(F.lit(1)).alias("run_len"), F.max("at_us").alias("at_us"))
@@ -306,12 +311,12 @@ def _location(df):
     return _rounded(df.select("run_id", "offer_rank", "split", "run_state", "rank_share", "location_target", "timing_bucket", "rows_in_run", "row_weight"), ["rank_share", "row_weight"])
 
 
-@query("st4_risk_set", _location_sql("run_state = 'localizable_observed_y' AND offer_rank <= first_y_rank"))
+@query("st4_risk_set", _nudged(_location_sql("run_state = 'localizable_observed_y' AND offer_rank <= first_y_rank")))
 def st4(spark, sf_dir):
     return _location(L.risk_set(offers(spark, sf_dir), labels(spark, sf_dir), CONFIG))
 
 
-@query("st5_location_rows", _location_sql("run_state <> 'audit_orphan_y'"))
+@query("st5_location_rows", _nudged(_location_sql("run_state <> 'audit_orphan_y'")))
 def st5(spark, sf_dir):
     return _location(L.location_rows(offers(spark, sf_dir), labels(spark, sf_dir), CONFIG))
 
@@ -427,7 +432,7 @@ def _segments(spark, sf_dir):
 _SEG_NUM = ["share_min", "share_max", "share_mean", "rank_mean", "score_sum", "score_max", "score_mean", "discount_mean"]
 
 
-@query("ag18_segment_table", f"{_ROWS} SELECT run_id, segment, n_rows, rank_min, rank_max, segment_target, {', '.join(f'round({c}, 6) AS {c}' for c in _SEG_NUM)} FROM segs")
+@query("ag18_segment_table", _nudged(f"{_ROWS} SELECT run_id, segment, n_rows, rank_min, rank_max, segment_target, {', '.join(f'round({c}, 6) AS {c}' for c in _SEG_NUM)} FROM segs"))
 def ag18(spark, sf_dir):
     return _rounded(_segments(spark, sf_dir).select("run_id", "segment", "n_rows", "rank_min", "rank_max", "segment_target", *_SEG_NUM), _SEG_NUM)
 
@@ -437,7 +442,7 @@ def wn17(spark, sf_dir):
     return _segments(spark, sf_dir).select("run_id", "segment", "true_segment")
 
 
-@query("wn18_mass_profile", f"{_ROWS} SELECT run_id, segment, round(mass, 6) AS mass, round(mass_before, 6) AS mass_before, round(greatest(1 - mass_before - mass, 0), 6) AS mass_after FROM profile")
+@query("wn18_mass_profile", _nudged(f"{_ROWS} SELECT run_id, segment, round(mass, 6) AS mass, round(mass_before, 6) AS mass_before, round(greatest(1 - mass_before - mass, 0), 6) AS mass_after FROM profile"))
 def wn18(spark, sf_dir):
     return _rounded(N.mass_profile(_segments(spark, sf_dir)).select("run_id", "segment", "mass", "mass_before", "mass_after"), ["mass", "mass_before", "mass_after"])
 
@@ -447,7 +452,7 @@ def _hazards(spark, sf_dir):
     return N.hazard_to_mass(_segments(spark, sf_dir).withColumn("hazard", h), "hazard")
 
 
-@query("wn19_hazard_to_mass", f"{_ROWS} SELECT run_id, segment, round(survival, 6) AS survival, round(segment_probability, 6) AS segment_probability FROM probs")
+@query("wn19_hazard_to_mass", _nudged(f"{_ROWS} SELECT run_id, segment, round(survival, 6) AS survival, round(segment_probability, 6) AS segment_probability FROM probs"))
 def wn19(spark, sf_dir):
     return _rounded(_hazards(spark, sf_dir).select("run_id", "segment", "survival", "segment_probability"), ["survival", "segment_probability"])
 
@@ -466,7 +471,7 @@ def ml09(spark, sf_dir):
     return N.run_features(labels(spark, sf_dir).select("run_id"), summary, ["score_max", "not_there"]).select("run_id", "score_max", "not_there")
 
 
-@query("ml10_segment_training", f"{_ROWS} SELECT run_id, segment, round(1.0 / count(*) OVER (PARTITION BY run_id), 6) AS sample_weight, ({N.SEGMENTS}::DOUBLE[])[segment] AS segment_lower, ({N.SEGMENTS}::DOUBLE[])[segment + 1] AS segment_upper FROM profile WHERE true_segment IS NOT NULL AND segment <= true_segment")
+@query("ml10_segment_training", _nudged(f"{_ROWS} SELECT run_id, segment, round(1.0 / count(*) OVER (PARTITION BY run_id), 6) AS sample_weight, ({N.SEGMENTS}::DOUBLE[])[segment] AS segment_lower, ({N.SEGMENTS}::DOUBLE[])[segment + 1] AS segment_upper FROM profile WHERE true_segment IS NOT NULL AND segment <= true_segment"))
 def ml10(spark, sf_dir):
     return _rounded(N.segment_training(_segments(spark, sf_dir)).select("run_id", "segment", "sample_weight", "segment_lower", "segment_upper"), ["sample_weight"])
 
@@ -479,20 +484,20 @@ def _final(spark, sf_dir, renormalize: bool = False):
     return N.final_rows(rows.join(probs, ["run_id", "segment"], "left"), 0.5, renormalize)
 
 
-@query("ml12_final_rows", f"{_ROWS} SELECT run_id, offer_rank, segment, decision, round(row_probability, 6) AS row_probability FROM final")
+@query("ml12_final_rows", _nudged(f"{_ROWS} SELECT run_id, offer_rank, segment, decision, round(row_probability, 6) AS row_probability FROM final"))
 def ml12(spark, sf_dir):
     return _rounded(_final(spark, sf_dir).select("run_id", "offer_rank", "segment", "decision", "row_probability"), ["row_probability"])
 
 
-@query("ml13_run_predictions", f"{_ROWS} SELECT run_id, decision, CASE WHEN decision = 'localize' THEN offer_rank END AS predicted_rank, round(row_probability, 6) AS modal_probability FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(row_probability, 9) DESC, offer_rank) AS n FROM final) WHERE n = 1")
+@query("ml13_run_predictions", _nudged(f"{_ROWS} SELECT run_id, decision, CASE WHEN decision = 'localize' THEN offer_rank END AS predicted_rank, round(row_probability, 6) AS modal_probability FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(row_probability, 9) DESC, offer_rank) AS n FROM final) WHERE n = 1"))
 def ml13(spark, sf_dir):
     final = _final(spark, sf_dir).withColumn("row_probability", F.round("row_probability", 9))
     return _rounded(N.run_predictions(final), ["modal_probability"])
 
 
-@query("ml14_combine_runs", f"""{_ROWS}, first_rows AS (SELECT run_id, segment, max(greatest(coalesce(segment_probability, 0), 0)) AS p FROM rows_ LEFT JOIN (SELECT run_id, segment, segment_probability FROM probs) USING (run_id, segment) WHERE offer_rank % 4 <> 1 GROUP BY 1, 2),
+@query("ml14_combine_runs", _nudged(f"""{_ROWS}, first_rows AS (SELECT run_id, segment, max(greatest(coalesce(segment_probability, 0), 0)) AS p FROM rows_ LEFT JOIN (SELECT run_id, segment, segment_probability FROM probs) USING (run_id, segment) WHERE offer_rank % 4 <> 1 GROUP BY 1, 2),
 norm AS (SELECT run_id, segment, CASE WHEN sum(p) OVER (PARTITION BY run_id) <= 1e-12 THEN 1.0 / count(*) OVER (PARTITION BY run_id) ELSE p / sum(p) OVER (PARTITION BY run_id) END AS p FROM first_rows)
-SELECT run_id, offer_rank, CASE WHEN run_id % 10 / 10.0 >= 0.5 OR p <= 0 THEN 0 ELSE round(p * CASE WHEN sum(score) OVER w > 1e-12 THEN score / sum(score) OVER w ELSE 1.0 / count(*) OVER w END, 6) END AS row_probability FROM rows_ JOIN norm USING (run_id, segment) WHERE offer_rank % 4 <> 1 WINDOW w AS (PARTITION BY run_id, segment)""")
+SELECT run_id, offer_rank, CASE WHEN run_id % 10 / 10.0 >= 0.5 OR p <= 0 THEN 0 ELSE round(p * CASE WHEN sum(score) OVER w > 1e-12 THEN score / sum(score) OVER w ELSE 1.0 / count(*) OVER w END, 6) END AS row_probability FROM rows_ JOIN norm USING (run_id, segment) WHERE offer_rank % 4 <> 1 WINDOW w AS (PARTITION BY run_id, segment)"""))
 def ml14(spark, sf_dir):
     """Only some of a run's rows are given, so that the mass of their segments is renormalised."""
     from ..functions.columns import segment_number
@@ -501,3 +506,12 @@ def ml14(spark, sf_dir):
     rows = _scored(spark, sf_dir).withColumn("segment", segment_number(F.col("rank_share"), N.SEGMENTS)).filter("offer_rank % 4 <> 1")
     rows = rows.select("run_id", "offer_rank", "score", "segment", (F.col("run_id") % 10 / 10.0).alias("discard_probability")).join(probs, ["run_id", "segment"], "left")
     return _rounded(N.final_rows(rows, 0.5, renormalize=True).select("run_id", "offer_rank", "row_probability"), ["row_probability"])
+
+
+@query("jn12_assemble_features", f"""{WITH}, l AS (SELECT run_id, count(*) AS run_rows, max(price) AS max_price FROM offers GROUP BY 1), c AS (SELECT center, count(*) AS center_rows FROM offers GROUP BY 1)
+SELECT run_id, offer_rank, run_rows, max_price, center_rows FROM offers JOIN l USING (run_id) JOIN c USING (center)""")
+def jn12(spark, sf_dir):
+    o = offers(spark, sf_dir)
+    runs = o.groupBy("run_id").agg(F.count(F.lit(1)).alias("run_rows"), F.max("price").alias("max_price"))
+    centers = o.groupBy("center").agg(F.count(F.lit(1)).alias("center_rows"))
+    return J.assemble_features(J.assemble_features(o, [runs], ["run_id"]), [centers], ["center"]).select("run_id", "offer_rank", "run_rows", "max_price", "center_rows")
