@@ -13,9 +13,9 @@ band and the next, which covers all partners. Two documents above the threshold
 share a signature in their prefixes. Documents that share one are verified on
 their whole token sets.
 
-Signatures meet in buckets as packed arrays. Within a list, documents are
-chained by size, so that a list of n documents makes n - 1 edges; the
-components of these edges hold every pair to verify. Components beyond
+Signatures meet in buckets as packed arrays. A list of n documents makes at most
+n - 1 edges, and equal edges of several lists count once; the components of
+these edges hold every pair to verify. Components beyond
 ``CLUSTER`` documents are cut in parts by a hash, and each pair of parts is a
 group of its own: no task gets an unbounded group, and no pairs are emitted.
 Groups verify with an inverted index and skip pairs that are already connected.
@@ -142,8 +142,14 @@ def _send_signatures(size: int, percent: int, buckets: int, hot):
     return run
 
 
-def _meet_signatures(percent: int):
-    """Hands on kinds 1 and 2, and chains the documents of each signature by size (kind 3)."""
+def _meet_signatures(percent: int, buckets: int):
+    """Hands on kinds 1 and 2, and ties the documents of each signature together (kind 3).
+
+    In order of size, documents follow each other as long as a neighbour could
+    be similar; each such row of documents is tied to its first. Lists of the
+    same documents mostly have the same first, so that their edges are equal,
+    and go to one bucket.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         kinds, data, key = table.column("kind").to_pylist(), table.column("data").to_pylist(), table.column("key")
@@ -152,16 +158,29 @@ def _meet_signatures(percent: int):
         if len(signature):
             order = np.lexsort((ids, n, signature))
             signature, ids, n = signature[order], ids[order], n[order]
-            next_to = (signature[1:] == signature[:-1]) & (ids[1:] != ids[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            a, b = ids[:-1][next_to], ids[1:][next_to]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            pair = np.unique(np.stack([low, high], 1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
-            found.append((key[0].as_py(), 3, pack(np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))))
+            follows = np.append(False, (signature[1:] == signature[:-1]) & (100 * n[:-1] >= percent * n[1:]))
+            first = ids[np.maximum.accumulate(np.where(follows, 0, np.arange(len(ids))))]
+            a, b = np.minimum(first, ids), np.maximum(first, ids)
+            pair = np.unique(np.stack([a, b], 1)[a < b], axis=0)
+            a, b = np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
+            to = bucket_of(mix64(a.view(np.uint64)) ^ b.view(np.uint64), buckets)
+            found += [(k, 3, pack(a[i], b[i])) for k, i in split_by(to, buckets)]
         return pa.Table.from_batches([rows(found)])
 
     return run
 
 
+def _unique_edges(table: pa.Table) -> pa.Table:
+    """Hands on kinds 1 and 2, and leaves each edge (kind 3) once."""
+    kinds, data, key = table.column("kind").to_pylist(), table.column("data").to_pylist(), table.column("key")
+    found = [(key[i].as_py(), k, data[i]) for i, k in enumerate(kinds) if k != 3]
+    a, b = joined([unpack(d) for d, k in zip(data, kinds, strict=True) if k == 3], [np.int64, np.int64])
+    if len(a):
+        pair = np.unique(np.stack([a, b], 1), axis=0)
+        found.append((key[0].as_py(), 3, pack(np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))))
+    return pa.Table.from_batches([rows(found)])
+
+
 def _opened(packed: DataFrame, kind: int, names: tuple[str, str]) -> DataFrame:
     """Packed pairs of numbers as rows."""
 
@@ -280,7 +299,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     to_blocks = answers.filter("kind = 1").select(F.col("key").alias("block"), "data")
     blocks = texts.groupBy("block")
     sent = blocks.cogroup(to_blocks.groupBy("block")).applyInArrow(_send_signatures(size, percent, buckets, hot), ROW)
-    met = materialize(sent.groupBy("key").applyInArrow(_meet_signatures(percent), ROW), "ngram-signatures")
+    tied = sent.groupBy("key").applyInArrow(_meet_signatures(percent, buckets), ROW)
+    met = materialize(tied.groupBy("key").applyInArrow(_unique_edges, ROW), "ngram-signatures")
 
     clusters = materialize(connected_components(_opened(met, 3, ("a", "b"))), "ngram-clusters")
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
