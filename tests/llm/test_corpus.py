@@ -319,7 +319,6 @@ def test_nearest(spark):
     centre = rng.normal(size=(12, 16))
     x = (centre[rng.integers(0, 12, 600)] + 0.3 * rng.normal(size=(600, 16))).round(3)
     x[100:160] = x[100]  # copies
-    x *= rng.uniform(0.5, 2, (600, 1)) if False else 1
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd_rows = [(1000, None), (1020, [0.0] * 16), (1040, [None] + [1.0] * 15), (1060, [float("nan")] * 16), (1080, [1.0] * 3), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows + odd_rows, "vec_id long, embedding array<double>").repartition(6)
