@@ -30,10 +30,11 @@ BITS = 20
 PREFIXES = (4, 6)
 #: Bound on the labelled rows that are fitted.
 SAMPLE_ROWS = 8_000
-#: Bound on the terms with weights: those that go most clearly with either label.
-MAX_TERMS = 2_048
-MIN_DOCUMENTS = 4
 FACTORS = 4
+#: Documents of a term at which its factors take half of their longest steps, and the deviations from
+#: independence of the label at which its weight takes whole ones.
+KNOWN_DOCUMENTS = 200
+CLEAR = 5.0
 THRESHOLD = 0.5
 
 
@@ -72,31 +73,36 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.logits(docs[known], term[known], len(texts)), -30, 30)))
 
 
-def fit(docs: np.ndarray, buckets: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 0.05, l2: float = 3e-4, seed: int = 11) -> FactorizationMachine:
-    """Adam on mini-batches of documents; terms are chosen by how clearly they go with a label."""
+def fit(docs: np.ndarray, buckets: np.ndarray, y: np.ndarray, epochs: int = 25, rate: float = 0.05, l2: float = 1e-4, l2_factors: float = 0.03, seed: int = 11) -> FactorizationMachine:
+    """Adam on mini-batches of documents; a batch updates the terms that it holds.
+
+    Every term seen has a weight and factors. What is known of a term sets the
+    length of its steps, not whether it takes part: that of the weight grows with
+    its correlation with the label or its documents, that of the factors with its
+    documents alone, so that pairs of terms without a correlation are learned.
+    """
     n, positive = len(y), float(y.sum())
     share = min(max((positive + 0.5) / (n + 1), 1e-4), 1 - 1e-4)
     bias = float(np.log(share / (1 - share)))
     none = FactorizationMachine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    if not 0 < positive < n:
-        return none
-    df = np.bincount(buckets, minlength=1 << BITS)
-    hits = np.bincount(buckets, y[docs], 1 << BITS)
-    z = np.abs(hits - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
-    terms = np.flatnonzero(df >= MIN_DOCUMENTS)
-    terms = np.sort(terms[np.argsort(-z[terms], kind="stable")[:MAX_TERMS]])
-    if not len(terms):
+    if not 0 < positive < n or not len(buckets):
         return none
-    place = np.full(1 << BITS, -1, np.int64)
-    place[terms] = np.arange(len(terms))
-    term = place[buckets]
-    docs, term = docs[term >= 0], term[term >= 0]
+    terms, term, df = np.unique(buckets, return_inverse=True, return_counts=True)
+    hits = np.bincount(term, y[docs])
+    z = np.abs(hits - df * share) / np.sqrt(df * share * (1 - share) + 1)
+    known = df / (df + KNOWN_DOCUMENTS)
+    pace = np.empty((len(terms), 1 + FACTORS))
+    pace[:, 0] = np.maximum(np.minimum(z / CLEAR, 1) ** 3, 0.02 * known)
+    pace[:, 1:] = 0.5 * known[:, None]
+    decay = np.array([l2] + [l2_factors] * FACTORS)
     start = np.searchsorted(docs, np.arange(n + 1))
+    sums = lambda of, x, size: np.stack([np.bincount(of, c, size) for c in x.T], 1)
 
     rng = np.random.default_rng(seed)
     theta = np.zeros((len(terms), 1 + FACTORS))
     theta[:, 1:] = rng.normal(0, 0.01, (len(terms), FACTORS))
     m, v, mb, vb, step = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0, 0
+    held, place = np.zeros(len(terms), bool), np.zeros(len(terms), np.int64)
     for _ in range(epochs):
         order = rng.permutation(n)
         for lo in range(0, n, 256):
@@ -104,21 +110,24 @@ def fit(docs: np.ndarray, buckets: np.ndarray, y: np.ndarray, epochs: int = 40,
             length = start[batch + 1] - start[batch]
             d = np.repeat(np.arange(len(batch)), length)
             t = term[np.repeat(start[batch] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())]
-            fm = FactorizationMachine(bias, terms, theta[:, 0], theta[:, 1:])
+            held[t] = True
+            some = np.flatnonzero(held)
+            held[some] = False
+            place[some] = np.arange(len(some))
+            t, x = place[t], theta[some]
+            fm = FactorizationMachine(bias, some, x[:, 0], x[:, 1:])
             err = 1 / (1 + np.exp(-np.clip(fm.logits(d, t, len(batch)), -30, 30))) - y[batch]
-            g = np.empty_like(theta)
-            g[:, 0] = np.bincount(t, err[d], len(terms))
-            for f in range(FACTORS):
-                x = theta[:, 1 + f]
-                total = np.bincount(d, x[t], len(batch))
-                g[:, 1 + f] = np.bincount(t, err[d] * (total[d] - x[t]), len(terms))
-            g = g / len(batch) + l2 * theta
+            e, of = x[t, 1:], err[d]
+            total = sums(d, e, len(batch))
+            g = np.concatenate([np.bincount(t, of, len(some))[:, None], sums(t, of[:, None] * (total[d] - e), len(some))], 1)
+            g = g / len(batch) + decay * x
             gb, step = float(err.mean()), step + 1
-            m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+            m[some], v[some] = 0.9 * m[some] + 0.1 * g, 0.999 * v[some] + 0.001 * g * g
+            mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             a, b = 1 - 0.9**step, 1 - 0.999**step
-            theta -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
+            theta[some] = x - rate * pace[some] * (m[some] / a) / (np.sqrt(v[some] / b) + 1e-8)
             bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-8)
-    return FactorizationMachine(bias, terms, theta[:, 0].copy(), theta[:, 1:].copy())
+    return FactorizationMachine(bias, terms, theta[:, 0].astype(np.float32), theta[:, 1:].astype(np.float32))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> FactorizationMachine:

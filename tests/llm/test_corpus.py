@@ -314,6 +314,23 @@ def test_factorization_machine_learns_pairs():
     assert (((model.score(texts) > 0.5) == (a ^ b)).mean()) > 0.95
 
 
+def test_factorization_machine_learns_pairs_among_noise():
+    """The two terms do not correlate with the label at all, and thousands of noise terms do by chance."""
+
+    def rows(seed):
+        rng = np.random.default_rng(seed)
+        a, b = np.tile([0, 0, 1, 1], 500), np.tile([0, 1, 0, 1], 500)
+        noise = rng.integers(0, 4000, (2000, 20))
+        return [" ".join([*(w for w, on in (("alpha", x), ("omega", y)) if on), *(f"w{k}" for k in own)]).encode() for x, y, own in zip(a, b, noise)], a ^ b
+
+    texts, y = rows(1)
+    docs, buckets = toxicity.term_buckets(texts)
+    model = toxicity.fit(docs, buckets, y.astype(float))
+    assert set(model.terms) == set(buckets)
+    texts, y = rows(2)
+    assert ((model.score(texts) > 0.5) == y).mean() > 0.95
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(12, 16))
