@@ -26,18 +26,64 @@ def valid_at(facts: DataFrame, history: DataFrame, keys: list[str], ts: str, beg
     """Values of the latest interval ``[begin, end)`` that holds a fact's timestamp; a null end is open.
 
     Facts and interval starts are merged on one exchange, so that a key with a
-    long history is walked once instead of joined row by row. Of the intervals
-    begun before, the latest still open at the timestamp counts; intervals of a
-    key may overlap if ends ascend with begins.
+    long history is walked once instead of joined row by row. Intervals of a key
+    may overlap in any way: where one ends before an earlier one does, the key's
+    history is first cut in disjoint pieces, each with the latest-begun interval
+    open in it. Of intervals with one begin the longest-lasting counts, then the
+    larger values. Intervals without a begin, or that end by it, hold nothing.
     """
-    state = F.struct(F.col(end).alias("end"), *values)
-    marks = history.select(*keys, F.col(begin).alias("_at"), state.alias("_state"), F.lit(0).alias("_fact"))
+    history = _disjoint(history.select(*keys, F.col(begin).alias("_at"), F.col(end).alias("_end"), F.struct(*values).alias("_values")), keys)
+    marks = history.select(*keys, "_at", F.struct(F.col("_end").alias("end"), F.col("_values").alias("values")).alias("_state"), F.lit(0).alias("_fact"))
     rows = facts.withColumns({"_at": F.col(ts), "_fact": F.lit(1)})
     w = Window.partitionBy(*keys).orderBy("_at", "_fact").rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_last", F.last("_state", ignorenulls=True).over(w))
     open_ = F.col("_last.end").isNull() | (F.col("_last.end") > F.col("_at"))
     out = both.filter("_fact = 1")
-    return out.select(*facts.columns, *(F.when(F.col("_last").isNotNull() & open_, F.col(f"_last.{v}")).alias(v) for v in values))
+    return out.select(*facts.columns, *(F.when(F.col("_last").isNotNull() & open_, F.col("_last.values")[v]).alias(v) for v in values))
+
+
+def _disjoint(history: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _at, _end, _values): keys whose ends ascend with distinct begins as they are, the others in disjoint pieces."""
+    w = Window.partitionBy(*keys).orderBy("_at", F.col("_end").asc_nulls_last(), "_values")
+    last_end = F.lag("_end").over(w)
+    before = F.lag("_at").over(w)
+    # an interval that ends before the one begun before it, or begins with it
+    shorter = (last_end.isNull() & F.col("_end").isNotNull()) | F.coalesce(F.col("_end") < last_end, F.lit(False))
+    breaks = before.isNotNull() & (F.coalesce(before == F.col("_at"), F.lit(False)) | shorter)
+    marked = history.filter("_at is not null and (_end is null or _end > _at)").withColumn("_breaks", breaks)
+    marked = marked.withColumn("_nested", F.max("_breaks").over(Window.partitionBy(*keys)))
+    plain = marked.filter(~F.col("_nested")).select(*keys, "_at", "_end", "_values")
+    nested = marked.filter("_nested").select(*plain.columns, F.row_number().over(w).alias("_n"))
+    return plain.unionByName(nested.groupBy(*keys).applyInArrow(_pieces, plain.schema))
+
+
+def _pieces(table):
+    """The pieces of one key's intervals, each with the open interval of the highest number."""
+    import heapq
+
+    import pyarrow as pa
+
+    table = table.sort_by("_n")
+    begins, ends = table.column("_at").to_pylist(), table.column("_end").to_pylist()
+    points = sorted({*begins, *(e for e in ends if e is not None)})
+    open_, next_, at, stop, of = [], 0, [], [], []
+    for p in points:
+        while next_ < len(begins) and begins[next_] == p:
+            heapq.heappush(open_, -next_)
+            next_ += 1
+        while open_ and ends[-open_[0]] is not None and ends[-open_[0]] <= p:
+            heapq.heappop(open_)
+        best = -open_[0] if open_ else None
+        if of and stop[-1] is None and of[-1] != best:
+            stop[-1] = p
+        if best is not None and not (of and stop[-1] is None):
+            at.append(p)
+            stop.append(None)
+            of.append(best)
+    out = table.take(pa.array(of, pa.int64())).drop_columns(["_n"])
+    for name, column in (("_at", at), ("_end", stop)):
+        out = out.set_column(out.column_names.index(name), name, pa.array(column, table.schema.field(name).type))
+    return out
 
 
 def asof_backward(facts: DataFrame, events: DataFrame, keys: list[str], ts: str, value: str, lag: int = 0) -> DataFrame:

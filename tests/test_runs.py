@@ -107,3 +107,24 @@ def test_reconcile(spark):
     assert [tuple(r) for r in P.reconcile(a, b, ["id"]).collect()] == [(4, 1, 0)]
     with pytest.raises(P.RowCountMismatch):
         P.assert_reconciled(a, b, ["id"])
+
+
+def test_valid_at_of_overlapping_intervals(spark):
+    """Nested, equal-begin, open, empty and disjoint intervals against all pairs."""
+    from sparkruns.operators import joins as J
+
+    history = [(1, 0, 100, "outer"), (1, 10, 20, "inner"), (2, 0, 10, "short"), (2, 0, 50, "long"), (3, 0, None, "open"), (3, 5, 8, "a"), (3, 6, 7, "b"), (3, 9, 9, "empty")]
+    history += [(4, 0, 10, "first"), (4, 10, 20, "second"), (4, 30, None, "third"), (5, 0, 20, "x"), (5, 10, 30, "y"), (6, 0, 9, None), (6, 2, 4, "z"), (6, None, 90, "no begin")]
+    facts = [(k, t) for k in range(1, 8) for t in range(-1, 105)]
+    h = spark.createDataFrame(history, "k int, b long, e long, state string").repartition(3)
+    f = spark.createDataFrame(facts, "k int, t long")
+
+    def expected(k, t):
+        held = [(b, float("inf") if e is None else e, s) for x, b, e, s in history if x == k and b is not None and b <= t and (e is None or t < e)]
+        return max(held, key=lambda x: x[:2])[2] if held else None
+
+    out = {(r.k, r.t): r.state for r in J.valid_at(f, h, ["k"], "t", "b", "e", ["state"]).collect()}
+    assert out == {(k, t): expected(k, t) for k, t in facts}
+    stamps = lambda df, *names: df.withColumns({n: F.timestamp_seconds(n) for n in names})
+    out = J.valid_at(stamps(f, "t"), stamps(h, "b", "e"), ["k"], "t", "b", "e", ["state"])
+    assert {(r.k, r.t): r.state for r in out.withColumn("t", F.unix_seconds("t")).collect()} == {(k, t): expected(k, t) for k, t in facts}
