@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, searched best bin first.
 
 Equal vectors are merged first and keep their smallest identifiers, enough for
-any answer, so that no leaf fills up with copies. The tree is fitted on a
+any answer whichever identifier asks, so that no leaf fills up with copies. The tree is fitted on a
 bounded sample of vectors, lifted by one coordinate so that the largest inner
 product is the least distance; every vector is indexed in a leaf. A query takes
 leaves from a priority queue, nearest branch first. How many leaves it visits is
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -123,6 +124,27 @@ def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 12) -> tuple[np.ndarray, n
     return centres, of
 
 
+def _enough(ids: list[int], k: int) -> list[int]:
+    """Places of the candidates, given best first, that the best ``k`` without one identifier can need, whichever it is; 2 * k at most."""
+    if len(set(ids[: k + 1])) == k + 1:
+        return list(range(k + 1))
+    kept, times, most = [], {}, 0
+    for place, i in enumerate(ids):
+        if len(kept) - most >= k:
+            break
+        n = times.get(i, 0) + 1
+        if n <= k:
+            kept.append(place)
+            times[i] = n
+            most = max(most, n)
+    return kept
+
+
+def _smallest(ids: list[int], k: int) -> list[int]:
+    ids = sorted(ids)
+    return [ids[place] for place in _enough(ids, k)]
+
+
 def _key(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
@@ -143,7 +165,7 @@ def _sound(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
     return rows.filter(F.size("v") == dim), dim
 
 
-def _distinct(rows: DataFrame, dim: int, keep: int, every: int) -> DataFrame:
+def _distinct(rows: DataFrame, dim: int, k: int, every: int) -> DataFrame:
     """One row for each different vector: key, vector (bytes of doubles), its smallest identifiers, whether it is a query.
 
     Copies meet within tasks first, so that a vector travels once for each task.
@@ -158,8 +180,8 @@ def _distinct(rows: DataFrame, dim: int, keep: int, every: int) -> DataFrame:
                 entry = held.setdefault(raw, [[], False])
                 entry[1] |= i % every == 0
                 entry[0].append(i)
-                if len(entry[0]) > 4 * keep:
-                    entry[0] = sorted(entry[0])[:keep]
+                if len(entry[0]) > 4 * k + 4:
+                    entry[0] = _smallest(entry[0], k)
             if len(held) > 100_000:
                 yield out(held)
                 held = {}
@@ -169,7 +191,7 @@ def _distinct(rows: DataFrame, dim: int, keep: int, every: int) -> DataFrame:
     def out(held):
         keys = [_key(raw) for raw in held]
         return pa.RecordBatch.from_arrays(
-            [pa.array([int.from_bytes(k[:6], "little") % buckets for k in keys], pa.int32()), pa.array(keys, pa.binary()), pa.array(list(held), pa.binary()), pa.array([sorted(e[0])[:keep] for e in held.values()], pa.list_(pa.int64())), pa.array([e[1] for e in held.values()])],
+            [pa.array([int.from_bytes(key[:6], "little") % buckets for key in keys], pa.int32()), pa.array(keys, pa.binary()), pa.array(list(held), pa.binary()), pa.array([_smallest(e[0], k) for e in held.values()], pa.list_(pa.int64())), pa.array([e[1] for e in held.values()])],
             ["bucket", "key", "vector", "ids", "query"],
         )
 
@@ -177,7 +199,7 @@ def _distinct(rows: DataFrame, dim: int, keep: int, every: int) -> DataFrame:
         held: dict[bytes, list] = {}
         for key, raw, ids, query in zip(*(table.column(c).to_pylist() for c in ("key", "vector", "ids", "query")), strict=True):
             entry = held.setdefault(raw, [key, [], False])
-            entry[1] = sorted(entry[1] + ids)[:keep]
+            entry[1] = _smallest(entry[1] + ids, k)
             entry[2] |= query
         return pa.table({"key": pa.array([e[0] for e in held.values()], pa.binary()), "vector": pa.array(list(held), pa.binary()), "ids": pa.array([e[1] for e in held.values()], pa.list_(pa.int64())), "query": pa.array([e[2] for e in held.values()], pa.bool_())})
 
@@ -232,7 +254,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     result = "query_id long, rank int, vec_id long, score double"
     if not dim:
         return spark.createDataFrame([], result)
-    distinct = materialize(_distinct(rows, dim, k + 1, every), "nearest-vectors")
+    distinct = materialize(_distinct(rows, dim, k, every), "nearest-vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     longest = rows.agg(F.max(norm)).first()[0]
     total = distinct.count()
@@ -290,10 +312,18 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
                 n = min(k + 1, len(x))
                 least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
                 for i in range(len(score)):
-                    near = np.flatnonzero(score[i] >= least[i] - 1e-12 * abs(least[i]))
-                    exact = (x[near] * q[lo + i]).sum(1)
-                    found = sorted((-s, v) for s, j in zip(exact.tolist(), near.tolist(), strict=True) for v in ids[j])[: k + 1]
-                    out.append((keys[lo + i], found))
+                    bound, wide = least[i], n
+                    while True:
+                        near = np.flatnonzero(score[i] >= bound - 1e-12 * abs(bound))
+                        exact = (x[near] * q[lo + i]).sum(1)
+                        found = sorted((-s, v) for s, j in zip(exact.tolist(), near.tolist(), strict=True) for v in ids[j])
+                        own = max(Counter(v for _, v in found).values())
+                        if len(found) - own >= k or wide == len(x):
+                            break
+                        # an identifier with several vectors: others are needed
+                        wide = min(2 * wide, len(x))
+                        bound = -np.partition(-score[i], wide - 1)[wide - 1]
+                    out.append((keys[lo + i], [found[place] for place in _enough([v for _, v in found], k)]))
         bucket = (mix64(np.asarray([key[0] for key, _ in out], np.uint64)) % np.uint64(buckets)).astype(np.int64) if out else np.zeros(0, np.int64)
         to, data = [], []
         for b, rows in split_by(bucket, buckets):
@@ -310,7 +340,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
         keys, ids, score = keys[order], ids[order], score[order]
         start = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))) if len(keys) else np.zeros(0, np.int64)
         stop = np.append(start[1:], len(keys))
-        found = [[{"vec_id": v, "score": s} for v, s in zip(ids[a : min(z, a + k + 1)].tolist(), score[a : min(z, a + k + 1)].tolist(), strict=True)] for a, z in zip(start, stop, strict=True)]
+        found = [[{"vec_id": int(ids[a + place]), "score": float(score[a + place])} for place in _enough(ids[a:z].tolist(), k)] for a, z in zip(start, stop, strict=True)]
         return pa.table({"key": pa.array([keys[a].tobytes() for a in start], pa.binary()), "found": pa.array(found, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))})
 
     held = indexed.select("key", "leaf", "vector", "ids").mapInArrow(vectors_to_blocks, "block int, vector binary, ids array<long>")

@@ -361,6 +361,22 @@ def test_nearest_of_few_and_none(spark):
     assert nearest.nearest_neighbours(df.filter("vec_id = 1")).count() == 0
 
 
+@pytest.mark.parametrize("times", [2, 25])
+@pytest.mark.parametrize("same", [True, False])
+def test_nearest_of_repeated_identifiers(spark, times, same):
+    """Rows that repeat the asking identifier, with one vector or several, leave all other neighbours."""
+    own = [(0, [1.0, 0.0 if same else 0.001 * j]) for j in range(times)]
+    rows = [*own, *((1, [0.9, 0.0]) for _ in range(times)), *((i, [1.0, 0.0]) for i in range(2, 8)), *((i, [0.5 - i / 1000, 0.1]) for i in range(8, 60) if i % 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = nearest.nearest_neighbours(df, recall=1.0).collect()
+    want = {}
+    for _, q in own:
+        best = sorted((-(v[0] * q[0] + v[1] * q[1]), i) for i, v in rows if i != 0)[:20]
+        for rank, (s, i) in enumerate(best, 1):
+            want.setdefault((rank, i, round(-s, 9)), []).append(0)
+    assert Counter((r["rank"], r.vec_id, round(r.score, 9)) for r in got) == {x: len(n) for x, n in want.items()}
+
+
 def _judge(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0].translate(LOWER)
