@@ -1,23 +1,31 @@
 """Which keys of documents occur in several documents: packed arrays meet in buckets, and answers go back by block.
 
-A key (the hash of a piece of text) is summed up within a task, so that a key
-travels once for each task, whatever the number of documents that have it. The
-answers are dealt by blocks of a hash of the document's identifier.
+Texts are written once as blocks: packed rows of some megabytes of consecutive
+texts, whose number follows the bytes of the input. A block asks the bucket of a
+key (the hash of a piece of text) once, whatever the number of its documents
+that have the key, and the bucket answers with the key's number of documents.
+The number of buckets follows the bytes as well, so that no group grows with the
+table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, partitions, session_of, text_blocks
+from .common import materialize, mix64, partitions, session_of
 
-#: Keys that a task sums up before it sends them, and bytes of text that it takes at a time.
-CHUNK_KEYS = 1 << 20
-CHUNK_BYTES = 2 << 20
+#: Bytes and rows of a block: a row's handle is its block's number and its place there.
+BLOCK_BYTES = 8 << 20
+ROW_BITS = 16
+#: Bytes of text whose keys go to one bucket.
+BUCKET_BYTES = 16 << 20
 LOWEST = -(1 << 63)
 
 
@@ -61,138 +69,145 @@ def split_by(key: np.ndarray, buckets: int):
         yield k, order[cuts[k] : cuts[k + 1]]
 
 
-def block_of(col, buckets: int):
-    return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
-
-
-ROW = "key int, kind int, data binary"
+ROW = "key long, kind int, data binary"
 
 
 def rows(found) -> pa.RecordBatch:
     found = list(found)
     return pa.RecordBatch.from_arrays(
-        [pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())],
+        [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())],
         ["key", "kind", "data"],
     )
 
 
-def _send_keys(extract, buckets: int):
-    """Of each chunk of texts: an entry (key, one document, number of documents) to the key's bucket (kind 0),
-    and to the block of each document the keys that the chunk itself shows to be of several documents (kind 1)."""
-
-    def flush(keys, docs, blocks):
-        keys, docs, blocks = np.concatenate(keys), np.concatenate(docs), np.concatenate(blocks)
-        order = np.lexsort((docs, keys))
-        keys, docs, blocks = keys[order], docs[order], blocks[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-        keys, docs, blocks = keys[new], docs[new], blocks[new]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(keys)))
-        entries = keys[first], docs[first], count.astype(np.uint32), blocks[first]
-        for bucket, at in split_by(bucket_of(entries[0], buckets), buckets):
-            yield bucket, 0, pack(*(x[at] for x in entries))
-        several = np.repeat(count > 1, count)
-        keys, docs, blocks = keys[several], docs[several], blocks[several]
-        for block, at in split_by(blocks, buckets):
-            yield block, 1, pack(keys[at], docs[at])
+def key48(h: np.ndarray) -> np.ndarray:
+    """48 bits of a hash; a collision only lets a key pass for one of several documents."""
+    return h >> np.uint64(16)
 
-    def run(batches):
-        held, size = [[], [], []], 0
-        for batch in batches:
-            texts = [x or b"" for x in batch.column("text").to_pylist()]
-            ids, blocks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "block"))
-            for lo, hi in text_blocks(texts, CHUNK_BYTES):
-                of, found = extract(texts[lo:hi])
-                size += len(found)
-                for to, x in zip(held, (found, ids[lo:hi][of], blocks[lo:hi][of]), strict=True):
-                    to.append(x)
-                if size >= CHUNK_KEYS:
-                    yield rows(flush(*held))
-                    held, size = [[], [], []], 0
-        if size:
-            yield rows(flush(*held))
 
-    return run
+def _blocks_of(batches) -> Iterator[pa.RecordBatch]:
+    first = TaskContext.get().partitionId() << 24
+    number = size = 0
+    held: list[tuple[int, int, bytes]] = []
 
+    def flush():
+        ids, hashes = (np.asarray([x[i] for x in held], np.int64) for i in (0, 1))
+        lengths = np.asarray([len(x[2]) for x in held], np.int64)
+        data = pack(ids, hashes, lengths, np.frombuffer(b"".join(x[2] for x in held), np.uint8))
+        return pa.RecordBatch.from_arrays([pa.array([first + number]), pa.array([size]), pa.array([data], pa.binary())], ["block", "size", "data"])
 
-def _meet_keys(buckets: int, frequent: int):
-    """Answers to blocks (kind 1): the keys that occur in several documents; frequent keys (kind 2)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        data = table.column("data").to_pylist()
-        found = [(table.column("key")[i].as_py(), 1, data[i]) for i, k in enumerate(kinds) if k == 1]
-        keys, docs, count, blocks = joined([unpack(d) for d, k in zip(data, kinds, strict=True) if k == 0], [np.uint64, np.int64, np.uint32, np.int64])
-        if len(keys):
-            order = np.argsort(keys, kind="stable")
-            keys, docs, count, blocks = keys[order], docs[order], count[order], blocks[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            size = np.diff(np.append(first, len(keys)))
-            total = np.add.reduceat(count.astype(np.int64), first)
-            # entries of several tasks, but of one document (its rows may be apart)
-            several = (np.maximum.reduceat(docs, first) != np.minimum.reduceat(docs, first)) | (np.maximum.reduceat(count, first) > 1)
-            hot = several & (total >= frequent)
-            if hot.any():
-                found.append((0, 2, pack(keys[first[hot]], total[hot])))
-            ask = np.repeat(several, size) & (count == 1)  # the others have been told by their own task
-            keys, docs, blocks = keys[ask], docs[ask], blocks[ask]
-            found += [(block, 1, pack(keys[at], docs[at])) for block, at in split_by(blocks, buckets)]
-        return pa.Table.from_batches([rows(found)])
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("id", "hash", "text")), strict=True):
+            if held and (size + len(row[2]) > BLOCK_BYTES or len(held) >= 1 << ROW_BITS):
+                yield flush()
+                held, size, number = [], 0, number + 1
+            held.append(row)
+            size += len(row[2])
+    if held:
+        yield flush()
 
-    return run
 
+def blocked(docs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, int]:
+    """(block, size, data) of all rows, written once, and the number of buckets that their bytes ask for.
 
-def frequent_keys(answers: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent keys, sorted, and their numbers of documents; ``most`` bounds what the driver gets and broadcasts."""
-    best = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-    for row in answers.filter("kind = 2").select("data").toLocalIterator():
-        both = [np.concatenate(x) for x in zip(best, unpack(bytes(row.data)), strict=True)]
-        order = np.argsort(-both[1], kind="stable")[:most]
-        best = [x[order] for x in both]
-    order = np.argsort(best[0])
-    return best[0][order], best[1][order]
+    A null identifier is the lowest number, a null text is empty.
+    """
+    text = F.coalesce(docs[text_col], F.lit(""))
+    plain = docs.select(
+        F.coalesce(docs[id_col].cast("long"), F.lit(LOWEST)).alias("id"), F.xxhash64(docs[text_col]).alias("hash"), text.cast("binary").alias("text")
+    )
+    blocks = materialize(plain.mapInArrow(_blocks_of, "block long, size long, data binary"), name)
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    return blocks, max(partitions(session_of(docs)), -(-size // BUCKET_BYTES))
 
 
-def among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-    return sorted_values[at] == x
+class Block:
+    """The rows of a block: ``ids``, ``hashes`` of the texts, and ``texts`` in UTF-8."""
 
+    def __init__(self, number: int, data: bytes):
+        self.number = number
+        self.ids, self.hashes, lengths, buffer = unpack(data)
+        raw, ends = buffer.tobytes(), np.cumsum(lengths).tolist()
+        self.texts = [raw[a:z] for a, z in zip([0, *ends], ends)]
 
-def block_rows(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Identifiers and texts of a block in an order that only depends on them, and that order."""
-    ids = table.column("id").to_numpy()
-    texts = [x or b"" for x in table.column("text").to_pylist()]
-    order = np.asarray(sorted(range(len(texts)), key=lambda i: (ids[i], texts[i])), np.int64)
-    return ids[order], [texts[i] for i in order], order
+    @classmethod
+    def of(cls, table: pa.Table) -> Block:
+        return cls(table.column("block")[0].as_py(), table.column("data")[0].as_py())
 
 
-def key48(h: np.ndarray) -> np.ndarray:
-    """48 bits of a hash; a collision only lets a key pass for one of several documents."""
-    return h >> np.uint64(16)
+def grouped(df: DataFrame, key: str, buckets: int):
+    return df.repartition(buckets, key).groupBy(key)
 
 
-def told(keys: np.ndarray, ids: np.ndarray, answers: pa.Table) -> np.ndarray:
-    """Which (key, document) pairs a block's answers name."""
-    k, d = joined([unpack(x) for x in answers.column("data").to_pylist()], [np.uint64, np.int64])
-    return among(np.unique(mix64(k) ^ d.view(np.uint64)), mix64(keys) ^ ids.view(np.uint64))
+def by_block(blocks: DataFrame, other: DataFrame, buckets: int):
+    """Blocks with what ``other`` has for them (column ``block``)."""
+    return grouped(blocks, "block", buckets).cogroup(grouped(other, "block", buckets))
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text as bytes, its hash, block) of every row; a null identifier is the lowest number, a null text is empty."""
-    identifier = F.coalesce(docs[id_col].cast("long"), F.lit(LOWEST))
-    text = F.coalesce(docs[text_col], F.lit(""))
-    texts = docs.select(identifier.alias("id"), text.cast("binary").alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
-    return texts.withColumn("block", block_of(F.col("id"), partitions(session_of(docs))))
+def _ask(extract, buckets: int):
+    """Of each block: its distinct keys, one document and the number of documents of each, to the keys' buckets."""
+
+    def run(batches):
+        for batch in batches:
+            for number, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                block = Block(number, data)
+                of, keys = extract(block.texts)
+                docs = block.ids[of]
+                order = np.lexsort((docs, keys))
+                keys, docs = keys[order], docs[order]
+                new = np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])) if len(keys) else np.zeros(0, bool)
+                keys, docs = keys[new], docs[new]
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+                count = np.diff(np.append(first, len(keys))).astype(np.uint32)
+                keys, docs = keys[first], docs[first]
+                me = np.asarray([number], np.int64)
+                yield rows((bucket, 0, pack(keys[at], docs[at], count[at], me)) for bucket, at in split_by(bucket_of(keys, buckets), buckets))
+
+    return run
 
 
-def shared_keys(texts: DataFrame, extract, frequent: int, name: str) -> DataFrame:
-    """Answers (key, kind, data): kind 1 to block ``key``, kind 2 the keys of at least ``frequent`` documents.
+def _answer(table: pa.Table) -> pa.Table:
+    """To each block that asked: the keys that several documents have, with their numbers of documents."""
+    asked = [unpack(d) for d in table.column("data").to_pylist()]
+    keys, docs, count = joined([a[:3] for a in asked], [np.uint64, np.int64, np.uint32])
+    asker = np.repeat(np.arange(len(asked)), [len(a[0]) for a in asked])
+    found = []
+    if len(keys):
+        order = np.argsort(keys, kind="stable")
+        keys, docs, count, asker = keys[order], docs[order], count[order], asker[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(first, len(keys)))
+        # rows of one document may be apart
+        several = (np.maximum.reduceat(docs, first) != np.minimum.reduceat(docs, first)) | (np.maximum.reduceat(count, first) > 1)
+        total = np.minimum(np.add.reduceat(count.astype(np.int64), first), 0xFFFFFFFF).astype(np.uint32)
+        pick = np.repeat(several, size)
+        keys, total, asker = keys[pick], np.repeat(total, size)[pick], asker[pick]
+        found = [(int(asked[a][3][0]), 1, pack(keys[at], total[at])) for a, at in split_by(asker, len(asked))]
+    return pa.Table.from_batches([rows(found)])
+
+
+def shared_keys(blocks: DataFrame, extract, buckets: int) -> DataFrame:
+    """Answers (block, data): the block's keys that occur in several documents, and in how many.
 
     ``extract`` gives of texts the (text number, 48-bit key) pairs.
     """
-    buckets = partitions(session_of(texts))
-    sent = texts.mapInArrow(_send_keys(extract, buckets), ROW)
-    return materialize(sent.groupBy("key").applyInArrow(_meet_keys(buckets, frequent), ROW), name)
+    asked = blocks.select("block", "data").mapInArrow(_ask(extract, buckets), ROW)
+    return grouped(asked, "key", buckets).applyInArrow(_answer, ROW).select(F.col("key").alias("block"), "data")
+
+
+def documents_of(keys: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """The number of documents of each key by a block's answers; 1 where they do not name it."""
+    known, total = joined([unpack(x) for x in answers.column("data").to_pylist()], [np.uint64, np.uint32])
+    if not len(known):
+        return np.ones(len(keys), np.int64)
+    order = np.argsort(known)
+    known, total = known[order], total[order]
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, total[at].astype(np.int64), 1)
+
+
+def among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
+    return sorted_values[at] == x

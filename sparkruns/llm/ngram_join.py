@@ -1,29 +1,38 @@
 """N-gram Jaccard self-join by prefixes of token combinations, and its components.
 
 Tokens are the distinct word shingles of a document, in one order for all
-documents: rare ones, which a single document has, first, then shared ones by
-hash, then very frequent ones by their number of documents. Of a document with
-n tokens, a partner with Jaccard similarity s or more lacks at most
-``n - ceil(s n)``. Its prefix is extended until its signatures cannot all be
-lost with that many tokens: a rare token is a signature by itself (no other
-document has it, so that it need not be sent); shared tokens fall in classes by
-hash and count as pairs within a class, of which a class with m tokens has m - 1
-to lose. Classes depend on the band of sizes; a document takes part in its own
-band and the next, which covers all partners. Two documents above the threshold
-share a signature in their prefixes. Documents that share one are verified on
-their whole token sets.
+documents: by the number of documents that have them, then by hash. Of a document
+with n tokens, a partner with Jaccard similarity s or more lacks at most
+``n - ceil(s n)``. Its prefix is extended until its signatures cannot all be lost
+with that many tokens. Tokens fall in classes by their number of documents:
+
+* of a single document: a signature that nobody else has, so that it need not be sent;
+* rare (``RARE`` documents at most): the token alone is a signature;
+* frequent (``COMMON`` at most): pairs of tokens of one part of the class;
+* very frequent: triples of tokens of one part of the class.
+
+A class is split in parts by hash; a part with m tokens and combinations of k has
+m - k + 1 to lose. The number of parts depends on the band of sizes; a document
+takes part in its own band and the next, which covers all partners. Two documents
+above the threshold share a signature in their prefixes. Documents that share one
+are verified on their whole token sets.
 
 Signatures meet in buckets as packed arrays. A list of n documents makes at most
 n - 1 edges, and equal edges of several lists count once; the components of
-these edges hold every pair to verify. Components beyond
-``CLUSTER`` documents are cut in parts by a hash, and each pair of parts is a
-group of its own: no task gets an unbounded group, and no pairs are emitted.
-Groups verify with an inverted index and skip pairs that are already connected.
+these edges hold every pair to verify. In components beyond ``CLUSTER`` documents
+the edges themselves are verified first. Documents that this connects need not be
+compared with each other; what is left is dealt in parts, and each pair of parts
+that may hold unconnected documents is a group of its own: no task gets an
+unbounded group, no pairs are emitted, and a group of n near copies of one
+document costs n comparisons. Groups verify with an inverted index and skip pairs
+that are already connected.
 
 Defined results: null or empty text has no tokens and no links; a document of
-fewer words has its whole word sequence as its one token; repeated rows are
-linked with each other if they have tokens; a null identifier is handled as the
-lowest number and given back as null; other columns are ignored.
+fewer words has its whole word sequence as its one token; very long texts count
+whole (one text is a block by itself if need be, up to the two gigabytes of a
+binary value); repeated rows are linked with each other if they have tokens; a
+null identifier is handled as the lowest number and given back as null; an empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,30 +42,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, partitions, session_of, shingle_sets
+from .common import fresh_names, materialize, mix64, shingle_sets
 from .components import connected_components
 from .meeting import (
-    LOWEST, ROW, among, block_of, block_rows, blocked, bucket_of, frequent_keys, joined, key48, pack, rows, shared_keys, split_by, told, unpack,
+    LOWEST, ROW, ROW_BITS, Block, blocked, bucket_of, by_block, documents_of, grouped, joined, key48, pack, rows, shared_keys, split_by, unpack,
 )
 
-#: Tokens of at least so many documents count as frequent; at most MAX_FREQUENT of them, a bound on the broadcast.
-FREQUENT = 64
-MAX_FREQUENT = 500_000
+#: Tokens of at most RARE documents count singly, of at most COMMON in pairs, others in triples.
+RARE = 16
+COMMON = 1024
 #: Documents of a candidate component that one group takes whole.
 CLUSTER = 512
-#: Documents below this size use shared tokens singly.
-_SMALL = 4
-
-
-def _ceil_share(n: np.ndarray, percent: int) -> np.ndarray:
-    return -(-n * percent // 100)
 
 
 class Signatures:
     """Signatures of token sets for a threshold in whole percent."""
 
-    def __init__(self, percent: int, frequent: np.ndarray, documents: np.ndarray):
-        self.percent, self.frequent, self.documents = percent, frequent, documents
+    def __init__(self, percent: int, rare: int, common: int):
+        self.percent, self.rare, self.common = percent, rare, common
         edges = [1]
         while edges[-1] < 1 << 40:  # sizes within a band and the next cover all partners
             edges.append(max(edges[-1] + 1, edges[-1] * 100 // percent))
@@ -65,78 +68,89 @@ class Signatures:
     def lost(self, n: int) -> int:
         return n - -(-n * self.percent // 100)
 
-    def of(self, tokens: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        """tokens: the hashes of one document; shared: which of them occur in several documents (a superset will do)."""
+    def of(self, tokens: np.ndarray, documents: np.ndarray) -> np.ndarray:
+        """tokens: the hashes of one document; documents: how many have each, the same number for all that have it."""
         n = len(tokens)
         need = self.lost(n) + 1
+        shared = documents > 1
         single = n - int(shared.sum())
         if single >= need:
             return tokens[:0]
-        need -= single
-        tokens = tokens[shared]
-        keys = key48(tokens)
-        hot = among(self.frequent, keys)
-        df = np.zeros(len(tokens), np.int64)
-        df[hot] = self.documents[np.searchsorted(self.frequent, keys[hot])]
-        tokens = tokens[np.lexsort((tokens, df))]
+        tokens, documents = tokens[shared], documents[shared]
+        order = np.lexsort((tokens, documents))
+        tokens, documents = tokens[order], documents[order]
+        size = 1 + (documents > self.rare).astype(np.int64) + (documents > self.common)
         band = int(np.searchsorted(self.edges, n, side="right"))
-        return np.concatenate([self._combinations(tokens, need, b) for b in (band, band + 1)])
+        return np.concatenate([self._combinations(tokens, size, need - single, b) for b in (band, band + 1)])
 
-    def _combinations(self, tokens: np.ndarray, need: int, band: int) -> np.ndarray:
+    def _combinations(self, tokens: np.ndarray, size: np.ndarray, need: int, band: int) -> np.ndarray:
         salt = np.uint64(band * 0x9E3779B97F4A7C15 % 2**64)
         least = int(self.edges[max(band - 2, 0)])
-        if least < _SMALL:
-            return mix64(tokens[:need] ^ salt)
-        classes = max(1, self.lost(least) // 2)
-        kind = (mix64(tokens ^ salt) % np.uint64(classes)).astype(np.int64)
-        # a token adds one to what its class can lose, but for the first of its class
-        _, first = np.unique(kind, return_index=True)
-        adds = np.ones(len(tokens), np.int64)
-        adds[first] = 0
-        end = int(np.searchsorted(np.cumsum(adds), need)) + 1
-        tokens, kind = tokens[:end], kind[:end]
-        order = np.lexsort((tokens, kind))
-        tokens, kind = tokens[order], kind[order]
+        # pairs lose one token for each part, triples two: what the parts lose must leave enough of the smallest document
+        spare = least - self.lost(least) - 1
+        if spare < 3 or size[-1] == 1:  # sizes ascend
+            return self._singles(tokens[:need], salt)
+        parts = max(1, min(self.lost(least) // 2, spare // 3))
+        part = np.where(size > 1, (mix64(tokens ^ salt) % np.uint64(parts)).astype(np.int64) + size * parts, -1)
+        order = np.argsort(part, kind="stable")
+        first = np.append(True, part[order][1:] != part[order][:-1])
+        place = np.empty(len(part), np.int64)
+        place[order] = np.arange(len(part)) - np.maximum.accumulate(np.where(first, np.arange(len(part)), 0))
+        end = int(np.searchsorted(np.cumsum((size == 1) | (place >= size - 1)), need)) + 1
+        tokens, size, part = tokens[:end], size[:end], part[:end]
+        out = [self._singles(tokens[size == 1], salt)]
+        for k in (2, 3):
+            mine, of = tokens[size == k], part[size == k]
+            order = np.lexsort((mine, of))
+            out += self._together(mine[order], of[order], k, salt)
+        return np.concatenate(out)
+
+    @staticmethod
+    def _singles(tokens: np.ndarray, salt: np.uint64) -> np.ndarray:
+        return mix64(tokens ^ salt)
+
+    @staticmethod
+    def _together(tokens: np.ndarray, part: np.ndarray, k: int, salt: np.uint64) -> list[np.ndarray]:
+        """All pairs (k = 2) or triples (k = 3) of tokens within a part."""
         out = []
-        step = 1
-        while step < len(tokens):
-            same = kind[step:] == kind[:-step]
-            if not same.any():
+        for far in range(k - 1, len(tokens)):
+            same = np.flatnonzero(part[far:] == part[:-far])
+            if not len(same):
                 break
-            out.append(mix64(mix64(tokens[:-step][same] ^ salt) + tokens[step:][same]))
-            step += 1
-        return np.concatenate(out) if out else tokens[:0]
+            ends = mix64(mix64(tokens[same] ^ salt) + tokens[same + far])
+            out += [ends] if k == 2 else [mix64(ends + tokens[same + near]) for near in range(1, far)]
+        return out
 
 
-def _send_signatures(size: int, percent: int, buckets: int, hot):
-    """Of a block: its documents' identifiers and sizes and the links between equal sets (kind 1); signatures to buckets (kind 0)."""
+def _send_signatures(size: int, percent: int, buckets: int, rare: int, common: int):
+    """Of a block: its rows' identifiers, hashes and sizes (kind 1), the links between equal sets (kind 2); signatures to buckets (kind 0).
+
+    Links are between handles of rows.
+    """
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(table):
-            return pa.Table.from_batches([rows([])])
-        block = table.column("block")[0].as_py()
-        ids, texts, _ = block_rows(table)
-        sets = shingle_sets(texts, size)
+        block = Block.of(table)
+        sets = shingle_sets(block.texts, size)
         n = np.fromiter((len(s) for s in sets), np.int64, len(sets))
-        found = [(block, 1, pack(ids, n))]
+        handles = (block.number << ROW_BITS) + np.arange(len(sets))
+        found = [(block.number, 1, pack(handles, block.ids, block.hashes, n))]
         # equal sets of the block send their signatures once
         lead: dict[bytes, int] = {}
         leader = np.fromiter((lead.setdefault(s.tobytes(), i) for i, s in enumerate(sets)), np.int64, len(sets))
         copies = np.flatnonzero((leader != np.arange(len(sets))) & (n > 0))
         if len(copies):
-            found.append((block, 2, pack(ids[leader[copies]], ids[copies])))
+            found.append((block.number, 2, pack(handles[leader[copies]], handles[copies])))
         some = np.flatnonzero((leader == np.arange(len(sets))) & (n > 0))
         if len(some) and len(answers):
-            of = np.repeat(some, n[some])
             tokens = np.concatenate([sets[i] for i in some])
-            shared = told(key48(tokens), ids[of], answers)
-            make = Signatures(percent, *hot.value)
+            documents = documents_of(key48(tokens), answers)
+            make = Signatures(percent, rare, common)
             at = np.concatenate([[0], np.cumsum(n[some])])
-            signatures = [make.of(tokens[a:z], shared[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
+            signatures = [make.of(tokens[a:z], documents[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
             of = np.repeat(some, [len(s) for s in signatures])
             key = np.concatenate(signatures)
             for bucket, i in split_by(bucket_of(key, buckets), buckets):
-                found.append((bucket, 0, pack(key[i], ids[of[i]], n[of[i]])))
+                found.append((bucket, 0, pack(key[i], handles[of[i]], n[of[i]])))
         return pa.Table.from_batches([rows(found)])
 
     return run
@@ -160,8 +174,7 @@ def _meet_signatures(percent: int, buckets: int):
             signature, ids, n = signature[order], ids[order], n[order]
             follows = np.append(False, (signature[1:] == signature[:-1]) & (100 * n[:-1] >= percent * n[1:]))
             first = ids[np.maximum.accumulate(np.where(follows, 0, np.arange(len(ids))))]
-            a, b = np.minimum(first, ids), np.maximum(first, ids)
-            pair = np.unique(np.stack([a, b], 1)[a < b], axis=0)
+            pair = np.unique(np.stack([first, ids], 1)[first != ids], axis=0)
             a, b = np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
             to = bucket_of(mix64(a.view(np.uint64)) ^ b.view(np.uint64), buckets)
             found += [(k, 3, pack(a[i], b[i])) for k, i in split_by(to, buckets)]
@@ -181,44 +194,31 @@ def _unique_edges(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([rows(found)])
 
 
-def _opened(packed: DataFrame, kind: int, names: tuple[str, str]) -> DataFrame:
-    """Packed pairs of numbers as rows."""
+def _opened(packed: DataFrame, kind: int, *names: str) -> DataFrame:
+    """Packed arrays of numbers as rows."""
 
     def run(batches):
         for batch in batches:
             for data in batch.column("data").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in unpack(data)], list(names))
 
-    return packed.filter(F.col("kind") == kind).select("data").mapInArrow(run, f"{names[0]} long, {names[1]} long")
+    return packed.filter(F.col("kind") == kind).select("data").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _send_sets(size: int, buckets: int):
-    """Of a block: the token sets of documents in candidate components, to their groups.
-
-    Small components share the first ``buckets`` keys; each pair of parts of a
-    large one has a key of its own beyond them.
-    """
+def _send_sets(size: int):
+    """Of a block: the token sets of rows, to each group that names them."""
 
     def run(table: pa.Table, members: pa.Table) -> pa.Table:
-        out: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        out: dict[tuple, list[tuple[int, np.ndarray]]] = {}
         if len(table) and len(members):
-            ids, texts, _ = block_rows(table)
-            pick = np.flatnonzero(among(np.unique(members.column("id").to_numpy()), ids)).tolist()
-            sets: dict[int, list[np.ndarray]] = {}
-            for i, tokens in zip(pick, shingle_sets([texts[i] for i in pick], size), strict=True):
-                sets.setdefault(int(ids[i]), []).append(tokens)
-            for doc, cluster, part, parts in zip(*(members.column(c).to_pylist() for c in ("id", "cluster", "part", "parts")), strict=True):
-                base = int(mix64(np.asarray([cluster], np.int64).view(np.uint64))[0])
-                if parts == 1:
-                    keys = [base % buckets]
-                else:
-                    pairs = np.asarray([min(part, j) * parts + max(part, j) + 1 for j in range(parts) if j != part], np.uint64)
-                    keys = (mix64(mix64(pairs) ^ np.uint64(base)) >> np.uint64(2)).astype(np.int64) + buckets
-                    keys = keys.tolist()
-                for key in keys:
-                    out.setdefault(key, []).extend((cluster, doc, tokens) for tokens in sets.get(doc, ()))
+            block = Block.of(table)
+            row = members.column("id").to_numpy() & ((1 << ROW_BITS) - 1)
+            pick = np.unique(row).tolist()
+            sets = dict(zip(pick, shingle_sets([block.texts[i] for i in pick], size), strict=True))
+            for i, doc, *to in zip(row.tolist(), *(members.column(c).to_pylist() for c in ("id", "key", "cluster", "tied")), strict=True):
+                out.setdefault(to[0], []).append((to[1], doc, to[2], sets[i]))
         data = [
-            pack(np.asarray([e[0] for e in entries], np.int64), np.asarray([e[1] for e in entries], np.int64), np.asarray([len(e[2]) for e in entries], np.int64), np.concatenate([e[2] for e in entries]))
+            pack(*(np.asarray([e[k] for e in entries], np.int64) for k in range(3)), np.asarray([len(e[3]) for e in entries], np.int64), np.concatenate([e[3] for e in entries]))
             for entries in out.values()
         ]
         return pa.table({"key": pa.array(list(out), pa.int64()), "data": pa.array(data, pa.binary())})
@@ -226,11 +226,12 @@ def _send_sets(size: int, buckets: int):
     return run
 
 
-def verified_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int, int]]:
-    """Links (place, place, shared tokens) that connect all documents above the threshold within a group.
+def verified_links(tied: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (place, place) that connect all documents above the threshold within a group.
 
     An inverted index over the group's tokens counts overlaps; a link between
-    documents that are already connected is left out.
+    documents that are already connected, as by the same number in ``tied``, is
+    left out.
     """
     n = np.fromiter((len(s) for s in sets), np.int64, len(sets))
     order = np.argsort(n, kind="stable")
@@ -240,7 +241,8 @@ def verified_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> lis
     start = np.concatenate([[0], np.cumsum(size)])
     by_token = np.argsort(code, kind="stable")
     token_at = np.concatenate([[0], np.cumsum(df)])
-    parent = list(range(len(order)))
+    lead: dict[int, int] = {}
+    parent = [lead.setdefault(t, i) for i, t in enumerate(tied[order].tolist())]
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -263,19 +265,21 @@ def verified_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> lis
             a, b = root(x), root(y)
             if a != b:
                 parent[b] = a
-                links.append((int(order[x]), int(order[y]), int(overlap[x])))
+                links.append((int(order[x]), int(order[y])))
     return links
 
 
 def _verify(percent: int):
+    """The links within each cluster of a group."""
+
     def run(table: pa.Table) -> pa.Table:
-        cluster, ids, n, tokens = joined([unpack(d) for d in table.column("data").to_pylist()], [np.int64, np.int64, np.int64, np.uint64])
+        cluster, ids, tied, n, tokens = joined([unpack(d) for d in table.column("data").to_pylist()], [np.int64] * 4 + [np.uint64])
         at = np.concatenate([[0], np.cumsum(n)])
         a, b = [], []
-        order = np.argsort(cluster, kind="stable")
+        order = np.lexsort((ids, cluster))
         for part in np.split(order, np.flatnonzero(cluster[order][1:] != cluster[order][:-1]) + 1):
             sets = [tokens[at[i] : at[i + 1]] for i in part]
-            for x, y, _ in verified_links(ids[part], sets, percent) if len(part) > 1 else []:
+            for x, y in verified_links(tied[part], sets, percent) if len(part) > 1 else []:
                 a.append(ids[part[x]])
                 b.append(ids[part[y]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -283,55 +287,121 @@ def _verify(percent: int):
     return run
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component) of every row; ``percent``: the least similarity, in whole percent."""
-    spark = session_of(docs)
-    buckets = partitions(spark)
-    texts = blocked(docs, id_col, text_col)
+def _verify_stars(percent: int):
+    """The links between the first document of each star (cluster, its own number) and the others."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cluster, ids, _, n, tokens = joined([unpack(d) for d in table.column("data").to_pylist()], [np.int64] * 4 + [np.uint64])
+        at = np.concatenate([[0], np.cumsum(n)])
+        a, b = [], []
+        order = np.lexsort((ids, cluster))
+        for part in np.split(order, np.flatnonzero(cluster[order][1:] != cluster[order][:-1]) + 1):
+            centre = [i for i in part if ids[i] == cluster[i]][0]
+            mine = tokens[at[centre] : at[centre + 1]]
+            for i in part:
+                shared = len(np.intersect1d(mine, tokens[at[i] : at[i + 1]], assume_unique=True))
+                if i != centre and 100 * shared >= percent * (n[i] + n[centre] - shared):
+                    a.append(cluster[i])
+                    b.append(ids[i])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _similar_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(id, hash of the text, n_shingles, component) of every row; null identifiers are LOWEST."""
+    blocks, buckets = blocked(docs, id_col, text_col, "ngram-blocks")
 
     def tokens(some: list[bytes]):
         sets = shingle_sets(some, size)
         of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         return of, key48(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
 
-    answers = shared_keys(texts, tokens, FREQUENT, "ngram-tokens")
-    hot = spark.sparkContext.broadcast(frequent_keys(answers, MAX_FREQUENT))
-    to_blocks = answers.filter("kind = 1").select(F.col("key").alias("block"), "data")
-    blocks = texts.groupBy("block")
-    sent = blocks.cogroup(to_blocks.groupBy("block")).applyInArrow(_send_signatures(size, percent, buckets, hot), ROW)
-    tied = sent.groupBy("key").applyInArrow(_meet_signatures(percent, buckets), ROW)
-    met = materialize(tied.groupBy("key").applyInArrow(_unique_edges, ROW), "ngram-signatures")
-
-    clusters = materialize(connected_components(_opened(met, 3, ("a", "b"))), "ngram-clusters")
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    large = materialize(sizes.filter(F.col("n") > CLUSTER), "ngram-large")
-    members = (
-        clusters.join(large, "component", "left")
-        .withColumn("parts", F.coalesce(F.ceil(F.col("n") / (CLUSTER // 2)), F.lit(1)).cast("int"))
-        .select("id", F.col("component").alias("cluster"), F.pmod(F.xxhash64("id", F.lit(7)), "parts").cast("int").alias("part"), "parts")
-        .withColumn("block", block_of(F.col("id"), buckets))
+    answers = shared_keys(blocks, tokens, buckets)
+    sent = by_block(blocks, answers, buckets).applyInArrow(_send_signatures(size, percent, buckets, RARE, COMMON), ROW)
+    tied = grouped(sent, "key", buckets).applyInArrow(_meet_signatures(percent, buckets), ROW)
+    met = materialize(grouped(tied, "key", buckets).applyInArrow(_unique_edges, ROW), "ngram-signatures")
+    edges = _opened(met, 3, "a", "b")
+
+    def links_of(members: DataFrame, verify) -> DataFrame:
+        """Links between the token sets of ``members``: (id, key of its group, cluster in it, tied)."""
+        of_blocks = members.withColumn("block", F.shiftright("id", ROW_BITS))
+        sets = by_block(blocks.select("block", "data"), of_blocks, buckets).applyInArrow(_send_sets(size), "key long, data binary")
+        return grouped(sets, "key", buckets).applyInArrow(verify(percent), "a long, b long")
+
+    clusters = materialize(connected_components(edges), "ngram-clusters").withColumnRenamed("component", "cluster")
+    large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CLUSTER)
+    large = materialize(large, "ngram-large")
+    small = clusters.join(large, "cluster", "left_anti")
+    small = small.select("id", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).alias("key"), "cluster", F.col("id").alias("tied"))
+    links = links_of(small, _verify)
+    if not large.isEmpty():
+        links = links.union(_large_links(clusters.join(large, "cluster"), edges, links_of, buckets))
+    groups = materialize(connected_components(links.union(_opened(met, 2, "a", "b"))), "ngram-groups")
+
+    named = _opened(met, 1, "handle", "id", "hash", "n_shingles").join(groups.withColumnRenamed("id", "handle"), "handle", "left")
+    least = named.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    return named.join(least, "component", "left").select("id", "hash", "n_shingles", F.coalesce("least", "id").alias("component"))
+
+
+def _large_links(members: DataFrame, edges: DataFrame, links_of, buckets: int) -> DataFrame:
+    """Links within large clusters (id, cluster, n): along the edges, then between parts of what these leave unconnected."""
+    part = F.pmod(F.xxhash64("b"), F.lit(1 << 20))
+    stars = members.select(F.col("id").alias("a"), "n").join(edges, "a")
+    # stars in parts of about so many documents, each with its first document
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / CLUSTER))
+    stars = stars.select("a", "b", F.xxhash64("a", F.pmod(part, parts)).alias("key"))
+    both = stars.select(F.col("a").alias("id"), "key", F.col("a").alias("cluster")).distinct().union(stars.select(F.col("b").alias("id"), "key", F.col("a").alias("cluster")))
+    near = materialize(links_of(both.withColumn("tied", F.col("id")), _verify_stars), "ngram-stars")
+    tied = materialize(connected_components(near), "ngram-tied").withColumnRenamed("component", "tied")
+    members = members.join(tied, "id", "left").withColumn("tied", F.coalesce("tied", "id"))
+
+    # documents that are connected stand together, in parts of about half a group; parts of one such set need not meet
+    sets = members.groupBy("cluster", "tied").agg(F.count(F.lit(1)).alias("k"))
+    sets = materialize(sets, "ngram-sets")
+    half = CLUSTER // 2
+    whole = F.col("k") >= half
+    share = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("k") / half))
+    spread = F.pmod(F.xxhash64("tied", F.lit(7)), F.ceil(F.col("n") / half))
+    # part numbers: own ones for a large connected set, shared ones for the rest
+    placed = members.join(sets, ["cluster", "tied"]).select(
+        "id", "cluster", "tied", F.when(whole, F.xxhash64("tied", share, F.lit(1))).otherwise(F.xxhash64("cluster", spread, F.lit(2))).alias("part"),
+        F.when(whole, F.col("tied")).alias("one"),
     )
-    sets = blocks.cogroup(members.groupBy("block")).applyInArrow(_send_sets(size, buckets), "key long, data binary")
-    links = sets.groupBy("key").applyInArrow(_verify(percent), "a long, b long")
-    copies = _opened(met, 2, ("a", "b"))
-    groups = connected_components(links.union(copies))
+    placed = materialize(placed, "ngram-placed")
+    units = placed.select("cluster", "part", "one").distinct()
+    other = units.select("cluster", F.col("part").alias("part2"), F.col("one").alias("one2"))
+    # pairs of parts, of a part with itself where it holds several sets
+    meet = units.join(other, "cluster").filter("part <= part2 and not (one is not null and one <=> one2)")
+    meet = meet.select("part", "part2", F.xxhash64("part", "part2").alias("key"))
+    ends = meet.select("part", "key").union(meet.filter("part <> part2").select(F.col("part2").alias("part"), "key"))
+    return near.union(links_of(placed.join(ends, "part").select("id", "key", "cluster", "tied"), _verify))
+
 
-    sizes_of = _opened(met, 1, ("id", "n_shingles"))
-    out = sizes_of.join(groups, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    null = lambda c: F.when(F.col(c) != LOWEST, F.col(c)).alias(c)
-    return out.select(null("id"), "n_shingles", null("component"))
+def _null(name: str):
+    return F.when(F.col(name) != LOWEST, F.col(name)).alias(name)
 
 
-#: Dropped identifiers are broadcast up to this number; beyond it they are joined by a shuffle.
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component) of every row; ``percent``: the least similarity, in whole percent."""
+    return _similar_rows(docs, id_col, text_col, size, percent).select(_null("id"), "n_shingles", _null("component"))
+
+
+#: Dropped rows are broadcast up to this number; beyond it they are joined by a shuffle.
 BROADCAST_DROPPED = 500_000
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those that are linked to a smaller identifier; all columns unchanged."""
-    groups = similar_groups(docs, id_col, text_col, size, percent)
-    dropped = materialize(groups.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__dropped")), "ngram-dropped")
+    """The rows of ``docs`` without those that are linked to a smaller identifier; all columns, whatever their names, unchanged.
+
+    Rows that repeat identifier and text stay or go together; of a repeated
+    identifier only the rows whose own text is linked go.
+    """
+    i, h = fresh_names(docs, "id", "hash")
+    groups = _similar_rows(docs, id_col, text_col, size, percent).filter("id <> component")
+    dropped = materialize(groups.select(F.col("id").alias(i), F.col("hash").alias(h)).distinct(), "ngram-dropped")
     side = F.broadcast(dropped) if dropped.count() <= BROADCAST_DROPPED else dropped
-    return docs.join(side, docs[id_col] == F.col("__dropped"), "left_anti")
+    return docs.join(side, (F.coalesce(docs[id_col].cast("long"), F.lit(LOWEST)) == F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(h)), "left_anti")
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

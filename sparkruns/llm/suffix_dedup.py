@@ -1,28 +1,31 @@
 """Suffix-array deduplication: depth-limited radix sort of the suffixes that can repeat.
 
 A suffix is a start within a document, and only its first ``min_bytes`` bytes
-count. Suffixes are ordered through that depth by passes on the most
-significant digit first; groups that are equal at full depth are exactly the
-repeated windows, and groups within one document leave the sort at once.
-
-* Pass 1, digit: the smallest hash of the ``k``-byte pieces within a window
-  (its *anchor*). Equal windows have equal anchors, and neighbours mostly share
-  theirs, so that runs of suffixes travel as one. Each task sends an anchor
-  once, whatever the number of its documents; anchors of one document end here.
-* Pass 2, deal: the surviving runs go, with their bytes, to the bucket of their
-  anchor; equal runs of a block of documents travel once. Windows of very
-  frequent anchors go each to the bucket of its own hash, so that no bucket
-  gets all contexts of a frequent passage.
-* Passes 3 and on, within a bucket: eight bytes a pass, on suffixes whose group
-  still spans documents.
-
-Texts move once, by blocks of a hash of the identifier; all else is packed
-arrays. Defined results: a byte goes if a window that covers it also starts in
-a document with a smaller identifier, as judged on the input; null text counts
-as empty; a null identifier counts as smaller than any other; rows with the
-same identifier never take bytes from each other; texts shorter than
-``min_bytes`` stay; an empty table gives an empty result; other columns are
-ignored (``trim_repeats`` hands them through).
+count. Suffixes are ordered through that depth by passes on the most significant
+digit first, eight bytes a pass, on the bytes themselves; groups that are equal
+at full depth are exactly the repeated windows, and groups within one document
+leave the sort at once. Hashes never decide a repeat, they only choose where
+suffixes are sorted:
+
+* The *anchor* of a window is the smallest hash of its ``k``-byte pieces. Equal
+  windows have equal anchors, and neighbours mostly share theirs, so that
+  windows travel as runs. Anchors of a single document end here.
+* Each block of texts sorts its runs first: runs of one anchor and length through
+  their whole bytes. A run that equals one of a smaller document of the block is
+  settled for all its windows; one of each group goes on.
+* What is left goes, with its bytes, to the bucket of its anchor, where whole runs
+  and then their single windows are sorted. Windows of very frequent anchors are
+  dealt on by further digits, their first and last eight bytes, once the block
+  has sorted them, so that no bucket gets all contexts of a frequent passage.
+
+Texts are written once as blocks; all else is packed arrays. Defined results: a
+byte goes if a window that covers it also starts in a document with a smaller
+identifier, as judged on the input; null text counts as empty; a null identifier
+counts as smaller than any other; rows with the same identifier never take bytes
+from each other; texts shorter than ``min_bytes`` stay; very long texts are
+judged whole (one text is a block by itself if need be, up to the two gigabytes
+of a binary value); an empty table gives an empty result; other columns, whatever
+their names, are ignored (``trim_repeats`` hands them through).
 """
 
 from __future__ import annotations
@@ -32,13 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_HASH, Powers, mix64, partitions, session_of, text_blocks
-from .meeting import LOWEST, ROW, among, block_rows, blocked, bucket_of, frequent_keys, joined, key48, pack, rows, shared_keys, split_by, told, unpack
+from .common import BYTE_HASH, Powers, fresh_names, mix64
+from .meeting import LOWEST, ROW, Block, blocked, bucket_of, by_block, documents_of, grouped, joined, key48, pack, rows, shared_keys, split_by, unpack
 
 MIN_BYTES = 50
-#: Anchors of at least so many documents are dealt by window; at most MAX_HOT of them (the most frequent), a bound on the broadcast.
+#: Windows of anchors of at least so many documents are dealt on by further digits.
 HOT_DOCUMENTS = 256
-MAX_HOT = 500_000
 _BLOCK = 1 << 20
 _LONGEST_RUN = 64
 
@@ -103,154 +105,137 @@ def anchor_runs(texts: list[bytes], min_bytes: int) -> tuple[np.ndarray, np.ndar
     return tuple(joined(out, [np.int64, np.int64, np.int64, np.uint64]))
 
 
-def _run_hashes(texts: list[bytes], of: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hash of each range of a text; ``of`` ascends."""
-    out = np.zeros(len(of), np.uint64)
-    for lo, hi in text_blocks(texts, _BLOCK):
-        part = slice(*np.searchsorted(of, [lo, hi]))
-        if part.start == part.stop:
-            continue
-        b = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
-        base = np.concatenate([[0], np.cumsum(np.fromiter((len(t) for t in texts[lo:hi]), np.int64, hi - lo))])
-        at = base[of[part] - lo] + start[part]
-        up, down = Powers.to(len(b) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[b] * up[: len(b)])])
-        out[part] = mix64((sums[at + length[part]] - sums[at]) * down[at] + length[part].astype(np.uint64))
-    return out
-
-
-def _copies(content: np.ndarray, owner: np.ndarray, buffer: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Which ranges equal, byte by byte, one of a smaller owner; ``content``: their hashes."""
-    out = np.zeros(len(content), bool)
-    order = np.lexsort((owner, content))
-    first = np.append(True, content[order][1:] != content[order][:-1]) if len(order) else out
-    lead = order[np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else order
-    later = owner[order] > owner[lead]
-    raw = buffer.data
-    for i, j in zip(order[later].tolist(), lead[later].tolist(), strict=True):
-        n, a, b = int(length[i]), int(at[i]), int(at[j])
-        out[i] = n == length[j] and raw[a : a + n] == raw[b : b + n]
-    return out
+def _digits(words: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Big-endian number of the ``size`` bytes (8 at most) at each place."""
+    value = words[np.minimum(at, len(words) - 1)].astype(np.uint64)
+    return value >> (8 * (8 - np.asarray(size))).astype(np.uint64)
 
 
-def _gather(buffer: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
-    """The ranges of a byte array, joined."""
-    skip = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    return buffer[np.repeat(start, length) + skip].tobytes()
-
-
-def _send_runs(min_bytes: int, buckets: int, hot_shared):
-    """Of a block: the runs that may repeat, with their bytes, to buckets (kind 0); resolved ones to itself (kind 1)."""
-
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(table) or not len(answers):
-            return pa.Table.from_batches([rows([])])
-        block = table.column("block")[0].as_py()
-        ids, texts, _ = block_rows(table)
-        of, start, n, anchor = anchor_runs(texts, min_bytes)
-        several = told(key48(anchor), ids[of], answers)
-        of, start, n, anchor = of[several], start[several], n[several], anchor[several]
-        hot = among(hot_shared.value, key48(anchor))
-        if hot.any():  # each window on its own
-            parts = np.where(hot, n, 1)
-            skip = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            hot = np.repeat(hot, parts)
-            of, anchor = np.repeat(of, parts), np.repeat(anchor, parts)
-            start = np.repeat(start, parts) + skip * hot
-            n = np.where(hot, 1, np.repeat(n, parts))
-        buffer = np.frombuffer(b"".join(texts), np.uint8)
-        base = np.concatenate([[0], np.cumsum(np.fromiter((len(t) for t in texts), np.int64, len(texts)))])
-        at, length = base[of] + start, n + min_bytes - 1
-        content = _run_hashes(texts, of, start, length)
-        key = np.where(hot, content, anchor)
-        # equal runs of the block: all but those of its smallest identifier are resolved here
-        same = ~_copies(content, ids[of], buffer, at, length)
-        found = []
-        if not same.all():
-            gone = ~same
-            found.append((block, 1, pack(of[gone], start[gone], n[gone])))
-        send = np.flatnonzero(same)
-        for bucket, pick in split_by(bucket_of(key[send], buckets), buckets):
-            i = send[pick]
-            i = i[np.lexsort((content[i], key[i]))]
-            text = np.frombuffer(_gather(buffer, at[i], length[i]), np.uint8)
-            found.append((bucket, 0, pack(key[i], ids[of[i]], np.full(len(i), block, np.int32), of[i].astype(np.uint32), start[i].astype(np.uint32), n[i].astype(np.uint8), content[i], text)))
-        return pa.Table.from_batches([rows(found)])
+def _words(buffer: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place of a buffer that ends with eight spare bytes."""
+    return np.ndarray(len(buffer) - 7, ">u8", buffer, strides=(1,))
 
-    return run
-
-
-def _digits(buffer: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Big-endian number of ``size`` bytes (8 at most) at each place."""
-    value = np.zeros(len(at), np.uint64)
-    for k in range(size):
-        value = (value << np.uint64(8)) | buffer[at + k]
-    return value
 
-
-def radix_repeats(group: np.ndarray, owner: np.ndarray, buffer: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+def radix_repeats(groups: tuple[np.ndarray, ...], owner: np.ndarray, buffer: np.ndarray, at: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
     """Suffixes (starts ``at`` in ``buffer``) whose first ``depth`` bytes also start in a smaller owner, within their group.
 
-    Most significant digit first, eight bytes a pass; groups stand together. A
-    group of one digit needs no order, and a group of one owner leaves.
+    Most significant digit first, eight bytes a pass; groups stand together, and
+    all of a group have one depth. A group of one digit needs no order, and a
+    group of one owner leaves.
     """
-    alive = np.arange(len(at))
-    gid = group
-    least = owner
-    for d in range(0, depth, 8):
+    done = np.zeros(len(at), bool)
+    words, depth = _words(buffer), np.broadcast_to(depth, at.shape)
+    alive = np.lexsort(groups)
+    border = np.zeros(len(alive), bool)
+    border[:1] = True
+    for g in groups:
+        border[1:] |= g[alive][1:] != g[alive][:-1]
+    d = 0
+    while len(alive):
+        first = np.flatnonzero(border)
+        size = np.diff(np.append(first, len(alive)))
+        own = owner[alive]
+        least, most = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
+        stay, sorted_out = np.repeat(least != most, size), depth[alive] <= d
+        done[alive[stay & sorted_out & (own > np.repeat(least, size))]] = True
+        stay &= ~sorted_out
+        alive, border = alive[stay], border[stay]
         if not len(alive):
             break
-        digit = _digits(buffer, at[alive] + d, min(8, depth - d))
-        border = np.append(True, gid[1:] != gid[:-1])
+        digit = _digits(words, at[alive] + d, np.minimum(8, depth[alive] - d))
         first = np.flatnonzero(border)
         mixed = np.logical_or.reduceat(np.append(False, digit[1:] != digit[:-1]) & ~border, first)
-        part = np.flatnonzero(np.repeat(mixed, np.diff(np.append(first, len(gid)))))
+        part = np.flatnonzero(np.repeat(mixed, np.diff(np.append(first, len(alive)))))
         if len(part):
-            number = np.cumsum(border)[part]
-            order = part[np.lexsort((digit[part], number))]
+            order = part[np.lexsort((digit[part], np.cumsum(border)[part]))]
             alive[part], digit[part] = alive[order], digit[order]
         border[1:] |= digit[1:] != digit[:-1]
-        first = np.flatnonzero(border)
-        size = np.diff(np.append(first, len(alive)))
-        least, most = np.minimum.reduceat(owner[alive], first), np.maximum.reduceat(owner[alive], first)
-        stay = np.repeat(least != most, size)
-        gid = np.repeat(np.arange(len(first)), size)[stay]
-        alive, least = alive[stay], np.repeat(least, size)[stay]
-    done = np.zeros(len(at), bool)
-    if len(alive):
-        done[alive[owner[alive] > least]] = True
+        d += 8
     return done
 
 
-def _meet_runs(min_bytes: int, buckets: int, windows: int = 1 << 20):
+def _gather(buffer: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
+    """The ranges of a byte array, joined."""
+    skip = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    return buffer[np.repeat(start, length) + skip].tobytes()
+
+
+def _expand(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, number) for each of ``n`` items of each place."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _send_runs(min_bytes: int, buckets: int):
+    """Of a block: the runs that may repeat, with their bytes, to buckets (kind 0); settled ones to itself (kind 1)."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if len(table) and len(answers):
+            block = Block.of(table)
+            ids, texts = block.ids, block.texts
+            of, start, n, anchor = anchor_runs(texts, min_bytes)
+            documents = documents_of(key48(anchor), answers)
+            several = documents > 1
+            of, start, n, anchor, hot = of[several], start[several], n[several], anchor[several], documents[several] >= HOT_DOCUMENTS
+            buffer = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+            base = np.concatenate([[0], np.cumsum(np.fromiter((len(t) for t in texts), np.int64, len(texts)))])
+
+            def settle(copy):
+                if copy.any():
+                    found.append((block.number, 1, pack(of[copy], start[copy], n[copy])))
+                return tuple(x[~copy] for x in (of, start, n, key, hot))
+
+            key = anchor
+            of, start, n, key, hot = settle(radix_repeats((n, key), ids[of], buffer, base[of] + start, n + min_bytes - 1))
+            if hot.any():  # each window on its own
+                at, skip = _expand(np.where(hot, n, 1))
+                of, start, n, key, hot = of[at], start[at] + skip * hot[at], np.where(hot[at], 1, n[at]), key[at], hot[at]
+                at, words, digit = (base[of] + start)[hot], _words(buffer), min(8, min_bytes)
+                ends = mix64(_digits(words, at, digit) * np.uint64(3) + mix64(_digits(words, at + min_bytes - digit, digit)))
+                key = key.copy()
+                key[hot] = mix64(key[hot] ^ ends)
+                copy = np.zeros(len(of), bool)
+                copy[hot] = radix_repeats((key[hot],), ids[of[hot]], buffer, at, min_bytes)
+                of, start, n, key, hot = settle(copy)
+            at, length = base[of] + start, n + min_bytes - 1
+            lead = _digits(_words(buffer), at, min(8, min_bytes))
+            for bucket, i in split_by(bucket_of(key, buckets), buckets):
+                i = i[np.lexsort((lead[i], key[i]))]
+                text = np.frombuffer(_gather(buffer, at[i], length[i]), np.uint8)
+                me = np.full(len(i), block.number, np.int64)
+                found.append((bucket, 0, pack(key[i], ids[of[i]], me, of[i].astype(np.uint32), start[i].astype(np.uint32), n[i].astype(np.uint8), text)))
+        return pa.Table.from_batches([rows(found)])
+
+    return run
+
+
+def _meet_runs(min_bytes: int, windows: int = 1 << 20):
     """Spans of a bucket's runs that start in a smaller document, to their blocks (kind 1)."""
 
-    def resolve(key, ids, content, n, at, text):
+    def resolve(key, ids, n, at, text):
         """(run, window in it) that start in a smaller document."""
-        copy = _copies(content, ids, text, at, n + min_bytes - 1)
-        left = np.flatnonzero(~copy)
-        first = np.flatnonzero(np.append(True, key[left][1:] != key[left][:-1]))
-        size = np.diff(np.append(first, len(left)))
-        several = np.minimum.reduceat(ids[left], first) != np.maximum.reduceat(ids[left], first)
-        left = left[np.repeat(several, size)]
-        wide = lambda which: (np.repeat(which, n[which]), np.arange(n[which].sum()) - np.repeat(np.cumsum(n[which]) - n[which], n[which]))
-        of, skip = wide(left)
-        done = radix_repeats(key[of], ids[of], text, at[of] + skip, min_bytes)
-        of, skip = (np.concatenate(x) for x in zip((of[done], skip[done]), wide(np.flatnonzero(copy)), strict=True))
+        copy = radix_repeats((n, key), ids, text, at, n + min_bytes - 1)
+        whole, left = np.flatnonzero(copy), np.flatnonzero(~copy)
+        place, skip = _expand(n[left])
+        of = left[place]
+        done = radix_repeats((key[of],), ids[of], text, at[of] + skip, min_bytes)
+        place, every = _expand(n[whole])
+        of, skip = np.concatenate([of[done], whole[place]]), np.concatenate([skip[done], every])
         order = np.lexsort((skip, of))
         return of[order], skip[order]
 
     def run(table: pa.Table) -> pa.Table:
         kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
         found = [(table.column("key")[i].as_py(), 1, data[i]) for i, k in enumerate(kinds) if k == 1]
-        kind = [np.uint64, np.int64, np.int32, np.uint32, np.uint32, np.uint8, np.uint64, np.uint8]
-        key, ids, block, row, start, n, content, text = joined([unpack(d) for d, k in zip(data, kinds, strict=True) if k == 0], kind)
+        kind = [np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8]
+        key, ids, block, row, start, n, text = joined([unpack(d) for d, k in zip(data, kinds, strict=True) if k == 0], kind)
         if len(key):
             n, start = n.astype(np.int64), start.astype(np.int64)
+            text = np.append(text, np.zeros(8, np.uint8))
             length = n + min_bytes - 1
             at = np.cumsum(length) - length
             order = np.argsort(key, kind="stable")
-            key, ids, block, row, start, n, content, at = (x[order] for x in (key, ids, block, row, start, n, content, at))
+            key, ids, block, row, start, n, at = (x[order] for x in (key, ids, block, row, start, n, at))
             # whole keys at a time, of about so many windows
             last = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
             total = np.concatenate([[0], np.cumsum(n)])
@@ -259,7 +244,7 @@ def _meet_runs(min_bytes: int, buckets: int, windows: int = 1 << 20):
                 fit = np.searchsorted(total[last], total[lo] + windows, side="right")
                 hi = int(last[min(max(fit - 1, np.searchsorted(last, lo, side="right")), len(last) - 1)])
                 part = slice(lo, hi)
-                of, skip = resolve(key[part], ids[part], content[part], n[part], at[part], text)
+                of, skip = resolve(key[part], ids[part], n[part], at[part], text)
                 spans.append([of + lo, skip])
                 lo = hi
             of, skip = joined(spans, [np.int64, np.int64])
@@ -268,7 +253,8 @@ def _meet_runs(min_bytes: int, buckets: int, windows: int = 1 << 20):
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(of)))
             of, skip = of[first], skip[first]
-            found += [(b, 1, pack(row[of[i]].astype(np.int64), start[of[i]] + skip[i], count[i])) for b, i in split_by(block[of], buckets)]
+            blocks, place = np.unique(block[of], return_inverse=True)
+            found += [(int(blocks[b]), 1, pack(row[of[i]].astype(np.int64), start[of[i]] + skip[i], count[i])) for b, i in split_by(place, len(blocks))]
         return pa.Table.from_batches([rows(found)])
 
     return run
@@ -290,9 +276,8 @@ def _cut(min_bytes: int, characters: bool = False):
     """Remaining bytes and removed spans of a block's documents; with ``characters``, spans keep to whole ones."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, texts, order = block_rows(table)
-        hashes = table.column("text_hash").to_numpy()
-        hashes = hashes[order]
+        block = Block.of(table)
+        ids, texts, hashes = block.ids, block.texts, block.hashes
         row, start, n = joined([unpack(d) for d in answers.column("data").to_pylist()], [np.int64] * 3)
         by_row = np.lexsort((start, row))
         row, start, stop = row[by_row], start[by_row], (start + n)[by_row] + min_bytes - 1
@@ -321,32 +306,27 @@ def _cut(min_bytes: int, characters: bool = False):
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, characters: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, the removed spans (maximal, in bytes) and the remaining bytes."""
-    spark = session_of(docs)
-    buckets = partitions(spark)
-    texts = blocked(docs, id_col, text_col)
+    blocks, buckets = blocked(docs, id_col, text_col, "suffix-blocks")
 
     def anchors(some: list[bytes]):
         of, _, _, anchor = anchor_runs(some, min_bytes)
         return of, key48(anchor)
 
-    answers = shared_keys(texts, anchors, HOT_DOCUMENTS, "suffix-anchors")
-    hot = spark.sparkContext.broadcast(frequent_keys(answers, MAX_HOT)[0])
-    to_blocks = answers.filter("kind = 1").select(F.col("key").alias("block"), "data")
-
-    blocks = texts.groupBy("block")
-    runs = blocks.cogroup(to_blocks.groupBy("block")).applyInArrow(_send_runs(min_bytes, buckets, hot), ROW)
-    spans = runs.groupBy("key").applyInArrow(_meet_runs(min_bytes, buckets), ROW).select(F.col("key").alias("block"), "data")
-    return blocks.cogroup(spans.groupBy("block")).applyInArrow(_cut(min_bytes, characters), _RESULT)
+    answers = shared_keys(blocks, anchors, buckets)
+    runs = by_block(blocks, answers, buckets).applyInArrow(_send_runs(min_bytes, buckets), ROW)
+    spans = grouped(runs, "key", buckets).applyInArrow(_meet_runs(min_bytes), ROW).select(F.col("key").alias("block"), "data")
+    return by_block(blocks, spans, buckets).applyInArrow(_cut(min_bytes, characters), _RESULT)
 
 
 def trim_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
     """The rows of ``docs`` without their repeated spans (whole characters); other columns, and texts without such spans, are unchanged."""
     spans = repeated_spans(docs, id_col, text_col, min_bytes, characters=True).filter(F.size("spans") > 0)
     # rows may repeat an identifier, so that the hash of the text is part of the key
-    changed = spans.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").cast("string").alias("__kept")).dropDuplicates(["__id", "__hash"])
+    i, h, kept = fresh_names(docs, "id", "hash", "kept")
+    changed = spans.select(F.col("id").alias(i), F.col("text_hash").alias(h), F.col("kept").cast("string").alias(kept)).dropDuplicates([i, h])
     text = docs[text_col]
-    out = docs.join(changed, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
-    return out.select(*(F.coalesce("__kept", text).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    out = docs.join(changed, docs[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)), "left")
+    return out.select(*(F.coalesce(F.col(kept), text).alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

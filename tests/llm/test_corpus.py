@@ -151,9 +151,11 @@ def _links(rows, size, percent):
     return Counter((back(i), len(s), back(find(i))) for i, s in zip(ids, sets))
 
 
-@pytest.mark.parametrize("size,percent,frequent,cluster", [(4, 85, 64, 512), (5, 80, 3, 8), (1, 60, 4, 6)])
-def test_ngram_join(odd, monkeypatch, size, percent, frequent, cluster):
-    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+@pytest.mark.parametrize("size,percent,rare,common,cluster", [(4, 85, 16, 1024, 512), (5, 80, 2, 12, 8), (1, 60, 3, 8, 6), (2, 70, 1, 1, 4)])
+def test_ngram_join(odd, monkeypatch, size, percent, rare, common, cluster):
+    """Also with limits that put the same tokens in classes of singles, pairs and triples, and clusters in many parts."""
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    monkeypatch.setattr(ngram_join, "COMMON", common)
     monkeypatch.setattr(ngram_join, "CLUSTER", cluster)
     out = ngram_join.similar_groups(odd, size=size, percent=percent).collect()
     assert Counter((r.id, r.n_shingles, r.component) for r in out) == _links(_rows(odd), size, percent)
@@ -164,19 +166,32 @@ def test_ngram_join_of_nothing(empty):
     assert ngram_join.drop_similar(empty).columns == empty.columns
 
 
-def test_signatures_are_shared_above_the_threshold():
-    rng = np.random.default_rng(2)
-    for percent in (80, 85):
-        make = ngram_join.Signatures(percent, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for n in (1, 2, 3, 5, 10, 40, 300):
-            for _ in range(30):
-                x = rng.integers(0, 1 << 62, n).astype(np.uint64)
-                y = np.concatenate([x[rng.permutation(n)[: -(-n * percent // 100)]], np.zeros(0, np.uint64)])
-                more = int(len(y) * 100 // percent - n)
-                y = np.concatenate([y, rng.integers(0, 1 << 62, max(more, 0)).astype(np.uint64)])
-                o = len(np.intersect1d(x, y))
-                if 100 * o >= percent * (len(x) + len(y) - o):
-                    assert np.intersect1d(make.of(x, np.isin(x, y)), make.of(y, np.isin(y, x))).size
+@pytest.mark.parametrize("percent", [50, 60, 80, 85, 95])
+def test_signatures_are_shared_above_the_threshold(percent):
+    """Whatever the classes of the tokens, a pair at the threshold has a signature in common."""
+    rng = np.random.default_rng(percent)
+    make = ngram_join.Signatures(percent, 16, 1024)
+    tried = 0
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 40, 300):
+        for _ in range(40):
+            x = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            y = x[rng.permutation(n)[: -(-n * percent // 100)]]
+            y = np.concatenate([y, rng.integers(0, 1 << 62, max(len(y) * 100 // percent - n, 0)).astype(np.uint64)])
+            classes = rng.choice([[2, 2], [20, 2000], [2000, 2000], [2, 2000], [20, 20]])
+            documents = {int(t): int(rng.choice(classes)) for t in np.intersect1d(x, y)}
+            o = len(documents)
+            if 100 * o >= percent * (len(x) + len(y) - o):
+                tried += 1
+                a, b = (make.of(s, np.asarray([documents.get(int(t), 1) for t in s])) for s in (x, y))
+                assert np.intersect1d(a, b).size
+    assert tried > 300
+
+
+def test_very_frequent_tokens_are_sent_in_triples():
+    make = ngram_join.Signatures(80, 16, 1024)
+    tokens = np.random.default_rng(3).integers(0, 1 << 62, 100).astype(np.uint64)
+    one, two, three = (len(make.of(tokens, np.full(100, n))) for n in (2, 100, 5000))
+    assert one == 2 * 21 and len({one, two, three}) == 3
 
 
 @pytest.fixture(scope="module")
