@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 P = pytest.importorskip("public_tokenizers")
 
 from sparkruns.llm import bpe, exact_dedup, nearest, ngram_join, packing, quality, suffix_dedup, toxicity, url_filter, wavelet, word_tokens  # noqa: E402
+from sparkruns.llm.common import scratch_dir  # noqa: E402
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, id string, block int"
@@ -68,12 +69,33 @@ def test_exact_dedup_compares_bytes_when_digests_clash(odd):
     assert out.count() == len(_rows(odd))
 
 
-def test_state_does_not_expire(spark, odd):
+def test_state_does_not_expire(spark):
     state = exact_dedup.StreamingExactDedup(spark)
-    keyed = lambda rows: spark.createDataFrame(rows, "digest binary, id long, locator string")
+    keyed = lambda rows: spark.createDataFrame(rows, "digest binary, id long, text string")
     state.ingest(keyed([(b"a", 1, "x"), (b"b", 2, "y")]))
-    state.ingest(keyed([(b"a", 5, "z")]))
-    assert {(bytes(r.digest), r.keep_id, r.locator, r.group_size) for r in state.state().collect()} == {(b"a", 5, "z", 2), (b"b", 2, "y", 1)}
+    state.ingest(keyed([(b"a", 5, "x")]))
+    found = {bytes(r.digest): r for r in state.state().collect()}
+    assert {d: (r.keep_id, r.group_size) for d, r in found.items()} == {b"a": (5, 2), b"b": (2, 1)}
+    # the locator is the staged file that holds the text
+    for r in found.values():
+        assert (r.keep_id, r.keep_row) in {(x.id, x.row) for x in spark.read.parquet(r.locator).collect()}
+    assert state.clashing() is None
+
+
+def test_exact_dedup_across_batches(spark):
+    """Clashing digests within a batch and across batches, and copies of earlier batches."""
+    weak = lambda text: F.unhex(F.lpad(F.hex(F.length(text) % 2), 8, "0"))
+    batches = [[(1, "aaa"), (2, "bb"), (None, "bb")], [(3, "ccc"), (4, "AAA")], [(5, "ccc"), (6, "e"), (7, "dddd"), (8, "bb")]]
+    folder, seen = scratch_dir(spark, "batches"), []
+    for batch in batches:
+        seen += batch
+        out = exact_dedup.exact_groups(spark.createDataFrame(batch, "doc_id long, text string"), digest=weak, folder=folder)
+        groups = defaultdict(list)
+        for i, t in seen:
+            groups[t.lower()].append(i)
+        best = {t: max(x for x in ids if x is not None) for t, ids in groups.items()}
+        want = Counter((i, best[t.lower()], len(groups[t.lower()]), i == best[t.lower()]) for i, t in seen)
+        assert Counter((r.id, r.keep_id, r.group_size, r.kept) for r in out.collect()) == want
 
 
 def test_drop_exact_duplicates(odd, empty):
@@ -268,9 +290,9 @@ def test_token_shards(spark, odd, empty, tmp_path, monkeypatch):
     assert wavelet.shard_digests(spark, f"{folder}-empty").count() == 0
 
 
-@pytest.mark.parametrize("tokens,segments,loss", [(2048, 256, None), (64, 3, None), (32, 8, 20)])
-def test_packing(odd, tokens, segments, loss):
-    out = packing.packed_sequences(odd, WORDS, tokens=tokens, segments=segments, loss=loss).toPandas()
+@pytest.mark.parametrize("tokens,segments,loss,prompt", [(2048, 256, 2048, 0.25), (packing.TOKENS, packing.SEGMENTS, packing.LOSS, packing.PROMPT), (64, 3, 64, 0.0), (32, 8, 20, 0.5), (32, 4, 7, 0.1)])
+def test_packing(odd, tokens, segments, loss, prompt):
+    out = packing.packed_sequences(odd, WORDS, tokens=tokens, segments=segments, loss=loss, prompt=prompt).toPandas()
     ids = defaultdict(list)
     for i, t in _rows(odd):
         ids[-1 if i is None else i].append(_word_ids(t))
@@ -278,17 +300,43 @@ def test_packing(odd, tokens, segments, loss):
         assert g["length"].sum() == sum(map(len, ids[int(key)]))
         for r in g.itertuples():
             assert any(len(x) == r.doc_tokens and zlib.crc32(np.asarray(x[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for x in ids[int(key)])
+            assert r.loss_tokens == sum(p >= int(r.doc_tokens * prompt) for p in range(r.start, r.start + r.length))
     padding = 0
     for _, g in out.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g["offset"].tolist() == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= tokens and len(g) <= segments
-        assert (g["length"] - (g["start"] == 0)).sum() <= (loss or tokens)
+        assert g["loss_tokens"].sum() <= loss
         n = int(g["length"].sum())
         padding += 0 if n & (n - 1) == 0 else tokens - n
-    if segments == 256:
+    if tokens == 2048:
         assert padding == 0
 
 
+def test_dot_product_fills_what_the_longest_piece_would_waste():
+    """Two pieces of prompt and two that bear loss: the longest first leaves the loss-bearing ones to sequences of their own."""
+    p = packing.Packer(tokens=9, segments=3, loss=4)
+    ids = np.arange(100)
+    for key, start, length in (("a", 0, 5), ("b", 50, 4), ("c", 0, 5), ("d", 60, 4)):
+        p._hold(key, ids, start, length)
+    out = list(p.finish())
+    assert [(r[0], r[2], r[5], r[7]) for r in out] == [("b", 4, 0, 4), ("a", 5, 0, 0), ("d", 4, 1, 4), ("c", 5, 1, 0)]
+
+
+def test_default_limits_bind():
+    """On documents of all sizes each of the three limits stops some sequence."""
+    rng = np.random.default_rng(0)
+    p, out = packing.Packer(), []
+    for i, n in enumerate(np.concatenate([rng.integers(1, 40, 3000), rng.integers(100, 6000, 200)])):
+        out += p.add(i, np.arange(n))
+    out += p.finish()
+    by = defaultdict(list)
+    for r in out:
+        by[r[5]].append(r)
+    tokens, segments, loss = (Counter(x) for x in zip(*((sum(r[2] for r in s), len(s), sum(r[7] for r in s)) for s in by.values())))
+    assert max(tokens) == 2048 and max(segments) == packing.SEGMENTS and max(loss) == packing.LOSS
+    assert segments[packing.SEGMENTS] and loss[packing.LOSS] and sum(k * n for k, n in tokens.items()) == sum(r[2] for r in out)
+
+
 def test_packing_of_nothing(empty):
     assert packing.packed_sequences(empty, WORDS).count() == 0
 
