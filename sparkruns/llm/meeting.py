@@ -3,7 +3,8 @@
 Texts are written once as blocks: packed rows of some megabytes of consecutive
 texts, whose number follows the bytes of the input. A block asks the bucket of a
 key (the hash of a piece of text) once, whatever the number of its documents
-that have the key, and the bucket answers with the key's number of documents.
+that have the key, and the bucket answers with the key's number of documents
+(rows, that is: rows that repeat an identifier count each).
 The number of buckets follows the bytes as well, so that no group grows with the
 table.
 """
@@ -29,13 +30,13 @@ BUCKET_BYTES = 16 << 20
 LOWEST = -(1 << 63)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; 64-bit integers are stored byte plane by byte plane."""
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays as one compressed value; numbers are stored byte plane by byte plane."""
     parts = [np.asarray([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()]
     for a in arrays:
         parts.append(a.dtype.str.encode().ljust(4))
         parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"")
-    return zstandard.compress(b"".join(parts), 1)
+    return zstandard.compress(b"".join(parts), level)
 
 
 def unpack(packed: bytes) -> list[np.ndarray]:
@@ -93,7 +94,7 @@ def _blocks_of(batches) -> Iterator[pa.RecordBatch]:
     def flush():
         ids, hashes = (np.asarray([x[i] for x in held], np.int64) for i in (0, 1))
         lengths = np.asarray([len(x[2]) for x in held], np.int64)
-        data = pack(ids, hashes, lengths, np.frombuffer(b"".join(x[2] for x in held), np.uint8))
+        data = pack(ids, hashes, lengths, np.frombuffer(b"".join(x[2] for x in held), np.uint8), level=3)
         return pa.RecordBatch.from_arrays([pa.array([first + number]), pa.array([size]), pa.array([data], pa.binary())], ["block", "size", "data"])
 
     for batch in batches:
@@ -145,44 +146,41 @@ def by_block(blocks: DataFrame, other: DataFrame, buckets: int):
 
 
 def _ask(extract, buckets: int):
-    """Of each block: its distinct keys, one document and the number of documents of each, to the keys' buckets."""
+    """Of each block: its distinct keys and the number of rows of each, to the keys' buckets."""
 
     def run(batches):
         for batch in batches:
             for number, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                block = Block(number, data)
-                of, keys = extract(block.texts)
-                docs = block.ids[of]
-                order = np.lexsort((docs, keys))
-                keys, docs = keys[order], docs[order]
-                new = np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])) if len(keys) else np.zeros(0, bool)
-                keys, docs = keys[new], docs[new]
+                of, keys = extract(Block(number, data).texts)
+                order = np.lexsort((of, keys))
+                keys, of = keys[order], of[order]
+                new = np.append(True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])) if len(keys) else np.zeros(0, bool)
+                keys = keys[new]
                 first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
                 count = np.diff(np.append(first, len(keys))).astype(np.uint32)
-                keys, docs = keys[first], docs[first]
+                keys = keys[first]
                 me = np.asarray([number], np.int64)
-                yield rows((bucket, 0, pack(keys[at], docs[at], count[at], me)) for bucket, at in split_by(bucket_of(keys, buckets), buckets))
+                yield rows((bucket, 0, pack(keys[at], count[at], me)) for bucket, at in split_by(bucket_of(keys, buckets), buckets))
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """To each block that asked: the keys that several documents have, with their numbers of documents."""
+    """To each block that asked: the keys that several rows have, with their numbers of rows."""
     asked = [unpack(d) for d in table.column("data").to_pylist()]
-    keys, docs, count = joined([a[:3] for a in asked], [np.uint64, np.int64, np.uint32])
+    keys, count = joined([a[:2] for a in asked], [np.uint64, np.uint32])
     asker = np.repeat(np.arange(len(asked)), [len(a[0]) for a in asked])
     found = []
     if len(keys):
         order = np.argsort(keys, kind="stable")
-        keys, docs, count, asker = keys[order], docs[order], count[order], asker[order]
+        keys, count, asker = keys[order], count[order], asker[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         size = np.diff(np.append(first, len(keys)))
-        # rows of one document may be apart
-        several = (np.maximum.reduceat(docs, first) != np.minimum.reduceat(docs, first)) | (np.maximum.reduceat(count, first) > 1)
         total = np.minimum(np.add.reduceat(count.astype(np.int64), first), 0xFFFFFFFF).astype(np.uint32)
-        pick = np.repeat(several, size)
-        keys, total, asker = keys[pick], np.repeat(total, size)[pick], asker[pick]
-        found = [(int(asked[a][3][0]), 1, pack(keys[at], total[at])) for a, at in split_by(asker, len(asked))]
+        total = np.repeat(total, size)
+        pick = total > 1
+        keys, total, asker = keys[pick], total[pick], asker[pick]
+        found = [(int(asked[a][2][0]), 1, pack(keys[at], total[at])) for a, at in split_by(asker, len(asked))]
     return pa.Table.from_batches([rows(found)])
 
 

@@ -63,8 +63,8 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def piece_bytes(min_bytes: int) -> int:
-    """Bytes of an anchor's piece: about half a window, 24 at most."""
-    return max(1, min(24, min_bytes // 2))
+    """Bytes of an anchor's piece: about half a window, 20 at most."""
+    return max(1, min(20, min_bytes // 2))
 
 
 def anchor_runs(texts: list[bytes], min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def _send_runs(min_bytes: int, buckets: int):
                 i = i[np.lexsort((lead[i], key[i]))]
                 text = np.frombuffer(_gather(buffer, at[i], length[i]), np.uint8)
                 me = np.full(len(i), block.number, np.int64)
-                found.append((bucket, 0, pack(key[i], ids[of[i]], me, of[i].astype(np.uint32), start[i].astype(np.uint32), n[i].astype(np.uint8), text)))
+                found.append((bucket, 0, pack((key[i] >> np.uint64(32)).astype(np.uint32), ids[of[i]], me, of[i].astype(np.uint32), start[i].astype(np.uint32), n[i].astype(np.uint8), text, level=3)))
         return pa.Table.from_batches([rows(found)])
 
     return run
@@ -227,7 +227,7 @@ def _meet_runs(min_bytes: int, windows: int = 1 << 20):
     def run(table: pa.Table) -> pa.Table:
         kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
         found = [(table.column("key")[i].as_py(), 1, data[i]) for i, k in enumerate(kinds) if k == 1]
-        kind = [np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8]
+        kind = [np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8]  # half a key will do, as bytes decide
         key, ids, block, row, start, n, text = joined([unpack(d) for d, k in zip(data, kinds, strict=True) if k == 0], kind)
         if len(key):
             n, start = n.astype(np.int64), start.astype(np.int64)
