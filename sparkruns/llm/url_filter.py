@@ -6,34 +6,50 @@ suffixes with beginnings of its path, of the lengths that rules have. Each such
 canonical url is tested against a blocked Bloom filter (one 512-bit block for
 each url, a few bits in it); possible hits go on to an exact join with the rules,
 which removes the false positives. The longest rule wins; pages without a rule
-get the verdict that the filter gives unlisted urls, ``allow``.
+get the verdict that the filter gives unlisted urls, ``allow``, and are not
+shuffled.
+
+Executors build the filter, each a range of its blocks. Up to ``MAX_BYTES``, which
+the number of rules proves, its parts are put together and broadcast; a larger
+one stays in its parts, and the distinct possible urls are dealt to them.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and fits no rule; rules with equal host and path count as one that blocks if any
-of them does; repeated pages are judged each; an empty table gives an empty
-result, and no rules leave every page allowed; other columns are ignored.
+of them does; very long urls are judged whole; repeated pages are judged each; an
+empty table gives an empty result, and no rules leave every page allowed; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, mix64, session_of
+from .common import UPPER, materialize, mix64, session_of
 
-#: Bits of the filter for each rule, and the most bytes of it that are broadcast; beyond that all urls go to the join.
+#: Bits of the filter for each rule, and the most bytes of it that are broadcast; a larger one stays in its parts.
 BITS = 16
 MAX_BYTES = 64 << 20
+#: Blocks of a part (64 bytes each).
+PART = 1 << 16
 _BLOCK = 512
 _HASHES = 6
 DEFAULT = "allow"
 
 
+def block_numbers(h: np.ndarray, blocks: int) -> np.ndarray:
+    return ((mix64(h) >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+
+
 class BlockedBloom:
-    def __init__(self, blocks: int):
-        self.words = np.zeros((max(1, blocks), _BLOCK // 64), np.uint64)
+    """A filter of so many blocks, or the range of them that begins at ``first``."""
+
+    def __init__(self, blocks: int, words: np.ndarray | None = None, first: int = 0):
+        self.blocks, self.first = max(1, blocks), first
+        self.words = np.zeros((self.blocks, _BLOCK // 64), np.uint64) if words is None else words
 
     @staticmethod
     def _bits(h: np.ndarray):
@@ -41,22 +57,61 @@ class BlockedBloom:
             bit = mix64(h + np.uint64(i + 1)) >> np.uint64(55)
             yield (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63))
 
-    def _block(self, h: np.ndarray) -> np.ndarray:
-        return ((mix64(h) >> np.uint64(32)) % np.uint64(len(self.words))).astype(np.int64)
-
     def add(self, h: np.ndarray) -> None:
-        block = self._block(h)
+        block = block_numbers(h, self.blocks) - self.first
         for word, bit in self._bits(h):
             np.bitwise_or.at(self.words, (block, word), bit)
 
     def may_hold(self, h: np.ndarray) -> np.ndarray:
-        block = self._block(h)
+        block = block_numbers(h, self.blocks) - self.first
         out = np.ones(len(h), bool)
         for word, bit in self._bits(h):
             out &= (self.words[block, word] & bit) != 0
         return out
 
 
+def _to_parts(urls: DataFrame, blocks: int) -> DataFrame:
+    """(part, h, url) of canonical urls."""
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            part = block_numbers(h.view(np.uint64), blocks) // PART
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(h, pa.int64()), batch.column("url")], ["part", "h", "url"])
+
+    return urls.select(F.xxhash64("url").alias("h"), "url").mapInArrow(run, "part long, h long, url string")
+
+
+def _range_of(part: int, blocks: int, words: bytes | None = None) -> BlockedBloom:
+    n = min(PART, blocks - part * PART)
+    held = np.zeros((n, _BLOCK // 64), np.uint64) if words is None else np.frombuffer(words, np.uint64).reshape(n, -1)
+    return BlockedBloom(blocks, held, part * PART)
+
+
+def _built(listed: DataFrame, blocks: int) -> DataFrame:
+    """(part, words): the filter of the rules, in ranges of blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        bloom = _range_of(part, blocks)
+        bloom.add(table.column("h").to_numpy().view(np.uint64))
+        return pa.table({"part": pa.array([part], pa.int64()), "words": pa.array([bloom.words.tobytes()], pa.binary())})
+
+    return _to_parts(listed.select("url"), blocks).groupBy("part").applyInArrow(run, "part long, words binary")
+
+
+def _possible(urls: DataFrame, parts: DataFrame, blocks: int) -> DataFrame:
+    """The urls that the filter's parts may hold."""
+
+    def run(table: pa.Table, filters: pa.Table) -> pa.Table:
+        if not len(table) or not len(filters):
+            return pa.table({"url": pa.array([], pa.string())})
+        bloom = _range_of(filters.column("part")[0].as_py(), blocks, filters.column("words")[0].as_py())
+        return pa.table({"url": table.column("url").filter(pa.array(bloom.may_hold(table.column("h").to_numpy().view(np.uint64))))})
+
+    return _to_parts(urls, blocks).groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(run, "url string")
+
+
 def split_url(url):
     """(host, path) columns: from the first ``://`` to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; then to ``?``, ``#`` or the end."""
     at = F.instr(url, "://")
@@ -90,15 +145,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     judged = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"))
     if not shape["n"]:
         return judged.select("*", F.lit(None).cast("string").alias("rule"), F.lit(DEFAULT).alias("verdict"))
-    judged = judged.withColumn("row", F.monotonically_increasing_id())
     possible = _candidates(F.col("host"), F.col("path"), shape["labels"], sorted(shape["lengths"]))
     judged = judged.withColumn("urls", possible)
-    hashes = F.transform("urls", lambda u: F.xxhash64(u))
+    exact = listed.select("url", "rule", "verdict")
     blocks = -(-shape["n"] * BITS // _BLOCK)
+    parts = _built(listed, blocks)
     if blocks * _BLOCK // 8 <= MAX_BYTES:
         bloom = BlockedBloom(blocks)
-        for row in listed.select(F.xxhash64("url").alias("h")).toLocalIterator():
-            bloom.add(np.asarray([row.h], np.int64).view(np.uint64))
+        for row in parts.collect():
+            some = np.frombuffer(row.words, np.uint64).reshape(-1, _BLOCK // 64)
+            bloom.words[row.part * PART : row.part * PART + len(some)] = some
         shared = spark.sparkContext.broadcast(bloom)
 
         @F.pandas_udf("array<boolean>")
@@ -107,15 +163,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
             flat = np.concatenate(lists.to_list()).astype(np.int64).view(np.uint64) if n.sum() else np.zeros(0, np.uint64)
             return pd.Series([x.tolist() for x in np.split(shared.value.may_hold(flat), np.cumsum(n)[:-1])] if len(n) else [], dtype=object)
 
-        hit = may_hold(hashes)
+        # so called, it is a step of its own, into which no later filter is pushed
+        hit = may_hold.asNondeterministic()(F.transform("urls", lambda u: F.xxhash64(u)))
         judged = judged.withColumn("hits", hit)
         judged = judged.withColumn("urls", F.transform(F.filter(F.arrays_zip("urls", "hits"), lambda x: x["hits"]), lambda x: x["urls"]))
+    else:
+        # the filter is too large for a task: what it passes, and the rules confirm, is joined
+        urls = judged.select(F.explode("urls").alias("url")).distinct()
+        exact = materialize(_possible(urls, parts, blocks).join(exact, "url"), "url-hits")
+    misses = judged.filter(F.size("urls") == 0).select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(DEFAULT).alias("verdict"))
     # each page keeps its row; the winning rule is the longest of its exact hits
-    exact = judged.select("id", "host", "path", "row", F.explode_outer("urls").alias("url")).join(listed.select("url", "rule", "verdict"), "url", "left")
+    rows = judged.filter(F.size("urls") > 0).withColumn("row", F.monotonically_increasing_id())
+    found = rows.select("id", "host", "path", "row", F.explode("urls").alias("url")).join(exact, "url", "left")
     won = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("verdict"), F.col("rule"))))
-    return exact.groupBy("row").agg(
-        F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), won.alias("won")
-    ).select("id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(DEFAULT)).alias("verdict"))
+    out = found.groupBy("row").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), won.alias("won"))
+    return misses.union(out.select("id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(DEFAULT)).alias("verdict")))
 
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
