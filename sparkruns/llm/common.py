@@ -28,14 +28,14 @@ def session_of(df: DataFrame) -> SparkSession:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a local temporary folder
-    takes its place, and it is set for the rest of the session.
+    Only in local mode, where driver and executors are one process, a session
+    that names none gets a temporary folder; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sparkruns-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -185,15 +185,20 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
+#: Bytes of the longest text that a classifier is fitted on (scoring has no such bound).
+FIT_BYTES = 1 << 17
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most ``rows`` labelled documents outside the held-out fold, in an order by hash.
+    """(i, text, y) of at most ``rows`` labelled documents of at most FIT_BYTES outside the held-out fold, in an order by hash.
 
-    The sample of labels is bounded, and so is its broadcast; the texts come from one scan.
+    Both bounds hold whatever repeats: of rows with one identifier the text that sorts first counts. The sample of
+    labels is bounded, and so is its broadcast; the texts come from one scan.
     """
     some = (
         labels.select(labels[id_col].alias("i"), labels[label].cast("int").alias("y"))
         .filter(F.col("i").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("i")))
         .orderBy(F.xxhash64("i"), "i", "y").limit(rows)
     )
-    texts = docs.select(docs[id_col].alias("i"), docs[text_col].alias("text"))
-    return texts.join(F.broadcast(some), "i").select("i", "text", "y")
+    texts = docs.select(docs[id_col].alias("i"), docs[text_col].alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES)
+    return texts.join(F.broadcast(some), "i").groupBy("i").agg(F.min("text").alias("text"), F.max("y").alias("y"))
