@@ -18,23 +18,43 @@ PASSAGE_BYTES = 160
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score as toxic; the model learns outside the held-out fold."""
+    """Drops documents that score as toxic; the model learns outside the held-out fold.
+
+    Null and empty texts score by the bias alone and very long ones whole; repeated rows share a score, so they stay or
+    go together; a score equal to the threshold goes; without labels nothing is learnt and all stay; an empty table stays
+    empty; other columns, whatever their names, are handed through.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return drop_toxic(docs, fit_toxicity(docs, labels))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the one with the largest identifier stays."""
+    """Of equal texts (A-Z lower-cased) the one with the largest identifier stays.
+
+    Null and empty texts are copies of each other; very long ones are compared whole; a null identifier loses; of rows
+    that repeat identifier and text one stays; an empty table stays empty; other columns, whatever their names, are
+    handed through.
+    """
     return drop_exact_duplicates(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 of their five-word shingles the smallest identifier stays."""
+    """Of documents linked by a similarity of 0.8 of their five-word shingles the smallest identifier stays.
+
+    Texts without words are linked with nothing and stay; very long ones count whole; a null identifier counts as the
+    smallest; rows that repeat the identifier of the row that stays are the same document and stay with it; an empty
+    table stays empty; other columns, whatever their names, are handed through.
+    """
     return drop_similar(docs, size=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that also start in a document with a smaller identifier; documents stay, if only as empty texts."""
+    """Cuts passages that also start in a document with a smaller identifier; documents stay, if only as empty texts.
+
+    Null and short texts are unchanged; very long ones are judged whole; a null identifier counts as the smallest; rows
+    with one identifier take nothing from each other; an empty table stays empty; ``n_chars``, where there is one, is
+    counted anew, and other columns, whatever their names, are handed through.
+    """
     trimmed = trim_repeats(docs, min_bytes=PASSAGE_BYTES)
     if "n_chars" not in docs.columns:
         return trimmed
@@ -42,7 +62,11 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents placed in sequences of 2048 tokens."""
+    """Pieces of documents placed in sequences of 2048 tokens, of which 1792 bear loss, and 16 segments.
+
+    Null and empty texts are packed as the end id alone; very long ones take many pieces; repeated rows are packed each;
+    equal gains go to the piece that came first; an empty table gives no pieces; other columns are not read.
+    """
     packed = packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packed.withColumnRenamed("id", "doc_id")
 
