@@ -96,9 +96,10 @@ def elapsed_days(earlier: Column, later: Column) -> Column:
 
 
 def age_at(base_years: Column, base_ts: Column, ts: Column) -> Column:
-    """Age at ``ts`` of one who was ``base_years`` old at ``base_ts``; never younger than then."""
+    """Age at ``ts`` of one who was ``base_years`` old at ``base_ts``; never younger than then, null if any is null."""
     seconds = F.unix_seconds(ts.cast("timestamp")) - F.unix_seconds(base_ts.cast("timestamp"))
-    return F.round(base_years + F.greatest(seconds, F.lit(0)) / F.lit(float(SECONDS_PER_YEAR)), 6)
+    later = F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0)))
+    return F.round(base_years + later / F.lit(float(SECONDS_PER_YEAR)), 6)
 
 
 def five_digits(code: Column) -> Column:

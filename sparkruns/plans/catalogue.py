@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import eval_queries, run_queries, tables_queries  # noqa: F401  (they register)
+from . import base_queries, eval_queries, run_queries, tables_queries  # noqa: F401  (they register)
 from .bindings import QUERIES, SQL
 
 

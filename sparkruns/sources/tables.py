@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A new folder in the cluster's shared checkpoint folder; a temporary one only in local mode, if the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
