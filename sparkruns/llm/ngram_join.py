@@ -206,22 +206,28 @@ def _opened(packed: DataFrame, kind: int, *names: str) -> DataFrame:
 
 
 def _send_sets(size: int):
-    """Of a block: the token sets of rows, to each group that names them."""
+    """Of a block: the token sets of candidates; those of small clusters together, by the key of their group, others alone, by their handle."""
 
     def run(table: pa.Table, members: pa.Table) -> pa.Table:
-        out: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+        out: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        alone: list[tuple[int, bytes]] = []
         if len(table) and len(members):
             block = Block.of(table)
-            row = members.column("id").to_numpy() & ((1 << ROW_BITS) - 1)
-            pick = np.unique(row).tolist()
-            sets = dict(zip(pick, shingle_sets([block.texts[i] for i in pick], size), strict=True))
-            for i, doc, *to in zip(row.tolist(), *(members.column(c).to_pylist() for c in ("id", "key", "cluster", "tied")), strict=True):
-                out.setdefault(to[0], []).append((to[1], doc, to[2], sets[i]))
+            handles, keys, clusters, large = (members.column(c).to_pylist() for c in ("id", "key", "cluster", "large"))
+            some = [block.texts[h & ((1 << ROW_BITS) - 1)] for h in handles]
+            for handle, key, cluster, one, tokens in zip(handles, keys, clusters, large, shingle_sets(some, size), strict=True):
+                if one:
+                    alone.append((handle, pack(tokens)))
+                else:
+                    out.setdefault(key, []).append((cluster, handle, tokens))
         data = [
-            pack(*(np.asarray([e[k] for e in entries], np.int64) for k in range(3)), np.asarray([len(e[3]) for e in entries], np.int64), np.concatenate([e[3] for e in entries]))
+            pack(*(np.asarray([e[k] for e in entries], np.int64) for k in (0, 1)), np.asarray([len(e[2]) for e in entries], np.int64), np.concatenate([e[2] for e in entries]))
             for entries in out.values()
         ]
-        return pa.table({"key": pa.array(list(out), pa.int64()), "data": pa.array(data, pa.binary())})
+        return pa.table({
+            "key": pa.array([*out, *(h for h, _ in alone)], pa.int64()), "large": pa.array([False] * len(out) + [True] * len(alone), pa.bool_()),
+            "data": pa.array([*data, *(d for _, d in alone)], pa.binary()),
+        })
 
     return run
 
@@ -269,45 +275,66 @@ def verified_links(tied: np.ndarray, sets: list[np.ndarray], percent: int) -> li
     return links
 
 
-def _verify(percent: int):
-    """The links within each cluster of a group."""
+_LINKS = "a long, b long"
+
+
+def _links(a: list, b: list) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _by_cluster(cluster: np.ndarray, ids: np.ndarray):
+    order = np.lexsort((ids, cluster))
+    return np.split(order, np.flatnonzero(cluster[order][1:] != cluster[order][:-1]) + 1)
+
+
+def _verify_clusters(percent: int):
+    """The links within each of a group's small clusters, given as packed sets."""
 
     def run(table: pa.Table) -> pa.Table:
-        cluster, ids, tied, n, tokens = joined([unpack(d) for d in table.column("data").to_pylist()], [np.int64] * 4 + [np.uint64])
+        cluster, ids, n, tokens = joined([unpack(d) for d in table.column("data").to_pylist()], [np.int64] * 3 + [np.uint64])
         at = np.concatenate([[0], np.cumsum(n)])
         a, b = [], []
-        order = np.lexsort((ids, cluster))
-        for part in np.split(order, np.flatnonzero(cluster[order][1:] != cluster[order][:-1]) + 1):
-            sets = [tokens[at[i] : at[i + 1]] for i in part]
-            for x, y in verified_links(tied[part], sets, percent) if len(part) > 1 else []:
+        for part in _by_cluster(cluster, ids):
+            for x, y in verified_links(ids[part], [tokens[at[i] : at[i + 1]] for i in part], percent) if len(part) > 1 else []:
                 a.append(ids[part[x]])
                 b.append(ids[part[y]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _links(a, b)
+
+    return run
+
+
+def _rows_of(table: pa.Table):
+    return *(table.column(c).to_numpy() for c in ("id", "tied")), [unpack(d)[0] for d in table.column("data").to_pylist()]
+
+
+def _verify_parts(percent: int):
+    """The links within a group of rows (id, tied, data) that connect what ``tied`` does not."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, tied, sets = _rows_of(table)
+        found = verified_links(tied, sets, percent) if len(ids) > 1 else []
+        return _links([ids[x] for x, _ in found], [ids[y] for _, y in found])
 
     return run
 
 
 def _verify_stars(percent: int):
-    """The links between the first document of each star (cluster, its own number) and the others."""
+    """The links between the document ``tied`` of a group and the group's others."""
 
     def run(table: pa.Table) -> pa.Table:
-        cluster, ids, _, n, tokens = joined([unpack(d) for d in table.column("data").to_pylist()], [np.int64] * 4 + [np.uint64])
-        at = np.concatenate([[0], np.cumsum(n)])
-        a, b = [], []
-        order = np.lexsort((ids, cluster))
-        for part in np.split(order, np.flatnonzero(cluster[order][1:] != cluster[order][:-1]) + 1):
-            centre = [i for i in part if ids[i] == cluster[i]][0]
-            mine = tokens[at[centre] : at[centre + 1]]
-            for i in part:
-                shared = len(np.intersect1d(mine, tokens[at[i] : at[i + 1]], assume_unique=True))
-                if i != centre and 100 * shared >= percent * (n[i] + n[centre] - shared):
-                    a.append(cluster[i])
-                    b.append(ids[i])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        ids, tied, sets = _rows_of(table)
+        mine = sets[int(np.flatnonzero(ids == tied)[0])]
+        shared = [len(np.intersect1d(mine, s, assume_unique=True)) for s in sets]
+        near = [i for i, s in enumerate(sets) if ids[i] != tied[i] and 100 * shared[i] >= percent * (len(mine) + len(s) - shared[i])]
+        return _links([tied[i] for i in near], [ids[i] for i in near])
 
     return run
 
 
+#: Rows of a component meet its least identifier in so many places.
+_SALTS = 32
+
+
 def _similar_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """(id, hash of the text, n_shingles, component) of every row; null identifiers are LOWEST."""
     blocks, buckets = blocked(docs, id_col, text_col, "ngram-blocks")
@@ -323,59 +350,64 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percen
     met = materialize(grouped(tied, "key", buckets).applyInArrow(_unique_edges, ROW), "ngram-signatures")
     edges = _opened(met, 3, "a", "b")
 
-    def links_of(members: DataFrame, verify) -> DataFrame:
-        """Links between the token sets of ``members``: (id, key of its group, cluster in it, tied)."""
-        of_blocks = members.withColumn("block", F.shiftright("id", ROW_BITS))
-        sets = by_block(blocks.select("block", "data"), of_blocks, buckets).applyInArrow(_send_sets(size), "key long, data binary")
-        return grouped(sets, "key", buckets).applyInArrow(verify(percent), "a long, b long")
-
     clusters = materialize(connected_components(edges), "ngram-clusters").withColumnRenamed("component", "cluster")
     large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CLUSTER)
     large = materialize(large, "ngram-large")
-    small = clusters.join(large, "cluster", "left_anti")
-    small = small.select("id", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).alias("key"), "cluster", F.col("id").alias("tied"))
-    links = links_of(small, _verify)
+    beyond = F.col("n").isNotNull()
+    members = clusters.join(large, "cluster", "left").select(
+        "id", F.shiftright("id", ROW_BITS).alias("block"), F.when(beyond, F.col("id")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets))).alias("key"),
+        "cluster", beyond.alias("large"),
+    )
+    sets = by_block(blocks.select("block", "data"), members, buckets).applyInArrow(_send_sets(size), "key long, large boolean, data binary")
+    sets = materialize(sets, "ngram-sets")
+    links = grouped(sets.filter("not large"), "key", buckets).applyInArrow(_verify_clusters(percent), _LINKS)
     if not large.isEmpty():
-        links = links.union(_large_links(clusters.join(large, "cluster"), edges, links_of, buckets))
+        alone = sets.filter("large").select(F.col("key").alias("id"), "data")
+        links = links.union(_large_links(clusters.join(large, "cluster"), edges, alone, percent, buckets))
     groups = materialize(connected_components(links.union(_opened(met, 2, "a", "b"))), "ngram-groups")
 
     named = _opened(met, 1, "handle", "id", "hash", "n_shingles").join(groups.withColumnRenamed("id", "handle"), "handle", "left")
-    least = named.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
-    return named.join(least, "component", "left").select("id", "hash", "n_shingles", F.coalesce("least", "id").alias("component"))
+    named = materialize(named, "ngram-named")
+    linked = named.filter("component is not null")
+    least = linked.groupBy("component").agg(F.min("id").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    linked = linked.withColumn("salt", F.pmod("handle", F.lit(_SALTS)).cast("int")).join(least, ["component", "salt"])
+    single = named.filter("component is null").select("id", "hash", "n_shingles", F.col("id").alias("component"))
+    return linked.select("id", "hash", "n_shingles", F.col("least").alias("component")).union(single)
 
 
-def _large_links(members: DataFrame, edges: DataFrame, links_of, buckets: int) -> DataFrame:
-    """Links within large clusters (id, cluster, n): along the edges, then between parts of what these leave unconnected."""
-    part = F.pmod(F.xxhash64("b"), F.lit(1 << 20))
-    stars = members.select(F.col("id").alias("a"), "n").join(edges, "a")
+def _large_links(members: DataFrame, edges: DataFrame, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Links within large clusters (id, cluster, n): along the edges, then between parts of what these leave unconnected.
+
+    ``sets`` has the packed tokens of each member.
+    """
     # stars in parts of about so many documents, each with its first document
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / CLUSTER))
-    stars = stars.select("a", "b", F.xxhash64("a", F.pmod(part, parts)).alias("key"))
-    both = stars.select(F.col("a").alias("id"), "key", F.col("a").alias("cluster")).distinct().union(stars.select(F.col("b").alias("id"), "key", F.col("a").alias("cluster")))
-    near = materialize(links_of(both.withColumn("tied", F.col("id")), _verify_stars), "ngram-stars")
+    stars = members.select(F.col("id").alias("a"), "n").join(edges, "a")
+    stars = stars.select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CLUSTER))).alias("key"))
+    ends = stars.select(F.col("a").alias("id"), F.col("a").alias("tied"), "key").distinct().union(stars.select(F.col("b").alias("id"), F.col("a").alias("tied"), "key"))
+    near = grouped(ends.join(sets, "id"), "key", buckets).applyInArrow(_verify_stars(percent), _LINKS)
+    near = materialize(near, "ngram-stars")
     tied = materialize(connected_components(near), "ngram-tied").withColumnRenamed("component", "tied")
     members = members.join(tied, "id", "left").withColumn("tied", F.coalesce("tied", "id"))
 
-    # documents that are connected stand together, in parts of about half a group; parts of one such set need not meet
-    sets = members.groupBy("cluster", "tied").agg(F.count(F.lit(1)).alias("k"))
-    sets = materialize(sets, "ngram-sets")
+    # connected documents stand together, in parts of about half a group; parts of one connected set need not meet
     half = CLUSTER // 2
+    sizes = materialize(members.groupBy("cluster", "tied").agg(F.count(F.lit(1)).alias("k")), "ngram-sizes")
     whole = F.col("k") >= half
     share = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("k") / half))
     spread = F.pmod(F.xxhash64("tied", F.lit(7)), F.ceil(F.col("n") / half))
-    # part numbers: own ones for a large connected set, shared ones for the rest
-    placed = members.join(sets, ["cluster", "tied"]).select(
+    placed = members.join(sizes, ["cluster", "tied"]).select(
         "id", "cluster", "tied", F.when(whole, F.xxhash64("tied", share, F.lit(1))).otherwise(F.xxhash64("cluster", spread, F.lit(2))).alias("part"),
         F.when(whole, F.col("tied")).alias("one"),
     )
     placed = materialize(placed, "ngram-placed")
     units = placed.select("cluster", "part", "one").distinct()
     other = units.select("cluster", F.col("part").alias("part2"), F.col("one").alias("one2"))
-    # pairs of parts, of a part with itself where it holds several sets
+    # each pair of parts, and a part with itself where it holds several connected sets
     meet = units.join(other, "cluster").filter("part <= part2 and not (one is not null and one <=> one2)")
     meet = meet.select("part", "part2", F.xxhash64("part", "part2").alias("key"))
     ends = meet.select("part", "key").union(meet.filter("part <> part2").select(F.col("part2").alias("part"), "key"))
-    return near.union(links_of(placed.join(ends, "part").select("id", "key", "cluster", "tied"), _verify))
+    rest = placed.join(ends, "part").select("id", "tied", "key").join(sets, "id")
+    return near.union(grouped(rest, "key", buckets).applyInArrow(_verify_parts(percent), _LINKS))
 
 
 def _null(name: str):
