@@ -49,9 +49,9 @@ def round6(value: Column) -> Column:
 
 
 def rate(positive: Column, negative: Column, digits: int = 6) -> Column:
-    """positive / (positive + negative), rounded; null if both are zero or either is null."""
-    total = positive + negative
-    return F.round(positive.cast("double") / F.nullif(total, F.lit(0)), digits)
+    """positive / (positive + negative), rounded on the scaled number, so that decimal ties go up; null if both are zero or either is null."""
+    share = positive.cast("double") / F.nullif(positive + negative, F.lit(0))
+    return F.round(share * F.lit(10.0**digits)) / F.lit(10.0**digits)
 
 
 def component_sum(*parts: Column) -> Column:

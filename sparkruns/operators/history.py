@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import MICROS_PER_DAY, elapsed_days, rate, round6, truth
+from ..functions.columns import MICROS_PER_DAY, elapsed_days, rate, truth
+from ..sources.tables import fresh, scratch
+from .rank import running
 
 WINDOWS = (30, 90, 150, 365)
 
@@ -63,40 +65,71 @@ def last_response(df: DataFrame, key: str, at: str, ts: str, answered: Column, v
     """Value and days since the last answered row before each row; older calendar years than ``years_back`` do not count."""
     w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(answered, F.struct(F.col(ts).alias("ts"), F.col(value).alias("value"))), ignorenulls=True).over(w)
-    df = df.withColumn("_last", last)
+    (seen,) = fresh(df, "last")
+    out = df.withColumn(seen, last)
     if years_back is not None:
-        df = df.withColumn("_last", F.when(F.year("_last.ts") >= F.year(ts) - years_back, F.col("_last")))
-    return df.select(*[c for c in df.columns if c != "_last"], F.col("_last.value").alias(f"last_answered_{value}"), elapsed_days(F.col("_last.ts"), F.col(ts)).alias("days_since_answer"))
+        out = out.withColumn(seen, F.when(F.year(f"{seen}.ts") >= F.year(ts) - years_back, F.col(seen)))
+    return out.select(*df.columns, F.col(f"{seen}.value").alias(f"last_answered_{value}"), elapsed_days(F.col(f"{seen}.ts"), F.col(ts)).alias("days_since_answer"))
 
 
 def prior_decliners(df: DataFrame, run: str, order: list, who: str, declined: Column, name: str = "prior_decliners") -> DataFrame:
     """Distinct decliners before each row of a run: first declines are marked, then counted."""
     first = F.row_number().over(Window.partitionBy(run, who, declined).orderBy(*order)) == 1
-    marked = df.withColumn("_first", F.when(declined & first, 1).otherwise(0))
+    (mark,) = fresh(df, "mark")
+    marked = df.withColumn(mark, F.when(declined & first, 1).otherwise(0))
     w = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return marked.withColumn(name, F.coalesce(F.sum("_first").over(w), F.lit(0))).drop("_first")
+    return marked.withColumn(name, F.coalesce(F.sum(mark).over(w), F.lit(0))).drop(mark)
 
 
 def prior_event_counts(facts: DataFrame, events: DataFrame, key: str, at: str, name: str, windows=WINDOWS) -> DataFrame:
     """Events of another stream (key, at) in the windows before each fact."""
-    both = facts.withColumn("_event", F.lit(0)).unionByName(events.select(key, at, F.lit(1).alias("_event")), allowMissingColumns=True)
-    counts = [trailing_sum(F.col("_event"), [key], at, d).alias(f"{name}_{d}d") for d in windows]
-    return both.select("*", *counts).filter("_event = 0").drop("_event")
+    (mark,) = fresh(facts, "mark")
+    both = facts.withColumn(mark, F.lit(0)).unionByName(events.select(key, at, F.lit(1).alias(mark)), allowMissingColumns=True)
+    counts = [trailing_sum(F.col(mark), [key], at, d).alias(f"{name}_{d}d") for d in windows]
+    return both.select("*", *counts).filter(F.col(mark) == 0).drop(mark)
+
+
+def ranged_sums(events: DataFrame, keys: list[str], at: str, measures: dict[str, Column], windows) -> DataFrame:
+    """Per key and timestamp the measures' sums over each window before it, for keys that may hold any share of the rows.
+
+    Rows of a timestamp are summed before they move. The running sums walk ranges of (key, time) instead of whole keys;
+    where a window begins, a row of zeros marks the sum so far, and comes back by equality.
+    """
+    by_ts = events.groupBy(*keys, at).agg(*(F.sum(c).alias(n) for n, c in measures.items()))
+    starts = F.array(*(F.col(at) - d * MICROS_PER_DAY for d in windows))
+    marks = by_ts.select(*keys, F.explode(starts).alias(at), *(F.lit(0).cast(t).alias(n) for n, t in by_ts.dtypes if n in measures))
+    points = by_ts.withColumn("real", F.lit(1)).unionByName(marks.withColumn("real", F.lit(0)))
+    points = points.groupBy(*keys, at).agg(*(F.sum(n).alias(n) for n in measures), F.max("real").alias("real"))
+    run = running(points, keys, [at], list(measures))
+    # sums strictly before each point, in one array
+    run = run.select(*keys, at, "real", F.array(*((F.col(f"{n}_to") - F.coalesce(F.col(n), F.lit(0))).cast("double") for n in measures)).alias("before"))
+    run = scratch(run, "running")
+    here = run.filter("real = 1").drop("real")
+    asked = here.select(*keys, F.col(at).alias("t"), F.posexplode(starts).alias("w", at))
+    older = asked.join(run.drop("real"), [*keys, at]).groupBy(*keys, "t").agg(F.collect_list(F.struct("w", "before")).alias("older"))
+    out = here.withColumnRenamed(at, "t").join(older, [*keys, "t"])
+    at_w = lambda i: F.filter("older", lambda x: x["w"] == i)[0]["before"]
+    return out.select(*keys, F.col("t").alias(at), *((F.col("before")[j] - at_w(i)[j]).alias(f"{n}_{d}") for i, d in enumerate(windows) for j, n in enumerate(measures)))
 
 
 def org_history(runs: DataFrame, org: str, at: str, stratum: str, windows=WINDOWS) -> DataFrame:
     """Per window, of earlier runs of an organisation: shares of flags, mean declines and length, placement rate in the same stratum.
 
-    Columns: dcd, placed_any, placed_both, wasted_both, out_of_sequence (0/1), first_accept_declines, run_len.
+    Columns: dcd, placed_any, placed_both, wasted_both, out_of_sequence (0/1), first_accept_declines, run_len. There are
+    few organisations with very many runs each, so that sums are ranged over all tasks.
     """
-    out = []
-    for d in windows:
-        for name in ("dcd", "placed_any", "placed_both", "wasted_both", "out_of_sequence"):
-            out.append(F.round(trailing_mean(truth(F.col(name)), [org], at, d), 6).alias(f"org_{name}_frac_{d}d"))
-        out.append(F.round(trailing_mean(truth(F.col("placed_any")), [org, stratum], at, d), 6).alias(f"org_stratum_rate_{d}d"))
-        out.append(F.round(trailing_mean(F.when(F.col("placed_any") == 1, F.col("first_accept_declines")), [org], at, d), 6).alias(f"org_mean_declines_{d}d"))
-        out.append(F.round(trailing_mean(F.col("run_len"), [org], at, d), 6).alias(f"org_mean_run_len_{d}d"))
-    return runs.select("*", *out)
+    flags = ("dcd", "placed_any", "placed_both", "wasted_both", "out_of_sequence")
+    means = {f"{n}_frac": truth(F.col(n)) for n in flags} | {"mean_declines": F.when(F.col("placed_any") == 1, F.col("first_accept_declines")), "mean_run_len": F.col("run_len")}
+
+    def joined(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+        measures = {f"sum_{n}": c.cast("double") for n, c in values.items()} | {f"n_{n}": F.when(c.isNotNull(), 1).otherwise(0) for n, c in values.items()}
+        sums = ranged_sums(runs.dropna(subset=keys), keys, at, measures, windows)
+        out = [F.when(F.col(f"n_{n}_{d}") > 0, F.col(f"sum_{n}_{d}") / F.col(f"n_{n}_{d}")).alias(f"org_{n}_{d}d") for d in windows for n in values]
+        return df.join(sums.select(*keys, at, *out), [*keys, at], "left")
+
+    out = joined(joined(runs, [org], means), [org, stratum], {"stratum_rate": truth(F.col("placed_any"))})
+    names = [f"org_{n}_{d}d" for d in windows for n in [*(f"{f}_frac" for f in flags), "stratum_rate", "mean_declines", "mean_run_len"]]
+    return out.select(*runs.columns, *names)
 
 
 def _sums_by_time(events: DataFrame, keys: list[str], at: str, measures: dict[str, Column], windows) -> DataFrame:
@@ -138,15 +171,16 @@ def acceptance_history(df: DataFrame, accepted: DataFrame, keys: list[str], at:
     out = []
     for d in windows:
         n = F.nullif(F.col(f"_n_{d}"), F.lit(0))
-        out += [round6(F.col(f"{m}_{d}") / n).alias(f"{label}_{d}d") for m, label in (("_seq", "mean_accepted_seq"), ("_share", "mean_accepted_share"), ("_late", "late_rate"))]
+        out += [(F.col(f"{m}_{d}") / n).alias(f"{label}_{d}d") for m, label in (("_seq", "mean_accepted_seq"), ("_share", "mean_accepted_share"), ("_late", "late_rate"))]
     return df.join(sums.select(*keys, at, *out), [*keys, at], "left")
 
 
 def prior_success_rate(df: DataFrame, key: str, order: list, success: Column, name: str = "prior_success") -> DataFrame:
-    """Share of successes among strictly earlier rows; null for the first."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    n = F.count(F.lit(1)).over(w)
-    return df.withColumn(name, F.when(n > 0, F.round(F.sum(F.when(success, 1).otherwise(0)).over(w).cast("double") / n, 6)))
+    """Share of successes among strictly earlier rows; null for the first. The order tells rows of a key apart."""
+    one, good = fresh(df, "one", "good")
+    run = running(df.withColumns({one: F.lit(1), good: F.when(success, 1).otherwise(0)}), [key], order, [one, good])
+    n = F.col(f"{one}_to") - 1
+    return run.select(*df.columns, F.when(n > 0, (F.col(f"{good}_to") - F.col(good)).cast("double") / n).alias(name))
 
 
 def declines_before(df: DataFrame, run: str, order: list, declined: Column, name: str = "declines_before") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_nm
+from ..sources.tables import fresh
 from .rank import latest_per_key
 
 
@@ -18,8 +19,9 @@ def enrich(fact: DataFrame, dims: list[tuple[DataFrame, list[str]]]) -> DataFram
 
 def enrich_compound(fact: DataFrame, dim: DataFrame, key: str, part: str) -> DataFrame:
     """Left join on a key and a second part of which null equals the empty string."""
-    side = dim.withColumns({"_part": F.coalesce(F.col(part), F.lit(""))}).drop(part)
-    return fact.withColumn("_part", F.coalesce(F.col(part), F.lit(""))).join(side, [key, "_part"], "left").drop("_part")
+    (known,) = fresh(fact.select(*fact.columns, *(F.lit(1).alias(c) for c in dim.columns)), "part")
+    side = dim.withColumn(known, F.coalesce(F.col(part), F.lit(""))).drop(part)
+    return fact.withColumn(known, F.coalesce(F.col(part), F.lit(""))).join(side, [key, known], "left").drop(known)
 
 
 def valid_at(facts: DataFrame, history: DataFrame, keys: list[str], ts: str, begin: str, end: str, values: list[str]) -> DataFrame:
@@ -33,13 +35,14 @@ def valid_at(facts: DataFrame, history: DataFrame, keys: list[str], ts: str, beg
     larger values. Intervals without a begin, or that end by it, hold nothing.
     """
     history = _disjoint(history.select(*keys, F.col(begin).alias("_at"), F.col(end).alias("_end"), F.struct(*values).alias("_values")), keys)
-    marks = history.select(*keys, "_at", F.struct(F.col("_end").alias("end"), F.col("_values").alias("values")).alias("_state"), F.lit(0).alias("_fact"))
-    rows = facts.withColumns({"_at": F.col(ts), "_fact": F.lit(1)})
-    w = Window.partitionBy(*keys).orderBy("_at", "_fact").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_last", F.last("_state", ignorenulls=True).over(w))
-    open_ = F.col("_last.end").isNull() | (F.col("_last.end") > F.col("_at"))
-    out = both.filter("_fact = 1")
-    return out.select(*facts.columns, *(F.when(F.col("_last").isNotNull() & open_, F.col("_last.values")[v]).alias(v) for v in values))
+    at, state, fact, last = fresh(facts, "at", "state", "fact", "last")
+    marks = history.select(*keys, F.col("_at").alias(at), F.struct(F.col("_end").alias("end"), F.col("_values").alias("values")).alias(state), F.lit(0).alias(fact))
+    rows = facts.withColumns({at: F.col(ts), fact: F.lit(1)})
+    w = Window.partitionBy(*keys).orderBy(at, fact).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn(last, F.last(state, ignorenulls=True).over(w))
+    open_ = F.col(f"{last}.end").isNull() | (F.col(f"{last}.end") > F.col(at))
+    out = both.filter(F.col(fact) == 1)
+    return out.select(*facts.columns, *(F.when(F.col(last).isNotNull() & open_, F.col(f"{last}.values")[v]).alias(v) for v in values))
 
 
 def _disjoint(history: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,11 +91,12 @@ def _pieces(table):
 
 def asof_backward(facts: DataFrame, events: DataFrame, keys: list[str], ts: str, value: str, lag: int = 0) -> DataFrame:
     """The value of the last event at or before ``ts - lag`` (whole numbers) of the same keys."""
-    marks = events.select(*keys, (F.col(ts) + lag).alias("_at"), F.struct(F.col(ts), F.col(value)).alias("_event"), F.lit(0).alias("_fact"))
-    rows = facts.withColumns({"_at": F.col(ts), "_fact": F.lit(1)})
-    w = Window.partitionBy(*keys).orderBy("_at", "_fact").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_last", F.last("_event", ignorenulls=True).over(w))
-    return both.filter("_fact = 1").select(*facts.columns, F.col(f"_last.{value}").alias(value))
+    at, event, fact, last = fresh(facts, "at", "event", "fact", "last")
+    marks = events.select(*keys, (F.col(ts) + lag).alias(at), F.struct(F.col(ts), F.col(value)).alias(event), F.lit(0).alias(fact))
+    rows = facts.withColumns({at: F.col(ts), fact: F.lit(1)})
+    w = Window.partitionBy(*keys).orderBy(at, fact).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn(last, F.last(event, ignorenulls=True).over(w))
+    return both.filter(F.col(fact) == 1).select(*facts.columns, F.col(f"{last}.{value}").alias(value))
 
 
 def exists_flag(df: DataFrame, keys: DataFrame, on: list[str], name: str) -> DataFrame:

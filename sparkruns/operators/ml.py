@@ -79,6 +79,30 @@ def fit_binary(df: DataFrame, target: str, numeric: list[str], categorical: list
     return BinaryModel(Pipeline(stages=[*encoder(numeric, categorical), learner]).fit(rows), numeric, categorical)
 
 
+#: Learners of run models, in order of preference.
+RUN_BACKENDS = ("gbt", "rf")
+
+
+def fit_with_fallback(df: DataFrame, target: str, numeric: list[str], categorical: list[str] = [], backends=RUN_BACKENDS, **settings):  # noqa: B006
+    """The first learner of a chain that can be fitted; if none can, the share of positives as a constant.
+
+    The model's ``backend`` says which it was, and ``failures`` why those before it could not.
+    """
+    failures: list[tuple[str, str]] = []
+    for backend in backends:
+        try:
+            model = fit_binary(df, target, numeric, categorical, backend=backend, **settings)
+        except Exception as e:  # a learner may refuse the data in its own way, and the next one is tried
+            failures.append((backend, f"{type(e).__name__}: {e}"))
+            continue
+        model.backend, model.failures = "constant" if isinstance(model, ConstantModel) else backend, failures
+        return model
+    share = df.agg(F.avg(F.col(target).cast("double"))).first()[0]
+    model = ConstantModel(0.5 if share is None else float(share))
+    model.backend, model.failures = "constant", failures
+    return model
+
+
 def feature_importance(model, n: int | None = None) -> list[tuple[str, float]]:
     """Features and their importance, highest first."""
     if isinstance(model, ConstantModel):

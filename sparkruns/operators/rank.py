@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import fresh, scratch
+
 
 def ordered(order: list) -> list[Column]:
     """Sort keys with nulls last; a leading minus in a name sorts it descending."""
@@ -17,13 +19,40 @@ def ordered(order: list) -> list[Column]:
     return out
 
 
+def running(df: DataFrame, keys: list[str], by: list[str], sums: list[str]) -> DataFrame:
+    """Running sums (``<sum>_to``, the row included) and totals (``<sum>_all``) along an order within the keys.
+
+    ``by`` must tell the rows of a key apart; a leading minus sorts descending. Rows are ranged by keys and order over
+    all tasks, summed within each, and each range starts from the sums of those before it, so that a key of any size is
+    no task of its own. Only the ranges' own sums are ordered in one place.
+    """
+    ranged, part, before = fresh(df, "range", "part", "before")
+    # written once: the ranges must be the same for their sums and for their rows
+    spread = df.repartitionByRange(*(F.col(k) for k in keys), *ordered(by)).withColumn(ranged, F.spark_partition_id())
+    spread = scratch(spread, "ranges")
+    parts = spread.groupBy(*keys, ranged).agg(*(F.sum(c).alias(f"{part}_{c}") for c in sums))
+    ahead = Window.partitionBy(*keys).orderBy(ranged).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    starts = parts.select(
+        *(F.col(k).alias(f"{before}_{k}") for k in keys), F.col(ranged).alias(f"{before}_{ranged}"),
+        *(F.coalesce(F.sum(f"{part}_{c}").over(ahead), F.lit(0)).alias(f"{before}_{c}") for c in sums), *(F.sum(f"{part}_{c}").over(whole).alias(f"{c}_all") for c in sums),
+    )
+    same = F.col(ranged) == F.col(f"{before}_{ranged}")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{before}_{k}"))
+    w = Window.partitionBy(*keys, ranged).orderBy(*ordered(by)).rowsBetween(Window.unboundedPreceding, 0)
+    to = (F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"{before}_{c}") for c in sums)
+    return spread.join(starts, same).select(*df.columns, *(f"{c}_all" for c in sums), *(t.alias(f"{c}_to") for t, c in zip(to, sums, strict=True)))
+
+
 def numbered(df: DataFrame, keys: list, order: list, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered(order))))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an order; Spark limits each partition's groups before the shuffle."""
-    return numbered(df, keys, order, "_n").filter("_n = 1").drop("_n")
+    (n,) = fresh(df, "n")
+    return numbered(df, keys, order, n).filter(F.col(n) == 1).drop(n)
 
 
 def preferred_type(df: DataFrame, keys: list[str], kind: str, preferred: list[str], then: list) -> DataFrame:
@@ -51,7 +80,8 @@ def sort_key(df: DataFrame, keys: list[str], ts_micros: str, order: list, name:
 
 def nth_event(df: DataFrame, run: str, condition: Column, order: list, n: int) -> DataFrame:
     """The n-th row of a kind in each run."""
-    return numbered(df.filter(condition), [run], order, "_n").filter(F.col("_n") == n).drop("_n")
+    (place,) = fresh(df, "place")
+    return numbered(df.filter(condition), [run], order, place).filter(F.col(place) == n).drop(place)
 
 
 def best_row(df: DataFrame, run: str, score: str, rank: str) -> DataFrame:
@@ -65,8 +95,9 @@ def top_rows(df: DataFrame, run: str, score: str, rank: str, k: int) -> DataFram
 
 def limit_runs(df: DataFrame, run: str, split: str, ts: str, n: int) -> DataFrame:
     """All rows of the first ``n`` runs of each split by their first timestamp, then by run."""
-    runs = df.groupBy(split, run).agg(F.min(ts).alias("_first"))
-    some = numbered(runs, [split], ["_first", run], "_n").filter(F.col("_n") <= n).select(split, run)
+    first, place = fresh(df, "first", "place")
+    runs = df.groupBy(split, run).agg(F.min(ts).alias(first))
+    some = numbered(runs, [split], [first, run], place).filter(F.col(place) <= n).select(split, run)
     return df.join(some, [split, run], "left_semi")
 
 
@@ -76,4 +107,6 @@ def distinct_on(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def priority_match(facts: DataFrame, offers: DataFrame, keys: list[str], fact_id: str, priority: Column, order: list) -> DataFrame:
     """For each fact the best of the offers that share its keys: lowest priority number, then an order."""
-    return latest_per_key(facts.join(offers, keys).withColumn("_priority", priority), [fact_id], ["_priority", *order]).drop("_priority")
+    both = facts.join(offers, keys)
+    (first,) = fresh(both, "priority")
+    return latest_per_key(both.withColumn(first, priority), [fact_id], [first, *order]).drop(first)

@@ -20,7 +20,7 @@ def score_summary(rows: DataFrame, run: str = "run_id", rank: str = "offer_rank"
     best = {f"score_top{k}_max": F.max(F.when(r <= k, s)) for k in (10, 25, 50)}
     gap = F.coalesce(F.avg(F.when(r <= 25, s)), F.lit(0.0)) - F.coalesce(F.avg(F.when(r > 50, s)), F.lit(0.0))
     aggs = {"score_max": F.max(s), "score_mean": F.avg(s), **head, "score_sum_tail": F.sum(F.when(r > 50, s).otherwise(0.0)), **best, "score_head_minus_tail": gap}
-    return rows.groupBy(run).agg(*(F.round(c, 6).alias(n) for n, c in aggs.items()))
+    return rows.groupBy(run).agg(*(c.alias(n) for n, c in aggs.items()))
 
 
 def run_features(runs: DataFrame, summary: DataFrame, columns: list[str]) -> DataFrame:

@@ -143,7 +143,7 @@ def _success(spark, sf_dir: str, donors: DataFrame) -> DataFrame:
     """Share of earlier donors of the organisation with a placed organ, by the day of recovery."""
     had = source(spark, sf_dir, "offer").filter("ptr_org_placed is not null").select("donor_id")
     rows = J.exists_flag(donors.select("donor_id", "don_opo_ctr_id", F.coalesce("don_recov_dt", F.lit("1900-01-01").cast("timestamp")).alias("at")), had, ["donor_id"], "had")
-    return H.prior_success_rate(rows, "don_opo_ctr_id", ["at", "donor_id"], F.col("had") == 1, "don_opo_success_rate_historical").select("donor_id", "don_opo_success_rate_historical")
+    return H.prior_success_rate(rows, "don_opo_ctr_id", ["at", "donor_id"], F.col("had") == 1, "success").select("donor_id", F.round("success", 6).alias("don_opo_success_rate_historical"))
 
 
 def base(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bucketize
 from ..operators import evaluate as V
+from ..operators import joins as J
 from ..operators import labels as L
 from ..operators import ml as M
+from ..operators import rank as R
 from ..operators import runs as N
 from ..operators import sampling as P
 from ..sources.tables import scan, scratch_path, write_table
@@ -75,6 +77,47 @@ def ag24_box(spark, sf_dir):
     return V.box_summary(_scored(spark, sf_dir), ["target"], "fine")
 
 
+_CONTINUOUS = "(run_id * 15485863 + candidate * 7919 + offer_rank * 104729) % 1000003"
+
+
+def _continuous(spark, sf_dir):
+    """Scores that hardly two rows share."""
+    o = offers(spark, sf_dir)
+    return o.select("run_id", "offer_rank", "status", F.when(F.col("response") == "Y", 1).otherwise(0).alias("target"), (F.expr(_CONTINUOUS) / F.lit(1000003.0)).alias("score"))
+
+
+_CONTINUOUS_SQL = f"{WITH}, s AS (SELECT run_id, offer_rank, status, {_TARGET} AS target, ({_CONTINUOUS}) / 1000003.0::DOUBLE AS score FROM offers)"
+
+
+@query("ag21_binary_metrics_continuous", f"""{_CONTINUOUS_SQL}, g AS (SELECT score, sum(target)::DOUBLE AS p, sum(1 - target)::DOUBLE AS q, sum((score - target) ** 2) AS e FROM s GROUP BY 1),
+w AS (SELECT *, sum(p) OVER d AS tp, sum(q) OVER d AS fp, sum(q) OVER () AS allq FROM g WINDOW d AS (ORDER BY score DESC))
+SELECT (sum(p) + sum(q))::BIGINT AS n, round(sum(e) / (sum(p) + sum(q)), 6) AS brier, round(sum(p * (allq - fp + q / 2)) / (sum(p) * sum(q)), 6) AS roc_auc, round(sum(p * tp / (tp + fp)) / sum(p), 6) AS average_precision FROM w""")
+def ag21_continuous(spark, sf_dir):
+    return V.binary_metrics(_continuous(spark, sf_dir), [], "target", "score")
+
+
+@query("ag23_score_deciles_continuous", f"""{_CONTINUOUS_SQL}, e AS (SELECT list_sort(list_distinct(quantile_cont(score, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM s)
+SELECT greatest(len(list_filter(edges, lambda x: x < score)), 1)::INT AS decile, count(*) AS n, round(avg(target), 6) AS positive_rate, min(score) AS least, max(score) AS most FROM s, e GROUP BY 1""")
+def ag23_continuous(spark, sf_dir):
+    return V.score_deciles(_continuous(spark, sf_dir), "score", "target")
+
+
+def _rank_histogram_sql(value: str) -> str:
+    return f"""{WITH_LABELS}, v AS (SELECT ({value})::DOUBLE AS x FROM labels WHERE run_state = '{L.LOCALIZABLE}'), e AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo, CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM v),
+k AS (SELECT least(floor((x - lo) / ((hi - lo) / 30)), 29)::INT AS bin, count(*) AS n FROM v, e WHERE x IS NOT NULL GROUP BY 1)
+SELECT bin::INT AS bin, round(lo + bin * ((hi - lo) / 30), 6) AS lower, round(CASE WHEN bin = 29 THEN hi ELSE lo + (bin + 1) * ((hi - lo) / 30) END, 6) AS upper, coalesce(n, 0) AS n FROM (SELECT unnest(range(30))::INT AS bin) CROSS JOIN e LEFT JOIN k USING (bin)"""
+
+
+@query("ag24_rank_histogram", _rank_histogram_sql("first_y_rank"))
+def ag24_ranks(spark, sf_dir):
+    return V.rank_histogram(labels(spark, sf_dir).filter(F.col("run_state") == L.LOCALIZABLE), "first_y_rank")
+
+
+@query("ag24_share_histogram", _rank_histogram_sql("first_y_share"))
+def ag24_rank_shares(spark, sf_dir):
+    return V.rank_histogram(labels(spark, sf_dir).filter(F.col("run_state") == L.LOCALIZABLE), "first_y_share")
+
+
 @query("ag25_empirical_cdf", f"{_PREDICTED} SELECT split, run_len, round((sum(count(*)) OVER (PARTITION BY split ORDER BY run_len))::DOUBLE / sum(count(*)) OVER (PARTITION BY split), 6) AS cdf FROM p GROUP BY 1, 2")
 def ag25(spark, sf_dir):
     return V.empirical_cdf(_predicted(spark, sf_dir), "split", "run_len")
@@ -100,9 +143,9 @@ def ag27(spark, sf_dir):
     return V.confusion(p.select(of("first_y_rank").alias("true_bucket"), of("predicted_rank").alias("predicted_bucket")), "true_bucket", "predicted_bucket", ["early", "mid", "late"])
 
 
-@query("ag28_recall_precision", f"""{_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY fine DESC, offer_rank) AS place, sum(target) OVER (PARTITION BY run_id) AS total FROM s),
-a AS (SELECT run_id, k, max(total) AS total, sum(CASE WHEN place <= k THEN target ELSE 0 END) AS h, count(*) FILTER (place <= k) AS n FROM r, (VALUES (1), (3), (5), (10)) v(k) WHERE total > 0 GROUP BY 1, 2)
-SELECT k, round(avg(h / total), 6) AS recall, round(avg(h / n), 6) AS precision FROM a GROUP BY 1""")
+@query("ag28_recall_precision", f"""{_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY fine DESC, offer_rank) AS place FROM s),
+a AS (SELECT run_id, k, max(target) AS hit, avg(target) AS share FROM r, (VALUES (1), (3), (5), (10)) v(k) WHERE place <= k GROUP BY 1, 2)
+SELECT k, round(avg(hit), 6) AS recall, round(avg(share), 6) AS precision FROM a GROUP BY 1""")
 def ag28(spark, sf_dir):
     return V.recall_precision_at(_scored(spark, sf_dir), "run_id", "fine", "offer_rank", "target")
 
@@ -115,9 +158,18 @@ def ag29(spark, sf_dir):
     return V.rate_by_bucket(p, bucketize(F.col("run_len"), [2, 5, 50], names), names, F.abs(F.col("predicted_rank") - F.col("first_y_rank")) <= 1)
 
 
-@query("ag30_compare_baselines", f"{_PREDICTED}, l AS (SELECT * FROM p WHERE first_y_rank IS NOT NULL) SELECT 'pipeline' AS model, count(*) AS n, {_HITS('predicted_rank')}, round(avg(CASE WHEN predicted_rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM l UNION ALL SELECT 'rank_one', count(*), {_HITS('rank_one')}, 1.0 FROM l")
+@query("ag30_compare_baselines", f"""{_PREDICTED}, h AS (SELECT first_y_rank AS r, count(*) AS n FROM labels WHERE split = 'train' AND first_y_rank IS NOT NULL GROUP BY 1),
+best AS (SELECT run_id, offer_rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {SCORE_SQL} DESC, offer_rank) AS n FROM offers) WHERE n = 1 AND run_id % 7 <> 0),
+l AS (SELECT p.*, coalesce((SELECT r FROM h WHERE r <= run_len ORDER BY n DESC, r LIMIT 1), 1) AS empirical, coalesce(best.offer_rank, 1) AS best_rank FROM p LEFT JOIN best USING (run_id) WHERE first_y_rank IS NOT NULL AND split = 'validation')
+""" + " UNION ALL ".join(f"SELECT '{m}' AS model, count(*) AS n, {_HITS(c)}, round(avg(CASE WHEN {c} IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM l" for m, c in (("final_pipeline", "predicted_rank"), ("empirical_rank", "empirical"), ("earliest_offer", "rank_one"), ("offerpred_only", "best_rank"))))
 def ag30(spark, sf_dir):
-    return V.compare_baselines(_predicted(spark, sf_dir).filter("first_y_rank is not null"), {"pipeline": "predicted_rank", "rank_one": "rank_one"}, "first_y_rank")
+    """The pipeline's predictions against the most frequent training rank, the first offer, and the best score alone."""
+    lab = labels(spark, sf_dir)
+    p = _predicted(spark, sf_dir).filter("first_y_rank is not null and split = 'validation'")
+    empirical = J.mode_feasible(lab.filter("split = 'train' AND first_y_rank IS NOT NULL"), p.select("run_id", "run_len"), "first_y_rank", "run_len")
+    best = R.best_row(_scored(spark, sf_dir), "run_id", "fine", "offer_rank").filter("run_id % 7 <> 0").select("run_id", F.col("offer_rank").alias("best"))
+    rows = p.join(empirical.select("run_id", F.col("predicted_rank").alias("empirical")), "run_id").join(best, "run_id", "left").withColumn("best", F.coalesce("best", F.lit(1)))
+    return V.compare_baselines(rows, {"final_pipeline": "predicted_rank", "empirical_rank": "empirical", "earliest_offer": "rank_one", "offerpred_only": "best"}, "first_y_rank")
 
 
 @query("ag31_scorecard", f"""{_SCORED}, m AS (SELECT status, round(avg(score), 6) AS mean_score, CASE WHEN status = 'P' THEN NULL ELSE round(avg(target), 6) END AS positive_rate FROM s GROUP BY 1)
@@ -127,26 +179,29 @@ def ag31(spark, sf_dir):
     return V.scorecard(m.withColumn("positive_rate", F.when(F.col("status") != "P", F.col("positive_rate")).otherwise(F.lit(float("nan")))), ["status"], ["mean_score", "positive_rate"])
 
 
-# sampling and models: hashes and fitted trees differ between engines, so these have no SQL
+# sampling, by a hash that both engines have
+
+_HASH = lambda seed, *keys: f"md5(concat_ws(':', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)}))"
 
 
-@query("ml01_downsample")
+@query("ml01_downsample", f"""{_SCORED}, n AS (SELECT least(1.0, sum(target)::DOUBLE / greatest(sum(1 - target), 1)) AS share FROM s)
+SELECT run_id, offer_rank, target FROM s, n WHERE target = 1 OR substr({_HASH(5, 'run_id', 'offer_rank')}, 1, 10) < format('{{:010x}}', ceil(share * 1099511627776)::BIGINT)""")
 def ml01(spark, sf_dir):
     return P.downsample_negatives(_scored(spark, sf_dir), ["run_id", "offer_rank"], "target", 1.0, seed=5).select("run_id", "offer_rank", "target")
 
 
-@query("ml02_sample_runs")
+@query("ml02_sample_runs", f"""{_SCORED}, r AS (SELECT status, run_id, count(*) AS len FROM s GROUP BY 1, 2), t AS (SELECT status, greatest(floor(500 / avg(len)), 1) AS take FROM r GROUP BY 1),
+o AS (SELECT status, run_id, row_number() OVER (PARTITION BY status ORDER BY {_HASH(0, 'run_id')}, run_id) AS n FROM r) SELECT s.run_id, offer_rank, s.status FROM s JOIN o USING (status, run_id) JOIN t USING (status) WHERE n <= take""")
 def ml02(spark, sf_dir):
     return P.sample_runs(_scored(spark, sf_dir), "run_id", ["status"], 500).select("run_id", "offer_rank", "status")
 
 
-@query("sf11_hash_order")
+@query("sf11_hash_order", f"{_SCORED} SELECT run_id, offer_rank, row_number() OVER (PARTITION BY status ORDER BY {_HASH(0, 'run_id', 'offer_rank')}, run_id, offer_rank) AS place FROM s")
 def sf11(spark, sf_dir):
-    from pyspark.sql import Window
+    return P.hash_order(_scored(spark, sf_dir), ["status"], ["run_id", "offer_rank"]).select("run_id", "offer_rank", "place")
 
-    n = F.row_number().over(Window.partitionBy("status").orderBy(F.xxhash64("run_id"), "run_id", "offer_rank"))
-    return _scored(spark, sf_dir).withColumn("place", n).select("run_id", "offer_rank", "place")
 
+# models: fitted trees differ between engines, so these have no SQL
 
 _NUM, _CAT = ["score_points", "discount", "tax", "offer_rank"], ["band", "status"]
 
@@ -184,7 +239,7 @@ def ml05(spark, sf_dir):
     path = scratch_path(spark, "runs")
     write_table(L.run_rows(o, lab, features, CONFIG), path)
     runs = scan(spark, path)
-    model = M.fit_binary(runs.filter("split = 'train'"), "discard_target", ["max_points", "mean_discount", "n_dcd", "run_len"], backend="rf", iterations=10, depth=4)
+    model = M.fit_with_fallback(runs.filter("split = 'train'"), "discard_target", ["max_points", "mean_discount", "n_dcd", "run_len"], iterations=10, depth=4)
     return model.transform(runs).select("run_id", "split", "discard_target", F.round("probability_1", 6).alias("discard_probability"))
 
 

@@ -12,6 +12,7 @@ from ..operators import labels as L
 from ..operators import rank as R
 from ..operators import rollups as U
 from ..operators import runs as N
+from ..sources.tables import scratch
 from .bindings import CONFIG, SCORE_SQL, WITH, WITH_LABELS, labels, offers, outcomes, query, score, table
 
 DAY = 86_400_000_000
@@ -149,8 +150,9 @@ def _org_sql() -> str:
 
 @query("wn07_org_history", f"{WITH}, {_SUMMARY} SELECT run_id, {_org_sql()} FROM summary")
 def wn07(spark, sf_dir):
-    out = H.org_history(_summary(spark, sf_dir), "org", "at_us", "band")
-    return out.select("run_id", *(c for c in out.columns if c.startswith("org_")))
+    summary = scratch(_summary(spark, sf_dir).select("run_id", "org", "at_us", "band", "dcd", "placed_any", "placed_both", "wasted_both", "out_of_sequence", "first_accept_declines", "run_len"), "summary")
+    out = H.org_history(summary, "org", "at_us", "band")
+    return out.select("run_id", *(F.round(c, 6).alias(c) for c in out.columns if c.startswith("org_")))
 
 
 def _rate_sql(keys: str, name: str, count: bool) -> str:
@@ -206,13 +208,13 @@ def wn11(spark, sf_dir):
     lens = o.groupBy("run_id").agg(F.count(F.lit(1)).alias("run_len"), F.max("at_us").alias("at_us"))
     acc = _organs(spark, sf_dir).filter("accepted_center is not null").join(lens, "run_id").select(F.col("accepted_center").alias("center"), "accepted_seq", "run_len", "at_us")
     out = H.acceptance_history(o, acc, ["center"], "at_us", "run_len", "accepted_seq")
-    return out.select("run_id", "offer_rank", *(c for c in out.columns if c.startswith(("mean_", "late_"))))
+    return out.select("run_id", "offer_rank", *(round6(F.col(c)).alias(c) for c in out.columns if c.startswith(("mean_", "late_"))))
 
 
 @query("wn12_prior_success", f"{WITH}, r AS (SELECT run_id, max(org) AS org, max(at_us) AS m, max(status) AS status FROM offers GROUP BY 1), w AS (SELECT *, count(*) OVER f AS n, coalesce(sum(CASE WHEN status = 'F' THEN 1 ELSE 0 END) OVER f, 0) AS s FROM r WINDOW f AS (PARTITION BY org ORDER BY m, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT run_id, round(s::DOUBLE / nullif(n, 0), 6) AS prior_success FROM w")
 def wn12(spark, sf_dir):
     r = offers(spark, sf_dir).groupBy("run_id").agg(F.max("org").alias("org"), F.max("at_us").alias("m"), F.max("status").alias("status"))
-    return H.prior_success_rate(r, "org", ["m", "run_id"], F.col("status") == "F").select("run_id", "prior_success")
+    return H.prior_success_rate(r, "org", ["m", "run_id"], F.col("status") == "F").select("run_id", F.round("prior_success", 6).alias("prior_success"))
 
 
 @query("wn13_declines_before", f"{WITH} SELECT run_id, offer_rank, count(*) FILTER (response = 'N') OVER (PARTITION BY run_id ORDER BY offer_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS declines_before FROM offers")
@@ -403,7 +405,8 @@ def ag12(spark, sf_dir):
  {', '.join(f'round(sum(CASE WHEN offer_rank <= {k} THEN score ELSE 0 END), 6) AS score_sum_first{k}' for k in (10, 25, 50))}, round(sum(CASE WHEN offer_rank > 50 THEN score ELSE 0 END), 6) AS score_sum_tail,
  {', '.join(f'round(max(score) FILTER (offer_rank <= {k}), 6) AS score_top{k}_max' for k in (10, 25, 50))}, round(coalesce(avg(score) FILTER (offer_rank <= 25), 0) - coalesce(avg(score) FILTER (offer_rank > 50), 0), 6) AS score_head_minus_tail FROM s GROUP BY 1""")
 def ag17(spark, sf_dir):
-    return N.score_summary(offers(spark, sf_dir).withColumn("score", score()))
+    out = N.score_summary(offers(spark, sf_dir).withColumn("score", score()))
+    return out.select("run_id", *(F.round(c, 6).alias(c) for c in out.columns if c != "run_id"))
 
 
 def _scored(spark, sf_dir):
@@ -468,7 +471,7 @@ def jn14(spark, sf_dir):
 @query("ml09_run_feature_assembly", f"{_ROWS} SELECT run_id, coalesce(s, 0)::DOUBLE AS score_max, 0::DOUBLE AS not_there FROM labels LEFT JOIN (SELECT run_id, round(max(score), 6) AS s FROM rows_ GROUP BY 1) USING (run_id)")
 def ml09(spark, sf_dir):
     summary = N.score_summary(_scored(spark, sf_dir))
-    return N.run_features(labels(spark, sf_dir).select("run_id"), summary, ["score_max", "not_there"]).select("run_id", "score_max", "not_there")
+    return N.run_features(labels(spark, sf_dir).select("run_id"), summary, ["score_max", "not_there"]).select("run_id", F.round("score_max", 6).alias("score_max"), "not_there")
 
 
 @query("ml10_segment_training", _nudged(f"{_ROWS} SELECT run_id, segment, round(1.0 / count(*) OVER (PARTITION BY run_id), 6) AS sample_weight, ({N.SEGMENTS}::DOUBLE[])[segment] AS segment_lower, ({N.SEGMENTS}::DOUBLE[])[segment + 1] AS segment_upper FROM profile WHERE true_segment IS NOT NULL AND segment <= true_segment"))

@@ -330,6 +330,16 @@ def rk12(spark, sf_dir):
     return R.priority_match(facts, offers(spark, sf_dir), ["run_id"], "run_id", priority, ["seq", "offer_rank"]).select("run_id", "offer_rank", "center")
 
 
+@query("pr10_row_id_full", "SELECT count(*) AS n_rows, count(*) AS n_ids, 14 AS n_columns FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
+def pr10_full(spark, sf_dir):
+    """Row ids of fourteen columns and the instance ordinal tell all offers apart."""
+    from ..operators.base import ID_COLUMNS
+    from .base_queries import base
+
+    ids = base(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("match_run_rowid").alias("n_ids"))
+    return ids.withColumn("n_columns", F.lit(len(ID_COLUMNS)))
+
+
 # joins
 
 
@@ -364,6 +374,19 @@ def jn03(spark, sf_dir):
     return J.valid_at(facts, history, ["user_id"], "t", "b", "e", ["state"]).select("event_id", "state")
 
 
+_NESTED = """WITH h AS (SELECT user_id, epoch_us(ts) AS b, CASE WHEN event_id % 9 <> 0 THEN epoch_us(ts) + (1 + event_id % 5) * 20000000000 END AS e, event_type AS state, event_id AS n FROM events)"""
+
+
+@query("jn03_valid_at_nested", f"""{_NESTED}, f AS (SELECT event_id, user_id, epoch_us(ts) + 15000000000 AS t FROM events)
+SELECT f.event_id, h.state FROM f LEFT JOIN h ON f.user_id = h.user_id AND h.b <= f.t AND (h.e IS NULL OR f.t < h.e) QUALIFY row_number() OVER (PARTITION BY f.event_id ORDER BY h.b DESC NULLS LAST, h.e DESC NULLS FIRST) = 1""")
+def jn03_nested(spark, sf_dir):
+    """Intervals of a user that overlap and nest: of those that hold the fact, the latest-begun counts."""
+    e = table(spark, sf_dir, "events").withColumn("b", C.micros(F.col("ts")))
+    history = e.select("user_id", "b", F.when(F.col("event_id") % 9 != 0, F.col("b") + (1 + F.col("event_id") % 5) * 20_000_000_000).alias("e"), F.col("event_type").alias("state"))
+    facts = e.select("event_id", "user_id", (F.col("b") + 15_000_000_000).alias("t"))
+    return J.valid_at(facts, history, ["user_id"], "t", "b", "e", ["state"]).select("event_id", "state")
+
+
 @query("jn04_asof_backward", """
 SELECT f.event_id, p.value AS last_value FROM (SELECT event_id, user_id, ts - INTERVAL 1 HOUR AS t FROM events) f ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') p ON f.user_id = p.user_id AND f.t >= p.ts""")
 def jn04(spark, sf_dir):
@@ -406,18 +429,23 @@ def jn07_count(spark, sf_dir):
     return J.count_within(_distances(spark, sf_dir))
 
 
-@query("jn08_geocode", """
-WITH s AS (SELECT c_custkey AS site, lpad(CAST(c_custkey % 700 AS VARCHAR), 5, '0') AS zip, CAST(c_custkey % 90 AS VARCHAR) AS city FROM customer),
- p AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS zip, CAST(c_custkey % 60 AS VARCHAR) AS city, 20.0::DOUBLE + c_custkey % 30 AS lat, -70.0::DOUBLE - c_custkey % 40 AS lon FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 500),
+_CODE = "lpad(CAST(CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 50000000 ELSE c_custkey END AS {t}), 9, '0')"
+
+
+@query("jn08_geocode", f"""
+WITH s AS (SELECT c_custkey AS site, CASE WHEN c_custkey % 11 <> 0 THEN {_CODE.format(t='VARCHAR')} END AS zip, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 7 = 0 THEN concat('far ', c_custkey % 90) ELSE concat(c_mktsegment, c_nationkey) END AS city FROM customer),
+ p AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS zip, CASE WHEN c_custkey % 3 = 0 THEN concat('far ', c_custkey % 60) ELSE concat(c_mktsegment, c_nationkey) END AS city, 20.0::DOUBLE + c_custkey % 30 AS lat, -70.0::DOUBLE - c_custkey % 40 AS lon FROM customer),
  f AS (SELECT s.*, p.lat AS zlat, p.lon AS zlon FROM s LEFT JOIN p ON s.zip = p.zip),
  o AS (SELECT city, avg(zlat) AS olat, avg(zlon) AS olon FROM f WHERE zlat IS NOT NULL GROUP BY 1), c AS (SELECT city, avg(lat) AS clat, avg(lon) AS clon FROM p GROUP BY 1)
 SELECT site, round(coalesce(zlat, olat, clat), 6) AS lat, round(coalesce(zlon, olon, clon), 6) AS lon, CASE WHEN zlat IS NOT NULL THEN 'zip' WHEN olat IS NOT NULL THEN 'sites_of_city' WHEN clat IS NOT NULL THEN 'city' END AS geo_source
 FROM f LEFT JOIN o USING (city) LEFT JOIN c USING (city)""")
 def jn08(spark, sf_dir):
+    """Sites and codes are as many as customers; some sites have no code or one that is not listed, and some cities no coded site."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    sites = c.select(k.alias("site"), F.lpad((k % 700).cast("string"), 5, "0").alias("zip"), (k % 90).cast("string").alias("city"))
-    postal = c.filter("c_custkey % 3 = 0 AND c_custkey < 500").select(F.lpad(k.cast("string"), 5, "0").alias("zip"), (k % 60).cast("string").alias("city"), (F.lit(20.0) + k % 30).alias("lat"), (F.lit(-70.0) - k % 40).alias("lon"))
+    home, far = F.concat("c_mktsegment", "c_nationkey"), lambda n: F.concat(F.lit("far "), k % n)
+    sites = c.select(k.alias("site"), F.when(k % 11 != 0, F.expr(_CODE.format(t="STRING"))).alias("zip"), F.when((k % 5 == 0) & (k % 7 == 0), far(90)).otherwise(home).alias("city"))
+    postal = c.select(F.lpad(k.cast("string"), 9, "0").alias("zip"), F.when(k % 3 == 0, far(60)).otherwise(home).alias("city"), (F.lit(20.0) + k % 30).alias("lat"), (F.lit(-70.0) - k % 40).alias("lon"))
     return J.geocode(sites, postal).withColumns({x: F.round(x, 6) for x in ("lat", "lon")})
 
 

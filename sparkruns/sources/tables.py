@@ -20,6 +20,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that none of the table's columns has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared scratch folder and read again: computed once, and safe from lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
     """Parquet files with united schemas; folders ``key=value`` become columns that filters prune."""
     return spark.read.option("mergeSchema", True).parquet(*paths)
