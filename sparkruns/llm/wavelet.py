@@ -4,7 +4,9 @@ A shard holds the ids of consecutive documents as one bit plane for each bit of
 an id, most significant first; each plane is in the order that a stable split by
 the plane before leaves. A directory of ones before each 512 bits makes rank
 direct and select a search, so that single tokens, counts and occurrences are
-found without decoding the shard. A shard is one zstd-compressed value::
+found in place: ``tokens_at``, ``token_counts`` and ``token_occurrences`` decode
+nothing. A shard takes about as many bits for an id as the largest has, and its
+value is used as it is::
 
     magic "WVM1", uint32 bits, uint64 ids, uint64 documents,
     int64 identifier and uint64 first id of each document (and one past the last),
@@ -16,8 +18,10 @@ Spark writes to can hold them, and failed tasks leave nothing behind.
 
 Defined results: null text counts as empty and leaves the end id alone; a null
 identifier comes first and is read back as null; rows with one identifier stay
-apart, ordered by text; an empty table gives no shard and an empty result; other
-columns are not read.
+apart, ordered by text; a document is never split, so that one whose shard passes
+the two gigabytes of a binary value (about 900 million ids) fails; an empty table
+gives no shard and an empty result; other columns, whatever their names, are not
+read. Tokens that do not occur count zero; places beyond a document give null.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -151,12 +154,11 @@ def write_shard(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> byt
     parts = [b"WVM1", struct.pack("<IQQ", len(matrix.planes), len(ids), len(doc_ids)), doc_ids.astype("<i8").tobytes(), starts.astype("<u8").tobytes()]
     for zeros, plane, ranks in zip(matrix.zeros, matrix.planes, matrix.ranks, strict=True):
         parts += [struct.pack("<Q", zeros), plane.tobytes(), ranks.astype("<u4").tobytes()]
-    return zstandard.compress(b"".join(parts), 3)
+    return b"".join(parts)
 
 
-def read_shard(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
-    """The matrix, the documents' identifiers and their starts (one more)."""
-    raw = zstandard.decompress(data)
+def read_shard(raw: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
+    """The matrix, the documents' identifiers and their starts (one more), as views of the value."""
     if raw[:4] != b"WVM1":
         raise ValueError("not a token shard")
     bits, n, docs = struct.unpack_from("<IQQ", raw, 4)
@@ -247,6 +249,63 @@ def _with_start(docs: DataFrame, shards: DataFrame) -> DataFrame:
     return docs.join(offsets, ["part", "place"]).withColumn("start", F.col("before") + F.col("within"))
 
 
+def _shard_map(spark: SparkSession, folder: str, found, schema: str) -> DataFrame:
+    """Rows that ``found`` yields of each shard: (part, place, matrix, identifiers, starts)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for part, place, data in zip(*(batch.column(c).to_pylist() for c in ("part", "place", "shard")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found(part, place, *read_shard(data))], names)
+
+    return spark.read.schema(_SHARDS).parquet(folder).mapInArrow(run, schema)
+
+
+def token_counts(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
+    """(token, n): how often each id occurs in all documents, by rank."""
+
+    def found(part, place, matrix, ids, starts):
+        return np.asarray(tokens, np.int64), np.asarray([matrix.rank(t, matrix.n) for t in tokens], np.int64)
+
+    counts = _shard_map(spark, folder, found, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    asked = spark.createDataFrame([(t,) for t in sorted(set(tokens))], "token long")
+    return asked.join(counts, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def token_occurrences(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
+    """(token, id, position): each place of an id, as its document and the place in it, by select."""
+
+    def found(part, place, matrix, ids, starts):
+        at = [(t, matrix.select(t, k)) for t in sorted(set(tokens)) for k in range(matrix.rank(t, matrix.n))]
+        token, where = (np.asarray([x[i] for x in at], np.int64) for i in (0, 1))
+        doc = np.searchsorted(starts, where, side="right") - 1
+        return token, pa.array(ids[doc], pa.int64(), mask=ids[doc] == _NULL), where - starts[doc]
+
+    return _shard_map(spark, folder, found, "token long, id long, position long")
+
+
+def tokens_at(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """(id, position, token) of the rows (id, position) of ``wanted``, by access; each shard is read once, with its own rows."""
+
+    def heads(part, place, matrix, ids, starts):
+        n = len(ids)
+        return np.full(n, part, np.int32), np.full(n, place, np.int32), pa.array(ids, pa.int64(), mask=ids == _NULL), starts[:-1], np.diff(starts)
+
+    def run(rows: pa.Table, shards: pa.Table) -> pa.Table:
+        if not len(rows) or not len(shards):
+            return pa.table({"id": pa.array([], pa.int64()), "position": pa.array([], pa.int64()), "token": pa.array([], pa.int64())})
+        matrix, _, _ = read_shard(shards.column("shard")[0].as_py())
+        token = [matrix.access(i) for i in rows.column("at").to_pylist()]
+        return pa.table({"id": rows.column("id"), "position": rows.column("position"), "token": pa.array(token, pa.int64())})
+
+    docs = _shard_map(spark, folder, heads, "part int, place int, id long, within long, n_tokens long")
+    places = wanted.select("id", "position").join(docs, "id").filter("position >= 0 and position < n_tokens")
+    places = places.select("part", "place", "id", "position", (F.col("within") + F.col("position")).alias("at"))
+    shards = spark.read.schema(_SHARDS).parquet(folder).select("part", "place", "shard")
+    got = places.groupBy("part", "place").cogroup(shards.groupBy("part", "place")).applyInArrow(run, "id long, position long, token long")
+    return wanted.select("id", "position").join(got, ["id", "position"], "left")
+
+
 def shard_digests(spark: SparkSession, folder: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, read from the shards."""
     shards = spark.read.schema(_SHARDS).parquet(folder)
