@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample, session_of, text_blocks, text_column
 
-#: Bound on the labelled rows that are fitted, and on the bytes of their texts that an update sees (the rest comes in other epochs).
+#: Bound on the labelled rows that are fitted; their texts are bounded by common.FIT_BYTES each.
 SAMPLE_ROWS = 4_000
 THRESHOLD = 0.3
 STRIDE = 4
@@ -53,11 +53,13 @@ class ByteNetwork:
     weights: np.ndarray  # (2 * FILTERS,): mean, then maximum of the chunks
     bias: float
 
-    def responses(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def responses(self, flat: np.ndarray, hops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Filter responses before rectifying, (hops, positions, filters), and the embedded input."""
         x = self.embed[flat].reshape(-1, STRIDE * EMBED)
         z = x[:-1] @ self.near
         z += x[1:] @ self.far
+        last = np.cumsum(hops) * _POSITIONS - 1  # the next text is no part of a text's last position
+        z[last] -= x[last + 1] @ self.far
         z += self.shift
         return z.reshape(-1, _POSITIONS, FILTERS), x
 
@@ -74,7 +76,7 @@ class ByteNetwork:
         out = [np.zeros(0)]
         for lo, hi in text_blocks(texts, 1 << 19):
             flat, hops = _layout(texts[lo:hi])
-            z, _ = self.responses(flat)
+            z, _ = self.responses(flat, hops)
             hop = np.maximum(z.max(1), 0)
             first, _ = self.chunks(hop, hops)
             chunk = np.maximum(hop[first], hop[first + 1])
@@ -96,7 +98,7 @@ def _initial(rng, bias: float) -> ByteNetwork:
 def _gradient(net: ByteNetwork, texts: list[bytes], y: np.ndarray) -> tuple[list[np.ndarray], float]:
     """Gradients of the mean log loss, for all parameters but the bias, and for the bias."""
     flat, hops = _layout(texts)
-    z, x = net.responses(flat)
+    z, x = net.responses(flat, hops)
     where = z.argmax(1)
     top = np.take_along_axis(z, where[:, None, :], 1)[:, 0]
     hop = np.maximum(top, 0)
@@ -122,12 +124,13 @@ def _gradient(net: ByteNetwork, texts: list[bytes], y: np.ndarray) -> tuple[list
     h, f = np.nonzero(g_hop)
     g = g_hop[h, f]
     at = h * _POSITIONS + where[h, f]
-    a, b = x[at], x[at + 1]
+    inside = ~np.isin(at, np.cumsum(hops) * _POSITIONS - 1)
+    a, b = x[at], x[at + 1] * inside[:, None]
     g_near, g_far, g_shift = np.zeros_like(net.near), np.zeros_like(net.far), np.zeros_like(net.shift)
     np.add.at(g_near.T, f, a * g[:, None])
     np.add.at(g_far.T, f, b * g[:, None])
     np.add.at(g_shift, f, g)
-    g_in = np.concatenate([(net.near.T[f] * g[:, None]).reshape(-1, STRIDE, EMBED), (net.far.T[f] * g[:, None]).reshape(-1, STRIDE, EMBED)], 1)
+    g_in = np.concatenate([(net.near.T[f] * g[:, None]).reshape(-1, STRIDE, EMBED), (net.far.T[f] * (g * inside)[:, None]).reshape(-1, STRIDE, EMBED)], 1)
     bytes_at = flat[(at * STRIDE)[:, None] + np.arange(2 * STRIDE)]
     g_embed = np.stack([np.bincount(bytes_at.ravel(), g_in[:, :, e].ravel(), 256) for e in range(EMBED)], 1).astype(np.float32)
     g_embed[0] = 0
