@@ -13,8 +13,8 @@ from sparkruns.llm.packing import packed_sequences
 from sparkruns.llm.suffix_dedup import trim_repeats
 from sparkruns.llm.toxicity import drop_toxic, fit_toxicity
 
-#: Shortest passage in bytes that is cut where it repeats: below any passage of fifty words.
-PASSAGE_BYTES = 160
+#: Shortest passage in bytes that is cut where it repeats: 51 words of one letter and the 50 spaces between them.
+PASSAGE_BYTES = 101
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
