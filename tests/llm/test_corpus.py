@@ -286,6 +286,20 @@ def test_token_shards(spark, odd, empty, tmp_path, monkeypatch):
         total += r.n_tokens
     crc = {(r.start, r.ids_crc32) for r in wavelet.shard_digests(spark, folder).collect()}
     assert crc == {(r.start, zlib.crc32(np.asarray(r.ids, "<u4").tobytes())) for r in out}
+    # lookups in place: rank, select and access without decoding
+    monkeypatch.setattr(wavelet.WaveletMatrix, "decode", None)
+    everything = Counter(t for _, x in expected for t in _word_ids(x))
+    some = [1, *(t for t, _ in everything.most_common(3)), 48_999]
+    assert {r.token: r.n for r in wavelet.token_counts(spark, folder, some).collect()} == {t: everything[t] for t in some}
+    rare = [t for t, n in everything.items() if n == 2][:2] + [48_999]
+    places = Counter((t, i, k) for i, x in expected for k, t in enumerate(_word_ids(x)) if t in rare)
+    assert Counter((r.token, r.id, r.position) for r in wavelet.token_occurrences(spark, folder, rare).collect()) == places
+    once = [(i, x) for i, x in expected if i is not None and i != 8]
+    wanted = spark.createDataFrame([(i, k) for i, x in once for k in (0, 2, len(_word_ids(x)) - 1, 10**6)] + [(12345, 0)], "id long, position long").distinct()
+    ids = {i: _word_ids(x) for i, x in once}
+    for r in wavelet.tokens_at(spark, folder, wanted).collect():
+        assert r.token == (ids[r.id][r.position] if r.position < len(ids.get(r.id, [])) else None)
+    monkeypatch.undo()
     wavelet.write_token_shards(empty, f"{folder}-empty", WORDS)
     assert wavelet.shard_digests(spark, f"{folder}-empty").count() == 0
 

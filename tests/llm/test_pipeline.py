@@ -38,6 +38,8 @@ def test_toxic_documents_go(spark, stages, sf_dir):
     before, after = _texts(stages[0]), _texts(stages[1])
     clean = [i for i in before if labels.get(i) == 0]
     assert sum(i in after for i in clean) >= 0.97 * len(clean)
+    toxic = [i for i in before if labels.get(i) == 1]
+    assert toxic and sum(i not in after for i in toxic) >= 0.7 * len(toxic)
 
 
 def test_exact_copies_go(stages):
@@ -104,3 +106,56 @@ def test_all_that_stays_is_packed(stages):
 
 def test_run(spark, sf_dir, stages):
     assert corpus_pipeline.run(spark, sf_dir).count() == stages[5].count()
+
+
+NAMES = ["id", "hash", "kept", "digest", "row_number", "block", "data", "key", "component", "locator", "__kept", "__id", "__hash", "__dropped", "row", "n"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, and columns whose names clash with the operators' own."""
+    word = lambda i: f"word{i * 7919 % 1000}"
+    base = " ".join(word(i) for i in range(200))
+    passage = " ".join(word(i) for i in range(300, 380))
+    rows = [(1, None), (2, ""), (3, " "), (None, base), (4, base.upper()), (4, base.upper()), (5, base + " more"), (6, "own words " + " ".join(word(i) for i in range(400, 470)) + " " + passage), (7, passage + " at the end of others " + " ".join(word(i) for i in range(500, 570))), (8, " ".join(word(i * i) for i in range(40_000))), (9, "x"), (9, "another text")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *NAMES) for i, t in rows], schema).repartition(3)
+
+
+@pytest.mark.parametrize("name", ["toxicity", "exact_dedup", "ngram_join", "suffix_dedup"])
+def test_stages_on_odd_rows(spark, odd, sf_dir, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, odd, sf_dir)
+    assert out.columns == odd.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    given = Counter((r.doc_id, r.text) for r in odd.collect())
+    assert all([r[n] for n in NAMES] == NAMES for r in out.select(*NAMES).collect())
+    base = next(t for i, t in given if i is None)
+    if name == "toxicity":
+        assert got == given
+    if name == "exact_dedup":  # empty texts, and a text in lower and upper case
+        assert got == given - Counter({(1, None): 1, (None, base): 1, (4, base.upper()): 1})
+    if name == "ngram_join":  # the null identifier is the smallest; of identifier 9 no text is linked
+        assert got == given - Counter({(4, base.upper()): 2, (5, base + " more"): 1})
+    if name == "suffix_dedup":
+        texts = {i: t for i, t in got}
+        assert sum(got.values()) == sum(given.values()) and texts[1] is None and texts[2] == "" and "own words" in texts[6]
+        assert texts[7].startswith(" at the end")
+        assert all(r.n_chars == len(r.text or "") for r in out.filter("text is not null").collect())
+    nothing = stage(spark, odd.limit(0), sf_dir)
+    assert nothing.columns == odd.columns and nothing.count() == 0
+
+
+def test_packing_of_odd_rows(spark, odd, sf_dir):
+    packed = corpus_pipeline.packing(spark, odd, sf_dir)
+    ends = Counter((r.doc_id, r.doc_tokens) for r in packed.collect() if r.start + r.length == r.doc_tokens)
+    assert sum(ends.values()) == odd.count() and ends[1, 1] == ends[2, 1] == 1
+    assert corpus_pipeline.packing(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_shared_passages_of_51_short_words_are_cut(spark, sf_dir):
+    """The shortest passage of over fifty words: one letter each."""
+    passage = " ".join("abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyabc"[:51])
+    rows = [(1, f"first {passage} one"), (2, f"second {passage} two"), (3, "a clean text of its own")]
+    out = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()}
+    assert out == {1: rows[0][1], 2: "secondtwo", 3: rows[2][1]}
