@@ -28,6 +28,8 @@ from .common import session_of, text_column
 
 #: Bound on the pieces that a worker remembers.
 MEMO = 300_000
+#: Characters of the longest piece that is remembered.
+LONGEST = 64
 #: Bound on the pairs of neighbours that it remembers.
 PAIRS = 400_000
 
@@ -121,7 +123,7 @@ class TextEncoder:
             got = memo.get(piece)
             if got is None:
                 got = tuple(self.bpe.encode(piece.encode()))
-                if len(memo) < self.room:
+                if len(memo) < self.room and len(piece) <= LONGEST:
                     memo[piece] = got
             ids += got
         return ids

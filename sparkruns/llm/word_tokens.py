@@ -4,7 +4,8 @@ The tokenizer's pieces never span a space or a line feed, so that a text's ids
 are those of its chunks between them, in order; a chunk's final punctuation
 after a letter or digit is a piece of its own; and A-Z count as a-z. A worker
 remembers chunks up to a bound and sends all unknown ones of a block of texts
-through the library at once.
+through the library at once. A tokenizer that treats a probe otherwise encodes
+whole texts instead.
 """
 
 from __future__ import annotations
@@ -31,6 +32,14 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[bytes, bytes] = {}
         self.room = memo
+        self.by_chunks = self._suits()
+
+    def _suits(self) -> bool:
+        """Whether case folds and pieces end at white space and before final punctuation."""
+        normal, pieces = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normal is None or pieces is None:
+            return False
+        return [p for p, _ in pieces.pre_tokenize_str(normal.normalize_str("Ab. cD\tx9\ny,"))] == ["ab", ".", "cd", "x", "9", "y", ","]
 
     def _encode(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
@@ -89,6 +98,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text (UTF-8), followed by the end id; each different chunk of the texts is looked up once."""
+        if not self.by_chunks:
+            return [np.asarray(self._encode(t.decode()).ids + ([] if end is None else [end]), self.dtype) for t in texts]
         joined = (b" " * 8 + b" ".join(texts) + b" " * 8).translate(_TABLE)
         b = np.frombuffer(joined, np.uint8)
         ends = 8 + np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
@@ -109,7 +120,13 @@ class ChunkEncoder:
             long = long[n[long] > k + 8]
         _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         lead = first[inverse]
-        if (n != n[lead]).any() or (head != head[lead]).any() or ((last != last[lead]) & (n >= 8)).any():  # two chunks with one hash
+        clash = bool((n != n[lead]).any() or (head != head[lead]).any() or ((last != last[lead]) & (n >= 8)).any())
+        long, k = np.flatnonzero((n > 16) & (lead != np.arange(len(n)))), 8
+        while len(long) and not clash:  # the bytes between, too
+            clash = bool((at[start[long] + k] != at[start[lead[long]] + k]).any())
+            k += 8
+            long = long[n[long] > k + 8]
+        if clash:  # two chunks with one hash
             first = inverse = np.arange(len(n))
         ids = self._known([joined[a:z] for a, z in zip(start[first].tolist(), stop[first].tolist(), strict=True)])
         bounds = np.searchsorted(start, np.concatenate([[0], ends]))

@@ -259,6 +259,18 @@ def test_chunk_encoder(odd):
         assert [x.tolist() for x in encoder.encode([t.encode() for t in texts], 1)] == [_word_ids(t) for t in texts]
 
 
+def test_other_tokenizers_encode_whole_texts(monkeypatch):
+    """A tokenizer that keeps case or spaces is not cut in chunks."""
+    from tokenizers import normalizers
+
+    assert word_tokens.ChunkEncoder(WORDS).by_chunks
+    encoder = word_tokens.ChunkEncoder(WORDS)
+    encoder.tokenizer.normalizer = normalizers.NFC()
+    assert not encoder._suits()
+    encoder.by_chunks = False
+    assert [x.tolist() for x in encoder.encode([b"Ab cd", b""], 1)] == [[*encoder.tokenizer.encode("Ab cd", add_special_tokens=False).ids, 1], [1]]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     for n in (0, 1, 7, 513, 3000):
