@@ -15,6 +15,7 @@ from ..operators import base as B
 from ..operators import history as H
 from ..operators import joins as J
 from ..operators import labels as L
+from ..sources.tables import scratch
 from .bindings import CONFIG, outcomes, placed, query, table
 
 DUCK = {"bigint": "BIGINT", "int": "INTEGER", "tinyint": "TINYINT", "double": "DOUBLE", "string": "VARCHAR", "timestamp": "TIMESTAMP"}
@@ -209,6 +210,7 @@ def _families(b: DataFrame) -> list[tuple[DataFrame, list[str]]]:
         F.max(F.when(F.col("ptr_org_placed").isNotNull(), 1).otherwise(0)).alias("placed_any"), F.lit(0).alias("placed_both"), F.lit(0).alias("out_of_sequence"),
         F.count_if(declined & (F.col("offer_rank") < F.col("first"))).alias("first_accept_declines"),
     ).withColumn("wasted_both", 1 - F.col("placed_any"))
+    runs = scratch(runs, "runs")
     names = {"org_dcd_frac": "dcd_frac", "org_placed_any_frac": "any_placed_frac", "org_wasted_both_frac": "both_wasted_frac", "org_stratum_rate": "kdpi_bin_placement_rate", "org_mean_declines": "mean_first_accept_declines", "org_mean_run_len": "mean_run_len"}
     past = H.org_history(runs, "org", "at", "bin", windows=WINDOWS)
     org = past.select("match_id", *(F.round(F.col(f"{a}_{d}d"), 6).alias(f"opo_hist_{z}_{d}d") for d in WINDOWS for a, z in names.items()))
@@ -220,7 +222,8 @@ def _families(b: DataFrame) -> list[tuple[DataFrame, list[str]]]:
 
 
 def enriched(spark, sf_dir: str) -> DataFrame:
-    b = base(spark, sf_dir)
+    """The base is written once, as each family reads it."""
+    b = scratch(base(spark, sf_dir), "base")
     return B.enriched_view(b, dim(spark, sf_dir, "center"), _families(b))
 
 
