@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,27 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch folders asked for within it are removed at its end, but for those of ``materialize(..., outer=True)``.
+
+    Whatever is used after the scope must have been written by then.
+    """
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for folder in mine:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_dir(spark: SparkSession, name: str, outer: bool = False) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``.
 
     Only in local mode, where driver and executors are one process, a session
@@ -36,13 +57,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sparkruns-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes[-2:-1] if outer else _scopes[-1:]:
+        scope.append(folder)
+    return folder
+
 
+def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Write ``df`` to a shared scratch table and read it back: cuts lineage, survives lost executors.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a shared scratch table and read it back: cuts lineage, survives lost executors."""
+    With ``outer`` the table belongs to the scope around the current one, if any.
+    """
     spark = session_of(df)
-    path = scratch_dir(spark, name)
+    path = scratch_dir(spark, name, outer)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_names, lower_az, materialize, scratch_dir, session_of
+from .common import fresh_names, lower_az, materialize, scratch_dir, scratch_scope, session_of
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -143,7 +143,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns, whatever their names, unchanged."""
     i, d, mark = fresh_names(docs, "id", "digest", "row_number")
-    kept = materialize(exact_groups(docs, id_col, text_col).filter("kept").select(F.col("id").alias(i), F.col("digest").alias(d)), "exact-kept")
+    with scratch_scope(session_of(docs)):
+        groups = exact_groups(docs, id_col, text_col).filter("kept")
+        kept = materialize(groups.select(F.col("id").alias(i), F.col("digest").alias(d)), "exact-kept", outer=True)
     key = sha256_digest(lower_az(docs[text_col]))
     rows = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col(i)) & (key == F.col(d)), "left_semi")
     groups = docs.groupBy(docs[id_col].alias(i), key.alias(d)).agg(F.count(F.lit(1)).alias(mark))

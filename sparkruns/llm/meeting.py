@@ -11,7 +11,9 @@ table.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import materialize, mix64, partitions, session_of
 
 #: Bytes and rows of a block: a row's handle is its block's number and its place there.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 ROW_BITS = 16
 #: Bytes of text whose keys go to one bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 LOWEST = -(1 << 63)
 
 
@@ -136,6 +138,33 @@ class Block:
         return cls(table.column("block")[0].as_py(), table.column("data")[0].as_py())
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, as a worker lives through many groups and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
+def frugal(run):
+    """``run``, a function of one or two tables, that gives back memory after each group."""
+
+    @wraps(run)
+    def one(table: pa.Table) -> pa.Table:
+        out = run(table)
+        _give_back()
+        return out
+
+    @wraps(run)
+    def two(table: pa.Table, other: pa.Table) -> pa.Table:
+        out = run(table, other)
+        _give_back()
+        return out
+
+    return two if run.__code__.co_argcount == 2 else one
+
+
 def grouped(df: DataFrame, key: str, buckets: int):
     return df.repartition(buckets, key).groupBy(key)
 
@@ -161,6 +190,8 @@ def _ask(extract, buckets: int):
                 keys = keys[first]
                 me = np.asarray([number], np.int64)
                 yield rows((bucket, 0, pack(keys[at], count[at], me)) for bucket, at in split_by(bucket_of(keys, buckets), buckets))
+                del keys, of, order, new, first, count
+                _give_back()
 
     return run
 
@@ -190,7 +221,7 @@ def shared_keys(blocks: DataFrame, extract, buckets: int) -> DataFrame:
     ``extract`` gives of texts the (text number, 48-bit key) pairs.
     """
     asked = blocks.select("block", "data").mapInArrow(_ask(extract, buckets), ROW)
-    return grouped(asked, "key", buckets).applyInArrow(_answer, ROW).select(F.col("key").alias("block"), "data")
+    return grouped(asked, "key", buckets).applyInArrow(frugal(_answer), ROW).select(F.col("key").alias("block"), "data")
 
 
 def documents_of(keys: np.ndarray, answers: pa.Table) -> np.ndarray:

@@ -42,10 +42,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_names, materialize, mix64, shingle_sets
+from .common import fresh_names, materialize, mix64, scratch_scope, session_of, shingle_sets
 from .components import connected_components
 from .meeting import (
-    LOWEST, ROW, ROW_BITS, Block, blocked, bucket_of, by_block, documents_of, grouped, joined, key48, pack, rows, shared_keys, split_by, unpack,
+    LOWEST, ROW, ROW_BITS, Block, blocked, bucket_of, by_block, documents_of, frugal, grouped, joined, key48, pack, rows, shared_keys, split_by, unpack,
 )
 
 #: Tokens of at most RARE documents count singly, of at most COMMON in pairs, others in triples.
@@ -337,37 +337,38 @@ _SALTS = 32
 
 def _similar_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """(id, hash of the text, n_shingles, component) of every row; null identifiers are LOWEST."""
-    blocks, buckets = blocked(docs, id_col, text_col, "ngram-blocks")
-
-    def tokens(some: list[bytes]):
-        sets = shingle_sets(some, size)
-        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        return of, key48(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-
-    answers = shared_keys(blocks, tokens, buckets)
-    sent = by_block(blocks, answers, buckets).applyInArrow(_send_signatures(size, percent, buckets, RARE, COMMON), ROW)
-    tied = grouped(sent, "key", buckets).applyInArrow(_meet_signatures(percent, buckets), ROW)
-    met = materialize(grouped(tied, "key", buckets).applyInArrow(_unique_edges, ROW), "ngram-signatures")
-    edges = _opened(met, 3, "a", "b")
-
-    clusters = materialize(connected_components(edges), "ngram-clusters").withColumnRenamed("component", "cluster")
-    large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CLUSTER)
-    large = materialize(large, "ngram-large")
-    beyond = F.col("n").isNotNull()
-    members = clusters.join(large, "cluster", "left").select(
-        "id", F.shiftright("id", ROW_BITS).alias("block"), F.when(beyond, F.col("id")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets))).alias("key"),
-        "cluster", beyond.alias("large"),
-    )
-    sets = by_block(blocks.select("block", "data"), members, buckets).applyInArrow(_send_sets(size), "key long, large boolean, data binary")
-    sets = materialize(sets, "ngram-sets")
-    links = grouped(sets.filter("not large"), "key", buckets).applyInArrow(_verify_clusters(percent), _LINKS)
-    if not large.isEmpty():
-        alone = sets.filter("large").select(F.col("key").alias("id"), "data")
-        links = links.union(_large_links(clusters.join(large, "cluster"), edges, alone, percent, buckets))
-    groups = materialize(connected_components(links.union(_opened(met, 2, "a", "b"))), "ngram-groups")
-
-    named = _opened(met, 1, "handle", "id", "hash", "n_shingles").join(groups.withColumnRenamed("id", "handle"), "handle", "left")
-    named = materialize(named, "ngram-named")
+    with scratch_scope(session_of(docs)):
+        blocks, buckets = blocked(docs, id_col, text_col, "ngram-blocks")
+
+        def tokens(some: list[bytes]):
+            sets = shingle_sets(some, size)
+            of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            return of, key48(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+
+        answers = shared_keys(blocks, tokens, buckets)
+        sent = by_block(blocks, answers, buckets).applyInArrow(frugal(_send_signatures(size, percent, buckets, RARE, COMMON)), ROW)
+        tied = grouped(sent, "key", buckets).applyInArrow(frugal(_meet_signatures(percent, buckets)), ROW)
+        met = materialize(grouped(tied, "key", buckets).applyInArrow(_unique_edges, ROW), "ngram-signatures")
+        edges = _opened(met, 3, "a", "b")
+
+        clusters = connected_components(edges).withColumnRenamed("component", "cluster")
+        large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CLUSTER)
+        large = materialize(large, "ngram-large")
+        beyond = F.col("n").isNotNull()
+        members = clusters.join(large, "cluster", "left").select(
+            "id", F.shiftright("id", ROW_BITS).alias("block"), F.when(beyond, F.col("id")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets))).alias("key"),
+            "cluster", beyond.alias("large"),
+        )
+        sets = by_block(blocks.select("block", "data"), members, buckets).applyInArrow(frugal(_send_sets(size)), "key long, large boolean, data binary")
+        sets = materialize(sets, "ngram-sets")
+        links = grouped(sets.filter("not large"), "key", buckets).applyInArrow(frugal(_verify_clusters(percent)), _LINKS)
+        if not large.isEmpty():
+            alone = sets.filter("large").select(F.col("key").alias("id"), "data")
+            links = links.union(_large_links(clusters.join(large, "cluster"), edges, alone, percent, buckets))
+        groups = connected_components(links.union(_opened(met, 2, "a", "b")))
+
+        named = _opened(met, 1, "handle", "id", "hash", "n_shingles").join(groups.withColumnRenamed("id", "handle"), "handle", "left")
+        named = materialize(named, "ngram-named", outer=True)
     linked = named.filter("component is not null")
     least = linked.groupBy("component").agg(F.min("id").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     linked = linked.withColumn("salt", F.pmod("handle", F.lit(_SALTS)).cast("int")).join(least, ["component", "salt"])
@@ -386,7 +387,7 @@ def _large_links(members: DataFrame, edges: DataFrame, sets: DataFrame, percent:
     ends = stars.select(F.col("a").alias("id"), F.col("a").alias("tied"), "key").distinct().union(stars.select(F.col("b").alias("id"), F.col("a").alias("tied"), "key"))
     near = grouped(ends.join(sets, "id"), "key", buckets).applyInArrow(_verify_stars(percent), _LINKS)
     near = materialize(near, "ngram-stars")
-    tied = materialize(connected_components(near), "ngram-tied").withColumnRenamed("component", "tied")
+    tied = connected_components(near).withColumnRenamed("component", "tied")
     members = members.join(tied, "id", "left").withColumn("tied", F.coalesce("tied", "id"))
 
     # connected documents stand together, in parts of about half a group; parts of one connected set need not meet
@@ -430,8 +431,9 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     identifier only the rows whose own text is linked go.
     """
     i, h = fresh_names(docs, "id", "hash")
-    groups = _similar_rows(docs, id_col, text_col, size, percent).filter("id <> component")
-    dropped = materialize(groups.select(F.col("id").alias(i), F.col("hash").alias(h)).distinct(), "ngram-dropped")
+    with scratch_scope(session_of(docs)):
+        groups = _similar_rows(docs, id_col, text_col, size, percent).filter("id <> component")
+        dropped = materialize(groups.select(F.col("id").alias(i), F.col("hash").alias(h)).distinct(), "ngram-dropped", outer=True)
     side = F.broadcast(dropped) if dropped.count() <= BROADCAST_DROPPED else dropped
     return docs.join(side, (F.coalesce(docs[id_col].cast("long"), F.lit(LOWEST)) == F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(h)), "left_anti")
 

@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_HASH, Powers, fresh_names, mix64
-from .meeting import LOWEST, ROW, Block, blocked, bucket_of, by_block, documents_of, grouped, joined, key48, pack, rows, shared_keys, split_by, unpack
+from .common import BYTE_HASH, Powers, fresh_names, materialize, mix64, scratch_scope, session_of
+from .meeting import LOWEST, ROW, Block, blocked, bucket_of, by_block, documents_of, frugal, grouped, joined, key48, pack, rows, shared_keys, split_by, unpack
 
 MIN_BYTES = 50
 #: Windows of anchors of at least so many documents are dealt on by further digits.
 HOT_DOCUMENTS = 256
 _BLOCK = 1 << 20
-_LONGEST_RUN = 64
+_LONGEST_RUN = 255
 
 
 def _range_hashes(b: np.ndarray, k: int) -> np.ndarray:
@@ -209,7 +209,7 @@ def _send_runs(min_bytes: int, buckets: int):
     return run
 
 
-def _meet_runs(min_bytes: int, windows: int = 1 << 20):
+def _meet_runs(min_bytes: int, windows: int = 1 << 19):
     """Spans of a bucket's runs that start in a smaller document, to their blocks (kind 1)."""
 
     def resolve(key, ids, n, at, text):
@@ -313,17 +313,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return of, key48(anchor)
 
     answers = shared_keys(blocks, anchors, buckets)
-    runs = by_block(blocks, answers, buckets).applyInArrow(_send_runs(min_bytes, buckets), ROW)
-    spans = grouped(runs, "key", buckets).applyInArrow(_meet_runs(min_bytes), ROW).select(F.col("key").alias("block"), "data")
-    return by_block(blocks, spans, buckets).applyInArrow(_cut(min_bytes, characters), _RESULT)
+    runs = by_block(blocks, answers, buckets).applyInArrow(frugal(_send_runs(min_bytes, buckets)), ROW)
+    spans = grouped(runs, "key", buckets).applyInArrow(frugal(_meet_runs(min_bytes)), ROW).select(F.col("key").alias("block"), "data")
+    return by_block(blocks, spans, buckets).applyInArrow(frugal(_cut(min_bytes, characters)), _RESULT)
 
 
 def trim_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
     """The rows of ``docs`` without their repeated spans (whole characters); other columns, and texts without such spans, are unchanged."""
-    spans = repeated_spans(docs, id_col, text_col, min_bytes, characters=True).filter(F.size("spans") > 0)
     # rows may repeat an identifier, so that the hash of the text is part of the key
     i, h, kept = fresh_names(docs, "id", "hash", "kept")
-    changed = spans.select(F.col("id").alias(i), F.col("text_hash").alias(h), F.col("kept").cast("string").alias(kept)).dropDuplicates([i, h])
+    with scratch_scope(session_of(docs)):
+        spans = repeated_spans(docs, id_col, text_col, min_bytes, characters=True).filter(F.size("spans") > 0)
+        changed = spans.select(F.col("id").alias(i), F.col("text_hash").alias(h), F.col("kept").cast("string").alias(kept)).dropDuplicates([i, h])
+        changed = materialize(changed, "suffix-changed", outer=True)
     text = docs[text_col]
     out = docs.join(changed, docs[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)), "left")
     return out.select(*(F.coalesce(F.col(kept), text).alias(c) if c == text_col else docs[c] for c in docs.columns))
