@@ -138,7 +138,7 @@ class Block:
         return cls(table.column("block")[0].as_py(), table.column("data")[0].as_py())
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system, as a worker lives through many groups and stages."""
     pa.default_memory_pool().release_unused()
     try:
@@ -153,13 +153,13 @@ def frugal(run):
     @wraps(run)
     def one(table: pa.Table) -> pa.Table:
         out = run(table)
-        _give_back()
+        give_back()
         return out
 
     @wraps(run)
     def two(table: pa.Table, other: pa.Table) -> pa.Table:
         out = run(table, other)
-        _give_back()
+        give_back()
         return out
 
     return two if run.__code__.co_argcount == 2 else one
@@ -191,7 +191,7 @@ def _ask(extract, buckets: int):
                 me = np.asarray([number], np.int64)
                 yield rows((bucket, 0, pack(keys[at], count[at], me)) for bucket, at in split_by(bucket_of(keys, buckets), buckets))
                 del keys, of, order, new, first, count
-                _give_back()
+                give_back()
 
     return run
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_column
+from .meeting import give_back
 from .word_tokens import encoded_blocks
 
 END_ID = 1
@@ -185,6 +186,8 @@ def packed_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         out.extend(packer.finish())
         if out:
             yield batch_of(out)
+        del packer, out
+        give_back()
 
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, _PIECES)
 

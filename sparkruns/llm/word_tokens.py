@@ -154,7 +154,7 @@ def worker_encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def encoded_blocks(path: str, texts: list[bytes], end_id: int | None, limit: int = 4 << 20):
+def encoded_blocks(path: str, texts: list[bytes], end_id: int | None, limit: int = 2 << 20):
     """(number of the first text, ids of each text with the end id) for blocks of texts of about ``limit`` bytes."""
     encoder = worker_encoder(path)
     for lo, hi in text_blocks(texts, limit):
