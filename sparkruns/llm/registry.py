@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_byte_bpe
+from .decontaminate import OP13_SQL, op13_benchmark_decontamination
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .nearest import op5_nearest
 from .ngram_join import op9_ngram_join
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_ngram_join": op9_ngram_join,
         "op10_byte_bpe": op10_byte_bpe,
+        "op13_benchmark_decontamination": op13_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_url_filter": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_url_filter": OP6_SQL, "op13_benchmark_decontamination": OP13_SQL}
