@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op10_byte_bpe
 from .decontaminate import OP13_SQL, op13_benchmark_decontamination
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .nearest import op5_nearest
 from .ngram_join import op9_ngram_join
 from .packing import op8_packing
@@ -27,9 +28,10 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_ngram_join": op9_ngram_join,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "op13_benchmark_decontamination": op13_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_url_filter": OP6_SQL, "op13_benchmark_decontamination": OP13_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_url_filter": OP6_SQL, "op11_merkle_manifest": OP11_SQL, "op13_benchmark_decontamination": OP13_SQL}
