@@ -10,6 +10,7 @@ from .nearest import op5_nearest
 from .ngram_join import op9_ngram_join
 from .packing import op8_packing
 from .quality import op3_quality
+from .spelling import OP12_SQL, op12_spelling_variants
 from .suffix_dedup import op2_suffix_dedup
 from .toxicity import op4_toxicity
 from .url_filter import OP6_SQL, op6_url_filter
@@ -29,9 +30,16 @@ def queries() -> dict:
         "op9_ngram_join": op9_ngram_join,
         "op10_byte_bpe": op10_byte_bpe,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_benchmark_decontamination": op13_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_url_filter": OP6_SQL, "op11_merkle_manifest": OP11_SQL, "op13_benchmark_decontamination": OP13_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL,
+        "op6_url_filter": OP6_SQL,
+        "op11_merkle_manifest": OP11_SQL,
+        "op12_spelling_variants": OP12_SQL,
+        "op13_benchmark_decontamination": OP13_SQL,
+    }
