@@ -145,8 +145,9 @@ class Index:
             err_low, err_high = self.extend(letter[err], err_low, err_high)
             alive = err_low < err_high
             done = alive & (i == size[err])
-            # the rows of delimiters come first, in the order of the words before them
-            found.append((err[done], err_low[done] - 1))
+            # delimiters with a word behind them are rows 1 and up, in the order of the words; row 0 has none
+            word = done & (err_low > 0)
+            found.append((err[word], err_low[word] - 1))
             alive &= ~done
             err, err_low, err_high = np.concatenate([err[alive], later]), np.concatenate([err_low[alive], later_low]), np.concatenate([err_high[alive], later_high])
             one_low, one_high = self.extend(letter[one], one_low, one_high)

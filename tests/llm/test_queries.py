@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_packing": "doc_id:bigint start:bigint length:bigint ids_crc32:bigint doc_tokens:bigint sequence_id:bigint offset:bigint",
     "op9_ngram_join": "doc_id:bigint n_shingles:bigint component_id:bigint",
     "op10_byte_bpe": "doc_id:bigint n_tokens:bigint ids_sha256:string decoded_sha256:string",
+    "op11_merkle_manifest": "doc_id:bigint leaf:string subroot:string root:string proof_sha256:string folded_root:string verified:boolean",
+    "op12_spelling_variants": "word:string form:string root:string n:bigint n_near:bigint form_n:bigint",
+    "op13_benchmark_decontamination": "doc_id:bigint n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean",
 }
 
 
@@ -52,7 +55,7 @@ def test_query_equals_sql(results, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     theirs = con.sql(registry.oracle_sql()[name]).fetchall()
     names = [c.split(":")[0] for c in COLUMNS[name].split()]
