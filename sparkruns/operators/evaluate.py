@@ -126,7 +126,7 @@ def recall_precision_at(df: DataFrame, run: str, score: str, rank: str, target:
     Runs without a positive count as misses. All k come from one pass over the top rows.
     """
     top = top_rows(df, run, score, rank, max(ks))
-    of = lambda k: F.when(F.col("place") <= k, F.col(target))
+    of = lambda k: F.when(F.col(top.columns[-1]) <= k, F.col(target))
     runs = top.groupBy(run).agg(*(F.max(of(k)).alias(f"r{k}") for k in ks), *(F.avg(of(k)).alias(f"p{k}") for k in ks))
     means = runs.agg(*(F.avg(f"{m}{k}").alias(f"{m}{k}") for k in ks for m in "rp"))
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("recall"), F.col(f"p{k}").alias("precision")) for k in ks)))

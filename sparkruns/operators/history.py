@@ -1,158 +1,125 @@
-"""Leakage-safe history features: sums, means and rates of strictly earlier events within trailing windows.
+"""Leakage-safe history features: counts, means, deviations and rates of strictly earlier events within trailing windows.
 
-A trailing sum over ``[t - w, t)`` is the difference of two growing sums, up to
-``t`` and up to ``t - w``. Growing frames are summed incrementally, while a
-moving frame is summed anew for each row. Timestamps are whole microseconds.
+``trailing`` gives the sums; here they become features, beside the row's own columns.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import MICROS_PER_DAY, elapsed_days, rate, truth
-from ..sources.tables import fresh, scratch
-from .rank import running
+from ..functions.columns import elapsed_days, rate, truth
+from ..sources.tables import fresh
+from .rank import carried, placed, running, scanned
+from .trailing import Family, field_of, mean_of, stddev_of, trailing
 
 WINDOWS = (30, 90, 150, 365)
 
 
-def _before(keys: list, at: str, gap: int = 1):
-    return Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, -gap)
+def _with(out: DataFrame, columns: list[str], features: dict[str, Column]) -> DataFrame:
+    return out.select(*(F.col("row")[c].alias(c) for c in columns), *(c.alias(n) for n, c in features.items()))
+
 
+def _got(family: Family, measure: str, days: int) -> Column:
+    return F.col("history")[field_of(family, measure, days)]
 
-def trailing_sum(value: Column, keys: list, at: str, days: int) -> Column:
-    """Sum over ``[t - days, t)``; zero without events."""
-    upto, older = _before(keys, at), _before(keys, at, days * MICROS_PER_DAY + 1)
-    return F.coalesce(F.sum(value).over(upto), F.lit(0)) - F.coalesce(F.sum(value).over(older), F.lit(0))
 
+def _share(family: Family, measure: str, days: int) -> Column:
+    """Sum of a measure by the number of its values, both of them counts."""
+    return _got(family, measure, days).cast("double") / F.nullif(_got(family, f"n_{measure}", days), F.lit(0))
 
-def trailing_count(condition: Column, keys: list, at: str, days: int) -> Column:
-    return trailing_sum(F.when(condition, 1).otherwise(0), keys, at, days)
 
+def _counted(measures: dict[str, Column]) -> dict[str, Column]:
+    """Whole-number measures with the number of their values."""
+    return measures | {f"n_{n}": F.when(c.isNotNull(), 1) for n, c in measures.items()}
 
-def trailing_mean(value: Column, keys: list, at: str, days: int) -> Column:
-    """Mean of the non-null values; null without any."""
-    n = trailing_sum(F.when(value.isNotNull(), 1).otherwise(0), keys, at, days)
-    return F.when(n > 0, trailing_sum(value.cast("double"), keys, at, days) / n)
 
+def trailing_sums(df: DataFrame, keys: list[str], at: str, value: Column, name: str, windows=WINDOWS) -> DataFrame:
+    """Sum of a real measure in each window before each row; zero without events."""
+    f = Family("f", moments={"v": value})
+    return _with(trailing(df, keys, at, [f], windows), df.columns, {f"{name}_{d}d": F.coalesce(_got(f, "v", d)["s"], F.lit(0.0)) for d in windows})
 
-def trailing_stddev(value: Column, keys: list, at: str, days: int) -> Column:
-    """Sample standard deviation; exact for whole-number measures, whose sums of squares lose nothing."""
-    x = value.cast("double")
-    n = trailing_sum(F.when(value.isNotNull(), 1).otherwise(0), keys, at, days)
-    total, squares = trailing_sum(x, keys, at, days), trailing_sum(x * x, keys, at, days)
-    return F.when(n > 1, F.sqrt(F.greatest(squares - total * total / n, F.lit(0.0)) / (n - 1)))
+
+def trailing_counts(df: DataFrame, keys: list[str], at: str, condition: Column, name: str, windows=WINDOWS) -> DataFrame:
+    f = Family("f", counts={"n": F.when(condition, 1)})
+    return _with(trailing(df, keys, at, [f], windows), df.columns, {f"{name}_{d}d": _got(f, "n", d) for d in windows})
 
 
 def decline_history(df: DataFrame, key: str, at: str, declined: Column, measures: dict[str, Column], shares: dict[str, Column], windows=WINDOWS) -> DataFrame:
     """Per window: number of declines, mean and deviation of measures over them, shares of flags among them."""
+    f = Family("f", counts={"declines": F.when(declined, 1)} | _counted({n: F.when(declined, truth(s)) for n, s in shares.items()}), moments={n: F.when(declined, m) for n, m in measures.items()})
     out: dict[str, Column] = {}
     for d in windows:
-        out[f"decline_count_{d}d"] = trailing_count(declined, [key], at, d)
-        for name, m in measures.items():
-            of = F.when(declined, m)
-            out[f"declined_{name}_avg_{d}d"] = trailing_mean(of, [key], at, d)
-            out[f"declined_{name}_stddev_{d}d"] = trailing_stddev(of, [key], at, d)
-        for name, s in shares.items():
-            out[f"declined_{name}_frac_{d}d"] = trailing_mean(F.when(declined, truth(s)), [key], at, d)
-    return df.select("*", *(c.alias(n) for n, c in out.items()))
+        out[f"decline_count_{d}d"] = _got(f, "declines", d)
+        for name in measures:
+            out[f"declined_{name}_avg_{d}d"] = mean_of(_got(f, name, d))
+            out[f"declined_{name}_stddev_{d}d"] = stddev_of(_got(f, name, d))
+        for name in shares:
+            out[f"declined_{name}_frac_{d}d"] = _share(f, name, d)
+    return _with(trailing(df, [key], at, [f], windows), df.columns, out)
 
 
 def last_response(df: DataFrame, key: str, at: str, ts: str, answered: Column, value: str, years_back: int | None = 1) -> DataFrame:
     """Value and days since the last answered row before each row; older calendar years than ``years_back`` do not count."""
-    w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(answered, F.struct(F.col(ts).alias("ts"), F.col(value).alias("value"))), ignorenulls=True).over(w)
     (seen,) = fresh(df, "last")
-    out = df.withColumn(seen, last)
+    answer = F.when(answered, F.struct(F.col(ts).alias("ts"), F.col(value).alias("value")))
+    out = scanned(df, [key], [at], {seen: ("last", answer)}, inclusive=False)
     if years_back is not None:
         out = out.withColumn(seen, F.when(F.year(f"{seen}.ts") >= F.year(ts) - years_back, F.col(seen)))
     return out.select(*df.columns, F.col(f"{seen}.value").alias(f"last_answered_{value}"), elapsed_days(F.col(f"{seen}.ts"), F.col(ts)).alias("days_since_answer"))
 
 
 def prior_decliners(df: DataFrame, run: str, order: list, who: str, declined: Column, name: str = "prior_decliners") -> DataFrame:
-    """Distinct decliners before each row of a run: first declines are marked, then counted."""
-    first = F.row_number().over(Window.partitionBy(run, who, declined).orderBy(*order)) == 1
-    (mark,) = fresh(df, "mark")
-    marked = df.withColumn(mark, F.when(declined & first, 1).otherwise(0))
-    w = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return marked.withColumn(name, F.coalesce(F.sum(mark).over(w), F.lit(0))).drop(mark)
+    """Distinct decliners before each row of a run: the place of each one's first decline is found, and such places are counted."""
+    place, first, mark = fresh(df, "place", "first", "mark")
+    rows = placed(df, [run], order, place)
+    # places are unique over the whole table, so that first declines meet their rows on them alone
+    firsts = rows.filter(declined).groupBy(run, who).agg(F.min(place).alias(first)).select(first)
+    marked = rows.join(firsts, F.col(place) == F.col(first), "left").withColumn(mark, F.when(F.col(first).isNotNull(), 1).otherwise(0)).drop(first)
+    out = carried(marked, [run], place, {name: ("sum", F.col(mark))}, inclusive=False)
+    return out.withColumn(name, F.coalesce(name, F.lit(0))).drop(place, mark)
 
 
 def prior_event_counts(facts: DataFrame, events: DataFrame, key: str, at: str, name: str, windows=WINDOWS) -> DataFrame:
     """Events of another stream (key, at) in the windows before each fact."""
     (mark,) = fresh(facts, "mark")
     both = facts.withColumn(mark, F.lit(0)).unionByName(events.select(key, at, F.lit(1).alias(mark)), allowMissingColumns=True)
-    counts = [trailing_sum(F.col(mark), [key], at, d).alias(f"{name}_{d}d") for d in windows]
-    return both.select("*", *counts).filter(F.col(mark) == 0).drop(mark)
-
-
-def ranged_sums(events: DataFrame, keys: list[str], at: str, measures: dict[str, Column], windows) -> DataFrame:
-    """Per key and timestamp the measures' sums over each window before it, for keys that may hold any share of the rows.
-
-    Rows of a timestamp are summed before they move. The running sums walk ranges of (key, time) instead of whole keys;
-    where a window begins, a row of zeros marks the sum so far, and comes back by equality.
-    """
-    by_ts = events.groupBy(*keys, at).agg(*(F.sum(c).alias(n) for n, c in measures.items()))
-    starts = F.array(*(F.col(at) - d * MICROS_PER_DAY for d in windows))
-    marks = by_ts.select(*keys, F.explode(starts).alias(at), *(F.lit(0).cast(t).alias(n) for n, t in by_ts.dtypes if n in measures))
-    points = by_ts.withColumn("real", F.lit(1)).unionByName(marks.withColumn("real", F.lit(0)))
-    points = points.groupBy(*keys, at).agg(*(F.sum(n).alias(n) for n in measures), F.max("real").alias("real"))
-    run = running(points, keys, [at], list(measures))
-    # sums strictly before each point, in one array
-    run = run.select(*keys, at, "real", F.array(*((F.col(f"{n}_to") - F.coalesce(F.col(n), F.lit(0))).cast("double") for n in measures)).alias("before"))
-    run = scratch(run, "running")
-    here = run.filter("real = 1").drop("real")
-    asked = here.select(*keys, F.col(at).alias("t"), F.posexplode(starts).alias("w", at))
-    older = asked.join(run.drop("real"), [*keys, at]).groupBy(*keys, "t").agg(F.collect_list(F.struct("w", "before")).alias("older"))
-    out = here.withColumnRenamed(at, "t").join(older, [*keys, "t"])
-    at_w = lambda i: F.filter("older", lambda x: x["w"] == i)[0]["before"]
-    return out.select(*keys, F.col("t").alias(at), *((F.col("before")[j] - at_w(i)[j]).alias(f"{n}_{d}") for i, d in enumerate(windows) for j, n in enumerate(measures)))
+    f = Family("f", counts={"n": F.col(mark)})
+    out = trailing(both, [key], at, [f], windows).filter(F.col("row")[mark] == 0)
+    return _with(out, facts.columns, {f"{name}_{d}d": _got(f, "n", d) for d in windows})
 
 
 def org_history(runs: DataFrame, org: str, at: str, stratum: str, windows=WINDOWS) -> DataFrame:
     """Per window, of earlier runs of an organisation: shares of flags, mean declines and length, placement rate in the same stratum.
 
     Columns: dcd, placed_any, placed_both, wasted_both, out_of_sequence (0/1), first_accept_declines, run_len. There are
-    few organisations with very many runs each, so that sums are ranged over all tasks.
+    few organisations with very many runs each; both key sets come from one exchange by organisation and slice.
     """
     flags = ("dcd", "placed_any", "placed_both", "wasted_both", "out_of_sequence")
     means = {f"{n}_frac": truth(F.col(n)) for n in flags} | {"mean_declines": F.when(F.col("placed_any") == 1, F.col("first_accept_declines")), "mean_run_len": F.col("run_len")}
+    whole, same = Family("org", counts=_counted(means)), Family("same", [stratum], _counted({"stratum_rate": truth(F.col("placed_any"))}))
+    features = {f"org_{n}_{d}d": _share(same if n == "stratum_rate" else whole, n, d) for d in windows for n in [*(f"{f}_frac" for f in flags), "stratum_rate", "mean_declines", "mean_run_len"]}
+    return _with(trailing(runs, [org], at, [whole, same], windows), runs.columns, features)
 
-    def joined(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
-        measures = {f"sum_{n}": c.cast("double") for n, c in values.items()} | {f"n_{n}": F.when(c.isNotNull(), 1).otherwise(0) for n, c in values.items()}
-        sums = ranged_sums(runs.dropna(subset=keys), keys, at, measures, windows)
-        out = [F.when(F.col(f"n_{n}_{d}") > 0, F.col(f"sum_{n}_{d}") / F.col(f"n_{n}_{d}")).alias(f"org_{n}_{d}d") for d in windows for n in values]
-        return df.join(sums.select(*keys, at, *out), [*keys, at], "left")
 
-    out = joined(joined(runs, [org], means), [org, stratum], {"stratum_rate": truth(F.col("placed_any"))})
-    names = [f"org_{n}_{d}d" for d in windows for n in [*(f"{f}_frac" for f in flags), "stratum_rate", "mean_declines", "mean_run_len"]]
-    return out.select(*runs.columns, *names)
+def strata_rate_history(df: DataFrame, keys: list[str], strata: list[str], at: str, positive: Column, negative: Column, name: str, count: bool = True, windows=WINDOWS) -> DataFrame:
+    """Share of positive responses among all of the same keys, and within the same value of each stratum, in the windows before each row.
 
-
-def _sums_by_time(events: DataFrame, keys: list[str], at: str, measures: dict[str, Column], windows) -> DataFrame:
-    """Per key and timestamp the measures' sums over each window before it; rows of a timestamp are summed before they move."""
-    by_ts = events.groupBy(*keys, at).agg(*(F.sum(c).alias(n) for n, c in measures.items()))
-    return by_ts.select(*keys, at, *(trailing_sum(F.col(n), keys, at, d).alias(f"{n}_{d}") for d in windows for n in measures))
+    With ``count``, also the number of responses. Rows with a null key or stratum get null there.
+    """
+    measures = {"pos": F.when(positive, 1), "neg": F.when(negative, 1)}
+    families = [Family(name, counts=measures), *(Family(f"{name}_same_{s}", [s], measures) for s in strata)]
+    features: dict[str, Column] = {}
+    for f in families:
+        features |= {f"{f.name}_rate_{d}d": rate(_got(f, "pos", d), _got(f, "neg", d)) for d in windows}
+        if count and f is families[0]:
+            features |= {f"{name}_count_{d}d": _got(f, "pos", d) + _got(f, "neg", d) for d in windows}
+    return _with(trailing(df, keys, at, families, windows), df.columns, features)
 
 
 def rate_history(df: DataFrame, keys: list[str], at: str, positive: Column, negative: Column, name: str, count: bool = False, windows=WINDOWS) -> DataFrame:
-    """Share of positive responses among all, of the same keys, in the windows before each row; rows with a null key get null."""
-    rows = df.dropna(subset=keys)
-    measures = {"_pos": F.when(positive, 1).otherwise(0), "_neg": F.when(negative, 1).otherwise(0)}
-    sums = _sums_by_time(rows, keys, at, measures, windows)
-    out = [rate(F.col(f"_pos_{d}"), F.col(f"_neg_{d}")).alias(f"{name}_rate_{d}d") for d in windows]
-    if count:
-        out += [(F.col(f"_pos_{d}") + F.col(f"_neg_{d}")).alias(f"{name}_count_{d}d") for d in windows]
-    return df.join(sums.select(*keys, at, *out), [*keys, at], "left")
-
-
-def strata_rate_history(df: DataFrame, keys: list[str], strata: list[str], at: str, positive: Column, negative: Column, name: str, windows=WINDOWS) -> DataFrame:
-    """The base rate with its count, and the rate within the same value of each stratum."""
-    out = rate_history(df, keys, at, positive, negative, name, count=True, windows=windows)
-    return reduce(lambda d, s: rate_history(d, [*keys, s], at, positive, negative, f"{name}_same_{s}", windows=windows), strata, out)
+    """The share of positive responses of the same keys, without strata."""
+    return strata_rate_history(df, keys, [], at, positive, negative, name, count, windows)
 
 
 def acceptance_history(df: DataFrame, accepted: DataFrame, keys: list[str], at: str, length: str, sequence: str, asof: bool = False, windows=WINDOWS) -> DataFrame:
@@ -161,18 +128,15 @@ def acceptance_history(df: DataFrame, accepted: DataFrame, keys: list[str], at:
     By default a row gets values only if its keys accepted at that very timestamp; with ``asof`` every row does.
     """
     share = F.col(sequence).cast("double") / F.nullif(F.col(length), F.lit(0))
-    measures = {"_seq": F.col(sequence).cast("double"), "_share": share, "_late": F.when(share > 0.5, 1.0).otherwise(0.0), "_n": F.lit(1)}
-    events = accepted.filter(F.col(sequence).isNotNull())
+    names = {"seq": "mean_accepted_seq", "share": "mean_accepted_share", "late": "late_rate"}
+    events = accepted.filter(F.col(sequence).isNotNull()).dropna(subset=keys)
+    events = events.select(*keys, at, F.col(sequence).cast("double").alias("seq"), share.alias("share"), F.when(share > 0.5, 1.0).otherwise(0.0).alias("late"))
     if asof:
-        at_rows = df.select(*keys, at).distinct().withColumns({"_seq": F.lit(None).cast("double"), "_share": F.lit(None).cast("double"), "_late": F.lit(None).cast("double"), "_n": F.lit(0)})
-        events = events.select(*keys, at, *(c.alias(n) for n, c in measures.items())).unionByName(at_rows)
-        measures = {n: F.col(n) for n in measures}
-    sums = _sums_by_time(events.dropna(subset=keys), keys, at, measures, windows)
-    out = []
-    for d in windows:
-        n = F.nullif(F.col(f"_n_{d}"), F.lit(0))
-        out += [(F.col(f"{m}_{d}") / n).alias(f"{label}_{d}d") for m, label in (("_seq", "mean_accepted_seq"), ("_share", "mean_accepted_share"), ("_late", "late_rate"))]
-    return df.join(sums.select(*keys, at, *out), [*keys, at], "left")
+        events = events.unionByName(df.dropna(subset=keys).select(*keys, at).distinct(), allowMissingColumns=True)
+    f = Family("f", moments={m: F.col(m) for m in names})
+    found = _with(trailing(events, keys, at, [f], windows), [*keys, at], {f"{label}_{d}d": mean_of(_got(f, m, d)) for d in windows for m, label in names.items()})
+    # events of one time have one history
+    return df.join(found.dropDuplicates([*keys, at]), [*keys, at], "left")
 
 
 def prior_success_rate(df: DataFrame, key: str, order: list, success: Column, name: str = "prior_success") -> DataFrame:
@@ -183,6 +147,10 @@ def prior_success_rate(df: DataFrame, key: str, order: list, success: Column, na
     return run.select(*df.columns, F.when(n > 0, (F.col(f"{good}_to") - F.col(good)).cast("double") / n).alias(name))
 
 
+def prior_sum(df: DataFrame, key: str, order: list, value: Column, name: str) -> DataFrame:
+    """Sum over the strictly earlier rows of a key; zero before the first."""
+    return scanned(df, [key], order, {name: ("sum", value)}, inclusive=False).withColumn(name, F.coalesce(name, F.lit(0)))
+
+
 def declines_before(df: DataFrame, run: str, order: list, declined: Column, name: str = "declines_before") -> DataFrame:
-    w = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.count(F.when(declined, 1)).over(w))
+    return prior_sum(df, run, order, F.when(declined, 1).otherwise(0), name)

@@ -19,30 +19,67 @@ def ordered(order: list) -> list[Column]:
     return out
 
 
+def placed(df: DataFrame, keys: list[str], by: list, name: str) -> DataFrame:
+    """The table written once in ranges of (keys, order) over all tasks, with each row's place in that order.
+
+    Places are whole numbers of which the upper bits number the range. Rows that the order does not tell apart keep the
+    places that they were written with.
+    """
+    columns = [*(F.col(k) for k in keys), *ordered(by)]
+    spread = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    return scratch(spread.withColumn(name, F.monotonically_increasing_id()), "ranges")
+
+
+#: Bits of a place below the number of its range.
+_RANGE_BITS = 33
+
+
+def carried(df: DataFrame, keys: list[str], place: str, states: dict[str, tuple[str, Column]], inclusive: bool = True, totals: bool = False) -> DataFrame:
+    """States along the places of each key: ``sum``, ``max`` or ``last`` (non-null value) of a column, up to each row.
+
+    Any state whose parts combine can be carried so. Each range is scanned alone, from the state that the ranges of the
+    key before it leave; a key of any size is no task of its own, and only ranges' own states are ordered in one place.
+    With ``inclusive`` a row counts for itself; with ``totals`` sums of the whole key come as ``<name>_all``.
+    """
+    ranged, row, ahead = fresh(df, "range", "row", "ahead")
+    held = {n: f"state_{i}" for i, n in enumerate(states)}
+    # the key columns stand beside the row, which a range's first state has not
+    rows = df.select(*(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)), F.shiftright(place, _RANGE_BITS).alias(ranged), F.col(place).alias("at"), F.struct(*df.columns).alias(row), *(c.alias(held[n]) for n, (_, c) in states.items()))
+    by = [f"key_{i}" for i in range(len(keys))]
+    within = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    part = {"sum": F.sum, "max": F.max, "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at")))}
+    kinds = {held[n]: kind for n, (kind, _) in states.items()}
+    parts = rows.groupBy(*by, ranged).agg(*(part[kind](c).alias(c) for c, kind in kinds.items()))
+    before, whole = Window.partitionBy(*by).orderBy(ranged).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    starts = parts.select(
+        *by, ranged, (F.shiftleft(F.col(ranged), _RANGE_BITS) - 1).alias("at"), F.lit(True).alias(ahead), F.count(F.lit(1)).over(whole).alias("n"),
+        *(within[kind](c).over(before).alias(c) for c, kind in kinds.items()), *((F.sum(c).over(whole) - F.coalesce(F.col(c), F.lit(0))).alias(f"rest_{c}") for c in kinds if totals),
+    ).filter("n > 1").drop("n")
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    group = Window.partitionBy(*by, ranged)
+    frame = group.orderBy("at").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    every = group.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = [within[kind](c).over(frame) for c, kind in kinds.items()]
+    all_ = [F.coalesce(F.sum(F.when(F.col(ahead).isNull(), F.col(c))).over(every), F.lit(0)) + F.coalesce(F.max(f"rest_{c}").over(every), F.lit(0)) for c in kinds] if totals else []
+    names = [*states, *(f"{n}_all" for n in states if totals)]
+    found = both.select(row, ahead, *(c.alias(f"out_{i}") for i, c in enumerate([*out, *all_])))
+    return found.filter(F.col(ahead).isNull()).select(*(F.col(row)[c].alias(c) for c in df.columns), *(F.col(f"out_{i}").alias(n) for i, n in enumerate(names)))
+
+
+def scanned(df: DataFrame, keys: list[str], by: list, states: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
+    """The table with states carried along an order within the keys, as in ``carried``."""
+    (place,) = fresh(df, "place")
+    return carried(placed(df, keys, by, place), keys, place, states, inclusive).drop(place)
+
+
 def running(df: DataFrame, keys: list[str], by: list[str], sums: list[str]) -> DataFrame:
     """Running sums (``<sum>_to``, the row included) and totals (``<sum>_all``) along an order within the keys.
 
-    ``by`` must tell the rows of a key apart; a leading minus sorts descending. Rows are ranged by keys and order over
-    all tasks, summed within each, and each range starts from the sums of those before it, so that a key of any size is
-    no task of its own. Only the ranges' own sums are ordered in one place.
+    ``by`` must tell the rows of a key apart; a leading minus sorts descending. Keys of any size are ranged over tasks.
     """
-    ranged, part, before = fresh(df, "range", "part", "before")
-    # written once: the ranges must be the same for their sums and for their rows
-    spread = df.repartitionByRange(*(F.col(k) for k in keys), *ordered(by)).withColumn(ranged, F.spark_partition_id())
-    spread = scratch(spread, "ranges")
-    parts = spread.groupBy(*keys, ranged).agg(*(F.sum(c).alias(f"{part}_{c}") for c in sums))
-    ahead = Window.partitionBy(*keys).orderBy(ranged).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    starts = parts.select(
-        *(F.col(k).alias(f"{before}_{k}") for k in keys), F.col(ranged).alias(f"{before}_{ranged}"),
-        *(F.coalesce(F.sum(f"{part}_{c}").over(ahead), F.lit(0)).alias(f"{before}_{c}") for c in sums), *(F.sum(f"{part}_{c}").over(whole).alias(f"{c}_all") for c in sums),
-    )
-    same = F.col(ranged) == F.col(f"{before}_{ranged}")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"{before}_{k}"))
-    w = Window.partitionBy(*keys, ranged).orderBy(*ordered(by)).rowsBetween(Window.unboundedPreceding, 0)
-    to = (F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"{before}_{c}") for c in sums)
-    return spread.join(starts, same).select(*df.columns, *(f"{c}_all" for c in sums), *(t.alias(f"{c}_to") for t, c in zip(to, sums, strict=True)))
+    (place,) = fresh(df, "place")
+    out = carried(placed(df, keys, by, place), keys, place, {f"{c}_to": ("sum", F.coalesce(F.col(c), F.lit(0))) for c in sums}, totals=True)
+    return out.select(*df.columns, *(F.col(f"{c}_to_all").alias(f"{c}_all") for c in sums), *(f"{c}_to" for c in sums))
 
 
 def numbered(df: DataFrame, keys: list, order: list, name: str) -> DataFrame:
@@ -90,7 +127,12 @@ def best_row(df: DataFrame, run: str, score: str, rank: str) -> DataFrame:
 
 
 def top_rows(df: DataFrame, run: str, score: str, rank: str, k: int) -> DataFrame:
-    return numbered(df, [run], [f"-{score}", rank], "place").filter(F.col("place") <= k)
+    """The rows of the ``k`` highest scores of each run, ties to the lowest rank, with their ``place``.
+
+    A column ``place`` that the table has of its own is handed through, and the new one gets the next free name.
+    """
+    (place,) = fresh(df, "place")
+    return numbered(df, [run], [f"-{score}", rank], place).filter(F.col(place) <= k)
 
 
 def limit_runs(df: DataFrame, run: str, split: str, ts: str, n: int) -> DataFrame:

@@ -45,16 +45,14 @@ def _nudged(sql: str) -> str:
 
 @query("wn01_trailing_sum", f"{WITH} SELECT run_id, offer_rank, " + ", ".join(f"coalesce(sum(score_points) OVER {_frame('center', 'at_us', d)}, 0)::DOUBLE AS sum_{d}d" for d in WINDOWS) + " FROM offers")
 def wn01(spark, sf_dir):
-    o = offers(spark, sf_dir)
-    return o.select("run_id", "offer_rank", *(H.trailing_sum(F.col("score_points"), ["center"], "at_us", d).cast("double").alias(f"sum_{d}d") for d in WINDOWS))
+    o = offers(spark, sf_dir).select("run_id", "offer_rank", "center", "at_us", "score_points")
+    return H.trailing_sums(o, ["center"], "at_us", F.col("score_points"), "sum").drop("center", "at_us", "score_points")
 
 
 @query("wn02_prior_rows", f"{WITH} SELECT run_id, offer_rank, coalesce(sum(score_points) OVER (PARTITION BY run_id ORDER BY offer_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM offers")
 def wn02(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("run_id").orderBy("offer_rank").rowsBetween(Window.unboundedPreceding, -1)
-    return offers(spark, sf_dir).select("run_id", "offer_rank", F.coalesce(F.sum("score_points").over(w), F.lit(0)).cast("double").alias("before"))
+    o = offers(spark, sf_dir).select("run_id", "offer_rank", "score_points")
+    return H.prior_sum(o, "run_id", ["offer_rank"], F.col("score_points"), "before").select("run_id", "offer_rank", F.col("before").cast("double").alias("before"))
 
 
 def _decline_sql() -> str:
@@ -62,7 +60,7 @@ def _decline_sql() -> str:
     for d in WINDOWS:
         f = _frame("candidate", "m", d)
         out.append(f"count(*) FILTER (response = 'N') OVER {f} AS decline_count_{d}d")
-        for name, e in (("score", "score_points"), ("disc", "round(discount * 100)")):
+        for name, e in (("score", "score_points"), ("price", "price"), ("tax", "tax")):
             out.append(f"round(avg({e}) FILTER (response = 'N') OVER {f}, 6) AS declined_{name}_avg_{d}d")
             out.append(f"round(stddev_samp({e}) FILTER (response = 'N') OVER {f}, 6) AS declined_{name}_stddev_{d}d")
         out.append(f"round(avg(dcd) FILTER (response = 'N') OVER {f}, 6) AS declined_dcd_frac_{d}d")
@@ -71,8 +69,9 @@ def _decline_sql() -> str:
 
 @query("wn03_decline_history", _nudged(f"{_sorted('candidate')} SELECT run_id, offer_rank, {_decline_sql()} FROM s"))
 def wn03(spark, sf_dir):
-    o = _sorted_offers(spark, sf_dir, "candidate")
-    out = H.decline_history(o, "candidate", "sort_micros", F.col("response") == "N", {"score": F.col("score_points"), "disc": F.round(F.col("discount") * 100)}, {"dcd": F.col("dcd")})
+    """Real-valued measures: prices of five digits and taxes of hundredths beside each other."""
+    o = _sorted_offers(spark, sf_dir, "candidate").select("run_id", "offer_rank", "candidate", "sort_micros", "response", "score_points", "price", "tax", "dcd")
+    out = H.decline_history(o, "candidate", "sort_micros", F.col("response") == "N", {"score": F.col("score_points"), "price": F.col("price"), "tax": F.col("tax")}, {"dcd": F.col("dcd")})
     new = [c for c in out.columns if c not in o.columns]
     return _rounded(out.select("run_id", "offer_rank", *new), [c for c in new if "count" not in c])
 
@@ -172,8 +171,9 @@ _NEG = "response = 'N'"
 
 @query("wn08_rate_history", f"{WITH} SELECT run_id, offer_rank, {_rate_sql('org', 'org', True)} FROM offers")
 def wn08(spark, sf_dir):
-    out = H.rate_history(offers(spark, sf_dir), ["org"], "at_us", F.expr(_POS), F.expr(_NEG), "org", count=True)
-    return out.select("run_id", "offer_rank", *(c for c in out.columns if c.startswith("org_")))
+    o = offers(spark, sf_dir).select("run_id", "offer_rank", "org", "at_us", "response")
+    out = H.rate_history(o, ["org"], "at_us", F.expr(_POS), F.expr(_NEG), "org", count=True)
+    return out.drop(*o.columns[2:])
 
 
 def _strata_sql(keys: str, name: str) -> str:
@@ -182,14 +182,16 @@ def _strata_sql(keys: str, name: str) -> str:
 
 @query("wn09_center_rates", f"{WITH} SELECT run_id, offer_rank, {_strata_sql('center', 'center')} FROM offers")
 def wn09(spark, sf_dir):
-    out = H.strata_rate_history(offers(spark, sf_dir), ["center"], ["dcd", "high", "band"], "at_us", F.expr(_POS), F.expr(_NEG), "center")
-    return out.select("run_id", "offer_rank", *(c for c in out.columns if c.startswith("center_")))
+    o = offers(spark, sf_dir).select("run_id", "offer_rank", "center", "at_us", "response", "dcd", "high", "band")
+    out = H.strata_rate_history(o, ["center"], ["dcd", "high", "band"], "at_us", F.expr(_POS), F.expr(_NEG), "center")
+    return out.drop(*o.columns[2:])
 
 
 @query("wn10_pair_rates", f"{WITH} SELECT run_id, offer_rank, {_strata_sql('org, center', 'pair')} FROM offers")
 def wn10(spark, sf_dir):
-    out = H.strata_rate_history(offers(spark, sf_dir), ["org", "center"], ["dcd", "high", "band"], "at_us", F.expr(_POS), F.expr(_NEG), "pair")
-    return out.select("run_id", "offer_rank", *(c for c in out.columns if c.startswith("pair_")))
+    o = offers(spark, sf_dir).select("run_id", "offer_rank", "org", "center", "at_us", "response", "dcd", "high", "band")
+    out = H.strata_rate_history(o, ["org", "center"], ["dcd", "high", "band"], "at_us", F.expr(_POS), F.expr(_NEG), "pair")
+    return out.drop(*o.columns[2:])
 
 
 def _acceptance_sql() -> str:
@@ -346,8 +348,8 @@ def st6(spark, sf_dir):
 @query("st7_enriched_view", f"{_sorted('candidate')} SELECT run_id, offer_rank, count(*) FILTER (response = 'N') OVER {_frame('candidate', 'm', 365)} AS candidate_declines, coalesce(sum(CASE WHEN response = 'N' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY offer_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS run_declines FROM s")
 def st7(spark, sf_dir):
     """Families on their own keys, joined once by row (JN12)."""
-    o = _sorted_offers(spark, sf_dir, "candidate")
-    candidate = o.select("run_id", "offer_rank", H.trailing_count(F.col("response") == "N", ["candidate"], "sort_micros", 365).cast("long").alias("candidate_declines"))
+    o = _sorted_offers(spark, sf_dir, "candidate").select("run_id", "offer_rank", "candidate", "sort_micros", "response")
+    candidate = H.trailing_counts(o, ["candidate"], "sort_micros", F.col("response") == "N", "candidate_declines", (365,)).select("run_id", "offer_rank", F.col("candidate_declines_365d").alias("candidate_declines"))
     run = H.declines_before(o, "run_id", ["offer_rank"], F.col("response") == "N", "run_declines").select("run_id", "offer_rank", "run_declines")
     return J.assemble_features(o.select("run_id", "offer_rank"), [candidate, run], ["run_id", "offer_rank"])
 

@@ -14,6 +14,7 @@ from sparkruns.operators import joins as J
 from sparkruns.operators import ml as M
 from sparkruns.operators import rank as R
 from sparkruns.operators import sampling as P
+from sparkruns.operators import trailing as R_
 from sparkruns.sources.tables import fresh
 
 
@@ -77,14 +78,112 @@ def test_rank_histogram(spark):
     assert V.rank_histogram(spark.createDataFrame([], "x int"), "x").count() == 0
 
 
-def test_ranged_sums_equal_frames(spark):
+DAY = 86_400_000_000
+
+
+def _frames(rows, d):
+    """Per row: earlier rows of its key within d days, and those with its stratum too."""
+    out = []
+    for k, t, x, v, m, _ in rows:
+        same = [r for r in rows if k is not None and t is not None and r[0] == k and r[1] is not None and t - d * DAY <= r[1] < t]
+        out.append((same, [r for r in same if x is not None and r[2] == x]))
+    return out
+
+
+@pytest.mark.parametrize("hot_rows", [1 << 17, 25])
+def test_trailing_counts_and_moments(spark, monkeypatch, hot_rows):
+    """Whole keys, and keys cut in slices: ties, edges to the microsecond, nulls in key, time, stratum and measures, repeated rows."""
     rng = random.Random(3)
-    day = 86_400_000_000
-    rows = [(rng.choice([1, 1, 1, 2]), rng.randint(0, 60) * day + rng.choice([0, 1]), rng.randint(0, 5)) for _ in range(300)]
-    df = spark.createDataFrame(rows, "k int, at long, v int").repartition(5)
-    out = {(r.k, r.at): (r.v_7, r.v_30) for r in H.ranged_sums(df, ["k"], "at", {"v": F.col("v")}, (7, 30)).collect()}
-    for k, at in {r[:2] for r in rows}:
-        assert out[k, at] == tuple(sum(v for kk, t, v in rows if kk == k and at - d * day <= t < at) for d in (7, 30))
+    rows = []
+    for i in range(500):
+        t = rng.randint(-40, 60) * DAY + rng.choice([0, 0, 1, -1, 5 * DAY // 2])
+        rows.append((rng.choice(["hot", "hot", "hot", "a", "b", None]), rng.choice([t, t, t, t, None]) if i % 9 == 0 else t, rng.choice(["x", "y", None]), rng.choice([0, 1, 5, None]), rng.choice([rng.random(), 1e6 + rng.random(), None]), i))
+    rows += [(*r[:5], 1000 + r[5]) for r in rows[:40]]
+    df = spark.createDataFrame(rows, "k string, at long, `a stratum` string, v int, m double, history int").repartition(5)
+    families = [R_.Family("f", [], {"v": F.col("v")}, {"m": F.col("m")}), R_.Family("g", ["a stratum"], {"v": F.col("v")}, {"m": F.col("m")})]
+    monkeypatch.setattr(R_, "ROWS_AT_ONCE", 64)
+    windows = (5, 20, 35)
+    out = R_.trailing(df, ["k"], "at", families, windows, hot_rows=hot_rows)
+    got = {r["row"].history: r.history for r in out.collect()}
+    assert len(got) == len(rows) == out.count()
+    for d in windows:
+        for (k, t, x, v, m, i), both in zip(rows, _frames(rows, d)):
+            for name, same in zip("fg", both):
+                found = [getattr(got[i], f"{name}_{c}_{d}") for c in "vm"]
+                if k is None or t is None or (name == "g" and x is None):
+                    assert found == [None, None]
+                    continue
+                real = [r[4] for r in same if r[4] is not None]
+                assert found[0] == sum(r[3] or 0 for r in same)
+                assert found[1].n == len(real) and np.isclose(found[1].s, sum(real), rtol=1e-12)
+                assert np.isclose(found[1].d, np.var(real) * len(real) if real else 0, rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("hot_rows", [1 << 17, 100])
+def test_trailing_moments_forget_what_lies_before(spark, hot_rows):
+    """The deviation of small values is exact after values of a thousand million, at any offset, and at a great level."""
+    rng = random.Random(9)
+    values = [rng.random() * (1e9 if day < 2000 else 1) for day in range(3000)]
+    level = [1e8 + 0.1 * (day % 3) for day in range(300)]
+    df = spark.createDataFrame([("a", i * DAY, v) for i, v in enumerate(values)] + [("b", i * DAY, v) for i, v in enumerate(level)], "k string, at long, v double")
+    f = R_.Family("f", moments={"v": F.col("v")})
+    out = R_.trailing(df, ["k"], "at", [f], (30, 90, 365), hot_rows=hot_rows)
+    cell = lambda d: F.col("history")[R_.field_of(f, "v", d)]
+    shown = out.select("row.*", *(x.alias(f"{n}{d}") for d in (30, 90, 365) for n, x in (("mean", R_.mean_of(cell(d))), ("dev", R_.stddev_of(cell(d))))))
+    for r in shown.filter(f"at >= {2400 * DAY} or k = 'b'").collect():
+        day, of = r["at"] // DAY, values if r.k == "a" else level
+        for d in (30, 90, 365):
+            seen = of[max(day - d, 0) : day]
+            if len(seen) > 1:
+                assert np.isclose(r[f"dev{d}"], np.std(seen, ddof=1), rtol=1e-9 if r.k == "a" else 1e-6) and np.isclose(r[f"mean{d}"], np.mean(seen), rtol=1e-12)
+
+
+def test_hot_key_is_many_tasks(spark):
+    """One key with all rows: each task sees some of its slices."""
+    df = spark.range(4000).select(F.lit("one").alias("k"), (F.col("id") * (DAY // 4)).alias("at"))
+    f = R_.Family("f", counts={"n": F.lit(1)})
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = R_.trailing(df, ["k"], "at", [f], (30, 90), hot_rows=1000)
+        tasks = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(tasks) == 4 and max(t["count"] for t in tasks) < 2000
+        assert out.agg(F.max("history.f_n_30"), F.max("history.f_n_90")).first() == (120, 360)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_carried_states(numbers, keys):
+    """Sums, maxima and last values up to and before each row, over ranges."""
+    rows, df = numbers
+    odd = F.when(F.col("v") != 1, F.struct("v", "i"))
+    for inclusive in (True, False):
+        out = R.scanned(df, keys, ["i"], {"s": ("sum", F.col("v")), "m": ("max", F.col("x")), "l": ("last", odd)}, inclusive).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            same = sorted((i, v, x) for k, i, v, x in rows if (not keys or k == r.k) and (i <= r.i if inclusive else i < r.i))
+            last = [(v, i) for i, v, _ in same if v != 1][-1:]
+            assert (r.s or 0) == sum(v for _, v, _ in same) and r.m == max((x for _, _, x in same), default=None)
+            assert (tuple(r.l) if r.l else None) == (last[0] if last else None)
+
+
+def test_a_key_with_half_of_the_rows_is_no_task(spark):
+    df = spark.range(8000).select(F.when(F.col("id") < 4000, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id").repartition(6)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = R.scanned(df, ["k"], ["id"], {"n": ("sum", F.lit(1))})
+        spread = out.filter("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(spread) > 1 and max(r["count"] for r in spread) < 4000
+        assert out.filter("k = 'hot'").agg(F.max("n")).first()[0] == 4000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_top_rows_keep_a_column_called_place(spark):
+    df = spark.createDataFrame([(1, 1, 0.5, "here"), (1, 2, 0.9, "there"), (1, 3, 0.1, "nowhere")], "run int, rank int, s double, place string")
+    assert sorted((r.place, r.place_) for r in R.top_rows(df, "run", "s", "rank", 2).collect()) == [("here", 2), ("there", 1)]
 
 
 def test_helper_columns_never_hide_the_tables_own(spark):
