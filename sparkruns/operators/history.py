@@ -11,24 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import elapsed_days, rate, truth
 from ..sources.tables import fresh
 from .rank import carried, placed, running, scanned
-from .trailing import Family, field_of, mean_of, stddev_of, trailing
+from .trailing import Family, Feature, trailing
 
 WINDOWS = (30, 90, 150, 365)
 
 
-def _with(out: DataFrame, columns: list[str], features: dict[str, Column]) -> DataFrame:
-    return out.select(*(F.col("row")[c].alias(c) for c in columns), *(c.alias(n) for n, c in features.items()))
-
-
-def _got(family: Family, measure: str, days: int) -> Column:
-    return F.col("history")[field_of(family, measure, days)]
-
-
-def _share(family: Family, measure: str, days: int) -> Column:
-    """Sum of a measure by the number of its values, both of them counts."""
-    return _got(family, measure, days).cast("double") / F.nullif(_got(family, f"n_{measure}", days), F.lit(0))
-
-
 def _counted(measures: dict[str, Column]) -> dict[str, Column]:
     """Whole-number measures with the number of their values."""
     return measures | {f"n_{n}": F.when(c.isNotNull(), 1) for n, c in measures.items()}
@@ -36,27 +23,24 @@ def _counted(measures: dict[str, Column]) -> dict[str, Column]:
 
 def trailing_sums(df: DataFrame, keys: list[str], at: str, value: Column, name: str, windows=WINDOWS) -> DataFrame:
     """Sum of a real measure in each window before each row; zero without events."""
-    f = Family("f", moments={"v": value})
-    return _with(trailing(df, keys, at, [f], windows), df.columns, {f"{name}_{d}d": F.coalesce(_got(f, "v", d)["s"], F.lit(0.0)) for d in windows})
+    return trailing(df, keys, at, [Family(moments={"v": value})], {f"{name}_{d}d": Feature("sum", 0, ("v",), d) for d in windows})
 
 
 def trailing_counts(df: DataFrame, keys: list[str], at: str, condition: Column, name: str, windows=WINDOWS) -> DataFrame:
-    f = Family("f", counts={"n": F.when(condition, 1)})
-    return _with(trailing(df, keys, at, [f], windows), df.columns, {f"{name}_{d}d": _got(f, "n", d) for d in windows})
+    return trailing(df, keys, at, [Family(counts={"n": F.when(condition, 1)})], {f"{name}_{d}d": Feature("count", 0, ("n",), d) for d in windows})
 
 
 def decline_history(df: DataFrame, key: str, at: str, declined: Column, measures: dict[str, Column], shares: dict[str, Column], windows=WINDOWS) -> DataFrame:
     """Per window: number of declines, mean and deviation of measures over them, shares of flags among them."""
-    f = Family("f", counts={"declines": F.when(declined, 1)} | _counted({n: F.when(declined, truth(s)) for n, s in shares.items()}), moments={n: F.when(declined, m) for n, m in measures.items()})
-    out: dict[str, Column] = {}
+    family = Family(counts={"declines": F.when(declined, 1)} | _counted({n: F.when(declined, truth(s)) for n, s in shares.items()}), moments={n: F.when(declined, m) for n, m in measures.items()})
+    out: dict[str, Feature] = {}
     for d in windows:
-        out[f"decline_count_{d}d"] = _got(f, "declines", d)
+        out[f"decline_count_{d}d"] = Feature("count", 0, ("declines",), d)
         for name in measures:
-            out[f"declined_{name}_avg_{d}d"] = mean_of(_got(f, name, d))
-            out[f"declined_{name}_stddev_{d}d"] = stddev_of(_got(f, name, d))
-        for name in shares:
-            out[f"declined_{name}_frac_{d}d"] = _share(f, name, d)
-    return _with(trailing(df, [key], at, [f], windows), df.columns, out)
+            out[f"declined_{name}_avg_{d}d"] = Feature("mean", 0, (name,), d)
+            out[f"declined_{name}_stddev_{d}d"] = Feature("deviation", 0, (name,), d)
+        out |= {f"declined_{name}_frac_{d}d": Feature("share", 0, (name, f"n_{name}"), d) for name in shares}
+    return trailing(df, [key], at, [family], out)
 
 
 def last_response(df: DataFrame, key: str, at: str, ts: str, answered: Column, value: str, years_back: int | None = 1) -> DataFrame:
@@ -84,9 +68,8 @@ def prior_event_counts(facts: DataFrame, events: DataFrame, key: str, at: str, n
     """Events of another stream (key, at) in the windows before each fact."""
     (mark,) = fresh(facts, "mark")
     both = facts.withColumn(mark, F.lit(0)).unionByName(events.select(key, at, F.lit(1).alias(mark)), allowMissingColumns=True)
-    f = Family("f", counts={"n": F.col(mark)})
-    out = trailing(both, [key], at, [f], windows).filter(F.col("row")[mark] == 0)
-    return _with(out, facts.columns, {f"{name}_{d}d": _got(f, "n", d) for d in windows})
+    out = trailing(both, [key], at, [Family(counts={"n": F.col(mark)})], {f"{name}_{d}d": Feature("count", 0, ("n",), d) for d in windows})
+    return out.filter(F.col(mark) == 0).drop(mark)
 
 
 def org_history(runs: DataFrame, org: str, at: str, stratum: str, windows=WINDOWS) -> DataFrame:
@@ -97,9 +80,9 @@ def org_history(runs: DataFrame, org: str, at: str, stratum: str, windows=WINDOW
     """
     flags = ("dcd", "placed_any", "placed_both", "wasted_both", "out_of_sequence")
     means = {f"{n}_frac": truth(F.col(n)) for n in flags} | {"mean_declines": F.when(F.col("placed_any") == 1, F.col("first_accept_declines")), "mean_run_len": F.col("run_len")}
-    whole, same = Family("org", counts=_counted(means)), Family("same", [stratum], _counted({"stratum_rate": truth(F.col("placed_any"))}))
-    features = {f"org_{n}_{d}d": _share(same if n == "stratum_rate" else whole, n, d) for d in windows for n in [*(f"{f}_frac" for f in flags), "stratum_rate", "mean_declines", "mean_run_len"]}
-    return _with(trailing(runs, [org], at, [whole, same], windows), runs.columns, features)
+    families = [Family(counts=_counted(means)), Family([stratum], _counted({"stratum_rate": truth(F.col("placed_any"))}))]
+    names = [*(f"{f}_frac" for f in flags), "stratum_rate", "mean_declines", "mean_run_len"]
+    return trailing(runs, [org], at, families, {f"org_{n}_{d}d": Feature("share", int(n == "stratum_rate"), (n, f"n_{n}"), d) for d in windows for n in names})
 
 
 def strata_rate_history(df: DataFrame, keys: list[str], strata: list[str], at: str, positive: Column, negative: Column, name: str, count: bool = True, windows=WINDOWS) -> DataFrame:
@@ -108,13 +91,11 @@ def strata_rate_history(df: DataFrame, keys: list[str], strata: list[str], at: s
     With ``count``, also the number of responses. Rows with a null key or stratum get null there.
     """
     measures = {"pos": F.when(positive, 1), "neg": F.when(negative, 1)}
-    families = [Family(name, counts=measures), *(Family(f"{name}_same_{s}", [s], measures) for s in strata)]
-    features: dict[str, Column] = {}
-    for f in families:
-        features |= {f"{f.name}_rate_{d}d": rate(_got(f, "pos", d), _got(f, "neg", d)) for d in windows}
-        if count and f is families[0]:
-            features |= {f"{name}_count_{d}d": _got(f, "pos", d) + _got(f, "neg", d) for d in windows}
-    return _with(trailing(df, keys, at, families, windows), df.columns, features)
+    families = [Family(counts=measures), *(Family([s], dict(measures)) for s in strata)]
+    out = {f"{n}_rate_{d}d": Feature("rate", k, ("pos", "neg"), d) for k, n in enumerate([name, *(f"{name}_same_{s}" for s in strata)]) for d in windows}
+    if count:
+        out |= {f"{name}_count_{d}d": Feature("total", 0, ("pos", "neg"), d) for d in windows}
+    return trailing(df, keys, at, families, out)
 
 
 def rate_history(df: DataFrame, keys: list[str], at: str, positive: Column, negative: Column, name: str, count: bool = False, windows=WINDOWS) -> DataFrame:
@@ -133,10 +114,9 @@ def acceptance_history(df: DataFrame, accepted: DataFrame, keys: list[str], at:
     events = events.select(*keys, at, F.col(sequence).cast("double").alias("seq"), share.alias("share"), F.when(share > 0.5, 1.0).otherwise(0.0).alias("late"))
     if asof:
         events = events.unionByName(df.dropna(subset=keys).select(*keys, at).distinct(), allowMissingColumns=True)
-    f = Family("f", moments={m: F.col(m) for m in names})
-    found = _with(trailing(events, keys, at, [f], windows), [*keys, at], {f"{label}_{d}d": mean_of(_got(f, m, d)) for d in windows for m, label in names.items()})
+    found = trailing(events, keys, at, [Family(moments={m: F.col(m) for m in names})], {f"{label}_{d}d": Feature("mean", 0, (m,), d) for d in windows for m, label in names.items()})
     # events of one time have one history
-    return df.join(found.dropDuplicates([*keys, at]), [*keys, at], "left")
+    return df.join(found.drop(*names).dropDuplicates([*keys, at]), [*keys, at], "left")
 
 
 def prior_success_rate(df: DataFrame, key: str, order: list, success: Column, name: str = "prior_success") -> DataFrame:

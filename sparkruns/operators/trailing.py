@@ -48,28 +48,49 @@ ROWS_AT_ONCE = 1 << 16
 class Family:
     """Measures over the events of the same keys and the same ``within`` columns.
 
-    ``counts`` are whole numbers that are summed; ``moments`` are real numbers, of which nulls are left out. Of each
-    measure and window, ``history`` has a field ``<name>_<measure>_<days>``, as ``field_of`` names it.
+    ``counts`` are whole numbers that are summed; ``moments`` are real numbers, of which nulls are left out.
     """
 
-    name: str
     within: list[str] = field(default_factory=list)
     counts: dict[str, Column] = field(default_factory=dict)
     moments: dict[str, Column] = field(default_factory=dict)
 
 
-def field_of(family: Family, measure: str, days: int) -> str:
-    return f"{family.name}_{measure}_{days}"
+def _rounded_share(part: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """As ``functions.columns.rate``: rounded to six digits on the scaled number, ties going up."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        x = part / (part + other) * 1e6
+        return (np.floor(x) + (x - np.floor(x) >= 0.5)) / 1e6
 
 
-def mean_of(moments: Column) -> Column:
-    """Null without values."""
-    return F.when(moments["n"] > 0, moments["s"] / moments["n"])
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return a / b
 
 
-def stddev_of(moments: Column) -> Column:
-    """Sample deviation; null for fewer than two values."""
-    return F.when(moments["n"] > 1, F.sqrt(moments["d"] / (moments["n"] - 1)))
+#: What becomes of measures: counts as they are, their sum, one by another, the share of the first among both; of
+#: moments the number, the sum, the mean, the sample deviation. What would divide by zero is null.
+KINDS = {
+    "count": lambda a: a,
+    "total": lambda a, b: a + b,
+    "share": lambda a, n: np.where(n > 0, _quotient(a, n), np.nan),
+    "rate": _rounded_share,
+    "values": lambda m: m[0],
+    "sum": lambda m: m[1],
+    "mean": lambda m: np.where(m[0] > 0, _quotient(m[1], m[0]), np.nan),
+    "deviation": lambda m: np.where(m[0] > 1, np.sqrt(_quotient(m[2], m[0] - 1)), np.nan),
+}
+_WHOLE = ("count", "total", "values")
+
+
+@dataclass
+class Feature:
+    """A column of the result: a kind of ``KINDS`` of a family's measures in the window of so many days."""
+
+    kind: str
+    family: int
+    measures: tuple[str, ...]
+    days: int
 
 
 _MOMENTS = "struct<n:bigint,s:double,d:double>"
@@ -227,21 +248,23 @@ class _Group:
         return counted, measured
 
 
-def _task(by: list[str], families: list[tuple[str, list[str], list[str], list[str]]], windows: list[int], schema: pa.Schema):
+def _task(by: list[str], families: list[tuple[list[str], dict[str, str], dict[str, str]]], features: list[Feature], windows: list[int], days: list[int], schema: pa.Schema):
     def judged(table: pa.Table, group: np.ndarray) -> pa.Table:
         g = _Group(group, table, bool(table.column("hot")[0].as_py()))
         own = table.take(pa.array(g.own))
         known = ~np.asarray(reduce(lambda a, c: pa.compute.or_(a, c), (own.column(b).is_null() for b in [*by, "at"])))
-        arrays = []
-        for k, (_, within, counts, moments) in enumerate(families):
-            counted, measured = g.measure(k, within, counts, moments, windows)
-            there = reduce(lambda a, b: a & b, (~np.asarray(own.column(x).is_null()) for x in within), known)
-            for j in range(len(windows)):
-                arrays += [pa.array(x, pa.int64(), mask=~there) for x in counted[j]]
-                for n, s, d in measured[j]:
-                    arrays.append(pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(s), pa.array(d)], ["n", "s", "d"], mask=pa.array(~there)))
-        history = pa.StructArray.from_arrays(arrays, fields=list(schema.field("history").type))
-        return pa.table([own.column("row"), history], schema=schema)
+        found: dict = {}
+        there = []
+        for k, (within, counts, moments) in enumerate(families):
+            counted, measured = g.measure(k, within, list(counts.values()), list(moments.values()), windows)
+            there.append(reduce(lambda a, b: a & b, (~np.asarray(own.column(x).is_null()) for x in within), known))
+            for j, d in enumerate(days):
+                found |= {(k, m, d): x for m, x in zip(counts, counted[j], strict=True)} | {(k, m, d): x for m, x in zip(moments, measured[j], strict=True)}
+        arrays = own.column("row").combine_chunks().flatten()
+        for f in features:
+            x = KINDS[f.kind](*(found[f.family, m, f.days] for m in f.measures))
+            arrays.append(pa.array(x, mask=~there[f.family] if f.kind in _WHOLE else ~there[f.family] | np.isnan(x)))
+        return pa.table(arrays, schema=schema)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -280,12 +303,13 @@ def _task(by: list[str], families: list[tuple[str, list[str], list[str], list[st
     return run
 
 
-def trailing(df: DataFrame, keys: list[str], at: str, families: list[Family], windows, slice_days: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(row, history): each row of ``df`` as a struct, and the measures of earlier events in each window before it.
+def trailing(df: DataFrame, keys: list[str], at: str, families: list[Family], features: dict[str, Feature], slice_days: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` with features of earlier events in the windows before each row.
 
     Keys of more than ``hot_rows`` rows are cut in slices of ``slice_days``, which must divide every window; by default
     that is the widest such number up to a week.
     """
+    windows = sorted({f.days for f in features.values()})
     days = slice_days or max(d for d in range(1, 8) if reduce(gcd, windows) % d == 0)
     if any(w % days for w in windows):
         raise ValueError(f"slices of {days} days do not divide the windows {list(windows)}")
@@ -305,7 +329,8 @@ def trailing(df: DataFrame, keys: list[str], at: str, families: list[Family], wi
     held = scratch(df.select(*key_columns).filter(full).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select(*by, F.lit(True).alias("hot")), "hot-keys")
     # rows of null keys have no history: they are dealt by anything
     plain = [F.col("at").alias("pos"), F.when(full, F.lit(0)).otherwise(F.pmod(F.xxhash64("at"), F.lit(1 << 16))).cast("long").alias("slice"), F.lit(0).alias("tag"), F.lit(False).alias("hot")]
-    more = [F.lit(None).cast("array<bigint>").alias("whole"), F.lit(None).cast(f"array<{_MOMENTS}>").alias("between")]
+    # empty, not null: writing many null lists to Arrow takes time with the square of their number
+    more = [F.array().cast("array<bigint>").alias("whole"), F.array().cast(f"array<{_MOMENTS}>").alias("between")]
     columns = ["row", *by, *strata.values(), "at", *values]
     if held.isEmpty():
         dealt = rows.select(*columns, *plain, *more)
@@ -323,14 +348,11 @@ def trailing(df: DataFrame, keys: list[str], at: str, families: list[Family], wi
         dealt = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ahead, light.unionByName(spread))
     dealt = dealt.withColumn("pos", F.coalesce("pos", F.lit(0))).repartition(*by, "slice").sortWithinPartitions(*by, "slice", "pos")
 
-    named = []
-    for k, f in enumerate(families):
-        mine = [(f"c{i}", m) for i, (g, m, _) in enumerate(counts) if g is f]
-        real = [(f"m{i}", m) for i, (g, m, _) in enumerate(moments) if g is f]
-        named.append((f, [strata[c] for c in f.within], mine, real))
-    parts = T.StructType([T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("d", T.DoubleType())])
-    fields = [T.StructField(field_of(f, m, w), kind) for f, _, mine, real in named for w in windows for ms, kind in ((mine, T.LongType()), (real, parts)) for _, m in ms]
-    schema = T.StructType([rows.schema["row"], T.StructField("history", T.StructType(fields))])
+    plan = []
+    for f in families:
+        mine, real = ({m: f"{letter}{i}" for i, (g, m, _) in enumerate(of) if g is f} for letter, of in (("c", counts), ("m", moments)))
+        plan.append(([strata[c] for c in f.within], mine, real))
+    new = [T.StructField(n, T.LongType() if f.kind in _WHOLE else T.DoubleType()) for n, f in features.items()]
+    schema = T.StructType([*df.schema.fields, *new])
     shape = to_arrow_schema(schema, timestamp_utc=True)
-    plan = [(f.name, within, [c for c, _ in mine], [m for m, _ in real]) for f, within, mine, real in named]
-    return dealt.mapInArrow(_task(by, plan, [w * MICROS_PER_DAY for w in windows], shape), schema)
+    return dealt.mapInArrow(_task(by, plan, list(features.values()), [w * MICROS_PER_DAY for w in windows], windows, shape), schema)

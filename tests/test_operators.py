@@ -99,24 +99,26 @@ def test_trailing_counts_and_moments(spark, monkeypatch, hot_rows):
         t = rng.randint(-40, 60) * DAY + rng.choice([0, 0, 1, -1, 5 * DAY // 2])
         rows.append((rng.choice(["hot", "hot", "hot", "a", "b", None]), rng.choice([t, t, t, t, None]) if i % 9 == 0 else t, rng.choice(["x", "y", None]), rng.choice([0, 1, 5, None]), rng.choice([rng.random(), 1e6 + rng.random(), None]), i))
     rows += [(*r[:5], 1000 + r[5]) for r in rows[:40]]
-    df = spark.createDataFrame(rows, "k string, at long, `a stratum` string, v int, m double, history int").repartition(5)
-    families = [R_.Family("f", [], {"v": F.col("v")}, {"m": F.col("m")}), R_.Family("g", ["a stratum"], {"v": F.col("v")}, {"m": F.col("m")})]
+    df = spark.createDataFrame(rows, "k string, at long, `a stratum` string, v int, m double, row int").repartition(5)
+    families = [R_.Family([], {"v": F.col("v")}, {"m": F.col("m")}), R_.Family(["a stratum"], {"v": F.col("v")}, {"m": F.col("m")})]
     monkeypatch.setattr(R_, "ROWS_AT_ONCE", 64)
     windows = (5, 20, 35)
-    out = R_.trailing(df, ["k"], "at", families, windows, hot_rows=hot_rows)
-    got = {r["row"].history: r.history for r in out.collect()}
+    features = {f"{k}{kind}{d}": R_.Feature(kind, k, (m,), d) for d in windows for k in (0, 1) for kind, m in (("count", "v"), ("values", "m"), ("sum", "m"), ("deviation", "m"))}
+    out = R_.trailing(df, ["k"], "at", families, features, hot_rows=hot_rows)
+    assert out.columns == [*df.columns, *features]
+    got = {r["row"]: r for r in out.collect()}
     assert len(got) == len(rows) == out.count()
     for d in windows:
         for (k, t, x, v, m, i), both in zip(rows, _frames(rows, d)):
-            for name, same in zip("fg", both):
-                found = [getattr(got[i], f"{name}_{c}_{d}") for c in "vm"]
-                if k is None or t is None or (name == "g" and x is None):
-                    assert found == [None, None]
+            assert (got[i].k, got[i]["a stratum"], got[i].m) == (k, x, m)
+            for f, same in zip((0, 1), both):
+                found = [got[i][f"{f}{kind}{d}"] for kind in ("count", "values", "sum", "deviation")]
+                if k is None or t is None or (f and x is None):
+                    assert found == [None] * 4
                     continue
                 real = [r[4] for r in same if r[4] is not None]
-                assert found[0] == sum(r[3] or 0 for r in same)
-                assert found[1].n == len(real) and np.isclose(found[1].s, sum(real), rtol=1e-12)
-                assert np.isclose(found[1].d, np.var(real) * len(real) if real else 0, rtol=1e-9, atol=1e-9)
+                assert found[:2] == [sum(r[3] or 0 for r in same), len(real)] and np.isclose(found[2], sum(real), rtol=1e-12)
+                assert found[3] is None if len(real) < 2 else np.isclose(found[3], np.std(real, ddof=1), rtol=1e-9, atol=1e-9)
 
 
 @pytest.mark.parametrize("hot_rows", [1 << 17, 100])
@@ -126,10 +128,8 @@ def test_trailing_moments_forget_what_lies_before(spark, hot_rows):
     values = [rng.random() * (1e9 if day < 2000 else 1) for day in range(3000)]
     level = [1e8 + 0.1 * (day % 3) for day in range(300)]
     df = spark.createDataFrame([("a", i * DAY, v) for i, v in enumerate(values)] + [("b", i * DAY, v) for i, v in enumerate(level)], "k string, at long, v double")
-    f = R_.Family("f", moments={"v": F.col("v")})
-    out = R_.trailing(df, ["k"], "at", [f], (30, 90, 365), hot_rows=hot_rows)
-    cell = lambda d: F.col("history")[R_.field_of(f, "v", d)]
-    shown = out.select("row.*", *(x.alias(f"{n}{d}") for d in (30, 90, 365) for n, x in (("mean", R_.mean_of(cell(d))), ("dev", R_.stddev_of(cell(d))))))
+    features = {f"{n}{d}": R_.Feature(kind, 0, ("v",), d) for d in (30, 90, 365) for n, kind in (("mean", "mean"), ("dev", "deviation"))}
+    shown = R_.trailing(df, ["k"], "at", [R_.Family(moments={"v": F.col("v")})], features, hot_rows=hot_rows)
     for r in shown.filter(f"at >= {2400 * DAY} or k = 'b'").collect():
         day, of = r["at"] // DAY, values if r.k == "a" else level
         for d in (30, 90, 365):
@@ -141,14 +141,14 @@ def test_trailing_moments_forget_what_lies_before(spark, hot_rows):
 def test_hot_key_is_many_tasks(spark):
     """One key with all rows: each task sees some of its slices."""
     df = spark.range(4000).select(F.lit("one").alias("k"), (F.col("id") * (DAY // 4)).alias("at"))
-    f = R_.Family("f", counts={"n": F.lit(1)})
+    features = {f"n{d}": R_.Feature("count", 0, ("n",), d) for d in (30, 90)}
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        out = R_.trailing(df, ["k"], "at", [f], (30, 90), hot_rows=1000)
+        out = R_.trailing(df, ["k"], "at", [R_.Family(counts={"n": F.lit(1)})], features, hot_rows=1000)
         tasks = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
         assert len(tasks) == 4 and max(t["count"] for t in tasks) < 2000
-        assert out.agg(F.max("history.f_n_30"), F.max("history.f_n_90")).first() == (120, 360)
+        assert out.agg(F.max("n30"), F.max("n90")).first() == (120, 360)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
