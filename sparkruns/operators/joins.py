@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import haversine_nm
-from ..sources.tables import fresh
-from .rank import latest_per_key
+from ..functions.columns import EARTH_RADIUS_NM, haversine_nm
+from ..sources.tables import fresh, scratch
+from .rank import latest_per_key, running, scanned
 
 
 def enrich(fact: DataFrame, dims: list[tuple[DataFrame, list[str]]]) -> DataFrame:
@@ -27,76 +30,57 @@ def enrich_compound(fact: DataFrame, dim: DataFrame, key: str, part: str) -> Dat
 def valid_at(facts: DataFrame, history: DataFrame, keys: list[str], ts: str, begin: str, end: str, values: list[str]) -> DataFrame:
     """Values of the latest interval ``[begin, end)`` that holds a fact's timestamp; a null end is open.
 
-    Facts and interval starts are merged on one exchange, so that a key with a
-    long history is walked once instead of joined row by row. Intervals of a key
-    may overlap in any way: where one ends before an earlier one does, the key's
-    history is first cut in disjoint pieces, each with the latest-begun interval
-    open in it. Of intervals with one begin the longest-lasting counts, then the
-    larger values. Intervals without a begin, or that end by it, hold nothing.
+    Intervals of a key may overlap in any way. Of intervals with one begin the longest-lasting counts, then the larger
+    values. Intervals without a begin, or that end by it, hold nothing; a fact without a timestamp, or with a null key,
+    is held by none. What holds from each end point of a key's intervals on is found first (``_states``); facts then
+    carry the last of these, in ranges of (key, time), so that neither a key's facts nor its history are one task.
+    """
+    at, fact, state = fresh(facts, "at", "fact", "state")
+    marks = _states(history.select(*keys, F.col(begin).alias("_at"), F.col(end).alias("_end"), F.struct(*values).alias("_values")), keys)
+    marks = marks.select(*keys, F.col("_at").alias(at), F.struct("_values").alias(state), F.lit(0).alias(fact))
+    both = facts.withColumns({at: F.col(ts), fact: F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    out = scanned(both.withColumnRenamed(state, f"{state}_"), keys, [at, fact], {state: ("last", F.col(f"{state}_"))}).filter(F.col(fact) == 1)
+    held = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in [*keys, ts]))
+    return out.select(*facts.columns, *(F.when(held, F.col(state)["_values"][v]).alias(v) for v in values))
+
+
+def _states(history: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _at, _values): the latest-begun interval that is open from each end point to the next; null if none is.
+
+    End points of a key are numbered, in ranges. Each interval covers a run of numbers, which is cut in dyadic segments:
+    few of each length, O(log n) together. A segment keeps the latest-begun of the intervals that cover it whole, and
+    every end point looks up the O(log n) segments that it lies in. All are joins and groups on equal (key, segment), so
+    that a key with a million intervals is many tasks.
     """
-    history = _disjoint(history.select(*keys, F.col(begin).alias("_at"), F.col(end).alias("_end"), F.struct(*values).alias("_values")), keys)
-    at, state, fact, last = fresh(facts, "at", "state", "fact", "last")
-    marks = history.select(*keys, F.col("_at").alias(at), F.struct(F.col("_end").alias("end"), F.col("_values").alias("values")).alias(state), F.lit(0).alias(fact))
-    rows = facts.withColumns({at: F.col(ts), fact: F.lit(1)})
-    w = Window.partitionBy(*keys).orderBy(at, fact).rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn(last, F.last(state, ignorenulls=True).over(w))
-    open_ = F.col(f"{last}.end").isNull() | (F.col(f"{last}.end") > F.col(at))
-    out = both.filter(F.col(fact) == 1)
-    return out.select(*facts.columns, *(F.when(F.col(last).isNotNull() & open_, F.col(f"{last}.values")[v]).alias(v) for v in values))
-
-
-def _disjoint(history: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _at, _end, _values): keys whose ends ascend with distinct begins as they are, the others in disjoint pieces."""
-    w = Window.partitionBy(*keys).orderBy("_at", F.col("_end").asc_nulls_last(), "_values")
-    last_end = F.lag("_end").over(w)
-    before = F.lag("_at").over(w)
-    # an interval that ends before the one begun before it, or begins with it
-    shorter = (last_end.isNull() & F.col("_end").isNotNull()) | F.coalesce(F.col("_end") < last_end, F.lit(False))
-    breaks = before.isNotNull() & (F.coalesce(before == F.col("_at"), F.lit(False)) | shorter)
-    marked = history.filter("_at is not null and (_end is null or _end > _at)").withColumn("_breaks", breaks)
-    marked = marked.withColumn("_nested", F.max("_breaks").over(Window.partitionBy(*keys)))
-    plain = marked.filter(~F.col("_nested")).select(*keys, "_at", "_end", "_values")
-    nested = marked.filter("_nested").select(*plain.columns, F.row_number().over(w).alias("_n"))
-    return plain.unionByName(nested.groupBy(*keys).applyInArrow(_pieces, plain.schema))
-
-
-def _pieces(table):
-    """The pieces of one key's intervals, each with the open interval of the highest number."""
-    import heapq
-
-    import pyarrow as pa
-
-    table = table.sort_by("_n")
-    begins, ends = table.column("_at").to_pylist(), table.column("_end").to_pylist()
-    points = sorted({*begins, *(e for e in ends if e is not None)})
-    open_, next_, at, stop, of = [], 0, [], [], []
-    for p in points:
-        while next_ < len(begins) and begins[next_] == p:
-            heapq.heappush(open_, -next_)
-            next_ += 1
-        while open_ and ends[-open_[0]] is not None and ends[-open_[0]] <= p:
-            heapq.heappop(open_)
-        best = -open_[0] if open_ else None
-        if of and stop[-1] is None and of[-1] != best:
-            stop[-1] = p
-        if best is not None and not (of and stop[-1] is None):
-            at.append(p)
-            stop.append(None)
-            of.append(best)
-    out = table.take(pa.array(of, pa.int64())).drop_columns(["_n"])
-    for name, column in (("_at", at), ("_end", stop)):
-        out = out.set_column(out.column_names.index(name), name, pa.array(column, table.schema.field(name).type))
-    return out
+    history = history.dropna(subset=[*keys, "_at"]).filter("_end is null or _end > _at")
+    times = F.explode(F.array("_at", "_end")).alias("_at")
+    points = history.select(*keys, times).filter("_at is not null").distinct().withColumn("_one", F.lit(1))
+    points = running(points, keys, ["_at"], ["_one"]).select(*keys, "_at", (F.col("_one_to") - 1).alias("_i"), F.col("_one_all").alias("_n"))
+    # the end points are read by every join below
+    points = scratch(points, "end-points")
+    starts = points.select(*keys, "_at", F.col("_i").alias("_from"), "_n")
+    ends = points.select(*keys, F.col("_at").alias("_end"), F.col("_i").alias("_to"))
+    runs = history.join(starts, [*keys, "_at"]).join(ends, [*keys, "_end"], "left").withColumn("_to", F.coalesce("_to", "_n"))
+    best = F.struct("_at", F.col("_end").isNull().alias("open"), F.col("_end").alias("end"), F.col("_values").alias("values"))
+    levels = lambda n: F.sequence(F.lit(0), F.length(F.bin(n)) - 1)
+    cut = runs.select(*keys, "_from", "_to", best.alias("_best"), F.explode(levels(F.col("_to") - F.col("_from"))).alias("_level"))
+    # at each level at most the first and the last segment of what is left are taken
+    first, last = F.expr("shiftright(_from + shiftleft(1L, _level) - 1, _level)"), F.expr("shiftright(_to, _level)")
+    taken = F.array(F.when((first < last) & (first % 2 == 1), first), F.when((first < last) & (last % 2 == 1), last - 1))
+    segments = cut.select(*keys, "_level", "_best", F.explode(F.array_compact(taken)).alias("_segment"))
+    segments = segments.groupBy(*keys, "_level", "_segment").agg(F.max("_best").alias("_best"))
+    up = points.select(*keys, "_at", "_i", F.explode(levels(F.col("_n"))).alias("_level")).withColumn("_segment", F.expr("shiftright(_i, _level)"))
+    open_ = up.join(segments, [*keys, "_level", "_segment"], "left").groupBy(*keys, "_at").agg(F.max("_best").alias("_best"))
+    return open_.select(*keys, "_at", F.col("_best.values").alias("_values"))
 
 
 def asof_backward(facts: DataFrame, events: DataFrame, keys: list[str], ts: str, value: str, lag: int = 0) -> DataFrame:
-    """The value of the last event at or before ``ts - lag`` (whole numbers) of the same keys."""
+    """The value of the last event at or before ``ts - lag`` (whole numbers) of the same keys, carried in ranges of (key, time)."""
     at, event, fact, last = fresh(facts, "at", "event", "fact", "last")
     marks = events.select(*keys, (F.col(ts) + lag).alias(at), F.struct(F.col(ts), F.col(value)).alias(event), F.lit(0).alias(fact))
-    rows = facts.withColumns({at: F.col(ts), fact: F.lit(1)})
-    w = Window.partitionBy(*keys).orderBy(at, fact).rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn(last, F.last(event, ignorenulls=True).over(w))
-    return both.filter(F.col(fact) == 1).select(*facts.columns, F.col(f"{last}.{value}").alias(value))
+    both = facts.withColumns({at: F.col(ts), fact: F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    out = scanned(both, keys, [at, fact], {last: ("last", F.col(event))}).filter(F.col(fact) == 1)
+    return out.select(*facts.columns, F.when(F.col(ts).isNotNull(), F.col(f"{last}.{value}")).alias(value))
 
 
 def exists_flag(df: DataFrame, keys: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -106,9 +90,9 @@ def exists_flag(df: DataFrame, keys: DataFrame, on: list[str], name: str) -> Dat
 
 
 def exists_before(df: DataFrame, run: str, order: list, condition: Column, name: str) -> DataFrame:
-    """Whether an earlier row of the run meets a condition; a running maximum instead of a correlated subquery."""
-    w = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.max(F.when(condition, 1).otherwise(0)).over(w), F.lit(0)))
+    """Whether an earlier row of the run meets a condition; a maximum carried along instead of a correlated subquery."""
+    out = scanned(df, [run], order, {name: ("max", F.when(condition, 1).otherwise(0))}, inclusive=False)
+    return out.withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def distance_matrix(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
@@ -121,8 +105,38 @@ def distance_matrix(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return pairs.select("a_id", "b_id", nm.alias("distance_nm")).withColumn("within", F.when(F.col("distance_nm") <= radius, 1).otherwise(0))
 
 
-def count_within(distances: DataFrame) -> DataFrame:
-    return distances.groupBy("a_id").agg(F.sum("within").alias("n_within"))
+def neighbours(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """(a_id, b_id, distance_nm) of the sites of ``b`` (b_id, b_lat, b_lon) within ``radius`` nautical miles of each of ``a``, without a cross join.
+
+    The sphere is cut in bands of latitude as high as the radius, and each band in cells of longitude that are as wide
+    as the radius reaches at its side next to the pole. A site of ``b`` lies in one cell; one of ``a`` asks the cells
+    beside it in its own band and the next ones, around the date line, and a band that reaches a pole is one cell.
+    What meets is then measured. Sites without coordinates have no neighbours.
+    """
+    degrees = math.degrees(radius / EARTH_RADIUS_NM) * (1 + 1e-9)
+    if degrees >= 60:  # such a radius spans most of the sphere: one cell
+        degrees = 360.0
+    band = lambda lat: F.floor((lat + 90.0) / degrees).cast("int")
+    # the widest difference of longitude within the radius of a site in the band, or of its neighbours
+    poleward = lambda n: F.greatest(F.abs(n * degrees - 90.0), F.abs((n + 1) * degrees - 90.0)) + degrees
+    reach = lambda n: F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(min(degrees, 89.0)))) / F.cos(F.radians(F.least(poleward(n) - degrees, F.lit(89.999)))))))
+    cells = lambda n: F.when(poleward(n) >= 90.0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(360.0) / (reach(n) * 1.000001)))).cast("int")
+    place = lambda lon, n: F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * cells(n)).cast("int"), cells(n) - 1)
+
+    there = b.dropna(subset=["b_lat", "b_lon"]).withColumn("_band", band(F.col("b_lat")))
+    there = there.withColumn("_cell", place(F.col("b_lon"), F.col("_band")))
+    here = a.dropna(subset=["a_lat", "a_lon"]).withColumn("_own", band(F.col("a_lat")))
+    here = here.withColumn("_band", F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1)))
+    beside = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(place(F.col("a_lon"), F.col("_band")) + d, cells(F.col("_band"))))
+    here = here.withColumn("_cell", F.explode(F.array_distinct(beside)))
+    nm = haversine_nm(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    return here.join(there, ["_band", "_cell"]).select("a_id", "b_id", nm.alias("distance_nm")).filter(F.col("distance_nm") <= radius)
+
+
+def count_within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """(a_id, n_within): how many sites of ``b`` lie within a radius of each site of ``a``, none included."""
+    n = neighbours(a, b, radius).groupBy("a_id").agg(F.count(F.lit(1)).alias("n_within"))
+    return a.select("a_id").join(n, "a_id", "left").select("a_id", F.coalesce("n_within", F.lit(0)).cast("long").alias("n_within"))
 
 
 def geocode(sites: DataFrame, postal: DataFrame) -> DataFrame:

@@ -411,22 +411,22 @@ _DIST = f"""WITH a AS ({_SITES.format(k='s_suppkey', n='(s_nationkey + s_suppkey
 d AS (SELECT a.id AS a_id, b.id AS b_id, 2 * 3440.065 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS nm FROM a CROSS JOIN b)"""
 
 
-def _distances(spark, sf_dir):
+def _sites(spark, sf_dir):
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     at = F.col("s_nationkey") + F.col("s_suppkey") % 7
     a = s.select(F.col("s_suppkey").alias("a_id"), (F.lit(25.0) + at).alias("a_lat"), (F.lit(-120.0) + 2 * at).alias("a_lon"))
     b = n.select(F.col("n_nationkey").alias("b_id"), (F.lit(25.0) + F.col("n_nationkey")).alias("b_lat"), (F.lit(-120.0) + 2 * F.col("n_nationkey")).alias("b_lon"))
-    return J.distance_matrix(a, b, 250.0)
+    return a, b
 
 
 @query("jn07_distance_matrix", f"{_DIST} SELECT a_id, b_id, round(nm, 4) AS distance_nm, CASE WHEN nm <= 250 THEN 1 ELSE 0 END AS within FROM d")
 def jn07(spark, sf_dir):
-    return _distances(spark, sf_dir).withColumn("distance_nm", F.round("distance_nm", 4))
+    return J.distance_matrix(*_sites(spark, sf_dir), 250.0).withColumn("distance_nm", F.round("distance_nm", 4))
 
 
 @query("jn07_count_within", f"{_DIST} SELECT a_id, sum(CASE WHEN nm <= 250 THEN 1 ELSE 0 END)::BIGINT AS n_within FROM d GROUP BY 1")
 def jn07_count(spark, sf_dir):
-    return J.count_within(_distances(spark, sf_dir))
+    return J.count_within(*_sites(spark, sf_dir), 250.0)
 
 
 _CODE = "lpad(CAST(CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 50000000 ELSE c_custkey END AS {t}), 9, '0')"

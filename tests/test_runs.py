@@ -128,3 +128,63 @@ def test_valid_at_of_overlapping_intervals(spark):
     stamps = lambda df, *names: df.withColumns({n: F.timestamp_seconds(n) for n in names})
     out = J.valid_at(stamps(f, "t"), stamps(h, "b", "e"), ["k"], "t", "b", "e", ["state"])
     assert {(r.k, r.t): r.state for r in out.withColumn("t", F.unix_seconds("t")).collect()} == {(k, t): expected(k, t) for k, t in facts}
+
+
+def test_valid_at_of_many_random_intervals(spark):
+    """A key with most of the intervals, deep nesting, ties in begin and end, null keys and times; neither a Python group nor one task."""
+    import random
+
+    from sparkruns.operators import joins as J
+
+    rng = random.Random(4)
+    history, facts = [], []
+    for i in range(400):
+        b = rng.randint(0, 120)
+        history.append((rng.choice(["hot", "hot", "hot", "a", None]), b if i % 17 else None, rng.choice([b + rng.randint(0, 90), None]) if rng.random() < 0.95 else None, i % 7, f"s{i}"))
+    facts = [(rng.choice(["hot", "hot", "a", "nobody", None]), rng.randint(-2, 230) if i % 13 else None, i) for i in range(500)]
+    h = spark.createDataFrame(history, "k string, b long, e long, rank int, state string").repartition(3)
+    f = spark.createDataFrame(facts, "k string, t long, i int").repartition(4)
+    out = J.valid_at(f, h, ["k"], "t", "b", "e", ["rank", "state"])
+    got = {r.i: (r["rank"], r.state) for r in out.collect()}
+    for k, t, i in facts:
+        held = [(b, e is None, e or 0, rank, s) for x, b, e, rank, s in history if None not in (k, t, b) and x == k and b <= t and (e is None or t < e)]
+        assert got[i] == (max(held)[3:] if held else (None, None)), (k, t)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_asof_and_exists_before_over_ranges(spark):
+    import random
+
+    from sparkruns.operators import joins as J
+
+    rng = random.Random(6)
+    events = [(rng.choice("aab"), 3 * i, i if i % 3 else None) for i in range(120)]
+    facts = [(rng.choice(["a", "b", "c"]), rng.randint(-5, 400) if i % 11 else None, i) for i in range(200)]
+    out = J.asof_backward(spark.createDataFrame(facts, "k string, t long, i int"), spark.createDataFrame(events, "k string, t long, v int"), ["k"], "t", "v", lag=7)
+    for r in out.collect():
+        seen = [v for k, t, v in events if r.t is not None and k == r.k and t + 7 <= r.t]
+        assert r.v == (seen[-1] if seen else None)
+    df = spark.createDataFrame([("r", i, "B" if i == 40 else "N") for i in range(90)] + [("s", 1, "B")], "run string, n int, code string").repartition(5)
+    assert {(r.run, r.n): r.flag for r in J.exists_before(df, "run", ["n"], F.col("code") == "B", "flag").collect()} == {("r", i): int(i > 40) for i in range(90)} | {("s", 1): 0}
+
+
+@pytest.mark.parametrize("radius", [3.0, 250.0, 1500.0, 3700.0])
+def test_neighbours_equal_the_full_matrix(spark, radius):
+    """Poles, date line, equal sites, missing coordinates; cells instead of a cross join."""
+    import random
+
+    from sparkruns.operators import joins as J
+
+    rng = random.Random(7)
+    spots = [(90.0, 0.0), (-90.0, 10.0), (89.99, 170.0), (89.99, -20.0), (0.0, 180.0), (0.0, -180.0), (0.0, 179.99), (60.0, -179.99), (60.0, 179.9), (None, 1.0), (1.0, None), (0.0, 0.0), (0.0, 0.02)]
+    spots += [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(120)]
+    spots += [(40 + rng.uniform(-3, 3), -75 + rng.uniform(-3, 3)) for _ in range(60)] + [(rng.choice([-1, 1]) * rng.uniform(80, 90), rng.uniform(-180, 180)) for _ in range(60)]
+    a = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)], "a_id int, a_lat double, a_lon double")
+    b = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)], "b_id int, b_lat double, b_lon double")
+    full = {(r.a_id, r.b_id) for r in J.distance_matrix(a, b, radius).filter("within = 1").collect()}
+    near = J.neighbours(a, b, radius)
+    assert sorted(tuple(r) for r in near.select("a_id", "b_id").collect()) == sorted(full)
+    assert "CartesianProduct" not in (plan := near._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    counts = {r.a_id: r.n_within for r in J.count_within(a, b, radius).collect()}
+    assert counts == {i: sum(x == i for x, _ in full) for i in range(len(spots))}
