@@ -20,8 +20,8 @@ def hit_rates(df: DataFrame, keys: list[str], predicted: str, true: str, toleran
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(hit(d)), 6).alias(f"hit_{d}") for d in tolerances))
 
 
-def binary_metrics(df: DataFrame, keys: list[str], target: str, score: str) -> DataFrame:
-    """Brier score, and exact ROC-AUC (ties count half) and average precision; null where one class is missing.
+def _ranked(df: DataFrame, keys: list[str], target: str, score: str) -> DataFrame:
+    """Per key: numbers of positives and negatives, squared errors, pairs won, and summed precisions.
 
     Rows are first summed by distinct score, and running sums walk the scores in ranges.
     """
@@ -30,10 +30,20 @@ def binary_metrics(df: DataFrame, keys: list[str], target: str, score: str) -> D
     run = running(by_score, keys, [f"-{score}"], ["p", "q"]).withColumnsRenamed({"p_to": "tp", "q_to": "fp"})
     # a positive beats the negatives below its score and ties with half of those at it
     run = run.withColumn("below", F.col("q_all") - F.col("fp"))
-    out = run.groupBy(*keys).agg(
+    return run.groupBy(*keys).agg(
         F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("e").alias("e"),
         F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("wins"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
     )
+
+
+def average_precision(df: DataFrame, keys: list[str], target: str, score: str) -> DataFrame:
+    """(keys, average_precision): exact, unrounded; null without a positive. Ties are one step."""
+    return _ranked(df, keys, target, score).select(*keys, F.when(F.col("n_pos") > 0, F.col("ap") / F.col("n_pos")).alias("average_precision"))
+
+
+def binary_metrics(df: DataFrame, keys: list[str], target: str, score: str) -> DataFrame:
+    """Brier score, and exact ROC-AUC (ties count half) and average precision; null where one class is missing."""
+    out = _ranked(df, keys, target, score)
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return out.select(
         *keys, (F.col("n_pos") + F.col("n_neg")).cast("long").alias("n"), F.round(F.col("e") / (F.col("n_pos") + F.col("n_neg")), 6).alias("brier"),

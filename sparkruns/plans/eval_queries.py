@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import bucketize
+from ..functions.columns import bucketize, round6
+from ..operators import encoding as C
 from ..operators import evaluate as V
 from ..operators import joins as J
 from ..operators import labels as L
@@ -12,8 +13,9 @@ from ..operators import ml as M
 from ..operators import rank as R
 from ..operators import runs as N
 from ..operators import sampling as P
-from ..sources.tables import scan, scratch_path, write_table
+from ..sources.tables import scan, scratch, scratch_path, write_table
 from .bindings import CONFIG, SCORE_SQL, WITH, WITH_LABELS, labels, offers, query, score
+from .run_queries import _SECOND
 
 _TARGET = "CASE WHEN response = 'Y' THEN 1 ELSE 0 END"
 #: Scores with many ties.
@@ -203,7 +205,8 @@ def sf11(spark, sf_dir):
 
 # models: fitted trees differ between engines, so these have no SQL
 
-_NUM, _CAT = ["score_points", "discount", "tax", "offer_rank"], ["band", "status"]
+_NUM, _CAT = ["score_points", "discount", "tax", "offer_rank"], ["band", "status", "candidate"]
+_ROW = ["run_id", "offer_rank"]
 
 
 def _training(spark, sf_dir):
@@ -214,35 +217,80 @@ def _training(spark, sf_dir):
     return scan(spark, path)
 
 
-@query("ml03_encoder")
+_CODED = ["candidate", "band", "status"]
+
+
+@query("ml03_encoder", f"""{WITH_LABELS}, {_SECOND}, s AS (SELECT run_id, offer_rank, split, score_points, CASE WHEN discount <= 0.05 THEN discount END AS discount, offers.submit_ts, candidate::VARCHAR AS candidate, band, CASE WHEN tax > 0.02 THEN status ELSE 'missing' END AS status
+ FROM offers JOIN labels USING (run_id) LEFT JOIN second USING (run_id) WHERE split <> 'history' AND run_state IN ('localizable_observed_y', 'none') AND response IN ('Y', 'N') AND (second IS NULL OR offer_rank <= second)),
+fit AS (SELECT *, CASE split WHEN 'train' THEN 0 ELSE 1 END AS b FROM s WHERE split IN ('train', 'validation')),
+cells AS ({' UNION ALL '.join(f"SELECT '{c}' AS f, {c} AS v, b, run_id, offer_rank FROM fit" for c in _CODED)}),
+firsts AS (SELECT f, v, min(row(b, run_id, offer_rank)) AS first FROM cells GROUP BY 1, 2),
+codes AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY first, v) - 1 AS code FROM firsts)
+SELECT s.run_id, s.offer_rank, round(score_points, 6) AS code_score_points, round(coalesce(discount, (SELECT avg(discount) FROM fit)), 6) AS code_discount, epoch_us(submit_ts) * 1000.0::DOUBLE AS code_submit_ts, 0.0::DOUBLE AS code_absent, {', '.join(f"coalesce(c_{c}.code, -1)::DOUBLE AS code_{c}" for c in _CODED)}
+FROM s {' '.join(f"LEFT JOIN codes c_{c} ON c_{c}.f = '{c}' AND c_{c}.v = s.{c}" for c in _CODED)}""")
 def ml03(spark, sf_dir):
+    """Two batches, training and validation rows; candidates of test rows alone are unseen."""
+    rows = L.loss_rows(offers(spark, sf_dir), labels(spark, sf_dir)).select(
+        "run_id", "offer_rank", "split", "score_points", F.when(F.col("discount") <= 0.05, F.col("discount")).alias("discount"), "submit_ts",
+        F.col("candidate").cast("string").alias("candidate"), "band", F.when(F.col("tax") > 0.02, F.col("status")).alias("status"),
+    )
+    rows = scratch(rows, "encoder-rows")
+    features = ["score_points", "discount", "submit_ts", "absent", *_CODED]
+    encoder = None
+    for split in ("train", "validation"):
+        encoder = C.fit_batch(rows.filter(F.col("split") == split), features, _ROW, encoder)
+    out = C.encode(encoder, rows)
+    return out.select(*_ROW, *(F.round(f"code_{f}", 6).alias(f"code_{f}") for f in features))
+
+
+@query("ml03_target_statistics", f"""{WITH_LABELS}, {_SECOND}, s AS (SELECT candidate, CASE response WHEN 'Y' THEN 1.0 ELSE 0.0 END AS y, run_id, offer_rank, split FROM offers JOIN labels USING (run_id) LEFT JOIN second USING (run_id) WHERE split <> 'history' AND run_state IN ('localizable_observed_y', 'none') AND response IN ('Y', 'N') AND (second IS NULL OR offer_rank <= second)),
+t AS (SELECT candidate, sum(y) AS total, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1), m AS (SELECT avg(y) AS mean FROM s WHERE split = 'train')
+SELECT run_id, offer_rank, round((coalesce(total, 0) + mean * 10) / (coalesce(n, 0) + 10) + 1e-9, 6)::DOUBLE AS stat_candidate FROM s LEFT JOIN t USING (candidate), m WHERE split <> 'train'""")
+def ml03_statistics(spark, sf_dir):
+    """What validation and test rows get from the training rows' statistics."""
     rows = _training(spark, sf_dir)
-    return M.encode(M.fit_encoder(rows.filter("split = 'train'"), _NUM, _CAT), rows, _NUM, _CAT).select("run_id", "offer_rank", *(f"code_{c}" for c in [*_NUM, *_CAT]))
+    _, statistics = C.ordered_statistics(rows.filter("split = 'train'"), "target", ["candidate"], _ROW)
+    return statistics.transform(rows.filter("split <> 'train'")).select(*_ROW, round6(F.col("stat_candidate")).alias("stat_candidate"))
 
 
 def _row_model(spark, sf_dir, backend: str = "gbt"):
     rows = _training(spark, sf_dir)
     fit = rows.filter("split in ('train', 'validation')")
-    return rows, M.fit_binary(fit, "target", _NUM, _CAT, validation="is_validation" if backend == "gbt" else None, backend=backend, iterations=5, depth=3)
+    return rows, M.fit_binary(fit, "target", _NUM, _CAT, validation="is_validation", backend=backend, iterations=5, depth=3, ids=_ROW)
 
 
 @query("ml04_row_classifier")
 def ml04(spark, sf_dir):
+    """Boosting that average precision on the validation rows stops."""
     rows, model = _row_model(spark, sf_dir)
     return model.transform(rows).select("run_id", "offer_rank", "target", F.round("probability_1", 6).alias("score"))
 
 
-@query("ml05_run_classifier")
-def ml05(spark, sf_dir):
+def _runs(spark, sf_dir):
     o, lab = offers(spark, sf_dir), labels(spark, sf_dir)
     features = {"max_points": F.max("score_points"), "mean_discount": F.avg("discount"), "n_dcd": F.sum("dcd")}
-    path = scratch_path(spark, "runs")
-    write_table(L.run_rows(o, lab, features, CONFIG), path)
-    runs = scan(spark, path)
-    model = M.fit_with_fallback(runs.filter("split = 'train'"), "discard_target", ["max_points", "mean_discount", "n_dcd", "run_len"], iterations=10, depth=4)
+    return scratch(L.run_rows(o, lab, features, CONFIG), "runs")
+
+
+_RUN_FEATURES = ["max_points", "mean_discount", "n_dcd", "run_len"]
+
+
+@query("ml05_run_classifier")
+def ml05(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    model = M.fit_with_fallback(runs.filter("split = 'train'"), "discard_target", _RUN_FEATURES, iterations=10, depth=4)
     return model.transform(runs).select("run_id", "split", "discard_target", F.round("probability_1", 6).alias("discard_probability"))
 
 
+@query("ml05_timing_classes")
+def ml05_timing(spark, sf_dir):
+    """Early, middle and late first acceptances, of which middle ones are few; all runs are scored."""
+    runs = _runs(spark, sf_dir)
+    model = M.fit_classes(runs.filter("split = 'train'"), "timing_target", _RUN_FEATURES, iterations=5, depth=3)
+    shares = [F.round(F.col("probabilities")[i], 6).alias(f"p_{c}") for i, c in enumerate(model.classes)]
+    return model.transform(runs).select("run_id", "split", "timing_target", *shares, "predicted")
+
+
 @query("ml06_constant_fallback")
 def ml06(spark, sf_dir):
     rows = _scored(spark, sf_dir).filter("target = 1")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkruns.operators import base as B
+from sparkruns.operators import encoding as C
 from sparkruns.operators import evaluate as V
 from sparkruns.operators import history as H
 from sparkruns.operators import joins as J
@@ -210,10 +211,124 @@ def test_learner_chain(spark):
     df = spark.createDataFrame([(i % 2, float(i)) for i in range(40)], "y int, x double")
     model = M.fit_with_fallback(df, "y", ["x"], iterations=2, depth=2)
     assert (model.backend, model.failures) == ("gbt", [])
-    model = M.fit_with_fallback(df, "y", ["x"], backends=("gbt", "rf"), iterations=2, depth=99)  # too deep for either
-    assert model.backend == "constant" and [f[0] for f in model.failures] == ["gbt", "rf"]
-    assert {r.probability_1 for r in model.transform(df).collect()} == {0.5}
+    assert M.fit_with_fallback(df, "y", ["x"], backends=("rf",), iterations=2, depth=2).backend == "rf"
+    with pytest.raises(M.NoLearner, match="gbt: .*rf: "):
+        M.fit_with_fallback(df, "y", ["x"], iterations=2, depth=99)  # too deep for either
     assert M.fit_with_fallback(df.filter("y = 1"), "y", ["x"]).backend == "constant"
+    with pytest.raises(ValueError, match="no values"):
+        M.fit_with_fallback(df.filter("y > 5"), "y", ["x"])
+    with pytest.raises(Exception, match="nothing"):  # what is no refusal of a learner is not swallowed
+        M.fit_with_fallback(df, "y", ["nothing"])
+
+
+def test_a_giveaway_beside_a_hundred_categories_is_learnt(spark):
+    rows = [(i % 2, i % 2 + 0.001 * (i % 7), f"c{i % 100}") for i in range(400)]
+    df = spark.createDataFrame(rows, "y int, x double, c string")
+    out = M.fit_with_fallback(df, "y", ["x"], ["c"], iterations=3, depth=2).transform(df).collect()
+    assert all((r.probability_1 > 0.5) == (r.y == 1) for r in out)
+
+
+def test_encoder_merges_batches(spark):
+    """Fills over all batches, first-sight codes, unseen and missing categories, times, absent columns."""
+    import datetime as dt
+
+    t = lambda d: dt.datetime(2020, 1, d)
+    schema = "i int, x double, t timestamp, c string, code string"
+    first = spark.createDataFrame([(3, 1.0, t(1), "b", "own"), (1, float("nan"), None, "a", "own"), (2, 2.0, t(3), None, "own"), (4, None, t(2), "b", "own")], schema).repartition(3)
+    second = spark.createDataFrame([(9, 6.0, None, "z", "own"), (8, None, None, "a", "own"), (7, None, None, "y", "own")], schema).repartition(2)
+    names = ["x", "t", "c", "gone"]
+    one = C.fit_batch(first, names, ["i"])
+    both = C.fit_batch(second, names, ["i"], one)
+    codes = lambda e: {r.value: r["code"] for r in e.codes.collect()}
+    assert codes(one) == {"a": 0, C.MISSING: 1, "b": 2} and codes(both) == codes(one) | {"y": 3, "z": 4}
+    assert one.fills()["x"] == 1.5 and both.fills() == {"x": 3.0, "t": 1577923200e9, "gone": 0.0}
+    new = spark.createDataFrame([(1, None, t(1), "never", "own"), (2, 7.0, None, None, "own")], schema)
+    out = {r.i: r for r in C.encode(both, new).collect()}
+    assert (out[1].code_x, out[1].code_t, out[1].code_c, out[1].code_gone) == (3.0, 1577836800e9, -1.0, 0.0)
+    assert (out[2].code_x, out[2].code_t, out[2].code_c, out[2]["code"]) == (7.0, 1577923200e9, 1.0, "own")
+    assert [r.code_c for r in C.encode(both, new.drop("c")).collect()] == [1.0, 1.0]
+
+
+def test_statistics_of_ten_thousand_categories_do_not_leak(spark):
+    """With labels by chance, a training row's statistic says nothing of its own label; each equals a plain loop's."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice([0, 1]), "hot" if i % 3 == 0 else f"c{rng.randrange(10_000)}") for i in range(12_000)]
+    df = spark.createDataFrame(rows, "i int, y int, c string").repartition(5)
+    train, stats = C.ordered_statistics(df, "y", ["c"], ["i"], strength=4.0)
+    mean = sum(y for _, y, _ in rows) / len(rows)
+    order = {r.i: r.h for r in df.select("i", F.xxhash64(F.lit(0), "i").alias("h")).collect()}
+    seen, expected = {}, {}
+    for i, y, c in sorted(rows, key=lambda r: (order[r[0]], r[0])):
+        total, n = seen.get(c, (0, 0))
+        expected[i] = (total + 4 * mean) / (n + 4)
+        seen[c] = (total + y, n + 1)
+    got = {r.i: (r.y, r.stat_c) for r in train.collect()}
+    assert all(abs(got[i][1] - v) < 1e-12 for i, v in expected.items()) and len(got) == len(rows)
+    assert abs(np.corrcoef([y for y, _ in got.values()], [s for _, s in got.values()])[0, 1]) < 0.05
+    later = {r.c: r.stat_c for r in stats.transform(spark.createDataFrame([("hot",), ("new",)], "c string")).collect()}
+    assert abs(later["hot"] - (seen["hot"][0] + 4 * mean) / (seen["hot"][1] + 4)) < 1e-12 and abs(later["new"] - mean) < 1e-12
+
+
+def test_ten_thousand_categories_fit(spark):
+    rng = random.Random(6)
+    effect = {f"c{k}": rng.random() < 0.5 for k in range(10_000)}
+    rows = [(i, int(effect[c] ^ (rng.random() < 0.1)), c) for i in range(40_000) for c in [f"c{rng.randrange(10_000)}"]]
+    df = spark.createDataFrame(rows, "i int, y int, c string")
+    model = M.fit_binary(df, "y", [], ["c"], iterations=3, depth=3, ids=["i"])
+    auc = V.binary_metrics(model.transform(df), [], "y", "probability_1").first().roc_auc
+    assert auc > 0.85
+
+
+def test_stopping_by_average_precision(spark):
+    """The chosen number of trees is that of a plain loop over the prefixes; scores are those of the learner's own ensemble of that length."""
+    from pyspark.ml.classification import GBTClassifier
+
+    rng = random.Random(8)
+    rows = [(i, int(rng.random() < (0.8 if x > 0.7 else 0.2)), x, rng.random(), i % 3 == 0) for i in range(900) for x in [rng.random()]]
+    df = spark.createDataFrame(rows, "i int, y int, a double, b double, held boolean")
+    model = M.fit_binary(df, "y", ["a", "b"], validation="held", iterations=12, depth=4, rate=0.4, patience=4, ids=["i"])
+    held = [r for r in rows if r[4]]
+    vectors = M._prepared(df, "y", ["a", "b"], [], ["i"], "held", 7)[1]
+    best, at, lengths = -1.0, 0, []
+    for n in range(1, 13):
+        scores = {r.i: r.probability_1 for r in M.BinaryModel(model.features, model.fitted, n).transform(df).collect()}
+        ranked = sorted(held, key=lambda r: -scores[r[0]])
+        ap, tp, k = 0.0, 0, 0
+        while k < len(ranked):
+            tie = [r for r in ranked if scores[r[0]] == scores[ranked[k][0]]]
+            k, tp = k + len(tie), tp + sum(r[1] for r in tie)
+            ap += sum(r[1] for r in tie) * tp / k
+        lengths.append(ap / sum(r[1] for r in held))
+        if lengths[-1] > best + 1e-12:
+            best, at = lengths[-1], n
+        elif n - at >= 4:
+            break
+    assert model.trees == at and np.allclose(model.precisions[: len(lengths)], lengths)
+    own = GBTClassifier(labelCol="y", featuresCol=vectors.columns[-1], maxDepth=4, seed=7, maxBins=64, maxIter=at, stepSize=0.4).fit(vectors)
+    theirs = {r.i: r.p for r in own.transform(model.features.vectors(df, "v_").withColumnRenamed("v_", vectors.columns[-1])).select("i", M.vector_to_array("probability")[1].alias("p")).collect()}
+    assert all(abs(theirs[r.i] - r.probability_1) < 1e-9 for r in model.transform(df).collect())
+
+
+@pytest.mark.parametrize("backends", [("gbt",), ("rf",)])
+def test_three_classes(spark, backends):
+    """Probabilities sum to one, a rare class is found through balance, weights of zero take rows out."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        c = "rare" if i % 30 == 0 else rng.choice(["early", "late"])
+        rows.append((i, c if i % 50 else None, {"early": 0.0, "late": 5.0, "rare": 10.0}[c] + rng.random(), 1.0))
+    rows += [(1000 + i, "noise", 0.5, 0.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "i int, c string, x double, w double")
+    model = M.fit_classes(df.filter("w > 0"), "c", ["x"], weight="w", backends=backends, iterations=4, depth=3)
+    assert (model.classes, model.backend) == (["early", "late", "rare"], backends[0])
+    out = model.transform(df.filter("w > 0")).collect()
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 and min(r.probabilities) >= 0 for r in out)
+    assert all(r.predicted == r.c for r in out if r.c)
+    two = M.fit_classes(df.filter("c in ('early', 'late')"), "c", ["x"], iterations=2, depth=2).transform(df.limit(20)).collect()
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 and r.predicted in ("early", "late") for r in two)
+    assert M.fit_classes(df.filter("c = 'rare'"), "c", ["x"]).transform(df.limit(1)).first().predicted == "rare"
+    with pytest.raises(M.NoLearner):
+        M.fit_classes(df, "c", ["x"], backends=backends, depth=99)
 
 
 def test_dimensions_are_typed(spark):
