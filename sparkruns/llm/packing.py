@@ -28,9 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column
 from .meeting import give_back
-from .word_tokens import encoded_blocks
+from .word_tokens import MEMO, encoded_blocks
 
 END_ID = 1
 TOKENS = 2048
@@ -164,8 +163,11 @@ class Packer:
 _PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def packed_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, prompt: float = PROMPT) -> DataFrame:
-    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens."""
+def packed_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, prompt: float = PROMPT, memo: int = MEMO) -> DataFrame:
+    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
+
+    ``memo`` bounds the chunks that a worker remembers, and with them its memory.
+    """
     names = [x.split()[0] for x in _PIECES.split(", ")]
 
     def run(batches):
@@ -177,7 +179,7 @@ def packed_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
         for batch in batches:
             keys = batch.column("id").to_pylist()
-            for lo, ids in encoded_blocks(tokenizer, text_column(batch, "text"), end_id):
+            for lo, ids in encoded_blocks(tokenizer, batch, "text", end_id, memo=memo):
                 for k, x in enumerate(ids):
                     out.extend(packer.add(keys[lo + k], x))
                 if len(out) > 20_000:

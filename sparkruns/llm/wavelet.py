@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch_dir, session_of, text_column
+from .common import partitions, scratch_dir, session_of
 from .word_tokens import encoded_blocks
 
 END_ID = 1
@@ -203,7 +203,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str
 
         for batch in batches:
             keys = batch.column("id").fill_null(_NULL).to_pylist()
-            for lo, ids in encoded_blocks(tokenizer, text_column(batch, "text"), end_id):
+            for lo, ids in encoded_blocks(tokenizer, batch, "text", end_id):
                 for k, x in enumerate(ids):
                     held.append(x)
                     held_ids.append(keys[lo + k])

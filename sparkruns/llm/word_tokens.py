@@ -5,14 +5,16 @@ are those of its chunks between them, in order; a chunk's final punctuation
 after a letter or digit is a piece of its own; and A-Z count as a-z. A worker
 remembers chunks up to a bound and sends all unknown ones of a block of texts
 through the library at once. A tokenizer that treats a probe otherwise encodes
-whole texts instead.
+whole texts instead, and so does any for a text with the string of a special
+token in it, which the library takes for that token unless ``plain`` says that
+it is ordinary text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .common import LOWER_AZ, mix64, text_blocks
+from .common import LOWER_AZ, mix64, text_blocks, text_column
 
 #: Bounds on the chunks that a worker remembers: their number, and bytes of one.
 MEMO = 700_000
@@ -24,11 +26,15 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, memo: int = MEMO, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # chunks hold no special token
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = plain
+        # as they would show in folded text
+        self.marks = [] if plain else sorted({t.content.encode().translate(_TABLE) for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[bytes, bytes] = {}
         self.room = memo
@@ -44,6 +50,9 @@ class ChunkEncoder:
     def _encode(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
 
+    def _whole(self, text: bytes, end: int | None) -> np.ndarray:
+        return np.asarray(self.whole.encode(text.decode(), add_special_tokens=False).ids + ([] if end is None else [end]), self.dtype)
+
     def _unknown(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each chunk, from one call for all; offsets tell which chunk a token is of."""
         found: dict[bytes, bytes] = {}
@@ -99,8 +108,13 @@ class ChunkEncoder:
     def encode(self, texts: list[bytes], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text (UTF-8), followed by the end id; each different chunk of the texts is looked up once."""
         if not self.by_chunks:
-            return [np.asarray(self._encode(t.decode()).ids + ([] if end is None else [end]), self.dtype) for t in texts]
+            return [self._whole(t, end) for t in texts]
         joined = (b" " * 8 + b" ".join(texts) + b" " * 8).translate(_TABLE)
+        if any(m in joined for m in self.marks):
+            marked = {i for i, t in enumerate(texts) for folded in [t.translate(_TABLE)] if any(m in folded for m in self.marks)}
+            if marked:
+                rest = iter(self.encode([t for i, t in enumerate(texts) if i not in marked], end))
+                return [self._whole(t, end) if i in marked else next(rest) for i, t in enumerate(texts)]
         b = np.frombuffer(joined, np.uint8)
         ends = 8 + np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         space = b == 32
@@ -144,18 +158,24 @@ class ChunkEncoder:
         return [flat[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple, ChunkEncoder] = {}
+
+
+def worker_encoder(path: str, memo: int = MEMO, plain: bool = False) -> ChunkEncoder:
+    """One encoder for each worker process and setting; the vocabulary file is installed on every machine."""
+    if (path, memo, plain) not in _encoders:
+        _encoders[path, memo, plain] = ChunkEncoder(path, memo, plain)
+    return _encoders[path, memo, plain]
 
 
-def worker_encoder(path: str) -> ChunkEncoder:
-    """One encoder for each worker process; the vocabulary file is installed on every machine."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+#: Rows of an Arrow batch that become Python values at once.
+ROWS_AT_ONCE = 512
 
 
-def encoded_blocks(path: str, texts: list[bytes], end_id: int | None, limit: int = 2 << 20):
-    """(number of the first text, ids of each text with the end id) for blocks of texts of about ``limit`` bytes."""
-    encoder = worker_encoder(path)
-    for lo, hi in text_blocks(texts, limit):
-        yield lo, encoder.encode(texts[lo:hi], end_id)
+def encoded_blocks(path: str, batch, column: str, end_id: int | None, limit: int = 2 << 20, memo: int = MEMO, plain: bool = False):
+    """(number of the first row, ids of each text with the end id) for blocks of a batch's texts of about ``limit`` bytes."""
+    encoder = worker_encoder(path, memo, plain)
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        texts = text_column(batch.slice(at, ROWS_AT_ONCE), column)
+        for lo, hi in text_blocks(texts, limit):
+            yield at + lo, encoder.encode(texts[lo:hi], end_id)

@@ -268,7 +268,20 @@ def test_other_tokenizers_encode_whole_texts(monkeypatch):
     encoder.tokenizer.normalizer = normalizers.NFC()
     assert not encoder._suits()
     encoder.by_chunks = False
-    assert [x.tolist() for x in encoder.encode([b"Ab cd", b""], 1)] == [[*encoder.tokenizer.encode("Ab cd", add_special_tokens=False).ids, 1], [1]]
+    assert [x.tolist() for x in encoder.encode([b"Ab cd", b""], 1)] == [[*encoder.whole.encode("Ab cd", add_special_tokens=False).ids, 1], [1]]
+
+
+def test_strings_of_special_tokens_follow_the_plain_call():
+    """As the library takes them with ``add_special_tokens=False`` alone; with ``plain`` they are ordinary text."""
+    from tokenizers import Tokenizer
+
+    texts = ["hello <|endoftext|> there", "A<|endoftext|>b\n<|startoftext|><|startoftext|> c.", "<|ENDOFTEXT|> stays text", "plain, text", "", "<|endoftext|>", "x <|endof text|>"] * 3
+    for plain in (False, True):
+        library = Tokenizer.from_file(WORDS)
+        library.encode_special_tokens = plain
+        got = word_tokens.ChunkEncoder(WORDS, plain=plain).encode([t.encode() for t in texts], 1)
+        assert [x.tolist() for x in got] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert word_tokens.ChunkEncoder(WORDS).encode([b"hello <|endoftext|> there"])[0].tolist() == [3306, 49407, 997]
 
 
 def test_wavelet_matrix():

@@ -121,7 +121,6 @@ def test_op7_and_op8_queries(results, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     ids = {i: np.asarray([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for i, x in texts.items()}
     start = 0
     for r in sorted(results["op7_token_files"].collect(), key=lambda r: r.doc_id):
