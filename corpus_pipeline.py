@@ -15,6 +15,8 @@ from sparkruns.llm.toxicity import drop_toxic, fit_toxicity
 
 #: Shortest passage in bytes that is cut where it repeats: 51 words of one letter and the 50 spaces between them.
 PASSAGE_BYTES = 101
+#: Chunks of text that a worker of the last stage remembers: executors still hold memory of the stages before.
+MEMO = 200_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +67,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents placed in sequences of 2048 tokens, of which 1792 bear loss, and 16 segments.
 
     Null and empty texts are packed as the end id alone; very long ones take many pieces; repeated rows are packed each;
-    equal gains go to the piece that came first; an empty table gives no pieces; other columns are not read.
+    of pieces with equal gains any one goes first, the same in each run over the same partitions; an empty table gives no pieces; other columns are not read.
     """
-    packed = packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
+    packed = packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), memo=MEMO)
     return packed.withColumnRenamed("id", "doc_id")
 
 
