@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import age_at, component_sum, flag, iso_weekday, micros, row_id, week_of_month, whole_bucket
+from ..sources.lookup import write_lookup
 from .joins import assemble_features, enrich, enrich_compound, offers_with_outcome, valid_at
 from .rank import instance_ordinal, latest_per_key, offer_rank, preferred_type, sort_key
 
@@ -173,10 +174,12 @@ def _of(column: str, order: list[str], doc: str):
         return df.filter(F.col(column) == F.lit(value)).orderBy(*order)
 
     rows.__doc__ = doc
+    rows.column, rows.order = column, order
     return rows
 
 
-# table functions: rows of one participant; the filter on a plain column reaches the scan
+# table functions: rows of one participant; the filter on a plain column reaches the scan, and in a table that
+# ``store`` wrote by that column, one bucket
 lookup_match = _of("match_id", _IN_TIME[2:], "Offers of a run.")
 px_history = _of("px_id", _IN_TIME, "Offers to a candidate.")
 donor_history = _of("donor_id", _IN_TIME, "Offers of a donor's organs.")
@@ -186,6 +189,11 @@ match_opo_history = _of("match_opo_ctr_cd", _IN_TIME, "Outcome view of a procure
 listing_center_history = _of("can_listing_ctr_cd", _IN_TIME, "Outcome view of a listing center.")
 
 
+def store(df: DataFrame, function, table: str, path: str | None = None, buckets: int | None = None, replace: bool = False) -> None:
+    """Keeps a table as a lookup store for one of the table functions, which then reads one bucket of ``spark.table(table)``."""
+    write_lookup(df, table, function.column, function.order, path, buckets, replace)
+
+
 #: Features of a run that are the same in all its offers.
 RUN_CONSTANTS = """don_age kdpi dcd_ind high_kdpi_flg don_opo_success_rate_historical tx_center_count_250nm opo_hist_dcd_frac_365d
     opo_hist_any_placed_frac_365d opo_hist_both_wasted_frac_365d opo_hist_kdpi_bin_placement_rate_365d

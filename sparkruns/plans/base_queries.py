@@ -5,6 +5,7 @@ Registry tables are bound to the test tables by expressions that both engines re
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,8 @@ from ..operators import base as B
 from ..operators import history as H
 from ..operators import joins as J
 from ..operators import labels as L
-from ..sources.tables import scratch
+from ..sources.lookup import BUCKET_ROWS
+from ..sources.tables import scan, scratch, scratch_path, write_table
 from .bindings import CONFIG, outcomes, placed, query, table
 
 DUCK = {"bigint": "BIGINT", "int": "INTEGER", "tinyint": "TINYINT", "double": "DOUBLE", "string": "VARCHAR", "timestamp": "TIMESTAMP"}
@@ -295,27 +297,58 @@ def st7_outcome(spark, sf_dir):
 # table functions
 
 _FACT = ["match_id", "ptr_row_order", "ptr_sequence_num", "px_id", "donor_id", "ptr_offer_acpt"]
+#: Lookup stores of this application: (session, tables' files, what, column) to a table's name.
+_STORES: dict[tuple, str] = {}
+
+
+def _stored(spark, sf_dir: str, what: str, build, f) -> DataFrame:
+    """The table of ``build``, kept by the column of a table function; built once in a session for the same input files.
+
+    All functions over one view share its rows, which are written once before they are dealt by a column.
+    """
+    files = tuple(sorted(x for t in ("lineitem", "orders", "customer", "supplier") for x in table(spark, sf_dir, t).inputFiles()))
+
+    def kept(column: str, make):
+        key = (spark.sparkContext.applicationId, files, what, column)
+        if key not in _STORES:
+            _STORES[key] = make()
+        return _STORES[key]
+
+    def by_column() -> str:
+        rows = scan(spark, kept("", written))
+        name = f"lookup_{uuid.uuid4().hex}"
+        B.store(rows, f, name, scratch_path(spark, name), buckets=max(8, -(-rows.count() // BUCKET_ROWS)))
+        return name
+
+    def written() -> str:
+        path = scratch_path(spark, what)
+        write_table(build(), path)
+        return path
+
+    return spark.table(kept(f.column, by_column))
 
 
 def _register_functions():
     raw = f"(SELECT {', '.join(f'{e} AS {c}' for c, e in SOURCES['offer'][0][1].items())} FROM {SOURCES['offer'][0][0]})"
-    for name, f, column in (("tf01_lookup_match", B.lookup_match, "match_id"), ("tf01_px_history", B.px_history, "px_id"), ("tf01_donor_history", B.donor_history, "donor_id")):
+    for name, f in (("tf01_lookup_match", B.lookup_match), ("tf01_px_history", B.px_history), ("tf01_donor_history", B.donor_history)):
 
-        def run(spark, sf_dir, f=f, column=column):
+        def run(spark, sf_dir, f=f):
             facts = source(spark, sf_dir, "offer")
-            return f(facts, facts.agg(F.max(column)).first()[0]).select(*_FACT)
+            rows = _stored(spark, sf_dir, "facts", lambda: facts.select(*_FACT, "match_submit_dt"), f)
+            return f(rows, facts.agg(F.max(f.column)).first()[0]).select(*_FACT)
 
-        query(name, f"SELECT {', '.join(_FACT)} FROM {raw} AS f WHERE {column} = (SELECT max({column}) FROM {raw} AS g)")(run)
-    for name, f, column in (
-        ("tf02_candidate_history_enriched", B.candidate_history_enriched, "px_id"), ("tf02_donor_history_enriched", B.donor_history_enriched, "donor_id"),
-        ("tf02_match_opo_history", B.match_opo_history, "match_opo_ctr_cd"), ("tf02_listing_center_history", B.listing_center_history, "can_listing_ctr_cd"),
+        query(name, f"SELECT {', '.join(_FACT)} FROM {raw} AS f WHERE {f.column} = (SELECT max({f.column}) FROM {raw} AS g)")(run)
+    for name, f in (
+        ("tf02_candidate_history_enriched", B.candidate_history_enriched), ("tf02_donor_history_enriched", B.donor_history_enriched),
+        ("tf02_match_opo_history", B.match_opo_history), ("tf02_listing_center_history", B.listing_center_history),
     ):
 
-        def run(spark, sf_dir, f=f, column=column):
-            facts = source(spark, sf_dir, "offer") if column in SOURCES["offer"][0][1] else dim(spark, sf_dir, "candidate")
-            return _shown(f(outcome(spark, sf_dir), facts.agg(F.max(column)).first()[0]).select(*OUTCOME_COLUMNS))
+        def run(spark, sf_dir, f=f):
+            facts = source(spark, sf_dir, "offer") if f.column in SOURCES["offer"][0][1] else dim(spark, sf_dir, "candidate")
+            rows = _stored(spark, sf_dir, "outcomes", lambda: outcome(spark, sf_dir), f)
+            return _shown(f(rows, facts.agg(F.max(f.column)).first()[0]).select(*OUTCOME_COLUMNS))
 
-        query(name, f"{OUTCOME_SQL} {_shown_sql(OUTCOME_COLUMNS, f'outcome WHERE {column} = (SELECT max({column}) FROM {"raw" if column in SOURCES["offer"][0][1] else "candidates"})')}")(run)
+        query(name, f"{OUTCOME_SQL} {_shown_sql(OUTCOME_COLUMNS, f'outcome WHERE {f.column} = (SELECT max({f.column}) FROM {"raw" if f.column in SOURCES["offer"][0][1] else "candidates"})')}")(run)
 
 
 _register_functions()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -10,6 +12,7 @@ from ..operators import profile as P
 from ..operators import rank as R
 from ..operators import score as S
 from ..sources import tables as T
+from ..sources.lookup import write_lookup
 from .bindings import OFFERS, WITH, WITH_LABELS, labels, offers, query, table
 
 _ORDERS_97 = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1997"
@@ -94,7 +97,11 @@ def io10(spark, sf_dir):
 
 @query("io11_lookup_table", f"{WITH} SELECT run_id, candidate, offer_rank, response FROM offers")
 def io11(spark, sf_dir):
-    return T.lookup_table(offers(spark, sf_dir), ["run_id"], ["candidate", "offer_rank", "response"])
+    """Kept in buckets of its key, and read back as a table."""
+    name = f"lookup_{uuid.uuid4().hex}"
+    rows = T.lookup_table(offers(spark, sf_dir), ["run_id"], ["candidate", "offer_rank", "response"])
+    write_lookup(rows, name, "run_id", ["offer_rank"], T.scratch_path(spark, name))
+    return spark.table(name)
 
 
 @query("io12_require_columns", "SELECT c_custkey, c_name FROM customer")

@@ -119,8 +119,8 @@ def period_slice(df: DataFrame, column: str, value, view: str | None = None) ->
 
 
 def lookup_table(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Narrow projection for lookups, clustered by its keys."""
-    return df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys)
+    """Narrow projection for lookups; ``lookup.write_lookup`` keeps it by a key."""
+    return df.select(*keys, *columns)
 
 
 class MissingColumns(ValueError):

@@ -188,3 +188,40 @@ def test_neighbours_equal_the_full_matrix(spark, radius):
     assert "CartesianProduct" not in (plan := near._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
     counts = {r.a_id: r.n_within for r in J.count_within(a, b, radius).collect()}
     assert counts == {i: sum(x == i for x, _ in full) for i in range(len(spots))}
+
+
+@pytest.fixture
+def shown_buckets(spark):
+    """Plans name the buckets that a scan reads, which it also leaves out where plans do not name them."""
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
+def test_lookup_store_reads_one_bucket(spark, tmp_path, shown_buckets):
+    """A lookup scans one of the buckets, with the key in the scan's filters; rows are those of a plain filter, nulls and hot keys included."""
+    from sparkruns.operators import base as B
+
+    rows = [(i, (i * 7) % 90 if i % 10 else None, i % 5, i % 3, i) for i in range(2000)] + [(5000 + i, 1234, i, 0, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "match_id long, px_id long, ptr_sequence_num int, ptr_row_order int, day int").withColumn("match_submit_dt", F.timestamp_seconds(F.col("day") * 86_400))
+    B.store(df, B.px_history, "lookup_test", f"file://{tmp_path}/store", buckets=16)
+    for value in (7, 1234, 999_999):
+        found = B.px_history(spark.table("lookup_test"), value)
+        assert [r.match_id for r in found.collect()] == [r.match_id for r in B.px_history(df, value).collect()]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount: 1 out of 16" in plan and f"EqualTo(px_id,{value})" in plan
+    assert spark.table("lookup_test").filter("px_id is null").count() == 200 and spark.table("lookup_test").count() == len(rows)
+    assert len(list((tmp_path / "store").glob("*.parquet"))) <= 16
+    spark.sql("DROP TABLE lookup_test")
+
+
+def test_table_functions_build_their_view_once(spark, sf_dir, monkeypatch, shown_buckets):
+    from sparkruns.plans import base_queries as Q
+    from sparkruns.plans import catalogue
+
+    built = []
+    real = Q.outcome
+    monkeypatch.setattr(Q, "outcome", lambda *a: built.append(a) or real(*a))
+    monkeypatch.setattr(Q, "_STORES", {})
+    plans = [catalogue.queries()[n](spark, sf_dir)._jdf.queryExecution().executedPlan().toString() for n in ("tf02_match_opo_history", "tf02_listing_center_history")]
+    assert len(built) == 1 and all("SelectedBucketsCount: 1 out of 8" in p and "Window" not in p for p in plans)
