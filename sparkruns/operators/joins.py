@@ -32,16 +32,29 @@ def valid_at(facts: DataFrame, history: DataFrame, keys: list[str], ts: str, beg
 
     Intervals of a key may overlap in any way. Of intervals with one begin the longest-lasting counts, then the larger
     values. Intervals without a begin, or that end by it, hold nothing; a fact without a timestamp, or with a null key,
-    is held by none. What holds from each end point of a key's intervals on is found first (``_states``); facts then
-    carry the last of these, in ranges of (key, time), so that neither a key's facts nor its history are one task.
+    is held by none. What holds from each end point of a key's intervals on is found first (``_states``); the last of
+    these is carried to the facts' times, in ranges of (key, time), so that neither a key's facts nor its history are
+    one task.
     """
-    at, fact, state = fresh(facts, "at", "fact", "state")
-    marks = _states(history.select(*keys, F.col(begin).alias("_at"), F.col(end).alias("_end"), F.struct(*values).alias("_values")), keys)
-    marks = marks.select(*keys, F.col("_at").alias(at), F.struct("_values").alias(state), F.lit(0).alias(fact))
-    both = facts.withColumns({at: F.col(ts), fact: F.lit(1)}).unionByName(marks, allowMissingColumns=True)
-    out = scanned(both.withColumnRenamed(state, f"{state}_"), keys, [at, fact], {state: ("last", F.col(f"{state}_"))}).filter(F.col(fact) == 1)
-    held = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in [*keys, ts]))
-    return out.select(*facts.columns, *(F.when(held, F.col(state)["_values"][v]).alias(v) for v in values))
+    history = history.select(*keys, F.col(begin).alias("_at"), F.col(end).alias("_end"), F.struct(*values).alias("_values"))
+    return _carried_to(facts, _states(history, keys), keys, ts, "_values", values)
+
+
+def _carried_to(facts: DataFrame, marks: DataFrame, keys: list[str], ts: str, state: str, values: list[str]) -> DataFrame:
+    """Facts with the values of the last mark (keys, _at, a struct or null) at or before their time.
+
+    Only the distinct (keys, time) of the facts move along the order; the facts then meet them by equality, so that wide
+    rows are moved once. A null key or time meets nothing.
+    """
+    points = facts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(ts).alias("_at")).dropna().distinct()
+    by = [f"_k{i}" for i in range(len(keys))]
+    marks = marks.select(*(F.col(k).alias(b) for k, b in zip(keys, by, strict=True)), "_at", F.struct(F.col(state).alias("held")).alias("_mark"))
+    both = points.withColumn("_fact", F.lit(1)).unionByName(marks.withColumn("_fact", F.lit(0)), allowMissingColumns=True)
+    seen = scanned(both, by, ["_at", "_fact"], {"_seen": ("last", F.col("_mark"))}).filter("_fact = 1")
+    found, *others = fresh(facts, "found", *(f"k{i}" for i in range(len(keys))), "time")
+    seen = seen.select(F.col("_seen.held").alias(found), *(F.col(c).alias(o) for c, o in zip([*by, "_at"], others, strict=True)))
+    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(o) for c, o in zip([*keys, ts], others, strict=True)))
+    return facts.join(seen, same, "left").select(*facts.columns, *(F.col(found)[v].alias(v) for v in values))
 
 
 def _states(history: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,11 +89,8 @@ def _states(history: DataFrame, keys: list[str]) -> DataFrame:
 
 def asof_backward(facts: DataFrame, events: DataFrame, keys: list[str], ts: str, value: str, lag: int = 0) -> DataFrame:
     """The value of the last event at or before ``ts - lag`` (whole numbers) of the same keys, carried in ranges of (key, time)."""
-    at, event, fact, last = fresh(facts, "at", "event", "fact", "last")
-    marks = events.select(*keys, (F.col(ts) + lag).alias(at), F.struct(F.col(ts), F.col(value)).alias(event), F.lit(0).alias(fact))
-    both = facts.withColumns({at: F.col(ts), fact: F.lit(1)}).unionByName(marks, allowMissingColumns=True)
-    out = scanned(both, keys, [at, fact], {last: ("last", F.col(event))}).filter(F.col(fact) == 1)
-    return out.select(*facts.columns, F.when(F.col(ts).isNotNull(), F.col(f"{last}.{value}")).alias(value))
+    marks = events.select(*keys, (F.col(ts) + lag).alias("_at"), F.struct(F.col(value).alias(value)).alias("_event"))
+    return _carried_to(facts, marks, keys, ts, "_event", [value])
 
 
 def exists_flag(df: DataFrame, keys: DataFrame, on: list[str], name: str) -> DataFrame:
