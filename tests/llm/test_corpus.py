@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -243,11 +244,15 @@ def test_byte_bpe_round_trip(odd, empty):
 WORDS = P.path("word_bpe_49k.json")
 
 
-def _word_ids(text):
+@lru_cache
+def _library():
     from tokenizers import Tokenizer
 
-    t = _word_ids.__dict__.setdefault("t", Tokenizer.from_file(WORDS))
-    return [*t.encode(text, add_special_tokens=False).ids, 1]
+    return Tokenizer.from_file(WORDS)
+
+
+def _word_ids(text):
+    return [*_library().encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_chunk_encoder(odd):
