@@ -107,10 +107,11 @@ def offer_base(offers: DataFrame, candidates: DataFrame, centers: DataFrame, his
     joined by equality, and whether one is broadcast follows its size; the status history is walked once per candidate.
     """
     ties = ["ptr_offer_id", "ptr_sequence_num", "px_id", "donor_id", "wlreg_audit_id", "ptr_stat_cd", "ptr_txc_refusal_cd", "ptr_class_alloc_cat", "ptr_offer_acpt", "ptr_org_placed"]
-    m = instance_ordinal(offers, ["match_id", "ptr_row_order"], _sentinels(ties), "offer_row_instance_ordinal")
+    # ordinals and ranks within a run share one exchange by run
+    m = instance_ordinal(offers.repartition("match_id"), ["match_id", "ptr_row_order"], _sentinels(ties), "offer_row_instance_ordinal")
+    m = offer_rank(m, "match_id", RUN_ORDER)
     m = m.withColumns({"match_run_rowid": row_id(*_sentinels(ID_COLUMNS), F.col("offer_row_instance_ordinal")), "offer_sort_us": micros(F.col("match_submit_dt"))})
     m = sort_key(m, [], "offer_sort_us", ["match_id", *RUN_ORDER], "offer_sort_us")
-    m = offer_rank(m, "match_id", RUN_ORDER)
     ts = F.col("match_submit_dt")
     total = component_sum(*map(F.col, MISMATCHES))
     part = lambda x: component_sum(F.col(f"ptr_{x}1_mm"), F.col(f"ptr_{x}2_mm"))
