@@ -150,6 +150,7 @@ def enriched_view(base: DataFrame, centers: DataFrame, families: list[tuple[Data
     return select_except(out, INTERNAL)
 
 
+# fixed values: names of the registry's outcome columns
 BRIDGE_COLUMNS = """don_disposition don_reason_cd don_tx_ctr_id don_discard_cd don_share_ty trr_id rec_tx_dt rec_ctr_cd rec_ctr_ty rec_opo_id
     latest_tfl_px_stat latest_tfl_px_stat_dt latest_tfl_creat""".split()
 
@@ -195,6 +196,7 @@ def store(df: DataFrame, function, table: str, path: str | None = None, buckets:
     write_lookup(df, table, function.column, function.order, path, buckets, replace)
 
 
+# fixed values: names of run features, as their users know them
 #: Features of a run that are the same in all its offers.
 RUN_CONSTANTS = """don_age kdpi dcd_ind high_kdpi_flg don_opo_success_rate_historical tx_center_count_250nm opo_hist_dcd_frac_365d
     opo_hist_any_placed_frac_365d opo_hist_both_wasted_frac_365d opo_hist_kdpi_bin_placement_rate_365d
