@@ -14,9 +14,10 @@ suffixes are sorted:
   their whole bytes. A run that equals one of a smaller document of the block is
   settled for all its windows; one of each group goes on.
 * What is left goes, with its bytes, to the bucket of its anchor, where whole runs
-  and then their single windows are sorted. Windows of very frequent anchors are
-  dealt on by further digits, their first and last eight bytes, once the block
-  has sorted them, so that no bucket gets all contexts of a frequent passage.
+  and then their single windows are sorted. Windows of anchors that more documents
+  have than a bucket takes are dealt on by further digits, their first and last
+  eight bytes, once the block has sorted them, so that no bucket gets all contexts
+  of a frequent passage. Such windows travel one by one, with fifty bytes each.
 
 Texts are written once as blocks; all else is packed arrays. Defined results: a
 byte goes if a window that covers it also starts in a document with a smaller
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,9 @@ from .common import BYTE_HASH, Powers, fresh_names, materialize, mix64, scratch_
 from .meeting import LOWEST, ROW, Block, blocked, bucket_of, by_block, documents_of, frugal, grouped, joined, key48, pack, rows, shared_keys, split_by, unpack
 
 MIN_BYTES = 50
-#: Windows of anchors of at least so many documents are dealt on by further digits.
-HOT_DOCUMENTS = 256
+#: Windows of anchors of at least so many documents are dealt on by further digits. The runs of fewer
+#: documents take under a megabyte, a fraction of a bucket; each window alone would take ten times that.
+HOT_DOCUMENTS = 1 << 13
 _BLOCK = 1 << 20
 _LONGEST_RUN = 255
 
@@ -160,6 +163,17 @@ def _gather(buffer: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
     return buffer[np.repeat(start, length) + skip].tobytes()
 
 
+def _message(numbers: list[np.ndarray], text: bytes) -> bytes:
+    """Numbers and text, each compressed by itself, as they share no statistics."""
+    head = pack(*numbers, level=3)
+    return len(head).to_bytes(4, "little") + head + zstandard.compress(text, 3)
+
+
+def _read(message: bytes) -> list[np.ndarray]:
+    end = 4 + int.from_bytes(message[:4], "little")
+    return [*unpack(message[4:end]), np.frombuffer(zstandard.decompress(message[end:]), np.uint8)]
+
+
 def _expand(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, number) for each of ``n`` items of each place."""
     return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -201,9 +215,10 @@ def _send_runs(min_bytes: int, buckets: int):
             lead = _digits(_words(buffer), at, min(8, min_bytes))
             for bucket, i in split_by(bucket_of(key, buckets), buckets):
                 i = i[np.lexsort((lead[i], key[i]))]
-                text = np.frombuffer(_gather(buffer, at[i], length[i]), np.uint8)
+                text = _gather(buffer, at[i], length[i])
                 me = np.full(len(i), block.number, np.int64)
-                found.append((bucket, 0, pack((key[i] >> np.uint64(32)).astype(np.uint32), ids[of[i]], me, of[i].astype(np.uint32), start[i].astype(np.uint32), n[i].astype(np.uint8), text, level=3)))
+                numbers = [(key[i] >> np.uint64(40)).astype(np.uint32), ids[of[i]], me, of[i].astype(np.uint32), start[i].astype(np.uint32), n[i].astype(np.uint8)]
+                found.append((bucket, 0, _message(numbers, text)))
         return pa.Table.from_batches([rows(found)])
 
     return run
@@ -227,8 +242,8 @@ def _meet_runs(min_bytes: int, windows: int = 1 << 19):
     def run(table: pa.Table) -> pa.Table:
         kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
         found = [(table.column("key")[i].as_py(), 1, data[i]) for i, k in enumerate(kinds) if k == 1]
-        kind = [np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8]  # half a key will do, as bytes decide
-        key, ids, block, row, start, n, text = joined([unpack(d) for d, k in zip(data, kinds, strict=True) if k == 0], kind)
+        kind = [np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8]  # 24 bits of a key will do, as bytes decide
+        key, ids, block, row, start, n, text = joined([_read(d) for d, k in zip(data, kinds, strict=True) if k == 0], kind)
         if len(key):
             n, start = n.astype(np.int64), start.astype(np.int64)
             text = np.append(text, np.zeros(8, np.uint8))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from sparkruns.llm import bpe, exact_dedup, nearest, ngram_join, packing, quality, suffix_dedup, toxicity, url_filter, wavelet, word_tokens  # noqa: E402
+from sparkruns.llm import bpe, exact_dedup, meeting, nearest, ngram_join, packing, quality, suffix_dedup, toxicity, url_filter, wavelet, word_tokens  # noqa: E402
 from sparkruns.llm.common import scratch_dir  # noqa: E402
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,6 +134,25 @@ def test_suffix_dedup(odd, monkeypatch, width, hot):
     assert Counter((r.id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in out) == Counter(_repeats(_rows(some), width))
 
 
+def test_suffix_runs_of_frequent_passages_travel_whole():
+    """Passages of some thousand documents go to their buckets as runs; one by one, their windows would take over ten times the bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 5000, np.uint8)) for _ in range(3)]
+    data = meeting.pack(np.arange(3), np.arange(3), np.asarray([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8))
+    block = pa.table({"block": [7], "size": [15000], "data": pa.array([data], pa.binary())})
+    _, start, n, anchor = suffix_dedup.anchor_runs(texts, 50)
+    keys = np.unique(meeting.key48(anchor))
+    answers = pa.table({"data": pa.array([meeting.pack(keys, np.full(len(keys), 5000, np.uint32))], pa.binary())})
+    sent = suffix_dedup._send_runs(50, 4)(block, answers)
+    read = [suffix_dedup._read(x) for x in sent.column("data").to_pylist()]
+    assert sum(len(x[0]) for x in read) == len(n)
+    assert sum(len(x[-1]) for x in read) == int((n + 49).sum()) < 50 * int(n.sum()) / 8
+    assert sorted(int(s) for x in read for s in x[4]) == sorted(start.tolist())
+
+
 def test_suffix_dedup_of_periodic_and_empty(spark, empty):
     docs = spark.createDataFrame([(1, "ab" * 500), (2, "x" + "ab" * 400), (3, "ba" * 30)], "doc_id long, text string")
     out = suffix_dedup.repeated_spans(docs).collect()
