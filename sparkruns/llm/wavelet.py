@@ -56,8 +56,7 @@ class WaveletMatrix:
         bits = bits or max(1, int(ids.max(initial=0)).bit_length())
         planes, zeros, ranks = [], [], []
         for level in range(bits - 1, -1, -1):
-            bit = (ids >> ids.dtype.type(level)) & ids.dtype.type(1)
-            one = bit.astype(bool)
+            one = (ids & ids.dtype.type(1 << level)).astype(bool)
             packed = np.packbits(one, bitorder="little")
             planes.append(packed)
             zeros.append(len(ids) - int(np.count_nonzero(one)))
@@ -135,17 +134,16 @@ class WaveletMatrix:
         return lo
 
     def decode(self) -> np.ndarray:
-        """All ids in order: the splits are followed with each id's place, which puts it back at the end."""
-        value = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
-        place = np.arange(self.n, dtype=np.uint32)
-        for packed in self.planes:
+        """All ids in order: from the last plane on, each puts the lower bits of its zeros and ones back in their places."""
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        value = np.zeros(self.n, kind)
+        for level, (packed, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             one = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
-            zero = ~one
-            value = np.concatenate([value[zero] << 1, value[one] << 1 | 1])
-            place = np.concatenate([place[zero], place[one]])
-        out = np.empty(self.n, np.uint32)
-        out[place] = value
-        return out
+            before = np.empty_like(value)
+            before[~one] = value[:zeros]
+            before[one] = value[zeros:] | kind(1 << level)
+            value = before
+        return value.astype(np.uint32)
 
 
 def write_shard(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:

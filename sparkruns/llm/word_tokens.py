@@ -39,6 +39,7 @@ class ChunkEncoder:
         self.memo: dict[bytes, bytes] = {}
         self.room = memo
         self.by_chunks = self._suits()
+        self.ends = self._word_ends()
 
     def _suits(self) -> bool:
         """Whether case folds and pieces end at white space and before final punctuation."""
@@ -47,6 +48,16 @@ class ChunkEncoder:
             return False
         return [p for p, _ in pieces.pre_tokenize_str(normal.normalize_str("Ab. cD\tx9\ny,"))] == ["ab", ".", "cd", "x", "9", "y", ","]
 
+    def _word_ends(self) -> np.ndarray | None:
+        """Whether each id ends a word, if the vocabulary marks such tokens by a suffix."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        vocabulary = self.tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return ends
+
     def _encode(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
 
@@ -54,25 +65,38 @@ class ChunkEncoder:
         return np.asarray(self.whole.encode(text.decode(), add_special_tokens=False).ids + ([] if end is None else [end]), self.dtype)
 
     def _unknown(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each chunk, from one call for all; offsets tell which chunk a token is of."""
+        """Ids of each chunk, from a few calls for all."""
         found: dict[bytes, bytes] = {}
-        for lo in range(0, len(chunks), 20_000):
-            part = chunks[lo : lo + 20_000]
-            starts, at = [], 0
-            texts = [c.decode() for c in part]
-            for t in texts:
-                starts.append(at)
-                at += len(t) + 1
-            got = self._encode(" ".join(texts))
-            ids = np.asarray(got.ids, self.dtype)
-            of = np.searchsorted(starts, np.asarray([s for s, _ in got.offsets], np.int64), side="right") - 1
-            cut = np.searchsorted(of, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            w = self.dtype.itemsize
-            for c, a, z in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                found[c] = raw[a * w : z * w]
+        words, others = [], []
+        for c in chunks:
+            text = c.decode()
+            (words if self.ends is not None and text.isalpha() else others).append((c, text))
+        for some, cut_of in ((words, self._cuts_by_ends), (others, self._cuts_by_offsets)):
+            for lo in range(0, len(some), 20_000):
+                part, texts = zip(*some[lo : lo + 20_000], strict=True)
+                got = self._encode(" ".join(texts))
+                ids = np.asarray(got.ids, self.dtype)
+                cut = cut_of(texts, ids, got).tolist()
+                raw = ids.tobytes()
+                w = self.dtype.itemsize
+                for c, a, z in zip(part, cut[:-1], cut[1:], strict=True):
+                    found[c] = raw[a * w : z * w]
         return found
 
+    def _cuts_by_ends(self, texts: tuple[str, ...], ids: np.ndarray, got) -> np.ndarray:
+        """Of chunks that are one word each: a word's last token is of the vocabulary's kind for that."""
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) != len(texts) or cut[-1] != len(ids):  # some chunk is not one word after all
+            return self._cuts_by_offsets(texts, ids, got)
+        return np.append(0, cut)
+
+    def _cuts_by_offsets(self, texts: tuple[str, ...], ids: np.ndarray, got) -> np.ndarray:
+        """Offsets tell which chunk a token is of."""
+        size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        starts = np.cumsum(size) - size
+        of = np.searchsorted(starts, np.asarray([s for s, _ in got.offsets], np.int64), side="right") - 1
+        return np.searchsorted(of, np.arange(len(texts) + 1))
+
     def _known(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of each chunk, by the memo and the library."""
         memo = self.memo
@@ -81,28 +105,27 @@ class ChunkEncoder:
         if not missing:
             return out
         apart, fresh = {}, set()
-        for c in {chunks[i] for i in missing}:
+        for i in missing:
+            c = chunks[i]
             stem = c.rstrip(_FINAL)
             if len(stem) < len(c) and stem and (stem[-1:].isalnum() or stem.decode()[-1].isalnum()):
                 apart[c] = stem, c[len(stem) :]
                 fresh.update(apart[c])
             else:
                 fresh.add(c)
-        fresh = sorted(fresh - memo.keys())
+        fresh = sorted(c for c in fresh if c not in memo)  # the work follows the block, not what is remembered
         found = self._unknown(fresh)
-        memo.update(found)
         for c, (stem, final) in apart.items():
-            found[c] = memo[stem] + memo[final]
+            found[c] = (found[stem] if stem in found else memo[stem]) + (found[final] if final in found else memo[final])
         for i in missing:
-            out[i] = found[chunks[i]] if chunks[i] in found else memo[chunks[i]]
+            out[i] = found[chunks[i]]
         room = self.room - len(memo)
-        for c in apart:
-            if room > 0 and len(c) <= LONGEST:
-                memo[c] = found[c]
+        for c, ids in found.items():  # stems before chunks
+            if room <= 0:
+                break
+            if len(c) <= LONGEST:
+                memo[c] = ids
                 room -= 1
-        for c in fresh:  # stems are kept rather than chunks
-            if len(c) > LONGEST or len(memo) > self.room:
-                del memo[c]
         return out
 
     def encode(self, texts: list[bytes], end: int | None = None) -> list[np.ndarray]:

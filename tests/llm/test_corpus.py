@@ -134,6 +134,34 @@ def test_suffix_dedup(odd, monkeypatch, width, hot):
     assert Counter((r.id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in out) == Counter(_repeats(_rows(some), width))
 
 
+def test_encoder_asks_offsets_of_few_chunks(monkeypatch):
+    """Words are cut by their last tokens: offsets, a tuple for each token, are for what is not one word."""
+    import public_tokenizers
+
+    encoder = word_tokens.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), memo=20)
+    asked = []
+
+    class Watched:
+        def __init__(self, got):
+            self.ids, self.got = got.ids, got
+
+        @property
+        def offsets(self):
+            asked.append(len(self.ids))
+            return self.got.offsets
+
+    plain = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda text: Watched(plain(text)))
+    words = ["".join(chr(97 + (i * k) % 26) for k in range(1, 9)) + "\u00e9" * (i % 2) for i in range(500)]
+    odd = ["don't", "x9y", "a.b,c", "\u0958\u0915 \u0958", "\ufb01ne \u01c4", "\u00aa\u00ba", "\u4e2d\u6587\u3002"]
+    for texts in (words, words[:9] + odd, [" ".join(words), *odd]):
+        asked.clear()
+        got = encoder.encode([t.encode() for t in texts], 1)
+        assert [x.tolist() for x in got] == [encoder.whole.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        assert texts is not words or not asked
+    assert len(encoder.memo) == 20
+
+
 def test_suffix_runs_of_frequent_passages_travel_whole():
     """Passages of some thousand documents go to their buckets as runs; one by one, their windows would take over ten times the bytes."""
     import numpy as np
