@@ -15,8 +15,10 @@ from sparkruns.llm.toxicity import drop_toxic, fit_toxicity
 
 #: Shortest passage in bytes that is cut where it repeats: 51 words of one letter and the 50 spaces between them.
 PASSAGE_BYTES = 101
-#: Chunks of text that a worker of the last stage remembers: executors still hold memory of the stages before.
+#: Chunks of text that a worker of the last stage remembers, and bytes of text that it encodes at once: executors still
+#: hold memory of the stages before.
 MEMO = 200_000
+BLOCK = 1 << 19
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +71,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are packed as the end id alone; very long ones take many pieces; repeated rows are packed each;
     of pieces with equal gains any one goes first, the same in each run over the same partitions; an empty table gives no pieces; other columns are not read.
     """
-    packed = packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), memo=MEMO)
+    packed = packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), memo=MEMO, block=BLOCK)
     return packed.withColumnRenamed("id", "doc_id")
 
 

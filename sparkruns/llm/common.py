@@ -74,6 +74,17 @@ def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a worker process keeps from one task to the next, by operator; each value has ``clear``.
+WORKER_CACHES: dict[str, dict] = {}
+
+
+def forget(*but: str) -> None:
+    """Empties what this worker keeps for other operators than ``but``: workers live through many stages and runs."""
+    for name, cache in WORKER_CACHES.items():
+        if name not in but:
+            cache.clear()
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of ``df`` has, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, partitions, session_of
+from .common import forget, materialize, mix64, partitions, session_of
 
 #: Bytes and rows of a block: a row's handle is its block's number and its place there.
 BLOCK_BYTES = 4 << 20
@@ -92,6 +92,7 @@ def _blocks_of(batches) -> Iterator[pa.RecordBatch]:
     first = TaskContext.get().partitionId() << 24
     number = size = 0
     held: list[tuple[int, int, bytes]] = []
+    forget()
 
     def flush():
         ids, hashes = (np.asarray([x[i] for x in held], np.int64) for i in (0, 1))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .meeting import give_back
-from .word_tokens import MEMO, encoded_blocks
+from .word_tokens import BLOCK, MEMO, encoded_blocks
 
 END_ID = 1
 TOKENS = 2048
@@ -92,7 +92,7 @@ class Packer:
 
     def add(self, key, ids: np.ndarray):
         """Takes a document, in pieces that fit an empty sequence."""
-        start = 0
+        ids, start = np.array(ids), 0  # a held piece keeps its document's ids, not those of the block
         while start < len(ids):
             length = int(min(self.tokens, len(ids) - start, max(self._prompt(ids) - start, 0) + self.capacity[2]))
             self._hold(key, ids, start, length)
@@ -163,10 +163,10 @@ class Packer:
 _PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def packed_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, prompt: float = PROMPT, memo: int = MEMO) -> DataFrame:
+def packed_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, prompt: float = PROMPT, memo: int = MEMO, block: int = BLOCK) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
-    ``memo`` bounds the chunks that a worker remembers, and with them its memory.
+    ``memo`` bounds the chunks that a worker remembers, ``block`` the bytes of text that it encodes at once, and both its memory.
     """
     names = [x.split()[0] for x in _PIECES.split(", ")]
 
@@ -179,7 +179,7 @@ def packed_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
         for batch in batches:
             keys = batch.column("id").to_pylist()
-            for lo, ids in encoded_blocks(tokenizer, batch, "text", end_id, memo=memo):
+            for lo, ids in encoded_blocks(tokenizer, batch, "text", end_id, block, memo):
                 for k, x in enumerate(ids):
                     out.extend(packer.add(keys[lo + k], x))
                 if len(out) > 20_000:

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERMS, held_out, labelled_sample, session_of, text_blocks, text_column, word_hashes
+from .common import TERMS, forget, held_out, labelled_sample, session_of, text_blocks, text_column, word_hashes
+from .meeting import give_back
 
 BITS = 20
 #: Lengths in bytes of the word beginnings that are terms.
@@ -64,11 +65,15 @@ class FactorizationMachine:
             z += 0.5 * (np.bincount(docs, v[term], n) ** 2 - np.bincount(docs, v[term] ** 2, n))
         return z
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        docs, buckets = term_buckets(texts)
+    def places(self) -> np.ndarray:
+        """Of each hashed term its place in ``terms``, or -1."""
         place = np.full(1 << BITS, -1, np.int32)
         place[self.terms] = np.arange(len(self.terms))
-        term = place[buckets]
+        return place
+
+    def score(self, texts: list[bytes], place: np.ndarray | None = None) -> np.ndarray:
+        docs, buckets = term_buckets(texts)
+        term = (self.places() if place is None else place)[buckets]
         known = term >= 0
         return 1 / (1 + np.exp(-np.clip(self.logits(docs[known], term[known], len(texts)), -30, 30)))
 
@@ -162,15 +167,32 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(scored, "id long, score double")
 
 
+#: Rows of an Arrow batch that become Python values at once, and bytes of their texts that are scored at once.
+ROWS_AT_ONCE = 512
+BLOCK = 1 << 20
+
+
+def scored_parts(model: FactorizationMachine, batch: pa.RecordBatch, column: int):
+    """(rows, their scores) for consecutive parts of a batch, so that memory does not follow the batch."""
+    places = model.places()
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        rows = batch.slice(at, ROWS_AT_ONCE)
+        texts = [x or b"" for x in rows.column(column).cast(pa.binary()).to_pylist()]
+        for lo, hi in text_blocks(texts, BLOCK):
+            yield rows.slice(lo, hi - lo), model.score(texts[lo:hi], places)
+
+
 def drop_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns unchanged."""
     shared = session_of(docs).sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
     def kept(batches):
+        forget()
         for batch in batches:
-            texts = [x or b"" for x in batch.column(place).cast(pa.binary()).to_pylist()]
-            yield batch.filter(pa.array(shared.value.score(texts) < threshold))
+            for part, score in scored_parts(shared.value, batch, place):
+                yield part.filter(pa.array(score < threshold))
+        give_back()
 
     return docs.mapInArrow(kept, docs.schema)
 

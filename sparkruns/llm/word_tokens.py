@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import LOWER_AZ, mix64, text_blocks, text_column
+from .common import LOWER_AZ, WORKER_CACHES, mix64, text_blocks, text_column
 
 #: Bounds on the chunks that a worker remembers: their number, and bytes of one.
 MEMO = 700_000
@@ -30,9 +30,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # chunks hold no special token
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = plain
+        self.plain = plain
         # as they would show in folded text
         self.marks = [] if plain else sorted({t.content.encode().translate(_TABLE) for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -41,6 +39,12 @@ class ChunkEncoder:
         self.by_chunks = self._suits()
         self.ends = self._word_ends()
 
+    @property
+    def whole(self):
+        """The library's tokenizer as whole texts need it; there is one vocabulary in memory for them and for chunks."""
+        self.tokenizer.encode_special_tokens = self.plain
+        return self.tokenizer
+
     def _suits(self) -> bool:
         """Whether case folds and pieces end at white space and before final punctuation."""
         normal, pieces = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -59,6 +63,7 @@ class ChunkEncoder:
         return ends
 
     def _encode(self, text: str):
+        self.tokenizer.encode_special_tokens = True  # chunks hold no special token
         return self.tokenizer.encode(text, add_special_tokens=False)
 
     def _whole(self, text: bytes, end: int | None) -> np.ndarray:
@@ -181,7 +186,7 @@ class ChunkEncoder:
         return [flat[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
 
 
-_encoders: dict[tuple, ChunkEncoder] = {}
+_encoders: dict[tuple, ChunkEncoder] = WORKER_CACHES.setdefault("word_tokens", {})
 
 
 def worker_encoder(path: str, memo: int = MEMO, plain: bool = False) -> ChunkEncoder:
@@ -191,11 +196,12 @@ def worker_encoder(path: str, memo: int = MEMO, plain: bool = False) -> ChunkEnc
     return _encoders[path, memo, plain]
 
 
-#: Rows of an Arrow batch that become Python values at once.
+#: Rows of an Arrow batch that become Python values at once, and bytes of their texts that are encoded at once.
 ROWS_AT_ONCE = 512
+BLOCK = 2 << 20
 
 
-def encoded_blocks(path: str, batch, column: str, end_id: int | None, limit: int = 2 << 20, memo: int = MEMO, plain: bool = False):
+def encoded_blocks(path: str, batch, column: str, end_id: int | None, limit: int = BLOCK, memo: int = MEMO, plain: bool = False):
     """(number of the first row, ids of each text with the end id) for blocks of a batch's texts of about ``limit`` bytes."""
     encoder = worker_encoder(path, memo, plain)
     for at in range(0, batch.num_rows, ROWS_AT_ONCE):

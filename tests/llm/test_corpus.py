@@ -336,6 +336,28 @@ def test_strings_of_special_tokens_follow_the_plain_call():
     assert word_tokens.ChunkEncoder(WORDS).encode([b"hello <|endoftext|> there"])[0].tolist() == [3306, 49407, 997]
 
 
+def test_whole_texts_and_chunks_share_one_vocabulary():
+    """A worker holds one tokenizer, whichever kind of text came last."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    encoder = word_tokens.ChunkEncoder(WORDS)
+    for t in ("first words", "a <|endoftext|> b", "other words <|endoftext", "<|endoftext|>", "last, new ones <|endoftext|>x"):
+        assert [x.tolist() for x in encoder.encode([t.encode()])] == [library.encode(t, add_special_tokens=False).ids]
+    assert encoder.whole is encoder.tokenizer
+
+
+def test_workers_forget_what_other_stages_kept():
+    from sparkruns.llm.common import WORKER_CACHES, forget
+
+    encoder = word_tokens.worker_encoder(WORDS, 10)
+    assert encoder in WORKER_CACHES["word_tokens"].values()
+    forget("word_tokens")
+    assert word_tokens.worker_encoder(WORDS, 10) is encoder
+    forget()
+    assert not word_tokens._encoders and word_tokens.worker_encoder(WORDS, 10) is not encoder
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     for n in (0, 1, 7, 513, 3000):
@@ -428,6 +450,44 @@ def test_default_limits_bind():
     assert segments[packing.SEGMENTS] and loss[packing.LOSS] and sum(k * n for k, n in tokens.items()) == sum(r[2] for r in out)
 
 
+def test_held_pieces_do_not_keep_the_block():
+    p, block = packing.Packer(), np.arange(1 << 16, dtype=np.uint16)
+    assert list(p.add(1, block[:5000])) == [] and list(p.add(2, block[5000:5010])) == []
+    assert len(p.held) == 4 and not any(np.shares_memory(ids, block) for _, ids, _ in p.held)
+    assert sum(r[2] for r in p.finish()) == 5010
+
+
+def test_packing_by_smaller_blocks_keeps_every_token(odd):
+    """The bytes that are encoded at once change no id and no piece."""
+    one, other = (sorted(map(str, packing.packed_sequences(odd, WORDS, **x).collect())) for x in ({}, {"block": 100, "memo": 10}))
+    assert one == other
+
+
+def test_toxicity_is_scored_in_parts(monkeypatch):
+    """Memory follows the part, not the batch; scores do not follow either."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [None, "", " ".join(words * 400)] + [" ".join(rng.choice(words, rng.integers(1, 500))) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    terms = np.arange(0, 1 << toxicity.BITS, 3)
+    model = toxicity.FactorizationMachine(0.1, terms, rng.normal(size=len(terms)), rng.normal(0, 0.1, (len(terms), toxicity.FACTORS)))
+    whole = model.score([(t or "").encode() for t in texts])
+    tracemalloc.start()
+    try:
+        parts = [(rows.column(0).to_pylist(), rows.column(1).nbytes, score) for rows, score in toxicity.scored_parts(model, batch, 1)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [i for rows, _, _ in parts for i in rows] == list(range(len(texts)))
+    assert max(len(rows) for rows, _, _ in parts) <= toxicity.ROWS_AT_ONCE
+    assert np.array_equal(np.concatenate([s for _, _, s in parts]), whole)
+    assert peak < 250e6, peak
+
+
 def test_packing_of_nothing(empty):
     assert packing.packed_sequences(empty, WORDS).count() == 0
 
