@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,10 +68,29 @@ def carried(df: DataFrame, keys: list[str], place: str, states: dict[str, tuple[
     return found.filter(F.col(ahead).isNull()).select(*(F.col(row)[c].alias(c) for c in df.columns), *(F.col(f"out_{i}").alias(n) for i, n in enumerate(names)))
 
 
-def scanned(df: DataFrame, keys: list[str], by: list, states: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
-    """The table with states carried along an order within the keys, as in ``carried``."""
+#: Rows of a key beyond which it is scanned in ranges.
+HOT_ROWS = 1 << 17
+
+
+def scanned(df: DataFrame, keys: list[str], by: list, states: dict[str, tuple[str, Column]], inclusive: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The table with states carried along an order within the keys, as in ``carried``.
+
+    Keys of up to ``hot_rows`` rows take one exchange; only larger ones are written in ranges.
+    """
     (place,) = fresh(df, "place")
-    return carried(placed(df, keys, by, place), keys, place, states, inclusive).drop(place)
+    ranged = lambda rows: carried(placed(rows, keys, by, place), keys, place, states, inclusive).drop(place)
+    if not keys:
+        return ranged(df)
+    rows = df if hasattr(df, "_scratch") else scratch(df, "scanned")
+    mine = [f"hot_{i}" for i in range(len(keys))]
+    hot = scratch(rows.groupBy(*(F.col(k).alias(m) for k, m in zip(keys, mine, strict=True))).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select(*mine), "hot-keys")
+    frame = Window.partitionBy(*keys).orderBy(*ordered(by)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    within = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    light = lambda t: t.select("*", *(within[kind](c).over(frame).alias(n) for n, (kind, c) in states.items()))
+    if hot.isEmpty():
+        return light(rows)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, mine, strict=True)))
+    return light(rows.join(hot, same, "left_anti")).unionByName(ranged(rows.join(hot, same, "left_semi")))
 
 
 def running(df: DataFrame, keys: list[str], by: list[str], sums: list[str]) -> DataFrame:

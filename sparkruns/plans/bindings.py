@@ -38,7 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per offer: a line of an order."""
     lines, orders, people = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(people, orders.o_custkey == people.c_custkey)
+    # lines, the largest, move once, and by their run
+    joined = orders.join(people, orders.o_custkey == people.c_custkey).join(lines, lines.l_orderkey == orders.o_orderkey)
     ts = F.col("o_orderdate").cast("timestamp")
     response = F.when(F.col("l_returnflag") == "R", "Y").when(F.col("l_returnflag") == "N", "N").otherwise("B")
     rows = joined.select(

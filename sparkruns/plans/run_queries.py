@@ -12,7 +12,7 @@ from ..operators import labels as L
 from ..operators import rank as R
 from ..operators import rollups as U
 from ..operators import runs as N
-from ..sources.tables import scratch
+from ..sources.tables import discard, scratch
 from .bindings import CONFIG, SCORE_SQL, WITH, WITH_LABELS, labels, offers, outcomes, query, score, table
 
 DAY = 86_400_000_000
@@ -111,21 +111,28 @@ summary AS (SELECT f.*, coalesce(n_placed, 0) AS n_placed, coalesce(out_of_seque
   CASE WHEN first_accept_rank IS NOT NULL THEN coalesce(declines, 0) END AS first_accept_declines FROM firsts f LEFT JOIN declines USING (run_id) LEFT JOIN of_run USING (run_id))"""
 
 
-def _organs(spark, sf_dir):
-    o = offers(spark, sf_dir)
+def _by_run(spark, sf_dir, *columns: str):
+    """Columns of the offers, written once in buckets of the run: what groups or joins by it shuffles nothing."""
+    return scratch(offers(spark, sf_dir).select("run_id", "offer_rank", *columns), "offers", ["run_id"])
+
+
+#: What placements and summaries of runs read.
+_RUN_COLUMNS = ["submit_ts", "at_us", "seq", "candidate", "center", "org", "response", "dcd", "band", "status"]
+
+
+def _organs(o):
     placed = o.filter("status = 'F' AND response <> 'B'").select((F.col("run_id") * 10 + F.col("offer_rank") % 2).alias("organ_id"), "run_id", "candidate", (F.col("at_us") + F.col("offer_rank")).alias("placed_ts"))
     return U.organ_outcomes(placed, o, ["offer_rank"])
 
 
-def _summary(spark, sf_dir):
-    o = offers(spark, sf_dir)
+def _summary(o):
     more = o.groupBy("run_id").agg(F.max("at_us").alias("at_us"), F.max("dcd").alias("dcd"), F.max("band").alias("band"))
-    return U.run_summary(o, _organs(spark, sf_dir), ["offer_rank"]).join(more, "run_id")
+    return U.run_summary(o, _organs(o), ["offer_rank"]).join(more, "run_id")
 
 
 @query("ag14_organ_outcomes", f"{WITH}, {_OUTCOMES} SELECT organ_id, run_id, candidate, accepted_center, accepted_seq, accepted_rank, out_of_sequence FROM organs")
 def ag14(spark, sf_dir):
-    return _organs(spark, sf_dir).drop("placed_ts")
+    return _organs(_by_run(spark, sf_dir, *_RUN_COLUMNS)).drop("placed_ts")
 
 
 _SUMMARY_COLUMNS = ["run_id", "run_len", "org", "first_accept_rank", "first_accept_declines", "n_placed", "out_of_sequence", "mean_accepted_seq", "mean_accepted_share", "late_rate", "placed_any", "placed_both", "wasted_both"]
@@ -133,7 +140,7 @@ _SUMMARY_COLUMNS = ["run_id", "run_len", "org", "first_accept_rank", "first_acce
 
 @query("ag13_run_summary", f"{WITH}, {_SUMMARY} SELECT {', '.join(_SUMMARY_COLUMNS)} FROM summary")
 def ag13(spark, sf_dir):
-    return _summary(spark, sf_dir).select(*_SUMMARY_COLUMNS)
+    return _summary(_by_run(spark, sf_dir, *_RUN_COLUMNS)).select(*_SUMMARY_COLUMNS)
 
 
 def _org_sql() -> str:
@@ -149,7 +156,9 @@ def _org_sql() -> str:
 
 @query("wn07_org_history", f"{WITH}, {_SUMMARY} SELECT run_id, {_org_sql()} FROM summary")
 def wn07(spark, sf_dir):
-    summary = scratch(_summary(spark, sf_dir).select("run_id", "org", "at_us", "band", "dcd", "placed_any", "placed_both", "wasted_both", "out_of_sequence", "first_accept_declines", "run_len"), "summary")
+    o = _by_run(spark, sf_dir, *_RUN_COLUMNS)
+    summary = scratch(_summary(o).select("run_id", "org", "at_us", "band", "dcd", "placed_any", "placed_both", "wasted_both", "out_of_sequence", "first_accept_declines", "run_len"), "summary")
+    discard(o)
     out = H.org_history(summary, "org", "at_us", "band")
     return out.select("run_id", *(F.round(c, 6).alias(c) for c in out.columns if c.startswith("org_")))
 
@@ -208,7 +217,7 @@ SELECT o.run_id, o.offer_rank, h.* EXCLUDE (center, at_us) FROM offers o LEFT JO
 def wn11(spark, sf_dir):
     o = offers(spark, sf_dir)
     lens = o.groupBy("run_id").agg(F.count(F.lit(1)).alias("run_len"), F.max("at_us").alias("at_us"))
-    acc = _organs(spark, sf_dir).filter("accepted_center is not null").join(lens, "run_id").select(F.col("accepted_center").alias("center"), "accepted_seq", "run_len", "at_us")
+    acc = _organs(o).filter("accepted_center is not null").join(lens, "run_id").select(F.col("accepted_center").alias("center"), "accepted_seq", "run_len", "at_us")
     out = H.acceptance_history(o, acc, ["center"], "at_us", "run_len", "accepted_seq")
     return out.select("run_id", "offer_rank", *(round6(F.col(c)).alias(c) for c in out.columns if c.startswith(("mean_", "late_"))))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +32,47 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared scratch folder and read again: computed once, and safe from lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's own setting: shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession):
+    before = spark.conf.get(_FREED, "false")
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREED, before)
+
+
+def scratch(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """The table written to the shared scratch folder and read again: computed once, and safe from lost executors.
+
+    What was shuffled to compute it is freed. With ``by`` it lies in buckets of these columns, as a shuffle would deal
+    it, so that what groups or joins by them reads it without an exchange; the rows should come dealt by them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    writer = df.write.option("compression", "zstd")
+    with _shuffles_freed(spark):
+        if by:
+            table = f"scratch_{uuid.uuid4().hex}"
+            writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).option("path", path).format("parquet").saveAsTable(table)
+            out = spark.table(table)
+        else:
+            writer.parquet(path)
+            out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes scratch tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
