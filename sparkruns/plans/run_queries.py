@@ -215,9 +215,10 @@ def _acceptance_sql() -> str:
 acc AS (SELECT accepted_center AS center, accepted_seq, run_len, at_us FROM organs JOIN lens USING (run_id)), h AS (SELECT DISTINCT center, at_us, {_acceptance_sql()} FROM acc)
 SELECT o.run_id, o.offer_rank, h.* EXCLUDE (center, at_us) FROM offers o LEFT JOIN h ON o.center = h.center AND o.at_us = h.at_us"""))
 def wn11(spark, sf_dir):
-    o = offers(spark, sf_dir)
+    o = _by_run(spark, sf_dir, *_RUN_COLUMNS)
     lens = o.groupBy("run_id").agg(F.count(F.lit(1)).alias("run_len"), F.max("at_us").alias("at_us"))
-    acc = _organs(o).filter("accepted_center is not null").join(lens, "run_id").select(F.col("accepted_center").alias("center"), "accepted_seq", "run_len", "at_us")
+    acc = scratch(_organs(o).filter("accepted_center is not null").join(lens, "run_id").select(F.col("accepted_center").alias("center"), "accepted_seq", "run_len", "at_us"), "accepted")
+    o = o.select("run_id", "offer_rank", "center", "at_us")
     out = H.acceptance_history(o, acc, ["center"], "at_us", "run_len", "accepted_seq")
     return out.select("run_id", "offer_rank", *(round6(F.col(c)).alias(c) for c in out.columns if c.startswith(("mean_", "late_"))))
 
