@@ -80,8 +80,10 @@ def wn03(spark, sf_dir):
  FROM s WINDOW w AS (PARTITION BY candidate ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT run_id, offer_rank, CASE WHEN year(lts) >= run_year - 1 THEN lband END AS last_answered_band, CASE WHEN year(lts) >= run_year - 1 THEN round((epoch_us(submit_ts) - epoch_us(lts)) / 86400000000.0, 6) END AS days_since_answer FROM l""")
 def wn04(spark, sf_dir):
-    o = _sorted_offers(spark, sf_dir, "candidate")
-    return H.last_response(o, "candidate", "sort_micros", "submit_ts", F.col("response").isin("Y", "N"), "band").select("run_id", "offer_rank", "last_answered_band", "days_since_answer")
+    o = scratch(offers(spark, sf_dir).select("run_id", "offer_rank", "candidate", "at_us", "submit_ts", "response", "band"), "offers")
+    rows = scratch(R.sort_key(o, ["candidate"], "at_us", ["run_id", "offer_rank"]).drop("at_us"), "sorted")
+    discard(o)
+    return H.last_response(rows, "candidate", "sort_micros", "submit_ts", F.col("response").isin("Y", "N"), "band").select("run_id", "offer_rank", "last_answered_band", "days_since_answer")
 
 
 @query("wn05_prior_decliners", f"""{WITH}, f AS (SELECT *, CASE WHEN response = 'N' AND row_number() OVER (PARTITION BY run_id, candidate, response = 'N' ORDER BY offer_rank) = 1 THEN 1 ELSE 0 END AS fresh FROM offers)
