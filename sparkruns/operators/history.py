@@ -30,7 +30,7 @@ def trailing_counts(df: DataFrame, keys: list[str], at: str, condition: Column,
     return trailing(df, keys, at, [Family(counts={"n": F.when(condition, 1)})], {f"{name}_{d}d": Feature("count", 0, ("n",), d) for d in windows})
 
 
-def decline_history(df: DataFrame, key: str, at: str, declined: Column, measures: dict[str, Column], shares: dict[str, Column], windows=WINDOWS) -> DataFrame:
+def decline_history(df: DataFrame, key: str, at: str, declined: Column, measures: dict[str, Column], shares: dict[str, Column], windows=WINDOWS, keep: list[str] | None = None) -> DataFrame:
     """Per window: number of declines, mean and deviation of measures over them, shares of flags among them."""
     family = Family(counts={"declines": F.when(declined, 1)} | _counted({n: F.when(declined, truth(s)) for n, s in shares.items()}), moments={n: F.when(declined, m) for n, m in measures.items()})
     out: dict[str, Feature] = {}
@@ -40,7 +40,7 @@ def decline_history(df: DataFrame, key: str, at: str, declined: Column, measures
             out[f"declined_{name}_avg_{d}d"] = Feature("mean", 0, (name,), d)
             out[f"declined_{name}_stddev_{d}d"] = Feature("deviation", 0, (name,), d)
         out |= {f"declined_{name}_frac_{d}d": Feature("share", 0, (name, f"n_{name}"), d) for name in shares}
-    return trailing(df, [key], at, [family], out)
+    return trailing(df, [key], at, [family], out, keep=keep)
 
 
 def last_response(df: DataFrame, key: str, at: str, ts: str, answered: Column, value: str, years_back: int | None = 1) -> DataFrame:
@@ -85,7 +85,7 @@ def org_history(runs: DataFrame, org: str, at: str, stratum: str, windows=WINDOW
     return trailing(runs, [org], at, families, {f"org_{n}_{d}d": Feature("share", int(n == "stratum_rate"), (n, f"n_{n}"), d) for d in windows for n in names})
 
 
-def strata_rate_history(df: DataFrame, keys: list[str], strata: list[str], at: str, positive: Column, negative: Column, name: str, count: bool = True, windows=WINDOWS) -> DataFrame:
+def strata_rate_history(df: DataFrame, keys: list[str], strata: list[str], at: str, positive: Column, negative: Column, name: str, count: bool = True, windows=WINDOWS, keep: list[str] | None = None) -> DataFrame:
     """Share of positive responses among all of the same keys, and within the same value of each stratum, in the windows before each row.
 
     With ``count``, also the number of responses. Rows with a null key or stratum get null there.
@@ -95,7 +95,7 @@ def strata_rate_history(df: DataFrame, keys: list[str], strata: list[str], at: s
     out = {f"{n}_rate_{d}d": Feature("rate", k, ("pos", "neg"), d) for k, n in enumerate([name, *(f"{name}_same_{s}" for s in strata)]) for d in windows}
     if count:
         out |= {f"{name}_count_{d}d": Feature("total", 0, ("pos", "neg"), d) for d in windows}
-    return trailing(df, keys, at, families, out)
+    return trailing(df, keys, at, families, out, keep=keep)
 
 
 def rate_history(df: DataFrame, keys: list[str], at: str, positive: Column, negative: Column, name: str, count: bool = False, windows=WINDOWS) -> DataFrame:

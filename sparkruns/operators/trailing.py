@@ -110,7 +110,7 @@ def _merged_list(parts: Column) -> Column:
     return F.transform(F.array(total), lambda t: F.struct(t["n"].alias("n"), t["s"].alias("s"), F.aggregate(parts, F.lit(0.0), apart(t)).alias("d")))[0]
 
 
-def _whole_slices(fine: DataFrame, by: list[str], families: list[Family], strata: dict[str, str], counts: list, moments: list, steps: list[int], width: int) -> list[DataFrame]:
+def _whole_slices(fine: DataFrame, by: list[str], families: list[Family], strata: dict[str, str], counts: list, moments: list, same: dict[int, int], steps: list[int], width: int) -> list[DataFrame]:
     """For each family (tag -1, -2, ...) a row of each key, stratum and slice: sums over the whole slices of each window before it.
 
     Sums hold the slice that the edge passes too, as that is taken off row by row; moments do not.
@@ -118,11 +118,11 @@ def _whole_slices(fine: DataFrame, by: list[str], families: list[Family], strata
     out = []
     for k, f in enumerate(families):
         own = [strata[c] for c in f.within]
-        mine = [i for i, (g, _, _) in enumerate(counts) if g is f]
+        mine = [same[i] for i, (g, _, _) in enumerate(counts) if g is f]
         real = [i for i, (g, _, _) in enumerate(moments) if g is f]
         table = fine
         if set(own) != set(strata.values()):
-            table = fine.groupBy(*by, *own, "slice").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in mine), *(_merged_list(F.collect_list(f"m{i}")).alias(f"m{i}") for i in real))
+            table = fine.groupBy(*by, *own, "slice").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in sorted(set(mine))), *(_merged_list(F.collect_list(f"m{i}")).alias(f"m{i}") for i in real))
         span = Window.partitionBy(*by, *own).orderBy("slice")
         before = lambda c, last, span=span: F.coalesce(F.sum(c).over(span.rangeBetween(Window.unboundedPreceding, last)), F.lit(0))
         whole = [before(f"c{i}", -1) - before(f"c{i}", -s - 1) for s in steps for i in mine]
@@ -303,8 +303,8 @@ def _task(by: list[str], families: list[tuple[list[str], dict[str, str], dict[st
     return run
 
 
-def trailing(df: DataFrame, keys: list[str], at: str, families: list[Family], features: dict[str, Feature], slice_days: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``df`` with features of earlier events in the windows before each row.
+def trailing(df: DataFrame, keys: list[str], at: str, families: list[Family], features: dict[str, Feature], slice_days: int | None = None, hot_rows: int = HOT_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with features of earlier events in the windows before each row.
 
     Keys of more than ``hot_rows`` rows are cut in slices of ``slice_days``, which must divide every window; by default
     that is the widest such number up to a week.
@@ -317,13 +317,16 @@ def trailing(df: DataFrame, keys: list[str], at: str, families: list[Family], fe
     by = [f"k{i}" for i in range(len(keys))]
     strata = {c: f"x{i}" for i, c in enumerate(sorted({c for f in families for c in f.within}))}
     counts = [(f, m, c) for f in families for m, c in f.counts.items()]
+    # a column that several families measure travels once
+    first: dict[int, int] = {}
+    same = {i: first.setdefault(id(c), i) for i, (_, _, c) in enumerate(counts)}
     moments = [(f, m, c) for f in families for m, c in f.moments.items()]
     there = F.col(at).isNotNull()
     key_columns = [F.col(k).alias(b) for k, b in zip(keys, by, strict=True)]
-    values = [f"c{i}" for i in range(len(counts))] + [f"m{i}" for i in range(len(moments))]
+    values = [f"c{i}" for i in sorted(set(same.values()))] + [f"m{i}" for i in range(len(moments))]
     rows = df.select(
-        F.struct(*df.columns).alias("row"), *key_columns, *(F.col(c).alias(s) for c, s in strata.items()), F.col(at).cast("long").alias("at"),
-        *(F.when(there, F.coalesce(c.cast("long"), F.lit(0))).otherwise(0).alias(f"c{i}") for i, (_, _, c) in enumerate(counts)), *(F.when(there, c.cast("double")).alias(f"m{i}") for i, (_, _, c) in enumerate(moments)),
+        F.struct(*(keep or df.columns)).alias("row"), *key_columns, *(F.col(c).alias(s) for c, s in strata.items()), F.col(at).cast("long").alias("at"),
+        *(F.when(there, F.coalesce(c.cast("long"), F.lit(0))).otherwise(0).alias(f"c{i}") for i, (_, _, c) in enumerate(counts) if same[i] == i), *(F.when(there, c.cast("double")).alias(f"m{i}") for i, (_, _, c) in enumerate(moments)),
     )
     full = reduce(lambda a, b: a & b, (F.col(b).isNotNull() for b in by))
     held = scratch(df.select(*key_columns).filter(full).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select(*by, F.lit(True).alias("hot")), "hot-keys")
@@ -338,11 +341,11 @@ def trailing(df: DataFrame, keys: list[str], at: str, families: list[Family], fe
         marked = rows.join(held, by, "left")
         light = marked.filter(F.col("hot").isNull()).select(*columns, *plain, *more)
         hot = marked.filter("hot").withColumn("slice", F.expr(f"(at - pmod(at, {width}L)) div {width}L"))
-        fine = hot.groupBy(*by, *strata.values(), "slice").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(len(counts))), *(_moments(F.col(f"m{i}")).alias(f"m{i}") for i in range(len(moments))))
-        ahead = [t.withColumns({"hot": F.lit(True)}) for t in _whole_slices(fine, by, families, strata, counts, moments, steps, width)]
+        fine = hot.groupBy(*by, *strata.values(), "slice").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in sorted(set(same.values()))), *(_moments(F.col(f"m{i}")).alias(f"m{i}") for i in range(len(moments))))
+        ahead = [t.withColumns({"hot": F.lit(True)}) for t in _whole_slices(fine, by, families, strata, counts, moments, same, steps, width)]
         # each row in its own slice (tag 0), and events moved by window i into the slice of its edge (tag i)
         copy = lambda tag, w, s: F.struct((F.col("at") + w * MICROS_PER_DAY).alias("pos"), (F.col("slice") + s).alias("slice"), F.lit(tag).alias("tag"))
-        event = reduce(lambda a, b: a | b, [F.col(f"c{i}") != 0 for i in range(len(counts))] + [F.col(f"m{i}").isNotNull() for i in range(len(moments))])
+        event = reduce(lambda a, b: a | b, [F.col(f"c{i}") != 0 for i in sorted(set(same.values()))] + [F.col(f"m{i}").isNotNull() for i in range(len(moments))])
         copies = F.when(event, F.array(copy(0, 0, 0), *(copy(i + 1, w, s) for i, (w, s) in enumerate(zip(windows, steps, strict=True))))).otherwise(F.array(copy(0, 0, 0)))
         spread = hot.select(*columns, F.explode(copies).alias("x")).select(F.when(F.col("x.tag") == 0, F.col("row")).alias("row"), *columns[1:], "x.pos", "x.slice", "x.tag", F.lit(True).alias("hot"), *more)
         dealt = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ahead, light.unionByName(spread))
@@ -350,9 +353,10 @@ def trailing(df: DataFrame, keys: list[str], at: str, families: list[Family], fe
 
     plan = []
     for f in families:
-        mine, real = ({m: f"{letter}{i}" for i, (g, m, _) in enumerate(of) if g is f} for letter, of in (("c", counts), ("m", moments)))
+        mine = {m: f"c{same[i]}" for i, (g, m, _) in enumerate(counts) if g is f}
+        real = {m: f"m{i}" for i, (g, m, _) in enumerate(moments) if g is f}
         plan.append(([strata[c] for c in f.within], mine, real))
     new = [T.StructField(n, T.LongType() if f.kind in _WHOLE else T.DoubleType()) for n, f in features.items()]
-    schema = T.StructType([*df.schema.fields, *new])
+    schema = T.StructType([*(df.select(*keep) if keep else df).schema.fields, *new])
     shape = to_arrow_schema(schema, timestamp_utc=True)
     return dealt.mapInArrow(_task(by, plan, list(features.values()), [w * MICROS_PER_DAY for w in windows], windows, shape), schema)

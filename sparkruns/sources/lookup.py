@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import shuffles_freed
+
 #: Rows of a bucket; with files of that size a lookup of one key is a task of a second.
 BUCKET_ROWS = 1_000_000
 
@@ -21,7 +23,8 @@ def write_lookup(df: DataFrame, table: str, key: str, order: list[str], path: st
     rows = df.repartition(buckets, key).sortWithinPartitions(key, *order)
     writer = rows.write.mode("overwrite" if replace else "errorifexists").bucketBy(buckets, key).sortBy(key, *order)
     writer = writer.option("compression", "zstd").option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", "100000")
-    (writer.option("path", path) if path else writer).format("parquet").saveAsTable(table)
+    with shuffles_freed(df.sparkSession):
+        (writer.option("path", path) if path else writer).format("parquet").saveAsTable(table)
 
 
 def lookup(spark: SparkSession, table: str, key: str, value, order: list[str]) -> DataFrame:

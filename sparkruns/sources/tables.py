@@ -11,14 +11,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch tables written within it are removed at its end, but for those of ``scratch(..., outer=True)``."""
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        _remove(spark, mine)
+
+
+def _remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_path(spark: SparkSession, name: str, outer: bool = False) -> str:
     """A new folder in the cluster's shared checkpoint folder; a temporary one only in local mode, if the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes[-2:-1] if outer else _scopes[-1:]:
+        scope.append(folder)
+    return folder
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -37,7 +61,8 @@ _FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def _shuffles_freed(spark: SparkSession):
+def shuffles_freed(spark: SparkSession):
+    """What is written within leaves no shuffle files behind."""
     before = spark.conf.get(_FREED, "false")
     spark.conf.set(_FREED, "true")
     try:
@@ -46,16 +71,17 @@ def _shuffles_freed(spark: SparkSession):
         spark.conf.set(_FREED, before)
 
 
-def scratch(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def scratch(df: DataFrame, name: str, by: list[str] | None = None, outer: bool = False) -> DataFrame:
     """The table written to the shared scratch folder and read again: computed once, and safe from lost executors.
 
     What was shuffled to compute it is freed. With ``by`` it lies in buckets of these columns, as a shuffle would deal
-    it, so that what groups or joins by them reads it without an exchange; the rows should come dealt by them.
+    it, so that what groups or joins by them reads it without an exchange; the rows should come dealt by them. With
+    ``outer`` the table belongs to the scope around the current one.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, outer)
     writer = df.write.option("compression", "zstd")
-    with _shuffles_freed(spark):
+    with shuffles_freed(spark):
         if by:
             table = f"scratch_{uuid.uuid4().hex}"
             writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).option("path", path).format("parquet").saveAsTable(table)
@@ -70,9 +96,7 @@ def scratch(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Removes scratch tables that nothing reads any more."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(t.sparkSession, [t._scratch])
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
