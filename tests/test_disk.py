@@ -46,7 +46,7 @@ def test_scratch_leaves_no_shuffle_files(spark):
     assert not os.path.exists(path)
 
 
-@pytest.mark.parametrize(("name", "most"), [("wn07_org_history", 5), ("wn11_acceptance_history", 5), ("wn04_last_response", 6), ("st6_offer_base_full", 25)])
+@pytest.mark.parametrize(("name", "most"), [("wn07_org_history", 5), ("wn11_acceptance_history", 5), ("wn04_last_response", 6), ("st6_offer_base_full", 15), ("ag16_run_features_full", 18)])
 def test_disk_of_queries(spark, name, most):
     read = sum(os.path.getsize(f"{BIG}/{t}.parquet") for t in TABLES)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
